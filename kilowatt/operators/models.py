@@ -94,7 +94,7 @@ def stump(kind: str, label: str, features: str, max_bins: int = 64, seed: int =
         return GBTRegressor(labelCol=label, featuresCol=features, maxIter=1, maxDepth=1, maxBins=max_bins, seed=seed)
     if kind == "leaf_budget":
         return leaf_budget_gbt(max_depth=8, num_leaves=2, max_iter=1, label=label, features=features,
-                               seed=seed, maxBins=max_bins)
+                               seed=seed, max_bins=max_bins)
     raise ValueError(kind)
 
 
