@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +62,10 @@ def auc(df: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
 
 
 def _as_array(df: DataFrame, features: str):
-    kind = df.schema[features].dataType.typeName()
-    return to_array(features) if kind == "vector" else F.col(features).cast("array<double>")
+    kind = df.schema[features].dataType
+    if isinstance(kind, VectorUDT):
+        return to_array(features)
+    return F.col(features).cast("array<double>")
 
 
 def cluster_stats(df: DataFrame, features: str, cluster: str) -> DataFrame:
