@@ -13,22 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kilowatt.operators.partitioning import materialize
 from kilowatt.session import ensure_checkpoint_dir
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``, computed once.
-
-    The data is persisted first so that the checkpoint write reads it back
-    instead of recomputing the plan; the cache is dropped afterwards, as
-    the checkpoint files now hold the data.
-    """
-    df = df.persist()
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
-
-
 def pagerank(
     edges: DataFrame,
     src: str = "src",
@@ -52,8 +40,8 @@ def pagerank(
     links = e.join(outdeg, "src")
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
     ranks = nodes.withColumn("rank", F.lit(1.0))
-    links = _cut(links.repartition("src"))
-    nodes = _cut(nodes)
+    links = materialize(links.repartition("src"))
+    nodes = materialize(nodes)
     for i in range(1, int(rounds) + 1):
         contrib = links.join(ranks.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(
             F.sum(F.col("rank") / F.col("deg")).alias("c")
@@ -62,5 +50,5 @@ def pagerank(
             "node", (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce(F.col("c"), F.lit(0.0))).alias("rank")
         )
         if checkpoint_every and i % int(checkpoint_every) == 0 and i < rounds:
-            ranks = _cut(ranks)
+            ranks = materialize(ranks)
     return ranks

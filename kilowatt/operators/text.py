@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilowatt.functions.text import java_tokens, lines, text_words, words
+from kilowatt.operators.partitioning import materialize
 
 
 def text_lines(df: DataFrame, text: str = "text", out: str = "line") -> DataFrame:
@@ -35,3 +36,44 @@ def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.explode(java_tokens(text)).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("count")
     )
+
+
+def terms_with_bigrams(tokens) -> "Column":
+    """Tokens plus adjacent pairs joined by one space (two-word phrases)."""
+    n = F.size(tokens)
+    pairs = F.when(
+        n > 1,
+        F.zip_with(F.slice(tokens, 1, n - 1), F.slice(tokens, 2, n - 1), lambda a, b: F.concat_ws(" ", a, b)),
+    ).otherwise(F.array().cast("array<string>"))
+    return F.concat(tokens, pairs)
+
+
+# A lexicon with more terms than this is joined by a shuffle, not broadcast.
+MAX_BROADCAST_TERMS = 1_000_000
+
+
+def lexicon_scores(
+    df: DataFrame, lexicon: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",),
+    term: str = "term", score: str = "score",
+) -> DataFrame:
+    """Sum of lexicon scores of each text's words and two-word phrases,
+    one row per distinct ``keys`` of ``df`` (texts without a hit score 0).
+
+    Texts are tokenized (lower-case, whitespace) and every term occurrence
+    is looked up. The lexicon is computed once into a checkpoint; under
+    ``MAX_BROADCAST_TERMS`` terms (counted) it is broadcast, so a very
+    common word causes no skew; past it the join is a sort-merge join whose
+    skewed term partitions AQE splits. Size estimates of exploded text are
+    not trusted for either choice: they ignore the explode.
+    """
+    occ = df.select(*keys, F.explode(terms_with_bigrams(java_tokens(text))).alias("__term"))
+    lex = materialize(lexicon.select(F.col(term).alias("__term"), F.col(score).cast("long").alias("__score")))
+    if lex.count() <= MAX_BROADCAST_TERMS:
+        hits = occ.join(F.broadcast(lex), "__term")
+    else:
+        hits = occ.join(lex.hint("merge"), "__term")
+    scored = hits.select(*keys, "__score", F.lit(1).alias("__hit"))
+    every = df.select(*keys, F.lit(0).cast("long").alias("__score"), F.lit(0).alias("__hit"))
+    return scored.unionByName(every).groupBy(*keys).agg(
+        F.sum("__score").alias("score"), F.sum("__hit").cast("long").alias("n_hits")
+    )

@@ -13,10 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kilowatt.functions.text import java_tokens
 from kilowatt.functions.vectors import to_array, to_vector
 from kilowatt.operators import clustering, features, metrics, models, relational, splits, text, tuning
 from kilowatt.operators.graph import pagerank
 from kilowatt.operators.mining import frequent_itemsets
+from kilowatt.operators.partitioning import spread_small
 from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time
 from kilowatt.plans import forecast as fc
 from kilowatt.session import scratch_path
@@ -39,6 +41,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """documents, spread over the session when the table is small (text work
+    before the first shuffle is the expensive part)."""
+    return spread_small(_t(spark, sf_dir, "documents").select(*cols))
+
+
 # --------------------------------------------------------------- sources
 
 def q_csv_roundtrip(spark, sf_dir):
@@ -61,7 +69,7 @@ def q_libsvm_roundtrip(spark, sf_dir):
 
 
 def q_word_count(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
+    docs = _docs(spark, sf_dir, "text")
     return text.word_count(docs, "text", multiline_text=True)
 
 
@@ -272,13 +280,13 @@ def q_auc_given_score(spark, sf_dir):
 # -------------------------------------------------------------------- text
 
 def q_tokenize_counts(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    docs = _docs(spark, sf_dir, "text").where(F.col("text").isNotNull())
     tok = features.tokenize(docs, "text", "words")
     return tok.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
 
 def q_hash_tf_totals(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    docs = _docs(spark, sf_dir, "doc_id", "text").where(F.col("text").isNotNull())
     tf = features.hash_tf(features.tokenize(docs, "text", "words"), "words", "tf", num_features=1 << 10)
     total = F.aggregate(to_array("tf"), F.lit(0.0), lambda a, v: a + v)
     return tf.select("doc_id", total.cast("long").alias("n_terms"))
@@ -365,7 +373,7 @@ def q_kmeans_silhouette(spark, sf_dir):
 
 
 def q_text_quality_auc(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    docs = _docs(spark, sf_dir, "doc_id", "text").where(F.col("text").isNotNull())
     labels = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
     data = docs.join(labels, "doc_id")
     data = features.hash_tf(features.tokenize(data, "text", "words"), "words", "features", 1 << 12)
@@ -379,6 +387,129 @@ def vector_prob_col(col: str):
     return to_array(col)[1]
 
 
+# ------------------------------------------------ tier C: learners, stream
+
+SENTIMENT_MIN_DOCS = 20
+
+
+def _doc_terms(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.explode(text.terms_with_bigrams(java_tokens("text"))).alias("term"))
+
+
+def derived_lexicon(spark, sf_dir) -> DataFrame:
+    """Terms (words and two-word phrases) scored -5..5 by the mean quality
+    label of the labelled documents that contain them (at least
+    ``SENTIMENT_MIN_DOCS`` documents): floor(10 * mean) - 5."""
+    docs = _docs(spark, sf_dir, "doc_id", "text")
+    labels = _t(spark, sf_dir, "labels").select("doc_id", "quality")
+    labelled = _doc_terms(docs.join(labels.select("doc_id"), "doc_id")).distinct().join(labels, "doc_id")
+    per_term = labelled.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("q"))
+    return per_term.where(F.col("n") >= SENTIMENT_MIN_DOCS).select(
+        "term", (F.floor(F.lit(10.0) * F.col("q") / F.col("n")) - 5).cast("long").alias("score")
+    )
+
+
+def q_sentiment_by_source(spark, sf_dir):
+    docs = _docs(spark, sf_dir, "doc_id", "source", "text")
+    scored = text.lexicon_scores(docs, derived_lexicon(spark, sf_dir), "text", keys=("doc_id", "source"))
+    return scored.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("score").cast("long").alias("total_score"),
+        F.sum("n_hits").cast("long").alias("n_hits"),
+    )
+
+
+RIDGE_REG = 0.5
+
+
+def q_ridge_one_feature(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    model = models.linear("l_extendedprice", "features", reg=RIDGE_REG, solver="normal").fit(
+        features.assemble(li, ["l_quantity"])
+    )
+    return spark.createDataFrame(
+        [(round(float(model.coefficients[0]), 4), round(float(model.intercept), 4))], "slope double, intercept double"
+    )
+
+
+def _customer_part_ratings(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    return li.join(orders, li.l_orderkey == orders.o_orderkey).groupBy(
+        F.col("o_custkey").cast("int").alias("user"), F.col("l_partkey").cast("int").alias("item")
+    ).agg(F.sum("l_quantity").alias("rating"))
+
+
+def q_als_top_items(spark, sf_dir):
+    from kilowatt.operators import learners
+
+    model = learners.als(_customer_part_ratings(spark, sf_dir), "user", "item", "rating", rank=8,
+                         max_iter=5, implicit=True)
+    return learners.top_items(model, 5)
+
+
+def q_topics(spark, sf_dir):
+    from kilowatt.operators import learners
+
+    docs = features.tokenize(_docs(spark, sf_dir, "text").where(F.col("text").isNotNull()), "text", "words")
+    cv = learners.count_vectors(docs, "words", "counts", vocab_size=1 << 12)
+    model = learners.lda(cv.transform(docs), "counts", k=5, max_iter=10)
+    return learners.topics(model, cv.vocabulary, 5)
+
+
+def q_pic_clusters(spark, sf_dir):
+    from kilowatt.operators import learners
+
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    edges = li.join(orders, li.l_orderkey == orders.o_orderkey).groupBy(
+        F.col("o_custkey").alias("src"), (F.col("l_suppkey") + SUPPLIER_BASE).alias("dst")
+    ).agg(F.sum("l_quantity").alias("w"))
+    return learners.pic(edges, "src", "dst", "w", k=3, max_iter=10)
+
+
+def q_isotonic_curve(spark, sf_dir):
+    from kilowatt.operators import learners
+
+    li = _t(spark, sf_dir, "lineitem")
+    return learners.isotonic_curve(learners.isotonic(li, "l_extendedprice", "l_quantity"))
+
+
+def q_forest_classifier_metrics(spark, sf_dir):
+    emb = _t(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("label").cast("double").alias("label"), to_vector("embedding").alias("features")
+    )
+    train, test = splits.key_split(emb, "vec_id", 10, 7)
+    model = models.forest_classifier("label", "features", num_trees=20, seed=42).fit(train)
+    return metrics.classification_metrics(model.transform(test), "label")
+
+
+def q_kmeans_text_vectors(spark, sf_dir):
+    from kilowatt.sources.delimited import scan_number_rows
+
+    path = scratch_path(spark, "vectors-text")
+    emb = _t(spark, sf_dir, "embeddings")
+    emb.select(F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), " ").alias("v")) \
+        .write.text(path)
+    pts = scan_number_rows(spark, path).select(to_vector("values").alias("features"))
+    return clustering.centers(models.kmeans(k=10, seed=1).fit(pts))
+
+
+def q_stream_kmeans(spark, sf_dir):
+    from kilowatt.streaming.kmeans import stream_kmeans
+
+    emb = _t(spark, sf_dir, "embeddings")
+    src = scratch_path(spark, "stream-src")
+    emb.select("vec_id", "embedding").repartition(4, "vec_id").write.parquet(src)
+    init = [list(r["center"]) for r in
+            clustering.label_centers(emb, "embedding", "label").orderBy("cluster").collect()]
+    return stream_kmeans(spark, src, "vec_id long, embedding array<float>", "embedding", init, decay=1.0)
+
+
+def q_panel_forecast_metrics(spark, sf_dir):
+    run = fc.forecast(spark, sf_dir, "forest", keys=["event_type"], axes_override={"numTrees": [20, 40]})
+    return fc.forecast_report(run, "forest_panel_event_type")
+
+
 def queries() -> dict[str, Query]:
     return {
         "csv_roundtrip": q_csv_roundtrip,
@@ -421,4 +552,14 @@ def queries() -> dict[str, Query]:
         "kmeans_centers": q_kmeans_centers,
         "kmeans_silhouette": q_kmeans_silhouette,
         "text_quality_auc": q_text_quality_auc,
+        "sentiment_by_source": q_sentiment_by_source,
+        "ridge_one_feature": q_ridge_one_feature,
+        "als_top_items": q_als_top_items,
+        "topics": q_topics,
+        "pic_clusters": q_pic_clusters,
+        "isotonic_curve": q_isotonic_curve,
+        "forest_classifier_metrics": q_forest_classifier_metrics,
+        "kmeans_text_vectors": q_kmeans_text_vectors,
+        "stream_kmeans": q_stream_kmeans,
+        "panel_forecast_metrics": q_panel_forecast_metrics,
     }

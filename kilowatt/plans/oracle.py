@@ -140,6 +140,33 @@ def _frequent_pairs_sql() -> str:
     """
 
 
+def _sentiment_sql() -> str:
+    return _TOKENS + f""",
+    tb AS (
+        SELECT doc_id, list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))
+               AS terms
+        FROM k
+    ),
+    occ AS (SELECT doc_id, unnest(terms) AS term FROM tb),
+    lab AS (
+        SELECT d.doc_id, d.term, l.quality FROM (SELECT DISTINCT doc_id, term FROM occ) d
+        JOIN labels l ON l.doc_id = d.doc_id
+    ),
+    lex AS (
+        SELECT term, CAST(FLOOR(10.0 * SUM(quality) / COUNT(*)) AS BIGINT) - 5 AS score
+        FROM lab GROUP BY term HAVING COUNT(*) >= {C.SENTIMENT_MIN_DOCS}
+    ),
+    hits AS (SELECT o.doc_id, SUM(x.score) AS s, COUNT(*) AS h FROM occ o JOIN lex x ON x.term = o.term GROUP BY 1),
+    per AS (
+        SELECT d.doc_id, d.source, COALESCE(h.s, 0) AS score, COALESCE(h.h, 0) AS n_hits
+        FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id
+    )
+    SELECT source, COUNT(*) AS n_docs, CAST(SUM(score) AS BIGINT) AS total_score,
+           CAST(SUM(n_hits) AS BIGINT) AS n_hits
+    FROM per GROUP BY source
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     li_cols = (
         "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
@@ -328,4 +355,14 @@ def oracle_sql() -> dict[str, str]:
         "hash_tf_totals": _TOKENS + " SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_terms FROM k",
         "pagerank_5": _pagerank_sql(C.PAGERANK_ROUNDS),
         "frequent_pairs": _frequent_pairs_sql(),
+        "sentiment_by_source": _sentiment_sql(),
+        # Ridge, one feature, standardised: the least-squares slope shrunk by
+        # 1 / (1 + reg / population std of the label).
+        "ridge_one_feature": f"""
+            SELECT ROUND(b, 4) AS slope, ROUND(my - b * mx, 4) AS intercept FROM (
+                SELECT regr_slope(l_extendedprice, l_quantity) / (1 + {C.RIDGE_REG} / stddev_pop(l_extendedprice)) AS b,
+                       AVG(l_quantity) AS mx, AVG(l_extendedprice) AS my
+                FROM lineitem
+            )
+        """,
     }
