@@ -26,6 +26,8 @@ from kilowatt.sources import csv as csv_src
 from kilowatt.sources import files as files_src
 from kilowatt.sources import libsvm as libsvm_src
 from kilowatt.sources import sinks
+from kilowatt.sources.delimited import scan_delimited
+from kilowatt.sources.text import scan_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +75,37 @@ def q_word_count(spark, sf_dir):
     return text.word_count(docs, "text", multiline_text=True)
 
 
+def q_text_scan_word_count(spark, sf_dir):
+    """The reference's word count as written: text files -> lines -> words.
+
+    The documents are first written as text files (Spark writes each value
+    followed by a newline), then scanned line by line."""
+    path = scratch_path(spark, "text-src")
+    _docs(spark, sf_dir, "text").where(F.col("text").isNotNull()).write.text(path)
+    return text.word_count(scan_text(spark, path), "value")
+
+
+def q_delimited_roundtrip(spark, sf_dir):
+    """Multi-character separator (the ratings format), explicit schema."""
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    path = scratch_path(spark, "delimited")
+    orders.write.option("sep", "::").csv(path)
+    schema = "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string"
+    return scan_delimited(spark, path, "::", schema)
+
+
+def q_preview_lineitem(spark, sf_dir):
+    """``show(10)`` made stable: the first 10 rows in key order (a top-k)."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return sinks.preview(li, 10, order_by=["l_orderkey", "l_linenumber"])
+
+
+def q_schema_table(spark, sf_dir):
+    """printSchema of the assembled forecast table, as rows."""
+    series = fc.load_series(spark, sf_dir)
+    return sinks.schema_table(features.assemble(series, fc.FEATURES, "features", invalid="skip"))
+
+
 def q_word_count_saved(spark, sf_dir):
     path = scratch_path(spark, "wordcount")
     sinks.write_pairs_text(q_word_count(spark, sf_dir), path)
@@ -505,6 +538,28 @@ def q_stream_kmeans(spark, sf_dir):
     return stream_kmeans(spark, src, "vec_id long, embedding array<float>", "embedding", init, decay=1.0)
 
 
+def q_indexed_gbt_forecast_metrics(spark, sf_dir):
+    """Category indexer (max 4 values per slot) + boosted trees in one
+    pipeline under CV; the indexer is fitted on training rows only."""
+    run = fc.forecast(spark, sf_dir, "indexed_gbt", axes_override={"maxDepth": [3, 4]})
+    return fc.forecast_report(run, "indexed_gbt")
+
+
+def q_single_fit_metrics(spark, sf_dir):
+    """One pipeline fit without CV, scored on the test window."""
+    return fc.single_fit_report(spark, sf_dir, num_trees=40)
+
+
+def q_stream_sentiment_by_source(spark, sf_dir):
+    from kilowatt.streaming.sentiment import stream_lexicon_totals
+
+    docs = _docs(spark, sf_dir, "doc_id", "source", "text")
+    src = scratch_path(spark, "stream-docs")
+    docs.write.parquet(src)
+    lex = derived_lexicon(spark, sf_dir)
+    return stream_lexicon_totals(spark, src, "doc_id long, source string, text string", lex, "source")
+
+
 def q_panel_forecast_metrics(spark, sf_dir):
     run = fc.forecast(spark, sf_dir, "forest", keys=["event_type"], axes_override={"numTrees": [20, 40]})
     return fc.forecast_report(run, "forest_panel_event_type")
@@ -562,4 +617,11 @@ def queries() -> dict[str, Query]:
         "kmeans_text_vectors": q_kmeans_text_vectors,
         "stream_kmeans": q_stream_kmeans,
         "panel_forecast_metrics": q_panel_forecast_metrics,
+        "text_scan_word_count": q_text_scan_word_count,
+        "delimited_roundtrip": q_delimited_roundtrip,
+        "preview_lineitem": q_preview_lineitem,
+        "schema_table": q_schema_table,
+        "indexed_gbt_forecast_metrics": q_indexed_gbt_forecast_metrics,
+        "single_fit_metrics": q_single_fit_metrics,
+        "stream_sentiment_by_source": q_stream_sentiment_by_source,
     }

@@ -62,6 +62,11 @@ class ForecastRun:
 
 
 def _estimator(kind: str, seed: int):
+    """(stages before the estimator, estimator, default grid axes)."""
+    if kind == "indexed_gbt":
+        indexer = fea.category_indexer("features", "indexedFeatures", max_categories=4, invalid="keep")
+        est = models.gbt(label=LABEL, features="indexedFeatures", max_iter=10, seed=seed)
+        return [indexer], est, {est.maxDepth: [8, 9]}
     if kind == "forest":
         est = models.forest(label=LABEL, features="features", seed=seed)
         axes = {est.numTrees: [60, 80]}
@@ -74,7 +79,7 @@ def _estimator(kind: str, seed: int):
                 est.stepSize: [0.05, 0.1]}
     else:
         raise ValueError(kind)
-    return est, axes
+    return [], est, axes
 
 
 def forecast(
@@ -97,11 +102,11 @@ def forecast(
     assembled = fea.assemble(series, FEATURES, "features", invalid="skip")
     train, test = split_series(assembled)
     train = train.select(*keys, "hour_ts", LABEL, "features").cache()
-    est, axes = _estimator(kind, seed)
+    pre, est, axes = _estimator(kind, seed)
     if axes_override:
         axes = {getattr(est, name): values for name, values in axes_override.items()}
     maps = tuning.dedupe_grid(tuning.grid(axes))
-    pipe = models.pipeline([est])
+    pipe = models.pipeline([*pre, est])
     evaluator = tuning.regression_evaluator(LABEL, select_by)
     cv_model = tuning.cross_validate(pipe, maps, evaluator, train, num_folds=num_folds,
                                      parallelism=parallelism, seed=seed)
@@ -123,3 +128,20 @@ def forecast_report(run: ForecastRun, kind: str) -> DataFrame:
             ].items(), key=lambda kv: kv[0].name)
     )
     return run.metrics.select(F.lit(kind).alias("model"), F.lit(params).alias("best_setting"), *METRIC_COLS)
+
+
+def single_fit_report(spark: SparkSession, sf_dir: str, num_trees: int = 40, seed: int = 42) -> DataFrame:
+    """One forest pipeline fit on the training window (no CV), scored on
+    the test window; reports the fit's wall time as ``train_seconds``."""
+    import time
+
+    series = load_series(spark, sf_dir)
+    assembled = fea.assemble(series, FEATURES, "features", invalid="skip")
+    train, test = split_series(assembled)
+    pipe = models.pipeline([models.forest(label=LABEL, features="features", num_trees=num_trees, seed=seed)])
+    start = time.perf_counter()
+    model = pipe.fit(train)
+    seconds = time.perf_counter() - start
+    metrics = regression_metrics(model.transform(test), LABEL)
+    return metrics.select(F.lit("forest_single_fit").alias("model"), *METRIC_COLS,
+                          F.lit(round(seconds, 3)).alias("train_seconds"))

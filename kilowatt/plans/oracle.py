@@ -11,11 +11,13 @@ _HOURLY = """
     FROM events GROUP BY ALL
 """
 
-# Whole-text -> lines (text-file rules) -> words (single-space split rules).
-_WORDS = r"""
+def _words_sql(content: str, where: str) -> str:
+    """Text -> lines (text-file rules on ``content``) -> words (split on
+    single spaces) -> (word, count)."""
+    return rf"""
     WITH l AS (
-        SELECT unnest(string_split_regex(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n')) AS line
-        FROM documents WHERE text IS NOT NULL AND text <> ''
+        SELECT unnest(string_split_regex(regexp_replace({content}, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n')) AS line
+        FROM documents WHERE {where}
     ), w AS (
         SELECT CASE WHEN line = '' THEN ['']
                     WHEN rtrim(line, ' ') = '' THEN []::VARCHAR[]
@@ -23,7 +25,13 @@ _WORDS = r"""
         FROM l
     )
     SELECT word, COUNT(*) AS count FROM (SELECT unnest(ws) AS word FROM w) GROUP BY word
-"""
+    """
+
+
+# A text column read as file content; empty texts have no lines.
+_WORDS = _words_sql("text", "text IS NOT NULL AND text <> ''")
+# Texts written one value per line and scanned back: content is text + "\n".
+_TEXT_FILE_WORDS = _words_sql("text || chr(10)", "text IS NOT NULL")
 
 _WS = r"[ \t\n\x0B\f\r]"
 _TOKENS = rf"""
@@ -356,6 +364,13 @@ def oracle_sql() -> dict[str, str]:
         "pagerank_5": _pagerank_sql(C.PAGERANK_ROUNDS),
         "frequent_pairs": _frequent_pairs_sql(),
         "sentiment_by_source": _sentiment_sql(),
+        "stream_sentiment_by_source": _sentiment_sql(),
+        "text_scan_word_count": _TEXT_FILE_WORDS,
+        "delimited_roundtrip": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders",
+        "preview_lineitem": """
+            SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+            ORDER BY l_orderkey, l_linenumber LIMIT 10
+        """,
         # Ridge, one feature, standardised: the least-squares slope shrunk by
         # 1 / (1 + reg / population std of the label).
         "ridge_one_feature": f"""
