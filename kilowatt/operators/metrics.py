@@ -31,19 +31,28 @@ def regression_metrics(df: DataFrame, label: str, prediction: str = "prediction"
 def auc(df: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
     """Exact area under ROC (ties count one half), as one row ``auc``.
 
-    Equals ``BinaryClassificationEvaluator(numBins=0)``. Rows are first
-    reduced to one per distinct score (partial aggregation), then a prefix
-    sum of negatives runs over score ranges: range totals are summed in a
-    small window over ``ranges`` rows, within-range sums per range task.
-    No step holds more than one score range.
+    Equals ``BinaryClassificationEvaluator(numBins=0)``. Rows are reduced to
+    one per distinct score (partial aggregation), then the prefix sum of
+    negatives below each score is taken in ``ranges`` score buckets:
+    bucket totals (one row per bucket, tiny) give each bucket's offset,
+    and a window within each bucket adds the rest. Bucket bounds are
+    approximate quantiles of the distinct scores, so buckets are balanced,
+    and the bucket of a score is a pure expression: recomputing any part
+    after a lost executor gives the same buckets.
     """
     y = F.col(label).cast("double")
     per_score = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).alias("__s")).agg(
         F.sum(F.when(y == 1.0, 1).otherwise(0)).cast("double").alias("__pos"),
         F.sum(F.when(y == 1.0, 0).otherwise(1)).cast("double").alias("__neg"),
     )
-    ranged = per_score.repartitionByRange(int(ranges), "__s").withColumn("__p", F.spark_partition_id())
-    totals = ranged.groupBy("__p").agg(F.sum("__neg").alias("__pn"), F.sum("__pos").alias("__pp"))
+    probs = [i / int(ranges) for i in range(1, int(ranges))]
+    bounds = per_score.select(F.percentile_approx(F.col("__s").cast("double"), probs, 10_000)).first()[0] or []
+    bounds = sorted(set(float(b) for b in bounds))  # at most ranges - 1 values
+    lits = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    bucketed = per_score.withColumn(
+        "__p", F.size(F.filter(lits, lambda b: b < F.col("__s").cast("double")))
+    )
+    totals = bucketed.groupBy("__p").agg(F.sum("__neg").alias("__pn"))
     offsets = totals.select(
         "__p",
         F.coalesce(
@@ -51,8 +60,8 @@ def auc(df: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
         ).alias("__off"),
     )
     w = Window.partitionBy("__p").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    within = ranged.withColumn("__below", F.coalesce(F.sum("__neg").over(w), F.lit(0.0)))
-    joined = within.join(F.broadcast(offsets), "__p")  # one row per range: size bound = ranges
+    within = bucketed.withColumn("__below", F.coalesce(F.sum("__neg").over(w), F.lit(0.0)))
+    joined = within.join(F.broadcast(offsets), "__p")  # one row per bucket: at most `ranges` rows
     return joined.agg(
         (
             F.sum(F.col("__pos") * (F.col("__off") + F.col("__below") + 0.5 * F.col("__neg")))

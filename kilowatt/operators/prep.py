@@ -56,36 +56,25 @@ def lag_by_time(
     """Add ``{prefix}{h}``: ``value`` at ``ts - h hours`` for the same keys.
 
     ``series`` must have one row per (keys, ts), as :func:`hourly` gives.
-    Instead of one join per lag, every row is emitted once per offset
-    (shifted forward by h) and all copies meet in a single aggregation on
-    (keys, ts): one shuffle whatever the number of lags, each group at
-    most ``1 + len(hours)`` rows, so no key can blow up a task.
+    Instead of one join per lag, each row is exploded into itself plus one
+    copy per offset (moved forward by h), and all copies meet in a single
+    aggregation on (keys, ts): one scan and one shuffle whatever the number
+    of lags, each group at most ``1 + len(hours)`` rows, so no key can blow
+    up a task. Hours with no row h hours earlier get null (gaps stay gaps).
     """
     keys = list(keys)
-    base = series.select(
-        *keys,
-        F.col(ts).alias("__ts"),
-        F.lit(0).alias("__h"),
-        F.col(value).cast("double").alias("__v"),
-        F.struct(*[F.col(c) for c in series.columns]).alias("__row"),
-    )
-    parts = [base]
+    row = F.struct(*[F.col(c) for c in series.columns])
+    v = F.col(value).cast("double")
+    copies = [F.struct(F.col(ts).alias("t"), F.lit(0).alias("h"), v.alias("v"), row.alias("row"))]
     for h in hours:
-        parts.append(
-            series.select(
-                *keys,
-                (F.col(ts) + F.make_dt_interval(F.lit(0), F.lit(int(h)))).alias("__ts"),
-                F.lit(int(h)).alias("__h"),
-                F.col(value).cast("double").alias("__v"),
-                F.lit(None).cast(base.schema["__row"].dataType).alias("__row"),
-            )
-        )
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    aggs: list[Column] = [F.max(F.when(F.col("__h") == 0, F.col("__row"))).alias("__row")]
-    aggs += [F.max(F.when(F.col("__h") == h, F.col("__v"))).alias(f"{prefix}{h}") for h in hours]
-    grouped = union.groupBy(*keys, "__ts").agg(*aggs).where(F.col("__row").isNotNull())
+        copies.append(F.struct(
+            (F.col(ts) + F.make_dt_interval(F.lit(0), F.lit(int(h)))).alias("t"), F.lit(int(h)).alias("h"),
+            v.alias("v"), F.lit(None).cast(series.select(row.alias("r")).schema["r"].dataType).alias("row"),
+        ))
+    exploded = series.select(*keys, F.explode(F.array(*copies)).alias("__c"))
+    aggs: list[Column] = [F.max(F.when(F.col("__c.h") == 0, F.col("__c.row"))).alias("__row")]
+    aggs += [F.max(F.when(F.col("__c.h") == h, F.col("__c.v"))).alias(f"{prefix}{h}") for h in hours]
+    grouped = exploded.groupBy(*keys, F.col("__c.t").alias("__ts")).agg(*aggs).where(F.col("__row").isNotNull())
     return grouped.select("__row.*", *[f"{prefix}{h}" for h in hours])
 
 
