@@ -95,7 +95,7 @@ def asof_join(
     keys: Sequence[str] = (),
     right_cols: Sequence[str] | None = None,
     tiebreak: str | None = None,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int = 3_600,
     prefix: str = "",
 ) -> DataFrame:
     """Left join each left row to the latest right row with the same keys
