@@ -21,7 +21,9 @@ from kilowatt.session import build_session  # noqa: E402
 
 HEADLINE = [
     "word_count",
+    "text_scan_word_count",
     "tokenize_counts",
+    "sentiment_by_source",
     "hourly_load",
     "lag_24_48",
     "asof_last_view",

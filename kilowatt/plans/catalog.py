@@ -371,7 +371,7 @@ def q_frequent_pairs(spark, sf_dir):
 
 def _forecast_metrics(kind, axes):
     def q(spark, sf_dir):
-        run = fc.forecast(spark, sf_dir, kind, axes_override=axes, parallelism=4)
+        run = fc.forecast(spark, sf_dir, kind, axes_override=axes)
         return fc.forecast_report(run, kind)
 
     return q
@@ -557,7 +557,8 @@ def q_stream_sentiment_by_source(spark, sf_dir):
     src = scratch_path(spark, "stream-docs")
     docs.write.parquet(src)
     lex = derived_lexicon(spark, sf_dir)
-    return stream_lexicon_totals(spark, src, "doc_id long, source string, text string", lex, "source")
+    return stream_lexicon_totals(spark, src, "doc_id long, source string, text string", lex, "source",
+                                 max_files_per_trigger=4)
 
 
 def q_panel_forecast_metrics(spark, sf_dir):

@@ -89,7 +89,7 @@ def forecast(
     keys: Sequence[str] = (),
     axes_override: dict | None = None,
     num_folds: int = 3,
-    parallelism: int = 4,
+    parallelism: int | None = None,
     seed: int = 42,
     select_by: str = "rmse",
 ) -> ForecastRun:
@@ -108,8 +108,11 @@ def forecast(
     maps = tuning.dedupe_grid(tuning.grid(axes))
     pipe = models.pipeline([*pre, est])
     evaluator = tuning.regression_evaluator(LABEL, select_by)
+    # CV fits the settings of one fold concurrently: more threads than
+    # settings buy nothing.
+    threads = parallelism or min(len(maps), 16)
     cv_model = tuning.cross_validate(pipe, maps, evaluator, train, num_folds=num_folds,
-                                     parallelism=parallelism, seed=seed)
+                                     parallelism=threads, seed=seed)
     train.unpersist()
     scored = cv_model.transform(test)
     metrics = regression_metrics(scored, LABEL)
