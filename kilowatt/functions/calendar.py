@@ -23,11 +23,23 @@ def calendar_columns(ts: Column | str) -> list[Column]:
 
 
 def truncate(ts: Column | str, unit: str = "hour") -> Column:
-    """Start of the hour (or other unit) as TIMESTAMP_NTZ wall-clock time.
+    """Start of the hour / minute / day / month / year as TIMESTAMP_NTZ.
 
-    ``date_trunc`` returns a session-zone TIMESTAMP even for NTZ input; the
-    cast brings it back. Null timestamps stay null (``window`` would drop
-    the row instead).
+    Built from the wall-clock fields, so a TIMESTAMP_NTZ input is truncated
+    without any time zone: ``date_trunc`` would pass through the session
+    zone, where a wall-clock time inside a daylight-saving gap moves by an
+    hour. Null stays null.
     """
     t = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc(unit, t).cast("timestamp_ntz")
+    zero = F.lit(0)
+    fields = {
+        "year": (F.year(t), F.lit(1), F.lit(1), zero, zero),
+        "month": (F.year(t), F.month(t), F.lit(1), zero, zero),
+        "day": (F.year(t), F.month(t), F.dayofmonth(t), zero, zero),
+        "hour": (F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), zero),
+        "minute": (F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t)),
+    }
+    if unit not in fields:
+        return F.date_trunc(unit, t).cast("timestamp_ntz")
+    y, mo, d, h, mi = fields[unit]
+    return F.make_timestamp_ntz(y, mo, d, h, mi, F.lit(0))

@@ -14,11 +14,9 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    extra = {}
-    # Tests set their own checkpoint folder only where none is configured.
-    if not os.environ.get("SPARK_CHECKPOINT_DIR"):
-        extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="kw-test-ckpt-")
-    s = build_session("local[*]", app="kilowatt-tests", shuffle_partitions=8, extra=extra)
+    # The session's own spark.checkpoint.dir is kept; build_session gives a
+    # local session a fresh folder only when none is configured.
+    s = build_session("local[*]", app="kilowatt-tests", shuffle_partitions=8)
     yield s
 
 

@@ -115,22 +115,20 @@ def test_stream_kmeans_matches_batch_updates_and_resumes(spark, tmp_dir):
     batches = [[[0.0, 0.0], [0.2, 0.0], [9.0, 9.0]], [[10.0, 10.0], [0.1, 0.3]]]
     for i, pts in enumerate(batches):
         spark.createDataFrame([(float(i * 10 + j), p) for j, p in enumerate(pts)], "id double, x array<double>") \
-            .coalesce(1).write.parquet(f"{src}/part{i}")
-        os.system(f"mv {src}/part{i}/*.parquet {src}/ 2>/dev/null; rm -r {src}/part{i}")
+            .coalesce(1).write.parquet(f"{src}/b{i}")
     init = [[1.0, 1.0], [8.0, 8.0]]
     work = f"{tmp_dir}/work"
-    out = stream_kmeans(spark, src, "id double, x array<double>", "x", init, work_dir=work)
+    glob = f"{src}/b*/*.parquet"
+    out = stream_kmeans(spark, glob, "id double, x array<double>", "x", init, work_dir=work)
     got = {(r["cluster"], r["slot"]): r["value"] for r in out.collect()}
-    # files are read in name order, one per trigger
+    # one file per trigger, oldest first (b0 was written first)
     c, w = [list(x) for x in init], [0.0, 0.0]
-    files = sorted(f for f in os.listdir(src) if f.endswith(".parquet"))
-    order = [spark.read.parquet(f"{src}/{f}").collect() for f in files]
-    for rows in order:
-        c, w = _batch_update(c, w, [list(r["x"]) for r in rows])
+    for pts in batches:
+        c, w = _batch_update(c, w, pts)
     for i in range(2):
         for j in range(2):
             assert got[(i, j)] == pytest.approx(c[i][j], rel=1e-12)
     # a second run over the same checkpoint applies nothing twice
     again = {(r["cluster"], r["slot"]): r["value"] for r in
-             stream_kmeans(spark, src, "id double, x array<double>", "x", init, work_dir=work).collect()}
+             stream_kmeans(spark, glob, "id double, x array<double>", "x", init, work_dir=work).collect()}
     assert again == got

@@ -69,3 +69,15 @@ def test_asof_join_hot_key(spark):
     left = [(r["event_id"], r["user_id"], r["ts"]) for r in clicks.collect()]
     right = [(r["vid"], r["user_id"], r["vts"]) for r in views.collect()]
     assert got == _brute_asof(left, right)
+
+
+def test_hour_truncation_ignores_session_zone(spark):
+    """A wall-clock time inside a daylight-saving gap keeps its own hour."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30), 1.0)], "ts timestamp_ntz, v double")
+        got = hourly(df, "ts", "v").first()["hour_ts"]
+        assert got == dt.datetime(2024, 3, 10, 2, 0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
