@@ -118,15 +118,14 @@ def q_files_partitioned(spark, sf_dir):
     orders.select(
         F.col("o_orderkey").cast("string").alias("value"), "o_orderstatus", "o_orderpriority"
     ).write.partitionBy("o_orderstatus", "o_orderpriority").text(path)
-    scanned = files_src.scan_files(spark, path, glob="*.txt")
-    body = F.decode(F.col("content"), "UTF-8")
-    per_file = scanned.select(
-        "o_orderstatus", "o_orderpriority",
-        (F.size(F.split(body, "\n", -1)) - 1).alias("lines"), F.col("length"),
-    )
-    return per_file.groupBy("o_orderstatus", "o_orderpriority").agg(
-        F.sum("lines").cast("long").alias("n_lines"), F.sum("length").cast("long").alias("n_bytes")
+    # bytes from file metadata only (binaryFile skips content not selected);
+    # lines from the splittable text reader, which discovers the same keys
+    keys = ["o_orderstatus", "o_orderpriority"]
+    sizes = files_src.scan_files(spark, path, glob="*.txt", with_content=False).groupBy(*keys).agg(
+        F.sum("length").cast("long").alias("n_bytes")
     )
+    lines = scan_text(spark, path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lines"))
+    return lines.join(sizes, keys, "full_outer").select(*keys, "n_lines", "n_bytes")
 
 
 # ------------------------------------------------- projection / filter / view
@@ -425,18 +424,18 @@ def vector_prob_col(col: str):
 SENTIMENT_MIN_DOCS = 20
 
 
-def _doc_terms(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.explode(text.terms_with_bigrams(java_tokens("text"))).alias("term"))
-
-
 def derived_lexicon(spark, sf_dir) -> DataFrame:
     """Terms (words and two-word phrases) scored -5..5 by the mean quality
     label of the labelled documents that contain them (at least
     ``SENTIMENT_MIN_DOCS`` documents): floor(10 * mean) - 5."""
     docs = _docs(spark, sf_dir, "doc_id", "text")
     labels = _t(spark, sf_dir, "labels").select("doc_id", "quality")
-    labelled = _doc_terms(docs.join(labels.select("doc_id"), "doc_id")).distinct().join(labels, "doc_id")
-    per_term = labelled.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("q"))
+    labelled = docs.join(labels, "doc_id")
+    # one row per (document, term); quality rides along (it depends on the document only)
+    pairs = labelled.select(
+        "doc_id", "quality", F.explode(text.terms_with_bigrams(java_tokens("text"))).alias("term")
+    ).distinct()
+    per_term = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("q"))
     return per_term.where(F.col("n") >= SENTIMENT_MIN_DOCS).select(
         "term", (F.floor(F.lit(10.0) * F.col("q") / F.col("n")) - 5).cast("long").alias("score")
     )

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from kilowatt.functions.vectors import to_array
 from kilowatt.operators import features, relational, splits

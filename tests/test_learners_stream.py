@@ -1,6 +1,5 @@
 """Data-only workloads: learners, lexicon scoring, streaming k-means."""
 
-import os
 import random
 
 import pytest

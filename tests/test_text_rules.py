@@ -5,7 +5,6 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.ml.feature import Tokenizer
-from pyspark.sql import functions as F
 
 from kilowatt.functions.text import java_tokens, lines, words
 from kilowatt.operators.text import word_count
