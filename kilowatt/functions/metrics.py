@@ -24,12 +24,17 @@ def regression_sums(label: str, prediction: str) -> list[Column]:
 
 
 def metrics_from_sums() -> list[Column]:
-    """rmse, mse, r2, mae from the columns of :func:`regression_sums`."""
+    """rmse, mse, r2, mae from the columns of :func:`regression_sums`.
+
+    Undefined values are null, not errors: all four for an empty input, r2
+    for a constant label (zero total sum of squares).
+    """
     n, sse, sae, sy, syy = (F.col(c) for c in ("n", "sse", "sae", "sy", "syy"))
-    sst = syy - sy * sy / n
+    nd = n.cast("double")
+    sst = syy - F.try_divide(sy * sy, nd)
     return [
-        F.sqrt(sse / n).alias("rmse"),
-        (sse / n).alias("mse"),
-        (F.lit(1.0) - sse / sst).alias("r2"),
-        (sae / n).alias("mae"),
+        F.sqrt(F.try_divide(sse, nd)).alias("rmse"),
+        F.try_divide(sse, nd).alias("mse"),
+        (F.lit(1.0) - F.try_divide(sse, F.when(sst != 0, sst))).alias("r2"),
+        F.try_divide(sae, nd).alias("mae"),
     ]

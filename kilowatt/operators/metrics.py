@@ -62,10 +62,11 @@ def auc(df: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
     w = Window.partitionBy("__p").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     within = bucketed.withColumn("__below", F.coalesce(F.sum("__neg").over(w), F.lit(0.0)))
     joined = within.join(F.broadcast(offsets), "__p")  # one row per bucket: at most `ranges` rows
+    # one class only (or no rows): AUC is undefined -> null
     return joined.agg(
-        (
-            F.sum(F.col("__pos") * (F.col("__off") + F.col("__below") + 0.5 * F.col("__neg")))
-            / (F.sum("__pos") * F.sum("__neg"))
+        F.try_divide(
+            F.sum(F.col("__pos") * (F.col("__off") + F.col("__below") + 0.5 * F.col("__neg"))),
+            F.sum("__pos") * F.sum("__neg"),
         ).alias("auc")
     )
 
@@ -126,11 +127,11 @@ def silhouette(df: DataFrame, features: str, cluster: str) -> DataFrame:
     own = F.filter("__d", lambda e: e["c"] == F.col("__c"))[0]
     others = F.filter("__d", lambda e: e["c"] != F.col("__c"))
     b = F.array_min(F.transform(others, lambda e: e["d"]))
-    a = own["d"] * own["n"] / (own["n"] - 1.0)
+    a = F.try_divide(own["d"] * own["n"], own["n"] - 1.0)
     s = (
         F.when(own["n"] <= 1.0, F.lit(0.0))
-        .when(a < b, 1.0 - a / b)
-        .when(a > b, b / a - 1.0)
+        .when(a < b, 1.0 - F.try_divide(a, b))
+        .when(a > b, F.try_divide(b, a) - 1.0)
         .otherwise(F.lit(0.0))
     )
     return pts.agg(F.avg(s).alias("silhouette"))

@@ -183,3 +183,13 @@ def test_logistic_loss_decreases(spark):
     model = models.logistic(max_iter=20).fit(df)
     hist = model.summary.objectiveHistory
     assert hist[-1] < hist[0]
+
+
+def test_degenerate_inputs_give_null_not_errors(spark):
+    const = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "y double, prediction double")
+    r = metrics.regression_metrics(const, "y").first()
+    assert r["r2"] is None and r["mse"] == pytest.approx(0.5)
+    empty = spark.createDataFrame([], "y double, prediction double")
+    assert metrics.regression_metrics(empty, "y").first()["rmse"] is None
+    one = spark.createDataFrame([(1.0, 0.3), (1.0, 0.5)], "label double, score double")
+    assert metrics.auc(one, "label", "score").first()["auc"] is None
