@@ -368,9 +368,9 @@ def q_frequent_pairs(spark, sf_dir):
 
 # ------------------------------------------------- trained, rows-only checks
 
-def _forecast_metrics(kind, axes):
+def _forecast_metrics(kind, axes, max_iter=None):
     def q(spark, sf_dir):
-        run = fc.forecast(spark, sf_dir, kind, axes_override=axes)
+        run = fc.forecast(spark, sf_dir, kind, axes_override=axes, max_iter=max_iter)
         return fc.forecast_report(run, kind)
 
     return q
@@ -382,7 +382,7 @@ def q_best_params(spark, sf_dir):
 
 
 def q_tree_dump(spark, sf_dir):
-    run = fc.forecast(spark, sf_dir, "gbt", axes_override={"maxDepth": [2, 3]})
+    run = fc.forecast(spark, sf_dir, "gbt", axes_override={"maxDepth": [2, 3]}, max_iter=10)
     return tuning.describe(tuning.best(run.cv_model))
 
 
@@ -540,7 +540,7 @@ def q_stream_kmeans(spark, sf_dir):
 def q_indexed_gbt_forecast_metrics(spark, sf_dir):
     """Category indexer (max 4 values per slot) + boosted trees in one
     pipeline under CV; the indexer is fitted on training rows only."""
-    run = fc.forecast(spark, sf_dir, "indexed_gbt", axes_override={"maxDepth": [3, 4]})
+    run = fc.forecast(spark, sf_dir, "indexed_gbt", axes_override={"maxDepth": [3, 4]}, max_iter=10)
     return fc.forecast_report(run, "indexed_gbt")
 
 
@@ -599,9 +599,9 @@ def queries() -> dict[str, Query]:
         "hash_tf_totals": q_hash_tf_totals,
         "pagerank_5": q_pagerank_5,
         "frequent_pairs": q_frequent_pairs,
-        "forest_forecast_metrics": _forecast_metrics("forest", {"numTrees": [60, 80]}),
-        "gbt_forecast_metrics": _forecast_metrics("gbt", {"maxDepth": [3, 5]}),
-        "leaf_budget_forecast_metrics": _forecast_metrics("leaf_budget", None),
+        "forest_forecast_metrics": _forecast_metrics("forest", None),
+        "gbt_forecast_metrics": _forecast_metrics("gbt", {"maxDepth": [3, 5]}, max_iter=10),
+        "leaf_budget_forecast_metrics": _forecast_metrics("leaf_budget", None, max_iter=10),
         "best_params": q_best_params,
         "tree_dump": q_tree_dump,
         "kmeans_centers": q_kmeans_centers,

@@ -34,6 +34,17 @@ LABEL = "load"
 FEATURES = ("n_events", "dow", "doy", "month", "hour", "minute", "t_m24", "t_m48")
 METRIC_COLS = ("n", "rmse", "mse", "r2", "mae")
 
+# The reference's parameter grids and CV settings.
+FOREST_NUM_TREES = (60, 80)
+GBT_MAX_DEPTH = (5, 10)
+INDEXED_GBT_MAX_DEPTH = (8, 9)
+INDEXED_GBT_ROUNDS = 300
+CATEGORY_LIMIT = 4
+LEAF_MAX_DEPTH = (3, 4, 5, 6, 7, 8)
+LEAF_NUM_LEAVES = (16, 20, 31, 40, 60)
+LEAF_LEARNING_RATE = (0.05, 0.1)
+CV_FOLDS = 3
+
 
 def load_series(spark: SparkSession, sf_dir: str, keys: Sequence[str] = ()) -> DataFrame:
     """Hourly load with lags and calendar fields, one row per (keys, hour)."""
@@ -61,25 +72,27 @@ class ForecastRun:
     metrics: DataFrame
 
 
-def _estimator(kind: str, seed: int):
-    """(stages before the estimator, estimator, default grid axes)."""
+def _estimator(kind: str, seed: int, max_iter: int | None = None):
+    """(stages before the estimator, estimator, default grid axes).
+
+    Defaults are the reference's grids; boosting rounds default to Spark's
+    20 (300 for the indexed pipeline) unless ``max_iter`` is given.
+    """
     if kind == "indexed_gbt":
-        indexer = fea.category_indexer("features", "indexedFeatures", max_categories=4, invalid="keep")
-        est = models.gbt(label=LABEL, features="indexedFeatures", max_iter=10, seed=seed)
-        return [indexer], est, {est.maxDepth: [8, 9]}
+        indexer = fea.category_indexer("features", "indexedFeatures", max_categories=CATEGORY_LIMIT, invalid="keep")
+        est = models.gbt(label=LABEL, features="indexedFeatures", max_iter=max_iter or INDEXED_GBT_ROUNDS, seed=seed)
+        return [indexer], est, {est.maxDepth: list(INDEXED_GBT_MAX_DEPTH)}
     if kind == "forest":
         est = models.forest(label=LABEL, features="features", seed=seed)
-        axes = {est.numTrees: [60, 80]}
-    elif kind == "gbt":
-        est = models.gbt(label=LABEL, features="features", max_iter=10, seed=seed)
-        axes = {est.maxDepth: [3, 5]}
-    elif kind == "leaf_budget":
-        est = models.leaf_budget_gbt(max_iter=10, label=LABEL, features="features", seed=seed)
-        axes = {est.maxDepth: sorted({models.leaf_budget_depth(d, n) for d in (3, 4, 5) for n in (16, 20, 31, 40, 60)}),
-                est.stepSize: [0.05, 0.1]}
-    else:
-        raise ValueError(kind)
-    return [], est, axes
+        return [], est, {est.numTrees: list(FOREST_NUM_TREES)}
+    if kind == "gbt":
+        est = models.gbt(label=LABEL, features="features", max_iter=max_iter or 20, seed=seed)
+        return [], est, {est.maxDepth: list(GBT_MAX_DEPTH)}
+    if kind == "leaf_budget":
+        est = models.leaf_budget_gbt(max_iter=max_iter or 20, label=LABEL, features="features", seed=seed)
+        depths = sorted({models.leaf_budget_depth(d, n) for d in LEAF_MAX_DEPTH for n in LEAF_NUM_LEAVES})
+        return [], est, {est.maxDepth: depths, est.stepSize: list(LEAF_LEARNING_RATE)}
+    raise ValueError(kind)
 
 
 def forecast(
@@ -88,8 +101,9 @@ def forecast(
     kind: str = "forest",
     keys: Sequence[str] = (),
     axes_override: dict | None = None,
-    num_folds: int = 3,
+    num_folds: int = CV_FOLDS,
     parallelism: int | None = None,
+    max_iter: int | None = None,
     seed: int = 42,
     select_by: str = "rmse",
 ) -> ForecastRun:
@@ -102,7 +116,7 @@ def forecast(
     assembled = fea.assemble(series, FEATURES, "features", invalid="skip")
     train, test = split_series(assembled)
     train = train.select(*keys, "hour_ts", LABEL, "features").cache()
-    pre, est, axes = _estimator(kind, seed)
+    pre, est, axes = _estimator(kind, seed, max_iter)
     if axes_override:
         axes = {getattr(est, name): values for name, values in axes_override.items()}
     maps = tuning.dedupe_grid(tuning.grid(axes))
