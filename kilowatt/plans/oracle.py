@@ -369,7 +369,7 @@ def oracle_sql() -> dict[str, str]:
         "delimited_roundtrip": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders",
         "preview_lineitem": """
             SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
-            ORDER BY l_orderkey, l_linenumber LIMIT 10
+            ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice LIMIT 10
         """,
         # Ridge, one feature, standardised: the least-squares slope shrunk by
         # 1 / (1 + reg / population std of the label).
