@@ -46,3 +46,19 @@ def materialize(df: DataFrame) -> DataFrame:
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def right_size(df: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
+    """Coalesce ``df`` to about one partition per ``target_bytes`` of planned
+    size (at least the session's parallelism), never increasing the count.
+
+    Use before ``cache()``: a cached plan keeps the partitioning it was
+    planned with (AQE may not coalesce it), so a small aggregate cached
+    straight out of a 200-partition shuffle makes every later pass over it
+    -- each tree level, each CV fold -- schedule 200 mostly empty tasks.
+    ``coalesce`` merges partitions without another shuffle.
+    """
+    spark = df.sparkSession
+    want = max(spark.sparkContext.defaultParallelism, -(-planned_bytes(df) // int(target_bytes)))
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(want) if want < current else df

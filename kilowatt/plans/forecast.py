@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from kilowatt.operators import features as fea
 from kilowatt.operators import models, tuning
 from kilowatt.operators.metrics import regression_metrics
+from kilowatt.operators.partitioning import right_size
 from kilowatt.operators.prep import calendar, hourly, lag_by_time
 from kilowatt.operators.splits import time_split
 
@@ -115,7 +116,7 @@ def forecast(
     series = load_series(spark, sf_dir, keys)
     assembled = fea.assemble(series, FEATURES, "features", invalid="skip")
     train, test = split_series(assembled)
-    train = train.select(*keys, "hour_ts", LABEL, "features").cache()
+    train = right_size(train.select(*keys, "hour_ts", LABEL, "features")).cache()
     pre, est, axes = _estimator(kind, seed, max_iter)
     if axes_override:
         axes = {getattr(est, name): values for name, values in axes_override.items()}

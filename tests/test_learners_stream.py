@@ -131,3 +131,17 @@ def test_stream_kmeans_matches_batch_updates_and_resumes(spark, tmp_dir):
     again = {(r["cluster"], r["slot"]): r["value"] for r in
              stream_kmeans(spark, glob, "id double, x array<double>", "x", init, work_dir=work).collect()}
     assert again == got
+
+
+def test_right_size_coalesces_small_shuffled_data(spark):
+    from kilowatt.operators.partitioning import right_size
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        agg = spark.range(0, 1000).groupBy((F.col("id") % 100).alias("k")).count()
+        sized = right_size(agg)
+        assert sized.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert sized.count() == 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
