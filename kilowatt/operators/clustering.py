@@ -8,6 +8,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kilowatt.functions.vectors import nearest
 from kilowatt.operators.metrics import MAX_INLINE_VALUES, _as_array, cluster_stats
 
 
@@ -37,17 +38,5 @@ def assign_to(
     dim = len(rows[0]["center"]) if rows else 0
     if len(rows) * max(dim, 1) > MAX_INLINE_VALUES:
         raise ValueError("too many centers x dimensions to inline; use a KMeansModel")
-    cs = F.array(*[
-        F.struct(F.lit(r["cluster"]).alias("c"), F.array(*[F.lit(float(v)) for v in r["center"]]).alias("m"))
-        for r in sorted(rows, key=lambda r: r["cluster"])
-    ])
-    x = _as_array(df, features)
-    scored = F.transform(
-        cs,
-        lambda s: F.struct(
-            F.aggregate(F.zip_with(x, s["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v).alias("d"),
-            s["c"].alias("c"),
-        ),
-    )
-    best = F.array_min(scored)["c"]
+    best = nearest(_as_array(df, features), [(r["cluster"], list(r["center"])) for r in rows])
     return df.select(*(keys or df.columns), best.alias(out))

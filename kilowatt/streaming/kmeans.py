@@ -24,26 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kilowatt.functions.vectors import nearest
 from kilowatt.operators.metrics import MAX_INLINE_VALUES
 from kilowatt.session import scratch_path
 
 
-def _nearest(x, centers: Sequence[Sequence[float]]):
-    cs = F.array(*[
-        F.struct(F.lit(i).alias("c"), F.array(*[F.lit(float(v)) for v in c]).alias("m"))
-        for i, c in enumerate(centers)
-    ])
-    scored = F.transform(
-        cs,
-        lambda s: F.struct(
-            F.aggregate(F.zip_with(x, s["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-            .alias("d"),
-            s["c"].alias("c"),
-        ),
-    )
-    return F.array_min(scored)["c"]
-
-
 def _load_state(spark: SparkSession, state_dir: str):
     try:
         st = spark.read.parquet(state_dir)
@@ -84,14 +69,17 @@ def stream_kmeans(
         if batch_id <= state["batch"]:
             return  # already applied (replay after a restart)
         x = F.col(features).cast("array<double>")
-        assigned = batch.select(_nearest(x, state["centers"]).alias("cluster"), x.alias("x"))
+        assigned = batch.select(nearest(x, list(enumerate(state["centers"]))).alias("cluster"), x.alias("x"))
+        # one pass: per (cluster, slot) the sum, and the point count (each
+        # point gives one row per slot)
         per = assigned.select("cluster", F.posexplode("x").alias("slot", "v")).groupBy("cluster", "slot").agg(
-            F.sum("v").alias("s")
+            F.sum("v").alias("s"), F.count(F.lit(1)).alias("m")
         )
-        counts = {r["cluster"]: r["m"] for r in assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).collect()}
+        counts: dict[int, int] = {}
         sums: dict[int, list[float]] = {}
         for r in per.collect():  # k * dim rows at most
             sums.setdefault(r["cluster"], [0.0] * dim)[r["slot"]] = r["s"]
+            counts[r["cluster"]] = r["m"]
         centers, weights = [list(c) for c in state["centers"]], list(state["weights"])
         for c, m in counts.items():
             n = weights[c] * decay
