@@ -18,6 +18,9 @@ from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
+
+from kilowatt.operators.partitioning import right_size, spread_small
 
 
 def grid(axes: Mapping[Param, Sequence[Any]]) -> list[dict]:
@@ -59,8 +62,13 @@ def cross_validate(
     ``select_by`` is the evaluator's metric (one evaluator; the reference's
     chained ``setEvaluator`` calls kept only the last). With ``fold_col``
     the folds are the column's values ``0..k-1`` (deterministic, checkable);
-    else rows are assigned from ``seed``. Fold inputs are cached by the
-    validator for the duration of the fit.
+    else rows are assigned from ``seed``.
+
+    The input is computed once and persisted (memory, spilling to disk)
+    for the whole search, unless the caller cached it already: every fold
+    and the final refit then read it back instead of re-running the plan
+    that produced it. It is right-sized first, since a cached plan keeps its
+    partition count.
     """
     cv = CrossValidator(
         estimator=estimator,
@@ -72,7 +80,13 @@ def cross_validate(
     )
     if fold_col:
         cv = cv.setFoldCol(fold_col)
-    return cv.fit(df)
+    if df.is_cached:
+        return cv.fit(df)
+    data = right_size(spread_small(df)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cv.fit(data)
+    finally:
+        data.unpersist()
 
 
 def _plain(v: Any) -> Any:
