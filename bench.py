@@ -40,6 +40,7 @@ HEADLINE = [
     "pagerank_5",
     "frequent_pairs",
     "forest_forecast_metrics",
+    "user_daily_forecast_metrics",
 ]
 
 

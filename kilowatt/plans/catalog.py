@@ -561,6 +561,14 @@ def q_stream_sentiment_by_source(spark, sf_dir):
                                  max_files_per_trigger=4)
 
 
+def q_user_daily_forecast_metrics(spark, sf_dir):
+    """Per-user daily panel: lags of the two previous days and the latest
+    'view' reading at or before each day (as-of join), forest with CV."""
+    run = fc.forecast(spark, sf_dir, "forest", keys=["user_id"], unit="day", observed="view",
+                      axes_override={"numTrees": [20, 40]})
+    return fc.forecast_report(run, "forest_user_daily")
+
+
 def q_panel_forecast_metrics(spark, sf_dir):
     run = fc.forecast(spark, sf_dir, "forest", keys=["event_type"], axes_override={"numTrees": [20, 40]})
     return fc.forecast_report(run, "forest_panel_event_type")
@@ -618,6 +626,7 @@ def queries() -> dict[str, Query]:
         "kmeans_text_vectors": q_kmeans_text_vectors,
         "stream_kmeans": q_stream_kmeans,
         "panel_forecast_metrics": q_panel_forecast_metrics,
+        "user_daily_forecast_metrics": q_user_daily_forecast_metrics,
         "text_scan_word_count": q_text_scan_word_count,
         "delimited_roundtrip": q_delimited_roundtrip,
         "preview_lineitem": q_preview_lineitem,

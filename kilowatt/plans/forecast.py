@@ -23,7 +23,7 @@ from kilowatt.operators import features as fea
 from kilowatt.operators import models, tuning
 from kilowatt.operators.metrics import regression_metrics
 from kilowatt.operators.partitioning import right_size
-from kilowatt.operators.prep import calendar, hourly, lag_by_time
+from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time
 from kilowatt.operators.splits import time_split
 
 # The split of the reference (train before the first day of
@@ -47,12 +47,29 @@ LEAF_LEARNING_RATE = (0.05, 0.1)
 CV_FOLDS = 3
 
 
-def load_series(spark: SparkSession, sf_dir: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Hourly load with lags and calendar fields, one row per (keys, hour)."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "value", *keys)
-    series = hourly(events, "ts", "value", keys=keys)
+def load_series(
+    spark: SparkSession, sf_dir: str, keys: Sequence[str] = (), unit: str = "hour",
+    observed: str | None = None,
+) -> DataFrame:
+    """Load per (keys, period) with 24 h / 48 h lags and calendar fields.
+
+    ``unit`` is the period ("hour", or "day" for a sparse per-user panel:
+    the lags are then the two previous days). With ``observed`` (an event
+    type), ``obs_value`` is the value of the latest such event of the same
+    keys at or before the period start, joined as of that time: an outside
+    reading taken at its own times, like the reference's weather columns.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    series = hourly(events.select("ts", "value", *keys), "ts", "value", keys=keys, unit=unit)
     series = lag_by_time(series, "hour_ts", LABEL, hours=(24, 48), keys=keys)
-    return calendar(series, "hour_ts")
+    series = calendar(series, "hour_ts")
+    if observed:
+        readings = events.where(F.col("event_type") == observed).select(
+            *keys, F.col("ts").alias("obs_ts"), F.col("value").alias("obs_value"), F.col("event_id").alias("obs_id")
+        )
+        series = asof_join(series, readings, "hour_ts", "obs_ts", keys=keys, right_cols=["obs_value"],
+                           tiebreak="obs_id", bucket_seconds=86_400 * (7 if unit == "day" else 1))
+    return series
 
 
 def split_series(series: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,14 +124,17 @@ def forecast(
     max_iter: int | None = None,
     seed: int = 42,
     select_by: str = "rmse",
+    unit: str = "hour",
+    observed: str | None = None,
 ) -> ForecastRun:
     """Fit with k-fold CV on the training window and score the test window.
 
     The assembled training set is cached once before CV (each fold reuses
     it); rows whose lags are missing (start of a series) are skipped.
     """
-    series = load_series(spark, sf_dir, keys)
-    assembled = fea.assemble(series, FEATURES, "features", invalid="skip")
+    series = load_series(spark, sf_dir, keys, unit=unit, observed=observed)
+    cols = FEATURES + (("obs_value",) if observed else ())
+    assembled = fea.assemble(series, cols, "features", invalid="skip")
     train, test = split_series(assembled)
     train = right_size(train.select(*keys, "hour_ts", LABEL, "features")).cache()
     pre, est, axes = _estimator(kind, seed, max_iter)

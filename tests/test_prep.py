@@ -81,3 +81,18 @@ def test_hour_truncation_ignores_session_zone(spark):
         assert got == dt.datetime(2024, 3, 10, 2, 0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_daily_panel_reading_is_latest_before_period(spark):
+    from kilowatt.plans import forecast as fc
+
+    s = fc.load_series(spark, SF_SMALL, ["user_id"], unit="day", observed="view")
+    assert s.where(F.col("obs_ts") > F.col("hour_ts")).count() == 0
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").where(F.col("event_type") == "view")
+    # brute force for every (user, day): latest view at or before the day start
+    latest = (
+        s.select("user_id", "hour_ts").join(ev.select("user_id", "ts"), "user_id")
+        .where(F.col("ts") <= F.col("hour_ts")).groupBy("user_id", "hour_ts").agg(F.max("ts").alias("want"))
+    )
+    joined = s.join(latest, ["user_id", "hour_ts"], "left")
+    assert joined.where(~F.col("obs_ts").eqNullSafe(F.col("want"))).count() == 0
