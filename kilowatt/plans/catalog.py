@@ -412,14 +412,11 @@ def q_text_quality_auc(spark, sf_dir):
     data = features.hash_tf(features.tokenize(data, "text", "words"), "words", "features", 1 << 12)
     train, test = splits.key_split(data, "doc_id", 10, 7)
     model = models.logistic("label", "features", max_iter=50, reg=0.01).fit(train)
-    scored = model.transform(test).select("label", vector_prob_col("probability").alias("score"))
+    # score = probability of the positive class
+    scored = model.transform(test).select("label", to_array("probability")[1].alias("score"))
     return metrics.auc(scored, "label", "score")
 
 
-def vector_prob_col(col: str):
-    return to_array(col)[1]
-
-
 # ------------------------------------------------ tier C: learners, stream
 
 SENTIMENT_MIN_DOCS = 20
