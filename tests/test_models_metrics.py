@@ -193,3 +193,23 @@ def test_degenerate_inputs_give_null_not_errors(spark):
     assert metrics.regression_metrics(empty, "y").first()["rmse"] is None
     one = spark.createDataFrame([(1.0, 0.3), (1.0, 0.5)], "label double, score double")
     assert metrics.auc(one, "label", "score").first()["auc"] is None
+
+
+@pytest.mark.parametrize("metric", ["mae", "r2"])
+def test_selection_metric_and_depth_grid(spark, metric):
+    """EST8 (forest depth grid) and EST9 (select by mae / r2): the chosen
+    setting is the best mean metric in the chosen direction."""
+    from kilowatt.plans import forecast as fc
+
+    run = fc.forecast(spark, SF_SMALL, "forest", axes_override={"maxDepth": [2, 6]}, num_folds=2,
+                      select_by=metric)
+    avg = run.cv_model.avgMetrics
+    best = max(range(len(avg)), key=lambda i: avg[i] if metric == "r2" else -avg[i])
+    chosen = tuning.best(run.cv_model).getMaxDepth()
+    assert chosen == [2, 6][best]
+
+
+def test_two_column_assembly(spark):
+    df = spark.createDataFrame([(1, 2.0), (3, 4.0)], "temp int, t_m48 double")
+    rows = features.assemble(df, ["temp", "t_m48"]).select("features").collect()
+    assert [list(r["features"]) for r in rows] == [[1.0, 2.0], [3.0, 4.0]]
