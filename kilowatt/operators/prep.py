@@ -97,6 +97,8 @@ def asof_join(
     tiebreak: str | None = None,
     bucket_seconds: int = 3_600,
     prefix: str = "",
+    max_bucket_rows: int = 4_000_000,
+    max_hot_buckets: int = 200_000,
 ) -> DataFrame:
     """Left join each left row to the latest right row with the same keys
     and ``right_ts <= left_ts``. Left rows without one get nulls.
@@ -104,6 +106,12 @@ def asof_join(
     Plan (no per-key window, so a hot key cannot land in one task):
 
     1. Both sides get a time bucket ``floor(epoch / bucket_seconds)``.
+       A (keys, bucket) holding more than ``max_bucket_rows`` rows (found
+       by a partial-aggregate count; the hot list is at most rows /
+       ``max_bucket_rows`` entries, bounded by ``max_hot_buckets``, then
+       broadcast) is cut into
+       ``ceil(rows / max_bucket_rows)`` equal time slices. Bucket ids stay
+       in time order, so the steps below do not change.
     2. The last right row of every (keys, bucket) is found by a partial
        aggregation (``max_by``), and carried forward to the following
        buckets by a window over that summary, which has one row per
@@ -114,8 +122,8 @@ def asof_join(
        come first at equal times (``at or before``); among right rows at
        one time the largest ``tiebreak`` wins.
 
-    The largest task holds one key's rows for one bucket; lower
-    ``bucket_seconds`` for denser keys.
+    The largest task holds one key's rows for one time slice: about
+    ``max_bucket_rows`` unless many rows share one timestamp.
     """
     keys = list(keys)
     right_cols = list(right_cols) if right_cols is not None else [
@@ -124,12 +132,37 @@ def asof_join(
     payload_cols = [right_ts] + [c for c in right_cols if c != right_ts]
     tb = F.col(tiebreak) if tiebreak else F.lit(0)
 
-    def bucket(df: DataFrame, ts: str) -> Column:
-        return F.floor(_epoch_seconds(df, ts) / F.lit(int(bucket_seconds))).alias("__b")
-
-    r = right.where(F.col(right_ts).isNotNull()).select(
+    width = int(bucket_seconds)
+    lx = left.withColumn("__e", _epoch_seconds(left, left_ts)).withColumn("__b0", F.floor(F.col("__e") / width))
+    rx = (
+        right.where(F.col(right_ts).isNotNull())
+        .withColumn("__e", _epoch_seconds(right, right_ts)).withColumn("__b0", F.floor(F.col("__e") / width))
+    )
+    counts = lx.select(*keys, "__b0").unionByName(rx.select(*keys, "__b0")).groupBy(*keys, "__b0").count()
+    hot_df = counts.where(F.col("count") > int(max_bucket_rows)).select(
+        *keys, "__b0", F.ceil(F.col("count") / F.lit(int(max_bucket_rows))).alias("__k")
+    )
+    # the hot list is bounded (rows / max_bucket_rows); the limit enforces it
+    hot_rows = hot_df.limit(int(max_hot_buckets) + 1).collect()
+    n_hot = len(hot_rows)
+    if n_hot > int(max_hot_buckets):
+        raise ValueError(f"over {max_hot_buckets} hot buckets; raise max_bucket_rows or lower bucket_seconds")
+    hot = left.sparkSession.createDataFrame(hot_rows, hot_df.schema) if n_hot else None
+
+    def sliced(df: DataFrame) -> DataFrame:
+        """Composite bucket id: coarse bucket * 2^20 + time slice in it."""
+        if n_hot:
+            df = df.join(F.broadcast(hot), on=[*keys, "__b0"], how="left")  # <= max_hot_buckets rows
+            part = F.floor((F.col("__e") - F.col("__b0") * width) * F.col("__k") / width)
+            piece = F.when(F.col("__k").isNull(), F.lit(0)).otherwise(part)
+        else:
+            piece = F.lit(0)
+        return df.withColumn("__b", F.col("__b0") * F.lit(1 << 20) + piece)
+
+    lx, rx = sliced(lx), sliced(rx)
+    r = rx.select(
         *keys,
-        bucket(right, right_ts),
+        "__b",
         F.col(right_ts).alias("__t"),
         tb.alias("__tb"),
         F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in payload_cols]).alias("__r"),
@@ -137,9 +170,9 @@ def asof_join(
     payload_type = r.schema["__r"].dataType
     lcols = left.columns
     left_struct = F.struct(*[F.col(c) for c in lcols])
-    lrows = left.select(
+    lrows = lx.select(
         *keys,
-        bucket(left, left_ts),
+        "__b",
         F.col(left_ts).alias("__t"),
         F.lit(0).alias("__tb"),
         left_struct.alias("__l"),

@@ -51,10 +51,11 @@ def test_asof_join_matches_brute_force(spark):
     right.append((5000, left[0][1], left[0][2]))
     ldf = spark.createDataFrame(left, "id long, k int, ts timestamp_ntz")
     rdf = spark.createDataFrame(right, "rid long, k int, rts timestamp_ntz")
-    for bucket in (600, 86_400, 10**7):
+    for bucket, cap in ((600, 4_000_000), (86_400, 4_000_000), (10**7, 4_000_000), (86_400, 5), (10**7, 7)):
+        # small caps force hot buckets to be cut into time slices
         got = {r["id"]: r["rid"] for r in asof_join(ldf, rdf, "ts", "rts", keys=["k"], tiebreak="rid",
-                                                     bucket_seconds=bucket).collect()}
-        assert got == _brute_asof(left, right)
+                                                     bucket_seconds=bucket, max_bucket_rows=cap).collect()}
+        assert got == _brute_asof(left, right), (bucket, cap)
 
 
 def test_asof_join_hot_key(spark):
@@ -65,7 +66,7 @@ def test_asof_join_hot_key(spark):
     views = hot.where(F.col("event_type") == "view").select(
         "user_id", F.col("ts").alias("vts"), F.col("event_id").alias("vid"))
     got = {r["event_id"]: r["vid"] for r in asof_join(clicks, views, "ts", "vts", ["user_id"], tiebreak="vid",
-                                                        bucket_seconds=3600).collect()}
+                                                        bucket_seconds=86_400, max_bucket_rows=3).collect()}
     left = [(r["event_id"], r["user_id"], r["ts"]) for r in clicks.collect()]
     right = [(r["vid"], r["user_id"], r["vts"]) for r in views.collect()]
     assert got == _brute_asof(left, right)
