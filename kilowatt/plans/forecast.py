@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kilowatt.operators import features as fea
 from kilowatt.operators import models, tuning
 from kilowatt.operators.metrics import regression_metrics
-from kilowatt.operators.partitioning import right_size
+from kilowatt.operators.partitioning import materialize, right_size
 from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time
 from kilowatt.operators.splits import time_split
 
@@ -64,6 +64,9 @@ def load_series(
     series = lag_by_time(series, "hour_ts", LABEL, hours=(24, 48), keys=keys)
     series = calendar(series, "hour_ts")
     if observed:
+        # the as-of join reads its left side three times (hot-bucket count,
+        # bucket summary, main pass): compute the aggregated series once
+        series = materialize(right_size(series))
         readings = events.where(F.col("event_type") == observed).select(
             *keys, F.col("ts").alias("obs_ts"), F.col("value").alias("obs_value"), F.col("event_id").alias("obs_id")
         )
