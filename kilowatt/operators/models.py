@@ -18,6 +18,17 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 
 
+def _deep_tree_params(max_depth: int, params: dict) -> dict:
+    """Deep trees (depth > 10) keep each row's node id cached between
+    levels instead of re-walking the tree, and checkpoint that cache every
+    10 iterations (into the session's shared checkpoint folder) so its
+    lineage stays short."""
+    if max_depth > 10:
+        params.setdefault("cacheNodeIds", True)
+        params.setdefault("checkpointInterval", 10)
+    return params
+
+
 def forest(
     label: str = "load",
     features: str = "features",
@@ -30,7 +41,7 @@ def forest(
     """Random-forest regression (reference grid: numTrees 60, 80)."""
     return RandomForestRegressor(
         labelCol=label, featuresCol=features, numTrees=num_trees, maxDepth=max_depth,
-        maxBins=max_bins, seed=seed, **params,
+        maxBins=max_bins, seed=seed, **_deep_tree_params(max_depth, params),
     )
 
 
@@ -47,7 +58,7 @@ def gbt(
     """Gradient-boosted regression trees (squared loss)."""
     return GBTRegressor(
         labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=max_depth,
-        stepSize=step_size, maxBins=max_bins, seed=seed, **params,
+        stepSize=step_size, maxBins=max_bins, seed=seed, **_deep_tree_params(max_depth, params),
     )
 
 

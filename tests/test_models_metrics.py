@@ -213,3 +213,9 @@ def test_two_column_assembly(spark):
     df = spark.createDataFrame([(1, 2.0), (3, 4.0)], "temp int, t_m48 double")
     rows = features.assemble(df, ["temp", "t_m48"]).select("features").collect()
     assert [list(r["features"]) for r in rows] == [[1.0, 2.0], [3.0, 4.0]]
+
+
+def test_deep_trees_cache_node_ids():
+    deep = models.forest(max_depth=15)
+    assert deep.getCacheNodeIds() and deep.getCheckpointInterval() == 10
+    assert not models.gbt(max_depth=5).getCacheNodeIds()
