@@ -143,6 +143,9 @@ def forecast(
     pre, est, axes = _estimator(kind, seed, max_iter)
     if axes_override:
         axes = {getattr(est, name): values for name, values in axes_override.items()}
+    depths = [v for p, values in axes.items() if p.name == "maxDepth" for v in values]
+    if depths and max(depths) > 10 and est.hasParam("cacheNodeIds"):
+        est.setCacheNodeIds(True).setCheckpointInterval(10)  # deep settings in the grid
     maps = tuning.dedupe_grid(tuning.grid(axes))
     pipe = models.pipeline([*pre, est])
     evaluator = tuning.regression_evaluator(LABEL, select_by)
