@@ -60,5 +60,8 @@ def right_size(df: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
     """
     spark = df.sparkSession
     want = max(spark.sparkContext.defaultParallelism, -(-planned_bytes(df) // int(target_bytes)))
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):  # a non-numeric setting: look at the plan itself
+        current = df.rdd.getNumPartitions()
     return df.coalesce(want) if want < current else df
