@@ -56,16 +56,16 @@ def pagerank(
         .alias("salts"),
     )
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
-    nodes = materialize(nodes.join(salts, "node", "left").select(
-        "node", F.coalesce("salts", F.array(F.lit(0))).alias("salts")
-    ))
-    ranks = nodes.select("node", "salts", F.lit(1.0).alias("rank"))
+    nodes = nodes.join(salts, "node", "left").select("node", F.coalesce("salts", F.array(F.lit(0))).alias("salts"))
+    # every round keeps every node (with its salts), so the next round's
+    # node list is the previous ranks; lineage is cut every few rounds
+    ranks = materialize(nodes.select("node", "salts", F.lit(1.0).alias("rank")))
     for i in range(1, int(rounds) + 1):
         copies = ranks.select(F.col("node").alias("src"), F.explode("salts").alias("salt"), "rank")
         contrib = links.join(copies, ["src", "salt"]).groupBy("dst").agg(
             F.sum(F.col("rank") / F.col("deg")).alias("c")
         )
-        ranks = nodes.join(contrib.withColumnRenamed("dst", "node"), "node", "left").select(
+        ranks = ranks.select("node", "salts").join(contrib.withColumnRenamed("dst", "node"), "node", "left").select(
             "node", "salts",
             (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce(F.col("c"), F.lit(0.0))).alias("rank"),
         )
