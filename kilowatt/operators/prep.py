@@ -134,8 +134,12 @@ def asof_join(
 
     width = int(bucket_seconds)
     lx = left.withColumn("__e", _epoch_seconds(left, left_ts)).withColumn("__b0", F.floor(F.col("__e") / width))
+    # as in an equi-join, null keys match nothing: such right rows can go
+    usable = F.col(right_ts).isNotNull()
+    for k in keys:
+        usable = usable & F.col(k).isNotNull()
     rx = (
-        right.where(F.col(right_ts).isNotNull())
+        right.where(usable)
         .withColumn("__e", _epoch_seconds(right, right_ts)).withColumn("__b0", F.floor(F.col("__e") / width))
     )
     counts = lx.select(*keys, "__b0").unionByName(rx.select(*keys, "__b0")).groupBy(*keys, "__b0").count()

@@ -97,3 +97,16 @@ def test_daily_panel_reading_is_latest_before_period(spark):
     )
     joined = s.join(latest, ["user_id", "hour_ts"], "left")
     assert joined.where(~F.col("obs_ts").eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_asof_join_nulls(spark):
+    """Null keys match nothing (as in SQL); a null left time matches nothing;
+    right rows with a null time are ignored; every left row is kept."""
+    t = dt.datetime(2024, 1, 1, 12)
+    left = spark.createDataFrame([(1, 7, t), (2, None, t), (3, 7, None)], "id long, k int, ts timestamp_ntz")
+    right = spark.createDataFrame(
+        [(10, 7, t - dt.timedelta(hours=1)), (11, None, t - dt.timedelta(hours=1)), (12, 7, None)],
+        "rid long, k int, rts timestamp_ntz",
+    )
+    got = {r["id"]: r["rid"] for r in asof_join(left, right, "ts", "rts", keys=["k"], tiebreak="rid").collect()}
+    assert got == {1: 10, 2: None, 3: None}
