@@ -65,11 +65,17 @@ def lag_by_time(
     keys = list(keys)
     row = F.struct(*[F.col(c) for c in series.columns])
     v = F.col(value).cast("double")
+    # as in an equi-join on the keys, a null key matches nothing: its
+    # shifted copies carry no value
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
     copies = [F.struct(F.col(ts).alias("t"), F.lit(0).alias("h"), v.alias("v"), row.alias("row"))]
     for h in hours:
         copies.append(F.struct(
             (F.col(ts) + F.make_dt_interval(F.lit(0), F.lit(int(h)))).alias("t"), F.lit(int(h)).alias("h"),
-            v.alias("v"), F.lit(None).cast(series.select(row.alias("r")).schema["r"].dataType).alias("row"),
+            F.when(keyed, v).alias("v"),
+            F.lit(None).cast(series.select(row.alias("r")).schema["r"].dataType).alias("row"),
         ))
     exploded = series.select(*keys, F.explode(F.array(*copies)).alias("__c"))
     aggs: list[Column] = [F.max(F.when(F.col("__c.h") == 0, F.col("__c.row"))).alias("__row")]

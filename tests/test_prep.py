@@ -110,3 +110,14 @@ def test_asof_join_nulls(spark):
     )
     got = {r["id"]: r["rid"] for r in asof_join(left, right, "ts", "rts", keys=["k"], tiebreak="rid").collect()}
     assert got == {1: 10, 2: None, 3: None}
+
+
+def test_lag_null_key_matches_nothing(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(None, base, 1.0), (None, base + dt.timedelta(hours=24), 2.0),
+            ("a", base, 3.0), ("a", base + dt.timedelta(hours=24), 4.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, load double")
+    out = {(r["k"], r["ts"]): r["t_m24"] for r in lag_by_time(df, "ts", "load", keys=["k"]).collect()}
+    assert out[("a", base + dt.timedelta(hours=24))] == 3.0
+    assert out[(None, base + dt.timedelta(hours=24))] is None
+    assert len(out) == 4
