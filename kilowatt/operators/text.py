@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilowatt.functions.text import java_tokens, lines, text_words, words
+from kilowatt.functions.text import java_tokens, lines, words
 from kilowatt.operators.partitioning import materialize
 
 
@@ -27,8 +27,11 @@ def line_words(df: DataFrame, line: str = "value", out: str = "word") -> DataFra
 def word_count(df: DataFrame, text: str = "value", multiline_text: bool = False) -> DataFrame:
     """(word, count) over all lines. ``multiline_text``: the column holds
     whole texts with line breaks (documents), not single lines."""
-    arr = text_words(text) if multiline_text else words(text)
-    return df.select(F.explode(arr).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    if multiline_text:
+        # lines first, then words: two plain explodes keep the split
+        # expressions in generated code (a lambda over the lines would not)
+        df, text = df.select(F.explode(lines(text)).alias("__line")), "__line"
+    return df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
 def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
