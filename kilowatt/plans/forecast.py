@@ -149,9 +149,8 @@ def forecast(
     maps = tuning.dedupe_grid(tuning.grid(axes))
     pipe = models.pipeline([*pre, est])
     evaluator = tuning.regression_evaluator(LABEL, select_by)
-    # CV fits the settings of one fold concurrently: more threads than
-    # settings buy nothing.
-    threads = parallelism or min(len(maps), 16)
+    # every (fold, setting) fit can run at once
+    threads = parallelism or min(len(maps) * num_folds, 16)
     cv_model = tuning.cross_validate(pipe, maps, evaluator, train, num_folds=num_folds,
                                      parallelism=threads, seed=seed)
     train.unpersist()
