@@ -138,34 +138,35 @@ def silhouette(df: DataFrame, features: str, cluster: str) -> DataFrame:
 
 
 def classification_metrics(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
-    """accuracy and weighted precision / recall / f1 from a confusion table.
-
-    The confusion table has one row per (label, prediction) pair, so only
-    it crosses the shuffle.
+    """accuracy and weighted precision / recall / f1 (weights = label counts),
+    as ``MulticlassClassificationEvaluator`` defines them.
+
+    One pass: every row emits a "label" record for its true class (with a
+    hit flag) and a "prediction" record for its predicted class; a single
+    partial-aggregated groupBy on the class gives n_label, n_pred and true
+    positives, then one tiny global aggregate gives the four metrics.
+    Rows with a null label or prediction are left out.
     """
-    conf = df.groupBy(F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p")).agg(
-        F.count(F.lit(1)).cast("double").alias("c")
-    )
-    tp = conf.where(F.col("y") == F.col("p")).select(F.col("y").alias("k"), F.col("c").alias("tp"))
-    by_label = conf.groupBy(F.col("y").alias("k")).agg(F.sum("c").alias("n_label"))
-    by_pred = conf.groupBy(F.col("p").alias("k")).agg(F.sum("c").alias("n_pred"))
-    per = (
-        by_label.join(by_pred, "k", "full_outer").join(tp, "k", "left")
-        .na.fill(0.0, ["n_label", "n_pred", "tp"])
-    )
-    per = per.select(
-        "k", "n_label", "tp",
-        F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0).alias("prec"),
-        F.when(F.col("n_label") > 0, F.col("tp") / F.col("n_label")).otherwise(0.0).alias("rec"),
-    )
-    per = per.withColumn(
-        "f1",
-        F.when(F.col("prec") + F.col("rec") > 0, 2 * F.col("prec") * F.col("rec") / (F.col("prec") + F.col("rec"))).otherwise(0.0),
+    y = F.col(label).cast("double")
+    p = F.col(prediction).cast("double")
+    records = df.where(y.isNotNull() & p.isNotNull()).select(F.explode(F.array(
+        F.struct(y.alias("k"), F.lit(1).alias("is_label"), F.lit(0).alias("is_pred"), (y == p).cast("int").alias("hit")),
+        F.struct(p.alias("k"), F.lit(0).alias("is_label"), F.lit(1).alias("is_pred"), F.lit(0).alias("hit")),
+    )).alias("e"))
+    per = records.groupBy(F.col("e.k").alias("k")).agg(
+        F.sum("e.is_label").cast("double").alias("n_label"),
+        F.sum("e.is_pred").cast("double").alias("n_pred"),
+        F.sum("e.hit").cast("double").alias("tp"),
     )
+    prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
+    rec = F.when(F.col("n_label") > 0, F.col("tp") / F.col("n_label")).otherwise(0.0)
+    per = per.select("n_label", "tp", prec.alias("prec"), rec.alias("rec"))
+    f1 = F.when(F.col("prec") + F.col("rec") > 0,
+                2 * F.col("prec") * F.col("rec") / (F.col("prec") + F.col("rec"))).otherwise(0.0)
     n = F.sum("n_label")
     return per.agg(
-        (F.sum("tp") / n).alias("accuracy"),
-        (F.sum(F.col("prec") * F.col("n_label")) / n).alias("weighted_precision"),
-        (F.sum(F.col("rec") * F.col("n_label")) / n).alias("weighted_recall"),
-        (F.sum(F.col("f1") * F.col("n_label")) / n).alias("weighted_f1"),
+        F.try_divide(F.sum("tp"), n).alias("accuracy"),
+        F.try_divide(F.sum(F.col("prec") * F.col("n_label")), n).alias("weighted_precision"),
+        F.try_divide(F.sum(F.col("rec") * F.col("n_label")), n).alias("weighted_recall"),
+        F.try_divide(F.sum(f1 * F.col("n_label")), n).alias("weighted_f1"),
     )
