@@ -1,8 +1,8 @@
 """PageRank over an edge list with DataFrames (DAT1).
 
 Each round is one join of edges with current ranks on ``src`` and one
-aggregation on ``dst`` (map-side combined, so a heavily linked node costs
-one row per partition). The plan is cut every ``checkpoint_every`` rounds
+aggregation on the receiving node (map-side combined, so a heavily linked
+node costs one row per partition). The plan is cut every ``checkpoint_every`` rounds
 with a reliable ``checkpoint()`` into the session's shared checkpoint
 folder, so lineage stays short and a lost executor recomputes at most a
 few rounds.
@@ -60,15 +60,18 @@ def pagerank(
     # every round keeps every node (with its salts), so the next round's
     # node list is the previous ranks; lineage is cut every few rounds
     ranks = materialize(nodes.select("node", "salts", F.lit(1.0).alias("rank")))
+    salts_type = ranks.schema["salts"].dataType
     for i in range(1, int(rounds) + 1):
         copies = ranks.select(F.col("node").alias("src"), F.explode("salts").alias("salt"), "rank")
-        contrib = links.join(copies, ["src", "salt"]).groupBy("dst").agg(
-            F.sum(F.col("rank") / F.col("deg")).alias("c")
-        )
-        ranks = ranks.select("node", "salts").join(contrib.withColumnRenamed("dst", "node"), "node", "left").select(
-            "node", "salts",
-            (F.lit(1.0 - damping) + F.lit(damping) * F.coalesce(F.col("c"), F.lit(0.0))).alias("rank"),
+        flows = links.join(copies, ["src", "salt"]).select(
+            F.col("dst").alias("node"), (F.col("rank") / F.col("deg")).alias("c"), F.lit(None).cast(salts_type).alias("salts")
         )
+        # every node also sends itself a zero, so one aggregation on the node
+        # both sums the inflow and keeps nodes without in-edges (no join)
+        keep = ranks.select("node", F.lit(0.0).alias("c"), "salts")
+        ranks = flows.unionByName(keep).groupBy("node").agg(
+            F.sum("c").alias("c"), F.max("salts").alias("salts")
+        ).select("node", "salts", (F.lit(1.0 - damping) + F.lit(damping) * F.col("c")).alias("rank"))
         if checkpoint_every and i % int(checkpoint_every) == 0 and i < rounds:
             ranks = materialize(ranks)
     return ranks.select("node", "rank")
