@@ -18,7 +18,7 @@ from kilowatt.functions.vectors import to_array, to_vector
 from kilowatt.operators import clustering, features, metrics, models, relational, splits, text, tuning
 from kilowatt.operators.graph import pagerank
 from kilowatt.operators.mining import frequent_itemsets
-from kilowatt.operators.partitioning import spread_small
+from kilowatt.operators.partitioning import materialize, right_size, spread_small
 from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time
 from kilowatt.plans import forecast as fc
 from kilowatt.session import scratch_path
@@ -362,9 +362,15 @@ def q_frequent_pairs(spark, sf_dir):
     baskets = li.join(part, li.l_partkey == part.p_partkey).groupBy("l_orderkey").agg(
         F.collect_set("p_brand").alias("items")
     )
+    # the fit counts items, the itemsets are mined when first read: keep the
+    # baskets for both passes, write the (small) result, then let them go
+    baskets = right_size(baskets).persist()
     model = frequent_itemsets(baskets, "items", min_support=FP_MIN_SUPPORT, min_confidence=0.5)
-    sets = model.freqItemsets.where(F.size("items") <= 2)
-    return sets.select(F.array_join(F.array_sort("items"), ",").alias("itemset"), F.col("freq").cast("long").alias("freq"))
+    sets = materialize(model.freqItemsets.where(F.size("items") <= 2).select(
+        F.array_join(F.array_sort("items"), ",").alias("itemset"), F.col("freq").cast("long").alias("freq")
+    ))
+    baskets.unpersist()
+    return sets
 
 
 # ------------------------------------------------- trained, rows-only checks
