@@ -12,8 +12,9 @@ All steps are DataFrame operations.
    merged: a profile is the set of what follows with its share in quarters, so
    two branches are similar if each share differs by less than a quarter.
 3. Of each template, the share of blocked pages among those that a rule
-   decides is smoothed toward the share of the whole table. A template is
-   rejected from ``REJECT`` on.
+   decides is smoothed toward one half, so a template that no rule reaches is
+   never rejected and one with few such pages rarely. A template is rejected
+   from ``REJECT`` on.
 
 Segments below ``DEPTH`` are one branch ``**``.
 """
@@ -30,7 +31,7 @@ DEPTH = 6
 WILD_SEGMENTS, WILD_PAGES = 8, 2.0
 #: Branches with fewer pages are not merged.
 MERGE_PAGES = 8
-#: How many pages the prior share is worth, and the share from which a template is rejected.
+#: How many decided pages the prior share of one half is worth, and the share from which a template is rejected.
 PRIOR_PAGES, REJECT = 4.0, 0.8
 
 #: Rules (verdict, host, path prefix): a rule fits its host and all its subdomains.
@@ -119,9 +120,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         F.count("ruled").alias("labelled")))
     of_page = templates(counts)
     both = counts.select("host", "shape", "blocked", "labelled").join(of_page, ["host", "shape"])
-    total = counts.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("l")).first()
-    prior = (total["b"] + 1.0) / (total["l"] + 2.0)
-    purity = (F.sum("blocked") + PRIOR_PAGES * prior) / (F.sum("labelled") + PRIOR_PAGES)
+    purity = (F.sum("blocked") + PRIOR_PAGES / 2) / (F.sum("labelled") + PRIOR_PAGES)
     per_template = both.groupBy("host", "template").agg(purity.alias("purity"))
     # only shapes with a page that no rule decides are looked up
     wanted = both.join(per_template, ["host", "template"]).join(counts.where("labelled < n").select("host", "shape"), ["host", "shape"], "left_semi")
