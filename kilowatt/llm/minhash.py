@@ -17,11 +17,12 @@ similarity.
    probability 0.0002, one of 0.9 with 1e-7.
 3. Verification: the exact similarity of the texts, never the estimate,
    decides. Equal texts are one class from the start. In each bucket the
-   classes are compared with one leader, not with each other; buckets whose
-   classes are not in one component after that go on with other leaders, and
-   what is still open after ``leader_rounds`` is compared pair by pair. So
-   a bucket of n copies costs n comparisons, and no link between components
-   is lost.
+   classes are first compared with one leader, not with each other, and each
+   bucket has its own. Buckets of three or more classes that are not in one
+   component after that are compared as a whole, in blocks of bounded size:
+   a task multiplies the incidence matrices of two blocks and returns the
+   edges of a spanning forest, never pairs. So most buckets of n copies cost
+   n comparisons, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,13 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilowatt.llm import flat
-from kilowatt.llm.shared import checkpointed, connected_components
+from kilowatt.llm.shared import checkpointed, connected_components, spanning_forest
 
 THRESHOLD = 0.8
+#: What a sum of shares may lose by rounding; a similarity of exactly 0.8 links.
+ROUNDING = 1e-9
 SHINGLE_WORDS = 5
 BANDS, ROWS = 16, 4
-#: Pairs that share a leader in one group of the verification join.
-PAIRS_PER_GROUP = 256
+#: Classes, and bytes of text, in a block of a bucket that is compared as a whole.
+BLOCK_CLASSES, BLOCK_BYTES = 512, 1 << 21
+#: Groups over which the pairs of one leader are spread when they are verified.
+LEADER_PARTS = 16
+#: A list of up to so many classes is sent to every task to pick their texts; a longer one is joined by a shuffle.
+BROADCAST_CLASSES = 200_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -65,7 +72,7 @@ def shingles(texts: pa.Array, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, n
     total = np.zeros(n, np.uint64)
     for k in range(width):
         ahead = np.zeros(n, np.uint64)
-        ahead[:n - k] = words[k:]
+        ahead[:max(n - k, 0)] = words[k:]
         total = total * _STEP + np.where(room > k, ahead, np.uint64(k))
     keep = (room >= width) | (first & (size < width))
     doc, total = doc[keep], flat.mix(total[keep])
@@ -122,7 +129,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, content, text) -> (id, content, bands)."""
+    """(id, content, text) -> (id, content, size, bands)."""
     for batch in batches:
         for row, texts in flat.chunks(batch.column(2)):
             doc, element, weight = shingles(texts)
@@ -134,8 +141,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = np.bincount(doc, minlength=n) == 0
             ends = np.concatenate([[0], np.cumsum(np.where(none, 0, BANDS))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[~none].reshape(-1).view(np.int64)))
+            size = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, n), batch.column(1).slice(row, n), bands], names=["id", "content", "bands"])
+                [batch.column(0).slice(row, n), batch.column(1).slice(row, n), size, bands], names=["id", "content", "size", "bands"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,21 +163,71 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "similarity"])
 
 
+def linked(texts: pa.Array, other: np.ndarray | None = None, threshold: float = THRESHOLD) -> np.ndarray:
+    """Which pairs of texts are at least ``threshold`` similar, as a symmetric matrix.
+
+    other: a mark for each text; pairs with equal marks are left out. With p the
+    shares of a text's shingles, the similarity is at most the sum of p over
+    the common ones, on either side: one product of matrices gives that bound
+    for all pairs. Where no shingle of either text repeats it gives the
+    similarity itself; elsewhere it is computed for the pairs the bound allows.
+    """
+    n = len(texts)
+    doc, element, weight = shingles(texts)
+    ends = np.searchsorted(doc, np.arange(n + 1))
+    size, total = np.diff(ends), np.bincount(doc, weight, n)
+    plain = np.bincount(doc, weight != 1, n) == 0
+    _, place, count = np.unique(element, return_inverse=True, return_counts=True)
+    shared = count[place] > 1  # what a single text holds is common to no pair
+    column = (np.cumsum(count > 1) - 1)[place]
+    share = np.zeros((n, n))
+    width = int((count > 1).sum())
+    for at in range(0, width, 4096):
+        here = shared & (column >= at) & (column < at + 4096)
+        there = np.zeros((n, min(4096, width - at)), np.float32)
+        there[doc[here], column[here] - at] = weight[here]
+        share += there @ (there > 0).astype(np.float32).T
+    common = share  # for plain texts, the number of common shingles
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = np.nan_to_num(share / total[:, None])
+        exact = np.nan_to_num(common / (size[:, None] + size[None, :] - common))
+    near = np.minimum(bound, bound.T) >= threshold - ROUNDING
+    both = plain[:, None] & plain[None, :]
+    near[both] = exact[both] >= threshold - ROUNDING
+    if other is not None:
+        near &= other[:, None] != other[None, :]
+    np.fill_diagonal(near, False)
+    for i, j in np.argwhere(np.triu(near & ~both)):
+        a, b = (slice(ends[k], ends[k + 1]) for k in (i, j))
+        near[i, j] = near[j, i] = similarity((element[a], weight[a]), (element[b], weight[b])) >= threshold - ROUNDING
+    return near
+
+
+def _link_blocks(threshold: float):
+    """A bucket, or a pair of its blocks -> (a, b) edges of a spanning forest of its links."""
+    def link(table: pa.Table) -> pa.Table:
+        content = table.column("content").combine_chunks()
+        mark = table.column("block").to_numpy() if table.column("low")[0] != table.column("high")[0] else None
+        near = linked(table.column("text").combine_chunks().cast(pa.large_string()), mark, threshold)
+        a, b = spanning_forest(near)
+        return pa.table({"a": content.take(pa.array(a)), "b": content.take(pa.array(b))})
+
+    return link
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of classes whose texts are at least that similar, with
-    their similarity. A class that leads many pairs is copied to groups of
-    about PAIRS_PER_GROUP pairs, so no task gets all of its pairs."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_GROUP).alias("groups"))
-    right = pairs.join(degree, "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
-    right = right.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")))
-    left = texts.join(degree.select(F.col("a").alias("content"), "groups"), "content").select(
-        F.col("content").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"))
+    """The pairs (a, b) of classes whose texts are at least that similar. The
+    pairs of a class that leads many are spread over up to LEADER_PARTS groups,
+    each with a copy of its text, so no task gets all of them."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(LEADER_PARTS)))
+    left = salted.select("a", "salt").distinct().join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a")
+    right = salted.join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_compare, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold)
+    return both.mapInArrow(_compare, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold - ROUNDING).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                    leader_rounds: int = 3) -> DataFrame:
+                    leaders: bool = True) -> DataFrame:
     """(id_col, class_id, group_id, kept) of every row of df.
 
     class_id: the smallest id among the rows with the same text; group_id:
@@ -181,59 +239,65 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     read, so their names are free.
     """
     rows = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("content"), F.col(text_col).alias("text"))
-    classes, groups = duplicate_classes(rows, threshold, leader_rounds)
+    signed, classes, groups = duplicate_classes(rows, threshold, leaders)
     out = classes.join(groups, "content", "left").select("content", "first", F.coalesce("group_first", "first").alias("group_first"))
-    return rows.select("id", "content").join(out, "content", "left").select(
-        F.col("id").alias(id_col), F.coalesce("first", "id").alias("class_id"), F.coalesce("group_first", "id").alias("group_id"),
-        F.coalesce(F.col("id") == F.col("group_first"), F.col("content").isNull()).alias("kept"))
+    told = signed.select("id", "content").join(out, "content").select(
+        F.col("id").alias(id_col), F.col("first").alias("class_id"), F.col("group_first").alias("group_id"),
+        F.coalesce(F.col("id") == F.col("group_first"), F.lit(False)).alias("kept"))
+    alone = rows.where("content IS NULL").select("id")
+    return told.unionByName(alone.select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(True).alias("kept")))
+
 
+def duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD, leaders: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, content, text): the signed rows (id, content, size, bands), the classes
+    (content, first), and for classes in a group of more than one (content, component, group_first).
 
-def duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD, leader_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Of rows (id, content, text): the classes (content, first), and for
-    classes in a group of more than one (content, component, group_first)."""
+    leaders: begin with the comparison with leaders; the groups are the same without it.
+    """
     kind = rows.schema["id"].dataType.simpleString()
-    signed = rows.where("content IS NOT NULL").mapInArrow(_sign, f"id {kind}, content binary, bands array<long>")
-    classes = checkpointed(signed.groupBy("content").agg(F.min("id").alias("first"), F.any_value("bands").alias("bands")))
-    banded = classes.select("content", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("leader")).where("n > 1")
-    members = checkpointed(banded.join(shared.select("band", "leader"), "band"))
-    wanted = members.select("content").distinct().join(classes, "content").select("content", "first")
+    signed = checkpointed(rows.where("content IS NOT NULL").mapInArrow(_sign, f"id {kind}, content binary, size long, bands array<long>"))
+    classes = checkpointed(signed.groupBy("content").agg(F.min("id").alias("first"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
+    banded = classes.select("content", "first", "size", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = checkpointed(banded.join(shared, "band"))
+    wanted = checkpointed(members.groupBy("content").agg(F.first("first").alias("first")))
+    few = wanted.count() <= BROADCAST_CLASSES
     # one row has the text of a class: that with its smallest id (its copies are equal)
-    texts = rows.where("content IS NOT NULL").join(wanted, "content").where(F.col("id").eqNullSafe(F.col("first")))
-    texts = checkpointed(texts.groupBy("content").agg(F.any_value("text").alias("text")))
-
-    pairs = members.where("content <> leader").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
-    pairs = checkpointed(pairs)
-    tested, links = pairs, checkpointed(_verified(pairs, texts, threshold).select("a", "b"))
-    components = connected_components(links)
-    for turn in range(1, leader_rounds + 1):
-        named = members.select("band", "content").join(components.withColumnRenamed("node", "content"), "content", "left").select(
-            "band", "content", F.coalesce("component", "content").alias("component"))
-        open_bands = named.groupBy("band").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min_by(F.struct("content", "component"), F.xxhash64("content", "band", F.lit(turn))).alias("lead"),
-        ).where("low <> high").select("band", "lead")
-        open_rows = named.join(open_bands, "band").where("component <> lead.component")
-        if turn == leader_rounds:  # exact for what the leaders left: every pair that is in two components
-            other = named.select("band", F.col("content").alias("other"), F.col("component").alias("other_component"))
-            open_rows = named.join(open_bands.select("band"), "band").join(other, "band").where("component <> other_component")
-            fresh = open_rows.select(F.col("content").alias("p"), F.col("other").alias("q"))
-        else:
-            fresh = open_rows.select(F.col("lead.content").alias("p"), F.col("content").alias("q"))
-        fresh = fresh.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        fresh = checkpointed(fresh.join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            # leaders of this turn are all compared; others of the open buckets may not be
-            continue
-        tested = tested.unionByName(fresh)
-        found = checkpointed(_verified(fresh, texts, threshold).select("a", "b"))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            components = connected_components(links)
-    named = components.join(classes.select(F.col("content").alias("node"), "first"), "node")
-    firsts = named.groupBy("component").agg(F.min("first").alias("group_first"))
-    groups = named.join(firsts, "component").select(F.col("node").alias("content"), "component", "group_first")
-    return classes.select("content", "first"), groups
+    found = rows.where("content IS NOT NULL").join(F.broadcast(wanted) if few else wanted, "content").where(F.col("id").eqNullSafe(F.col("first")))
+    texts = checkpointed(found.groupBy("content").agg(F.any_value("text").alias("text")))
+
+    links = components = None
+    named = members.select("band", "content", "size", "n", F.col("content").alias("component"))
+    if leaders:
+        lead = members.groupBy("band").agg(F.min_by("content", F.xxhash64("content", "band")).alias("lead"))
+        pairs = members.join(lead, "band").where("content <> lead").select(F.col("lead").alias("p"), F.col("content").alias("q"))
+        # a pair once, however it is met, with the end that leads first
+        pairs = pairs.groupBy(F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")).agg(F.min("p").alias("a"))
+        pairs = checkpointed(pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")))
+        links = checkpointed(_verified(pairs, texts, threshold))
+        components = connected_components(links)
+        named = members.where("n > 2").join(components.withColumnRenamed("node", "content"), "content", "left").select(
+            "band", "content", "size", "n", F.coalesce("component", "content").alias("component"))
+    # buckets that the leaders left in several components, cut into blocks
+    still = named.groupBy("band").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"),
+        F.greatest(F.ceil(F.sum("size") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).alias("blocks")).where("least <> most")
+    block = F.pmod(F.xxhash64("content"), F.col("blocks"))
+    placed = checkpointed(named.select("band", "content").join(still.select("band", "blocks"), "band").select(
+        "band", "content", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")))
+    if not placed.isEmpty():
+        placed = placed.select("band", "content", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        more = placed.join(texts, "content").groupBy("band", "low", "high").applyInArrow(_link_blocks(threshold), "a binary, b binary")
+        more = checkpointed(more.distinct())
+        if not more.isEmpty():
+            components = connected_components(more if links is None else links.unionByName(more))
+    if components is None:
+        none = classes.select("content", F.col("content").alias("component"), F.col("first").alias("group_first")).limit(0)
+        return signed, classes.select("content", "first"), none
+    grouped = components.join(classes.select(F.col("content").alias("node"), "first"), "node")
+    firsts = grouped.groupBy("component").agg(F.min("first").alias("group_first"))
+    groups = grouped.join(firsts, "component").select(F.col("node").alias("content"), "component", "group_first")
+    return signed, classes.select("content", "first"), groups
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -249,7 +313,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
         key = "_" + key
     keyed = df.withColumn(key, F.unhex(F.md5(F.col(text_col).cast("binary"))))
     rows = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("content"), F.col(text_col).alias("text"))
-    classes, groups = duplicate_classes(rows, threshold)
+    _, classes, groups = duplicate_classes(rows, threshold)
     # of classes with one first id in a group (an id with two texts) the least stays
     lead = classes.join(groups.select("content", "component"), "content").groupBy("component").agg(
         F.min_by("content", F.struct(F.col("first").isNull(), "first", "content")).alias("content"))

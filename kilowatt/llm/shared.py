@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,39 +29,80 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir is unset; name a folder that all executors share")
     return tempfile.mkdtemp(prefix="kilowatt-llm-")
 
 
-def spread(df: DataFrame, *, rows_per_task: int) -> DataFrame:
-    """df dealt out evenly, row by row, over tasks of about ``rows_per_task`` rows
-    (it is counted, so give it checkpointed or stored data)."""
-    n = df.count()
-    return df.repartition(max(1, -(-n // rows_per_task)))
+def spanning_forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) positions of the edges of a star for each component of the graph
+    with the symmetric matrix ``near``, a its first position."""
+    left = near.any(1)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while left.any():
+        first = int(left.argmax())
+        inside = np.zeros(len(near), bool)
+        inside[first] = True
+        new = inside
+        while new.any():
+            new = near[new].any(0) & ~inside
+            inside = inside | new
+        left &= ~inside
+        inside[first] = False
+        b.append(np.flatnonzero(inside))
+        a.append(np.full(len(b[-1]), first))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a task -> as few edges with the same components: a star
+    from the least node of each component of the task's edges."""
+    parent: dict = {}
+
+    def find(x):
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = find(x), find(y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    kinds = [f.type for f in batch.schema] if parent else []
+    nodes = [x for x in parent if find(x) != x]
+    for at in range(0, len(nodes), 1 << 14):
+        part = nodes[at:at + (1 << 14)]
+        yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in part], kinds[0]), pa.array(part, kinds[1])], names=["a", "b"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that an edge (a, b) names; component is
     the smallest node that can be reached.
 
-    Each round gives a node the least label among its own and its neighbours',
-    then the label of that label (so long chains shorten by squaring). All
-    steps are joins and minima with partial aggregation: the neighbours of one
-    node never meet in a task. Edges with a null end are left out; an empty
-    edge table has no nodes.
+    The edges of each task are first replaced by a spanning star of their
+    components. Then each round gives a node the least label among its own
+    and its neighbours', and the label of that label (so long chains shorten
+    by squaring). All steps are joins and minima with partial aggregation: the
+    neighbours of one node never meet in a task. Edges with a null end are
+    left out; an empty edge table has no nodes.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e = checkpointed(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    kind = edges.schema[a].dataType.simpleString()
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    e = e.mapInArrow(_contract, f"a {kind}, b {kind}")
+    both = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    e = checkpointed(e.select(both.alias("e")).select("e.u", "e.v"))
     labels = checkpointed(e.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("component")))
     while True:
-        heard = e.join(labels.select(F.col("node").alias("v"), "component"), "v").select(F.col("u").alias("node"), "component")
-        low = labels.select("node", "component").unionByName(heard).groupBy("node").agg(F.min("component").alias("component"))
-        low = checkpointed(low)
+        heard = e.join(labels.select(F.col("node").alias("v"), "component"), "v").select(F.col("u").alias("node"), "component", F.lit(None).cast(kind).alias("was"))
+        own = labels.select("node", "component", F.col("component").alias("was"))
+        low = own.unionByName(heard).groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was")).persist()
         jump = low.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        after = low.join(jump, "component").select("node", F.col("next").alias("component"))
-        after = checkpointed(after)
-        moved = after.join(labels.select("node", F.col("component").alias("was")), "node").where("component <> was")
-        if moved.isEmpty():
-            return after
-        labels = after
+        after = checkpointed(low.join(jump, "component").select("node", F.col("next").alias("component"), "was"))
+        low.unpersist()
+        labels = after.select("node", "component")
+        if after.where("component <> was").isEmpty():
+            return labels

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilowatt.llm.shared import checkpointed, connected_components
+from kilowatt.llm.shared import checkpointed, connected_components, spanning_forest
 from kilowatt.llm.vectors import matrix, unit, usable
 
 COSINE = 0.93
@@ -102,26 +102,6 @@ def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(tree), pa.ListArray.from_arrays(pa.array(ends), pa.array(proj))], names=["cid", "tree", "proj"])
 
 
-def _forest_edges(near: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the graph ``near``."""
-    left = np.ones(len(name), bool)
-    a, b = [], []
-    for i in range(len(name)):
-        if not left[i]:
-            continue
-        inside = np.zeros(len(name), bool)
-        inside[i] = True
-        new = inside
-        while new.any():
-            new = near[new].any(0) & ~inside
-            inside |= new
-        left &= ~inside
-        others = name[inside]
-        a.append(np.full(len(others) - 1, others.min()))
-        b.append(others[others != others.min()])
-    return np.concatenate(a), np.concatenate(b)
-
-
 def _compare(table: pa.Table) -> pa.Table:
     """A leaf, or a pair of its blocks: (cid, links) of each vector and (cid, other) edges."""
     leaf, first, second = (table.column(c)[0].as_py() for c in ("leaf", "low", "high"))
@@ -153,7 +133,7 @@ def _compare(table: pa.Table) -> pa.Table:
             known |= (mine != np.iinfo(np.int64).max) & (earlier[j] == mine[:, None]).any(1)
         i, j = i[~known], j[~known]
         links += np.bincount(i, count[j], len(cid)).astype(np.int64) + np.bincount(j, count[i], len(cid)).astype(np.int64)
-    a, b = _forest_edges(near, cid)
+    a, b = (cid[ends] for ends in spanning_forest(near))
     hit = np.flatnonzero(links)
     return pa.table({"a": pa.array(np.concatenate([cid[hit], a]), pa.int64()),
                      "b": pa.array(np.concatenate([cid[hit], b]), pa.int64(), mask=np.arange(len(hit) + len(a)) < len(hit)),

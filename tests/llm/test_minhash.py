@@ -53,7 +53,7 @@ def _groups(texts):
     sets = _sets(texts)
     for i in range(len(texts)):
         for j in range(i):
-            if texts[i] == texts[j] or (len(sets[i][0]) and minhash.similarity(sets[i], sets[j]) >= minhash.THRESHOLD):
+            if texts[i] == texts[j] or (len(sets[i][0]) and minhash.similarity(sets[i], sets[j]) >= minhash.THRESHOLD - minhash.ROUNDING):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(texts))]
@@ -73,6 +73,19 @@ def test_equal_weights_give_jaccard():
     assert minhash.similarity(a, b) == pytest.approx(both / every)
 
 
+def test_matrix_of_links_is_that_of_single_pairs():
+    texts = _corpus(seed=7)
+    texts += [texts[0] + " " + texts[0], texts[1] + " " + texts[1] + " " + texts[1][:40], "la " * 50 + "end of it", "la " * 60 + "end of it"]
+    sets = _sets(texts)
+    mark = np.arange(len(texts)) % 2
+    for other in (None, mark):
+        near = minhash.linked(pa.array(texts, pa.large_string()), other)
+        for i in range(len(texts)):
+            for j in range(i):
+                want = minhash.similarity(sets[i], sets[j]) >= minhash.THRESHOLD - minhash.ROUNDING and (other is None or mark[i] != mark[j])
+                assert near[i, j] == near[j, i] == want
+
+
 def test_registers_agree_with_the_similarity():
     words = [f"w{i}" for i in range(200)]
     other = words[:60] + ["x"] + words[61:150] + ["y"] + words[151:] + words[:30]
@@ -87,12 +100,14 @@ def test_every_register_is_filled_for_a_short_text():
     assert len(set(rows[0].tolist())) == 1 and rows[0, 0] != 0
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_groups_are_those_of_all_pairs(spark, rounds):
+@pytest.mark.parametrize("leaders, block", [(True, 512), (False, 512), (True, 3)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, leaders, block):
+    """With and without the comparison with leaders, and with blocks smaller than the buckets."""
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", block)
     texts = _corpus()
     ids = list(range(len(texts)))
     df = spark.createDataFrame([(i, t, "c", "b") for i, t in zip(ids, texts)], "doc_id long, text string, content string, bands string")
-    got = {r["doc_id"]: r for r in minhash.near_duplicates(df, leader_rounds=rounds).collect()}
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(df, leaders=leaders).collect()}
     want = _groups(texts)
     assert {i: got[i]["group_id"] for i in ids} == dict(enumerate(want))
     assert all(got[i]["class_id"] == texts.index(texts[i]) for i in ids)
