@@ -2,8 +2,8 @@
 
 from kilowatt.functions.calendar import CALENDAR_FIELDS, calendar_columns, truncate
 from kilowatt.functions.metrics import metrics_from_sums, regression_sums
-from kilowatt.functions.text import java_tokens, lines, text_words, words
-from kilowatt.functions.vectors import dot, squared_distance, to_array, to_vector
+from kilowatt.functions.text import java_tokens, lines, words
+from kilowatt.functions.vectors import squared_distance, to_array, to_vector
 
 __all__ = [
     "CALENDAR_FIELDS",
@@ -13,9 +13,7 @@ __all__ = [
     "regression_sums",
     "java_tokens",
     "lines",
-    "text_words",
     "words",
-    "dot",
     "squared_distance",
     "to_array",
     "to_vector",

@@ -50,11 +50,6 @@ def words(line: Column | str) -> Column:
     )
 
 
-def text_words(text: Column | str) -> Column:
-    """All words of all lines of a text, flattened into one array."""
-    return F.flatten(F.transform(lines(text), lambda ln: words(ln)))
-
-
 def java_tokens(text: Column | str) -> Column:
     """Tokenizer rule: lower-case, split on each single whitespace char.
 

@@ -28,19 +28,7 @@ def squared_distance(a: Column, b: Column) -> Column:
     )
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def nearest(x: Column, centers: list[tuple[int, list[float]]]) -> Column:
-    """Id of the nearest center (squared Euclidean) to array ``x``.
-
-    ``centers`` are (id, coordinates) pairs inlined as literals: the caller
-    bounds their total size. Ties go to the smaller id.
-    """
-    cs = F.array(*[
-        F.struct(F.lit(int(cid)).alias("c"), F.array(*[F.lit(float(v)) for v in coords]).alias("m"))
-        for cid, coords in sorted(centers, key=lambda kv: kv[0])
-    ])
-    scored = F.transform(cs, lambda s: F.struct(squared_distance(x, s["m"]).alias("d"), s["c"].alias("c")))
-    return F.array_min(scored)["c"]
+def nearest_of(x: Column, centers: Column) -> Column:
+    """(d, c) of the nearest of ``centers`` (an array of (cluster, center)) to the
+    array ``x``: least squared distance, then least cluster; null without any."""
+    return F.array_min(F.transform(centers, lambda s: F.struct(squared_distance(x, s["center"]).alias("d"), s["cluster"].alias("c"))))

@@ -8,8 +8,9 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilowatt.functions.vectors import nearest
-from kilowatt.operators.metrics import MAX_INLINE_VALUES, _as_array, cluster_stats
+from kilowatt.functions.vectors import nearest_of
+from kilowatt.operators.metrics import _as_array, cluster_stats, in_blocks, literal_rows
+from kilowatt.operators.partitioning import materialize
 
 
 def centers(model: KMeansModel) -> DataFrame:
@@ -30,13 +31,14 @@ def assign_to(
 ) -> DataFrame:
     """Nearest given center (squared Euclidean) for every row.
 
-    The k centers are checked against a size bound and inlined into one
-    expression, so scoring is a single map over the points: no join, no
-    shuffle. Ties go to the smaller cluster id.
+    The centers are put into the scoring expression as one constant for each
+    block of a bounded size, so scoring is a single map over the points: no
+    join, no shuffle. Ties go to the smaller cluster id.
     """
-    rows = centers_df.select("cluster", "center").limit(MAX_INLINE_VALUES + 1).collect()
-    dim = len(rows[0]["center"]) if rows else 0
-    if len(rows) * max(dim, 1) > MAX_INLINE_VALUES:
-        raise ValueError("too many centers x dimensions to inline; use a KMeansModel")
-    best = nearest(_as_array(df, features), [(r["cluster"], list(r["center"])) for r in rows])
-    return df.select(*(keys or df.columns), best.alias(out))
+    x = _as_array(df, features)
+    best = None
+    for block in in_blocks(materialize(centers_df.select("cluster", "center")), "center"):
+        known = literal_rows(block.collect(), "cluster:long,center:array<double>")
+        here = nearest_of(x, known)
+        best = here if best is None else F.least(best, here)
+    return df.select(*(keys or df.columns), best["c"].cast(centers_df.schema["cluster"].dataType).alias(out))

@@ -15,13 +15,6 @@ from pyspark.sql import functions as F
 
 from kilowatt.functions.vectors import to_array
 
-# The reference's 13 load-table features, in slot order.
-LOAD_FEATURES = (
-    "temp", "dew", "humi", "windspeed", "precip", "dow", "doy",
-    "month", "hour", "minute", "windgust", "t_m24", "t_m48",
-)
-
-
 def assembler(cols: Sequence[str], out: str = "features", invalid: str = "error") -> VectorAssembler:
     """``invalid``: ``error`` (reference behaviour on a null), ``skip`` or ``keep`` (NaN)."""
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid=invalid)

@@ -1,20 +1,43 @@
 """PageRank over an edge list with DataFrames (DAT1).
 
-Each round is one join of edges with current ranks on ``src`` and one
-aggregation on the receiving node (map-side combined, so a heavily linked
-node costs one row per partition). The plan is cut every ``checkpoint_every`` rounds
-with a reliable ``checkpoint()`` into the session's shared checkpoint
-folder, so lineage stays short and a lost executor recomputes at most a
-few rounds.
+The edge table is partitioned once on (src, salt) and persisted; each round
+shuffles ranks to it, joins, and aggregates on the receiving node (map-side
+combined, so a heavily linked node costs one row per partition). Each
+round's ranks are persisted, since the next round reads them twice, and
+every ``checkpoint_every`` rounds they are written to the session's shared
+checkpoint folder, which cuts the lineage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from kilowatt.operators.partitioning import materialize
-from kilowatt.session import ensure_checkpoint_dir
+
+#: Parts into which a source's edges are hashed before its degree is known.
+DEGREE_PARTS = 1024
+
+
+def salted_links(edges: DataFrame, heavy_degree: int) -> DataFrame:
+    """(src, dst, deg, salt, parts) of distinct edges (src, dst).
+
+    A source with more than ``heavy_degree`` out-edges is spread over
+    ``parts = ceil(deg / heavy_degree)`` salts by the hash of dst, so a
+    (src, salt) has about ``heavy_degree`` edges however many the source
+    has. The degree itself is found and joined over ``DEGREE_PARTS`` hash
+    parts of each source, never by a join on src alone.
+    """
+    part = F.pmod(F.xxhash64("dst"), F.lit(DEGREE_PARTS)).alias("part")
+    e = edges.select("src", "dst", part)
+    per_part = e.groupBy("src", "part").agg(F.count(F.lit(1)).alias("n"))
+    degree = per_part.groupBy("src").agg(F.sum("n").alias("deg"))  # at most DEGREE_PARTS rows a source
+    known = per_part.select("src", "part").join(degree, "src")
+    parts = F.ceil(F.col("deg") / F.lit(int(heavy_degree))).cast("int")
+    return e.join(known, ["src", "part"]).select(
+        "src", "dst", F.col("deg").cast("double").alias("deg"), parts.alias("parts")
+    ).withColumn("salt", F.pmod(F.hash("dst"), F.col("parts")))
 
 
 def pagerank(
@@ -25,53 +48,46 @@ def pagerank(
     damping: float = 0.85,
     checkpoint_every: int = 3,
     heavy_degree: int = 100_000,
-    salt_buckets: int = 32,
 ) -> DataFrame:
     """Classic un-normalised PageRank: r' = (1 - d) + d * sum(r_in / outdeg_in).
 
     Duplicate edges are merged; every node that appears in an edge takes
-    part. Dangling nodes (no out-edges) pass nothing on.
-
-    Skew: a source with more than ``heavy_degree`` out-edges has its edges
-    spread over ``salt_buckets`` salts (by ``hash(dst)``) and its rank row
-    copied once per salt, so even a node holding a third of all edges is
-    joined by ``salt_buckets`` tasks. Only heavy nodes are copied. The
-    edge table is partitioned once on (src, salt) and checkpointed, so
-    rounds do not shuffle it again.
+    part. Dangling nodes (no out-edges) pass nothing on. Edges with a null
+    end are left out. ``heavy_degree`` only sets how edges are spread (see
+    :func:`salted_links`); ranks do not depend on it.
     """
     spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where(
         F.col("src").isNotNull() & F.col("dst").isNotNull()
     ).distinct()
-    outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    nb = int(salt_buckets)
-    salt = F.when(F.col("deg") > int(heavy_degree), F.pmod(F.hash("dst"), F.lit(nb))).otherwise(F.lit(0))
-    links = e.join(outdeg, "src").select("src", "dst", F.col("deg").cast("double").alias("deg"), salt.alias("salt"))
-    links = materialize(links.repartition("src", "salt"))
-    # salts per node: 0 only, or 0..nb-1 for heavy sources
-    salts = outdeg.select(
-        F.col("src").alias("node"),
-        F.when(F.col("deg") > int(heavy_degree), F.sequence(F.lit(0), F.lit(nb - 1))).otherwise(F.array(F.lit(0)))
-        .alias("salts"),
-    )
-    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
-    nodes = nodes.join(salts, "node", "left").select("node", F.coalesce("salts", F.array(F.lit(0))).alias("salts"))
-    # every round keeps every node (with its salts), so the next round's
-    # node list is the previous ranks; lineage is cut every few rounds
-    ranks = materialize(nodes.select("node", "salts", F.lit(1.0).alias("rank")))
-    salts_type = ranks.schema["salts"].dataType
+    links = salted_links(e, heavy_degree).repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    # every node once, with the number of salts its rank is copied to
+    ends = links.select(F.explode(F.array(
+        F.struct(F.col("src").alias("node"), "parts"), F.struct(F.col("dst").alias("node"), F.lit(1).alias("parts")),
+    )).alias("end"))
+    ranks = materialize(ends.groupBy("end.node").agg(F.max("end.parts").alias("parts")).withColumn("rank", F.lit(1.0)))
+    held: list[DataFrame] = []
     for i in range(1, int(rounds) + 1):
-        copies = ranks.select(F.col("node").alias("src"), F.explode("salts").alias("salt"), "rank")
+        salts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
+        copies = ranks.select(F.col("node").alias("src"), salts, "rank")
         flows = links.join(copies, ["src", "salt"]).select(
-            F.col("dst").alias("node"), (F.col("rank") / F.col("deg")).alias("c"), F.lit(None).cast(salts_type).alias("salts")
+            F.col("dst").alias("node"), (F.col("rank") / F.col("deg")).alias("c"), F.lit(1).alias("parts")
         )
         # every node also sends itself a zero, so one aggregation on the node
         # both sums the inflow and keeps nodes without in-edges (no join)
-        keep = ranks.select("node", F.lit(0.0).alias("c"), "salts")
+        keep = ranks.select("node", F.lit(0.0).alias("c"), "parts")
         ranks = flows.unionByName(keep).groupBy("node").agg(
-            F.sum("c").alias("c"), F.max("salts").alias("salts")
-        ).select("node", "salts", (F.lit(1.0 - damping) + F.lit(damping) * F.col("c")).alias("rank"))
-        if checkpoint_every and i % int(checkpoint_every) == 0 and i < rounds:
+            F.sum("c").alias("c"), F.max("parts").alias("parts")
+        ).select("node", "parts", (F.lit(1.0 - damping) + F.lit(damping) * F.col("c")).alias("rank"))
+        last = i == int(rounds)
+        if last or (checkpoint_every and i % int(checkpoint_every) == 0):
             ranks = materialize(ranks)
+            for frame in held:
+                frame.unpersist()
+            held = []
+        else:
+            ranks = ranks.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(ranks)
+    links.unpersist()
     return ranks.select("node", "rank")

@@ -6,16 +6,20 @@ a tiny final merge. No prediction column is collected.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from kilowatt.functions.metrics import metrics_from_sums, regression_sums
 from kilowatt.functions.vectors import to_array
+from kilowatt.operators.partitioning import materialize
 
-# Largest k * dim of cluster statistics that is inlined into the plan.
+#: Numbers of cluster statistics that are put into a plan at a time; more are taken in blocks.
 MAX_INLINE_VALUES = 1 << 20
 
 
@@ -28,26 +32,33 @@ def regression_metrics(df: DataFrame, label: str, prediction: str = "prediction"
     return sums.select(*keys, "n", *metrics_from_sums())
 
 
-def auc(df: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
+#: Distinct scores in one range of the AUC's running sum.
+SCORES_PER_RANGE = 1_000_000
+
+
+def auc(df: DataFrame, label: str, score: str, scores_per_range: int = SCORES_PER_RANGE) -> DataFrame:
     """Exact area under ROC (ties count one half), as one row ``auc``.
 
     Equals ``BinaryClassificationEvaluator(numBins=0)``. Rows are reduced to
-    one per distinct score (partial aggregation), then the prefix sum of
-    negatives below each score is taken in ``ranges`` score buckets:
-    bucket totals (one row per bucket, tiny) give each bucket's offset,
-    and a window within each bucket adds the rest. Bucket bounds are
-    approximate quantiles of the distinct scores, so buckets are balanced,
-    and the bucket of a score is a pure expression: recomputing any part
-    after a lost executor gives the same buckets.
+    one per distinct score (partial aggregation), which is computed once into
+    a checkpoint; then the prefix sum of negatives below each score is taken
+    in ranges of about ``scores_per_range`` distinct scores: range totals give
+    each range's offset, and a window within each range adds the rest. Range
+    bounds are approximate quantiles of the distinct scores, and the range of
+    a score is a pure expression: recomputing any part after a lost executor
+    gives the same ranges.
     """
     y = F.col(label).cast("double")
-    per_score = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).alias("__s")).agg(
+    per_score = materialize(df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).alias("__s")).agg(
         F.sum(F.when(y == 1.0, 1).otherwise(0)).cast("double").alias("__pos"),
         F.sum(F.when(y == 1.0, 0).otherwise(1)).cast("double").alias("__neg"),
-    )
-    probs = [i / int(ranges) for i in range(1, int(ranges))]
-    bounds = per_score.select(F.percentile_approx(F.col("__s").cast("double"), probs, 10_000)).first()[0] or []
-    bounds = sorted(set(float(b) for b in bounds))  # at most ranges - 1 values
+    ))
+    ranges = max(1, -(-per_score.count() // int(scores_per_range)))
+    bounds: list[float] = []
+    if ranges > 1:
+        probs = [i / ranges for i in range(1, ranges)]
+        bounds = per_score.select(F.percentile_approx(F.col("__s").cast("double"), probs, 10 * ranges)).first()[0]
+    bounds = sorted(set(float(b) for b in bounds))
     lits = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
     bucketed = per_score.withColumn(
         "__p", F.size(F.filter(lits, lambda b: b < F.col("__s").cast("double")))
@@ -61,7 +72,7 @@ def auc(df: DataFrame, label: str, score: str, ranges: int = 64) -> DataFrame:
     )
     w = Window.partitionBy("__p").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     within = bucketed.withColumn("__below", F.coalesce(F.sum("__neg").over(w), F.lit(0.0)))
-    joined = within.join(F.broadcast(offsets), "__p")  # one row per bucket: at most `ranges` rows
+    joined = within.join(F.broadcast(offsets), "__p")  # one row per range
     # one class only (or no rows): AUC is undefined -> null
     return joined.agg(
         F.try_divide(
@@ -79,41 +90,46 @@ def _as_array(df: DataFrame, features: str):
 
 
 def cluster_stats(df: DataFrame, features: str, cluster: str) -> DataFrame:
-    """Per cluster: n, sum of squared norms (psi), vector sum (y)."""
+    """Per cluster: n, sum of squared norms (psi), vector sum (y), in one pass
+    with partial aggregation (``Summarizer``); no vector is exploded."""
     arr = _as_array(df, features)
-    points = df.select(F.col(cluster).alias("cluster"), arr.alias("x"))
-    exploded = points.select("cluster", F.posexplode("x").alias("slot", "v"))
-    sums = exploded.groupBy("cluster", "slot").agg(F.sum("v").alias("v"))
-    vec = sums.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("y")
-    )
-    norms = points.groupBy("cluster").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.sum(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)).alias("psi"),
-    )
-    return norms.join(vec, "cluster")
+    points = df.select(F.col(cluster).alias("cluster"), array_to_vector(arr).alias("x"))
+    made = points.groupBy("cluster").agg(Summarizer.metrics("count", "sum", "normL2").summary(F.col("x")).alias("s"))
+    norms = F.transform(vector_to_array("s.normL2"), lambda v: v * v)
+    return made.select(
+        "cluster", F.col("s.count").cast("double").alias("n"),
+        F.aggregate(norms, F.lit(0.0), lambda acc, v: acc + v).alias("psi"), vector_to_array("s.sum").alias("y"))
+
+
+def in_blocks(rows: DataFrame, vector: str) -> list[DataFrame]:
+    """``rows`` as one or more parts of about MAX_INLINE_VALUES numbers, to be
+    collected one at a time; the size is found by an aggregate first."""
+    size = rows.agg(F.sum(F.size(vector).cast("long"))).first()[0] or 0
+    blocks = -(-int(size) // MAX_INLINE_VALUES)
+    if blocks <= 1:
+        return [rows]
+    part = F.pmod(F.xxhash64("cluster"), F.lit(blocks))
+    return [rows.where(part == k) for k in range(blocks)]
+
+
+def literal_rows(rows: list[Row], fields: str) -> Column:
+    """Rows as one constant array of structs: a single JSON literal, parsed once
+    when the plan is folded, not an expression for each number."""
+    text = json.dumps([{k: v for k, v in r.asDict().items()} for r in rows])
+    return F.from_json(F.lit(text), f"array<struct<{fields}>>")
 
 
 def silhouette(df: DataFrame, features: str, cluster: str) -> DataFrame:
     """Mean silhouette, squared Euclidean distance, for given cluster labels.
 
     Distance of x to cluster C: |x|^2 + psi_C/n_C - 2 x.y_C/n_C; own cluster
-    scaled by n/(n-1); one-point clusters score 0. Cluster statistics (k
-    rows, size checked) are inlined into the expression; the points are
-    scored in one pass with no join.
+    scaled by n/(n-1); one-point clusters score 0. Cluster statistics are
+    k rows; they are put into the scoring expression block by block, each of a
+    bounded size, so the points are scored in one pass with no join.
     """
-    stats = cluster_stats(df, features, cluster)
-    k_rows = stats.limit(MAX_INLINE_VALUES + 1).collect()
-    dim = len(k_rows[0]["y"]) if k_rows else 0
-    if len(k_rows) * max(dim, 1) > MAX_INLINE_VALUES:
-        raise ValueError("too many clusters x dimensions to inline; use ClusteringEvaluator")
-    clusters = F.array(*[
-        F.struct(
-            F.lit(r["cluster"]).alias("c"), F.lit(r["n"]).alias("n"), F.lit(r["psi"]).alias("psi"),
-            F.array(*[F.lit(float(v)) for v in r["y"]]).alias("y"),
-        )
-        for r in k_rows
-    ])
+    kind = df.schema[cluster].dataType.simpleString()
+    stats = cluster_stats(df, features, cluster).select("cluster", "n", "psi", "y")
+    blocks = in_blocks(materialize(stats), "y")
     x = _as_array(df, features)
     pts = df.select(F.col(cluster).alias("__c"), x.alias("__x"))
     pts = pts.withColumn("__xx", F.aggregate("__x", F.lit(0.0), lambda a, v: a + v * v))
@@ -122,11 +138,17 @@ def silhouette(df: DataFrame, features: str, cluster: str) -> DataFrame:
         xy = F.aggregate(F.zip_with(F.col("__x"), s["y"], lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
         return F.col("__xx") + s["psi"] / s["n"] - 2.0 * xy / s["n"]
 
-    d = F.transform(clusters, lambda s: F.struct(s["c"].alias("c"), s["n"].alias("n"), dist(s).alias("d")))
-    pts = pts.withColumn("__d", d)
-    own = F.filter("__d", lambda e: e["c"] == F.col("__c"))[0]
-    others = F.filter("__d", lambda e: e["c"] != F.col("__c"))
-    b = F.array_min(F.transform(others, lambda e: e["d"]))
+    nothing = F.struct(F.lit(None).cast("double").alias("n"), F.lit(None).cast("double").alias("d"))
+    pts = pts.withColumn("__own", nothing).withColumn("__b", F.lit(None).cast("double"))
+    for block in blocks:
+        clusters = literal_rows(block.collect(), f"cluster:{kind},n:double,psi:double,y:array<double>")
+        d = F.transform(clusters, lambda s: F.struct(s["cluster"].alias("c"), s["n"].alias("n"), dist(s).alias("d")))
+        pts = pts.withColumn("__d", d)
+        own = F.transform(F.filter("__d", lambda e: e["c"] == F.col("__c")), lambda e: F.struct(e["n"].alias("n"), e["d"].alias("d")))
+        nearest_other = F.array_min(F.transform(F.filter("__d", lambda e: e["c"] != F.col("__c")), lambda e: e["d"]))
+        pts = pts.withColumn("__own", F.when(F.size(own) > 0, F.get(own, F.lit(0))).otherwise(F.col("__own"))).withColumn(
+            "__b", F.least("__b", nearest_other))
+    own, b = F.col("__own"), F.col("__b")
     a = F.try_divide(own["d"] * own["n"], own["n"] - 1.0)
     s = (
         F.when(own["n"] <= 1.0, F.lit(0.0))

@@ -10,12 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
 
 
 def _deep_tree_params(max_depth: int, params: dict) -> dict:
@@ -131,12 +130,3 @@ def pipeline(stages: Sequence[Estimator | Transformer]) -> Pipeline:
     """Chain stages; an already fitted model is a plain transformer and is
     not refitted."""
     return Pipeline(stages=list(stages))
-
-
-def score(model: Transformer, df: DataFrame) -> DataFrame:
-    """Add ``prediction`` (the model is shipped to executors once per task)."""
-    return model.transform(df)
-
-
-def fit(est: Estimator, df: DataFrame) -> PipelineModel | Transformer:
-    return est.fit(df)

@@ -1,34 +1,41 @@
-"""Partitioning helpers.
-
-``spread_small`` fixes one specific problem: a small input stored as a
-single row group is read by a single task, and everything up to the first
-shuffle (tokenizing, exploding texts, tree statistics) then runs in that
-one task. For inputs whose planned size is under ``max_bytes`` a
-round-robin repartition to the session's parallelism costs little and
-spreads that work. Larger inputs are returned unchanged: they are already
-split into many scan tasks, and a full shuffle of them would cost more
-than it saves.
-"""
+"""Partitioning helpers. None of them looks at cores, memory or file sizes to
+decide what a result is: partition counts are parameters."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Partitions of a training set; a parameter wherever it is used.
+TRAIN_PARTITIONS = 8
 
-DEFAULT_MAX_BYTES = 256 << 20
 
+def spread_scan(df: DataFrame, partitions: int = 32) -> DataFrame:
+    """Deal the rows of a scan of a few tasks out evenly.
+
+    A table stored as one row group is read by one task, and everything up to
+    the first shuffle then runs there. A scan that has ``partitions`` / 4 tasks
+    or more is left as it is, so a large table is not shuffled. Only for
+    plans whose result does not depend on where a row is; training sets go
+    through :func:`by_key`.
+    """
+    return df.repartition(partitions) if df.rdd.getNumPartitions() * 4 < partitions else df
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate for ``df`` (file sizes for scans)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size) if isinstance(size, int) else int(size.toString())
 
+def by_key(df: DataFrame, keys: Sequence[str], partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """A training set's fixed layout: rows placed by the hash of their keys in
+    ``partitions`` partitions, each sorted by the keys.
 
-def spread_small(df: DataFrame, max_bytes: int = DEFAULT_MAX_BYTES, partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the session's parallelism if it is small."""
-    if planned_bytes(df) > max_bytes:
-        return df
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n)
+    Samples that a learner draws from partitions (bootstraps, split candidates)
+    then depend on the rows alone, not on files, cores or earlier steps. The
+    keys should name a row; rows that share them are told apart by the other
+    columns' hash.
+    """
+    others = [c for c in df.columns if c not in keys]
+    tie = [F.xxhash64(*[F.col(c).cast("string") for c in others])] if others else []
+    return df.repartition(int(partitions), *keys).sortWithinPartitions(*keys, *tie)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -46,22 +53,3 @@ def materialize(df: DataFrame) -> DataFrame:
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
-
-
-def right_size(df: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
-    """Coalesce ``df`` to about one partition per ``target_bytes`` of planned
-    size (at least the session's parallelism), never increasing the count.
-
-    Use before ``cache()``: a cached plan keeps the partitioning it was
-    planned with (AQE may not coalesce it), so a small aggregate cached
-    straight out of a 200-partition shuffle makes every later pass over it
-    -- each tree level, each CV fold -- schedule 200 mostly empty tasks.
-    ``coalesce`` merges partitions without another shuffle.
-    """
-    spark = df.sparkSession
-    want = max(spark.sparkContext.defaultParallelism, -(-planned_bytes(df) // int(target_bytes)))
-    try:
-        current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except (TypeError, ValueError):  # a non-numeric setting: look at the plan itself
-        current = df.rdd.getNumPartitions()
-    return df.coalesce(want) if want < current else df

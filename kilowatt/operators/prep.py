@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from kilowatt.functions.calendar import calendar_columns, truncate
+from kilowatt.operators.partitioning import materialize
 
 
 def hourly(
@@ -93,6 +94,10 @@ def _epoch_seconds(df: DataFrame, ts: str) -> Column:
     return F.col(ts).cast("long")
 
 
+#: A list of up to so many hot buckets is sent to every task; a longer one is joined by a shuffle.
+BROADCAST_BUCKETS = 200_000
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -104,31 +109,30 @@ def asof_join(
     bucket_seconds: int = 3_600,
     prefix: str = "",
     max_bucket_rows: int = 4_000_000,
-    max_hot_buckets: int = 200_000,
 ) -> DataFrame:
     """Left join each left row to the latest right row with the same keys
     and ``right_ts <= left_ts``. Left rows without one get nulls.
 
     Plan (no per-key window, so a hot key cannot land in one task):
 
-    1. Both sides get a time bucket ``floor(epoch / bucket_seconds)``.
-       A (keys, bucket) holding more than ``max_bucket_rows`` rows (found
-       by a partial-aggregate count; the hot list is at most rows /
-       ``max_bucket_rows`` entries, bounded by ``max_hot_buckets``, then
-       broadcast) is cut into
-       ``ceil(rows / max_bucket_rows)`` equal time slices. Bucket ids stay
-       in time order, so the steps below do not change.
-    2. The last right row of every (keys, bucket) is found by a partial
-       aggregation (``max_by``), and carried forward to the following
-       buckets by a window over that summary, which has one row per
-       (key, bucket) whatever the data volume.
+    1. Both sides get a time bucket ``floor(epoch / bucket_seconds)``. One
+       partial aggregation over both gives every (keys, bucket) its number of
+       rows and its last right row. Buckets of more than ``max_bucket_rows``
+       rows are cut into ``ceil(rows / max_bucket_rows)`` equal time slices,
+       and for these the last right row of each slice is found again. Bucket
+       ids stay in time order.
+    2. The last right row is carried forward to the following buckets by a
+       window over that summary, which has one row per (key, bucket)
+       whatever the data volume.
     3. Left rows, right rows and one carried-in row per (keys, bucket)
        are shuffled once on (keys, bucket) and ordered in time; the last
        right payload seen so far is each left row's match. Right rows
        come first at equal times (``at or before``); among right rows at
        one time the largest ``tiebreak`` wins.
 
-    The largest task holds one key's rows for one time slice: about
+    Rows with a null key or time match nothing: right ones are left out, left
+    ones go around the plan and come back with nulls, so they never meet in
+    a task. The largest task holds one key's rows for one time slice: about
     ``max_bucket_rows`` unless many rows share one timestamp.
     """
     keys = list(keys)
@@ -137,64 +141,54 @@ def asof_join(
     ]
     payload_cols = [right_ts] + [c for c in right_cols if c != right_ts]
     tb = F.col(tiebreak) if tiebreak else F.lit(0)
-
     width = int(bucket_seconds)
-    lx = left.withColumn("__e", _epoch_seconds(left, left_ts)).withColumn("__b0", F.floor(F.col("__e") / width))
-    # as in an equi-join, null keys match nothing: such right rows can go
-    usable = F.col(right_ts).isNotNull()
-    for k in keys:
-        usable = usable & F.col(k).isNotNull()
-    rx = (
-        right.where(usable)
-        .withColumn("__e", _epoch_seconds(right, right_ts)).withColumn("__b0", F.floor(F.col("__e") / width))
-    )
-    counts = lx.select(*keys, "__b0").unionByName(rx.select(*keys, "__b0")).groupBy(*keys, "__b0").count()
-    hot_df = counts.where(F.col("count") > int(max_bucket_rows)).select(
-        *keys, "__b0", F.ceil(F.col("count") / F.lit(int(max_bucket_rows))).alias("__k")
-    )
-    # the hot list is bounded (rows / max_bucket_rows); the limit enforces it
-    hot_rows = hot_df.limit(int(max_hot_buckets) + 1).collect()
-    n_hot = len(hot_rows)
-    if n_hot > int(max_hot_buckets):
-        raise ValueError(f"over {max_hot_buckets} hot buckets; raise max_bucket_rows or lower bucket_seconds")
-    hot = left.sparkSession.createDataFrame(hot_rows, hot_df.schema) if n_hot else None
-
-    def sliced(df: DataFrame) -> DataFrame:
-        """Composite bucket id: coarse bucket * 2^20 + time slice in it."""
-        if n_hot:
-            df = df.join(F.broadcast(hot), on=[*keys, "__b0"], how="left")  # <= max_hot_buckets rows
-            part = F.floor((F.col("__e") - F.col("__b0") * width) * F.col("__k") / width)
-            piece = F.when(F.col("__k").isNull(), F.lit(0)).otherwise(part)
-        else:
-            piece = F.lit(0)
-        return df.withColumn("__b", F.col("__b0") * F.lit(1 << 20) + piece)
-
-    lx, rx = sliced(lx), sliced(rx)
-    r = rx.select(
-        *keys,
-        "__b",
-        F.col(right_ts).alias("__t"),
-        tb.alias("__tb"),
-        F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in payload_cols]).alias("__r"),
-    )
-    payload_type = r.schema["__r"].dataType
-    lcols = left.columns
-    left_struct = F.struct(*[F.col(c) for c in lcols])
-    lrows = lx.select(
-        *keys,
-        "__b",
-        F.col(left_ts).alias("__t"),
-        F.lit(0).alias("__tb"),
-        left_struct.alias("__l"),
-    )
-    left_type = lrows.schema["__l"].dataType
 
-    # (2) last right row per (keys, bucket), carried forward over buckets.
-    last_in_bucket = r.groupBy(*keys, "__b").agg(
-        F.max_by(F.col("__r"), F.struct(F.col("__t"), F.col("__tb"))).alias("__last")
-    )
-    wanted = lrows.select(*keys, "__b").distinct().withColumn("__want", F.lit(True))
-    summary = last_in_bucket.join(wanted, on=[*keys, "__b"], how="full_outer")
+    def usable(ts: str) -> Column:
+        found = F.col(ts).isNotNull()
+        for k in keys:
+            found = found & F.col(k).isNotNull()
+        return found
+
+    def bucketed(df: DataFrame, ts: str) -> DataFrame:
+        return df.where(usable(ts)).withColumn("__e", _epoch_seconds(df, ts)).withColumn("__b0", F.floor(F.col("__e") / width))
+
+    payload = F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in payload_cols])
+    lx = bucketed(left, left_ts).select(*keys, "__e", "__b0", F.col(left_ts).alias("__t"), F.struct(*[F.col(c) for c in left.columns]).alias("__l"))
+    rx = bucketed(right, right_ts).select(*keys, "__e", "__b0", F.col(right_ts).alias("__t"), tb.alias("__tb"), payload.alias("__r"))
+    left_type, payload_type, tb_type = lx.schema["__l"].dataType, rx.schema["__r"].dataType, rx.schema["__tb"].dataType
+
+    # (1) rows, wish for a match, and last right row of every (keys, bucket)
+    def summarised(lefts: DataFrame, rights: DataFrame, bucket: str) -> DataFrame:
+        both = lefts.select(*keys, bucket, F.lit(None).cast(rx.schema["__t"].dataType).alias("__t"), F.lit(None).cast(tb_type).alias("__tb"),
+                            F.lit(None).cast(payload_type).alias("__r"), F.lit(True).alias("__want")).unionByName(
+            rights.select(*keys, bucket, "__t", "__tb", "__r", F.lit(False).alias("__want")))
+        return both.groupBy(*keys, bucket).agg(
+            F.count(F.lit(1)).alias("__n"), F.bool_or("__want").alias("__want"),
+            F.max_by("__r", F.when(F.col("__r").isNotNull(), F.struct("__t", "__tb"))).alias("__last"))
+
+    per = materialize(summarised(lx, rx, "__b0"))
+    hot = per.where(F.col("__n") > int(max_bucket_rows)).select(
+        *keys, "__b0", F.ceil(F.col("__n") / F.lit(int(max_bucket_rows))).alias("__k"))
+    n_hot = hot.count()
+    shift = F.lit(1 << 20)  # bucket id: coarse bucket * 2^20 + time slice in it
+    if n_hot:
+        told = F.broadcast(hot) if n_hot <= BROADCAST_BUCKETS else hot
+        piece = F.floor((F.col("__e") - F.col("__b0") * width) * F.col("__k") / width)
+
+        def sliced(df: DataFrame) -> DataFrame:
+            return df.join(told, on=[*keys, "__b0"], how="left").withColumn(
+                "__b", F.col("__b0") * shift + F.coalesce(piece, F.lit(0)))
+
+        lx, rx = sliced(lx), sliced(rx)
+        cold = per.join(told.select(*keys, "__b0"), [*keys, "__b0"], "left_anti").withColumn("__b", F.col("__b0") * shift)
+        again = summarised(lx.where(F.col("__k").isNotNull()), rx.where(F.col("__k").isNotNull()), "__b")
+        columns = [*keys, "__b", "__want", "__last"]
+        summary = cold.select(*columns).unionByName(again.select(*columns))
+    else:
+        lx, rx = (df.withColumn("__b", F.col("__b0") * shift) for df in (lx, rx))
+        summary = per.withColumn("__b", F.col("__b0") * shift)
+
+    # (2) carried forward over buckets
     w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         summary.withColumn("__carry", F.last("__last", ignorenulls=True).over(w))
@@ -205,17 +199,17 @@ def asof_join(
             F.lit(0).alias("__o"),
             F.lit(None).cast(left.schema[left_ts].dataType).alias("__t"),
             F.lit(0).alias("__s"),
-            F.lit(0).alias("__tb"),
+            F.lit(None).cast(tb_type).alias("__tb"),
             F.lit(None).cast(left_type).alias("__l"),
             F.col("__carry").alias("__r"),
         )
     )
-    rights = r.select(
+    rights = rx.select(
         *keys, "__b", F.lit(1).alias("__o"), "__t", F.lit(0).alias("__s"), "__tb",
         F.lit(None).cast(left_type).alias("__l"), "__r",
     )
-    lefts = lrows.select(
-        *keys, "__b", F.lit(1).alias("__o"), "__t", F.lit(1).alias("__s"), "__tb", "__l",
+    lefts = lx.select(
+        *keys, "__b", F.lit(1).alias("__o"), "__t", F.lit(1).alias("__s"), F.lit(None).cast(tb_type).alias("__tb"), "__l",
         F.lit(None).cast(payload_type).alias("__r"),
     )
     allrows = carry.unionByName(rights).unionByName(lefts)
@@ -225,5 +219,7 @@ def asof_join(
         .orderBy("__o", "__t", "__s", "__tb")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    matched = allrows.withColumn("__m", F.last("__r", ignorenulls=True).over(w2)).where(F.col("__s") == 1)
-    return matched.select("__l.*", "__m.*")
+    matched = allrows.withColumn("__m", F.last("__r", ignorenulls=True).over(w2)).where(F.col("__s") == 1).select("__l", "__m")
+    unmatched = left.where(~usable(left_ts)).select(
+        F.struct(*[F.col(c) for c in left.columns]).alias("__l"), F.lit(None).cast(payload_type).alias("__m"))
+    return matched.unionByName(unmatched).select("__l.*", "__m.*")

@@ -25,15 +25,16 @@ def _ts_literal(df: DataFrame, ts: str, value: str | dt.datetime) -> Column:
     return F.lit(value)
 
 
-def project(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*cols)
-
-
 def before(df: DataFrame, ts: str, t: str | dt.datetime) -> DataFrame:
     """Rows with ``ts < t`` (strict upper bound)."""
     return df.where(F.col(ts) < _ts_literal(df, ts, t))
 
 
+def not_before(df: DataFrame, ts: str, t: str | dt.datetime) -> DataFrame:
+    """Rows with ``ts >= t``."""
+    return df.where(F.col(ts) >= _ts_literal(df, ts, t))
+
+
 def after(df: DataFrame, ts: str, t: str | dt.datetime) -> DataFrame:
     """Rows with ``ts > t`` (strict lower bound)."""
     return df.where(F.col(ts) > _ts_literal(df, ts, t))

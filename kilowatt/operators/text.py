@@ -11,17 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilowatt.functions.text import java_tokens, lines, words
-from kilowatt.operators.partitioning import materialize
-
-
-def text_lines(df: DataFrame, text: str = "text", out: str = "line") -> DataFrame:
-    """One row per line of each text value (as a text-file scan splits)."""
-    return df.select(F.explode(lines(text)).alias(out))
-
-
-def line_words(df: DataFrame, line: str = "value", out: str = "word") -> DataFrame:
-    """One row per word of each line (split on single spaces)."""
-    return df.select(F.explode(words(line)).alias(out))
 
 
 def word_count(df: DataFrame, text: str = "value", multiline_text: bool = False) -> DataFrame:
@@ -34,13 +23,6 @@ def word_count(df: DataFrame, text: str = "value", multiline_text: bool = False)
     return df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
-def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(token, count) under the Tokenizer rule (lower-case, split on \\s)."""
-    return df.select(F.explode(java_tokens(text)).alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("count")
-    )
-
-
 def terms_with_bigrams(tokens) -> "Column":
     """Tokens plus adjacent pairs joined by one space (two-word phrases)."""
     n = F.size(tokens)
@@ -51,32 +33,23 @@ def terms_with_bigrams(tokens) -> "Column":
     return F.concat(tokens, pairs)
 
 
-# A lexicon with more terms than this is joined by a shuffle, not broadcast.
-MAX_BROADCAST_TERMS = 1_000_000
-
-
-def lexicon_scores(
-    df: DataFrame, lexicon: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",),
-    term: str = "term", score: str = "score",
+def lexicon_totals(
+    df: DataFrame, lexicon: DataFrame, group: str, text: str = "text", term: str = "term", score: str = "score",
 ) -> DataFrame:
-    """Sum of lexicon scores of each text's words and two-word phrases,
-    one row per distinct ``keys`` of ``df`` (texts without a hit score 0).
-
-    Texts are tokenized (lower-case, whitespace) and every term occurrence
-    is looked up. The lexicon is computed once into a checkpoint; under
-    ``MAX_BROADCAST_TERMS`` terms (counted) it is broadcast, so a very
-    common word causes no skew; past it the join is a sort-merge join whose
-    skewed term partitions AQE splits. Size estimates of exploded text are
-    not trusted for either choice: they ignore the explode.
+    """(group, n_docs, total_score, n_hits): lexicon scores of the words and
+    two-word phrases of each group's texts, one row per group.
+
+    Texts are tokenized once (lower-case, whitespace), and occurrences are
+    counted per (group, term) before the join, so what is shuffled is one row
+    per (group, term) and task, however often a word occurs, and a common word
+    meets the lexicon once per group. Rows with a null text are documents
+    without a hit.
     """
-    occ = df.select(*keys, F.explode(terms_with_bigrams(java_tokens(text))).alias("__term"))
-    lex = materialize(lexicon.select(F.col(term).alias("__term"), F.col(score).cast("long").alias("__score")))
-    if lex.count() <= MAX_BROADCAST_TERMS:
-        hits = occ.join(F.broadcast(lex), "__term")
-    else:
-        hits = occ.join(lex.hint("merge"), "__term")
-    scored = hits.select(*keys, "__score", F.lit(1).alias("__hit"))
-    every = df.select(*keys, F.lit(0).cast("long").alias("__score"), F.lit(0).alias("__hit"))
-    return scored.unionByName(every).groupBy(*keys).agg(
-        F.sum("__score").alias("score"), F.sum("__hit").cast("long").alias("n_hits")
-    )
+    occ = df.select(group, F.explode(terms_with_bigrams(java_tokens(text))).alias("__term"))
+    counted = occ.groupBy(group, "__term").agg(F.count(F.lit(1)).alias("__n"))
+    lex = lexicon.select(F.col(term).alias("__term"), F.col(score).cast("long").alias("__score"))
+    hits = counted.join(lex, "__term").select(
+        group, F.lit(0).cast("long").alias("__doc"), (F.col("__score") * F.col("__n")).alias("__score"), F.col("__n").alias("__hit"))
+    docs = df.select(group, F.lit(1).cast("long").alias("__doc"), F.lit(0).cast("long").alias("__score"), F.lit(0).cast("long").alias("__hit"))
+    return hits.unionByName(docs).groupBy(group).agg(
+        F.sum("__doc").alias("n_docs"), F.sum("__score").alias("total_score"), F.sum("__hit").alias("n_hits"))

@@ -1,6 +1,6 @@
 """Parameter grids, cross-validation and model inspection (TUN1-3, INS1-6).
 
-Cross-validation fits run on executors; ``parallelism`` only sets how many
+Cross-validation is the stock validator; ``parallelism`` only sets how many
 fits the driver keeps in flight (each is its own set of Spark jobs).
 Results come back as DataFrames (one row per setting or parameter)
 instead of printed text.
@@ -10,22 +10,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-import numpy as np
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
-from pyspark.storagelevel import StorageLevel
-
-from kilowatt.operators.partitioning import right_size, spread_small
 
 
 def grid(axes: Mapping[Param, Sequence[Any]]) -> list[dict]:
@@ -57,59 +49,23 @@ def cross_validate(
     param_maps: list[dict],
     evaluator: Evaluator,
     df: DataFrame,
-    num_folds: int = 3,
-    fold_col: str | None = None,
+    num_folds: int,
+    fold_col: str,
     parallelism: int = 4,
-    seed: int = 42,
 ) -> CrossValidatorModel:
     """k-fold CV: mean metric per setting, pick the best, refit on all rows.
 
-    ``select_by`` is the evaluator's metric (one evaluator; the reference's
-    chained ``setEvaluator`` calls kept only the last). With ``fold_col``
-    the folds are the column's values ``0..k-1`` (deterministic, checkable);
-    else each row's fold is drawn from ``rand(seed)``.
-
-    The input is computed once and persisted (memory, spilling to disk)
-    for the whole search, unless the caller cached it already; it is
-    right-sized first, since a cached plan keeps its partition count. Every
-    (fold, setting) fit then filters that one copy -- no per-fold copies --
-    and up to ``parallelism`` fits run at once from driver threads (the
-    stock validator runs folds one after another, so a small grid leaves
-    the cluster idle). Returns a standard ``CrossValidatorModel``.
+    The stock validator over given folds: ``fold_col`` holds ``0..k-1``, as
+    :func:`kilowatt.operators.splits.with_folds` gives from the row's key,
+    so a retried task never moves a row to another fold. The validator keeps
+    one fold's training and validation rows cached at a time and fits up to
+    ``parallelism`` settings at once; the caller need not cache ``df``, but
+    should give a stored or checkpointed input, since every fold reads it.
     """
-    cv = CrossValidator(
+    return CrossValidator(
         estimator=estimator, estimatorParamMaps=param_maps, evaluator=evaluator,
-        numFolds=num_folds, parallelism=parallelism, seed=seed,
-    )
-    if fold_col:
-        cv = cv.setFoldCol(fold_col)
-        base, fold = df, F.col(fold_col)
-    else:
-        base, fold = df.withColumn("__fold", F.floor(F.rand(int(seed)) * int(num_folds)).cast("int")), F.col("__fold")
-    owned = not base.is_cached
-    if owned:
-        base = right_size(spread_small(base)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        def fit_one(i: int, j: int) -> tuple[int, int, float]:
-            epm = param_maps[j]
-            model = estimator.fit(base.where(fold != i), epm)
-            return i, j, evaluator.evaluate(model.transform(base.where(fold == i), epm))
-
-        pairs = [(i, j) for i in range(int(num_folds)) for j in range(len(param_maps))]
-        metrics = np.zeros((int(num_folds), len(param_maps)))
-        threads = max(1, min(int(parallelism), len(pairs)))
-        # threads inherit the caller's job properties and tags
-        run = inheritable_thread_target(base.sparkSession)(lambda p: fit_one(*p))
-        with ThreadPoolExecutor(max_workers=threads) as pool:
-            for i, j, m in pool.map(run, pairs):
-                metrics[i, j] = m
-        avg, std = metrics.mean(axis=0), metrics.std(axis=0)
-        pick = int(np.argmax(avg) if evaluator.isLargerBetter() else np.argmin(avg))
-        best_model = estimator.fit(base, param_maps[pick])
-    finally:
-        if owned:
-            base.unpersist()
-    return cv._copyValues(CrossValidatorModel(best_model, avg.tolist(), None, std.tolist()))
+        numFolds=int(num_folds), foldCol=fold_col, parallelism=int(parallelism), collectSubModels=False,
+    ).fit(df)
 
 
 def _plain(v: Any) -> Any:

@@ -18,7 +18,7 @@ from kilowatt.functions.vectors import to_array, to_vector
 from kilowatt.operators import clustering, features, metrics, models, relational, splits, text, tuning
 from kilowatt.operators.graph import pagerank
 from kilowatt.operators.mining import frequent_itemsets
-from kilowatt.operators.partitioning import materialize, right_size, spread_small
+from kilowatt.operators.partitioning import by_key, materialize, spread_scan
 from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time
 from kilowatt.plans import forecast as fc
 from kilowatt.session import scratch_path
@@ -44,9 +44,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """documents, spread over the session when the table is small (text work
-    before the first shuffle is the expensive part)."""
-    return spread_small(_t(spark, sf_dir, "documents").select(*cols))
+    """documents, dealt out if one task would read them all (text work before
+    the first shuffle is the expensive part)."""
+    return spread_scan(_t(spark, sf_dir, "documents").select(*cols))
 
 
 # --------------------------------------------------------------- sources
@@ -102,9 +102,11 @@ def q_preview_lineitem(spark, sf_dir):
 
 
 def q_schema_table(spark, sf_dir):
-    """printSchema of the assembled forecast table, as rows."""
-    series = fc.load_series(spark, sf_dir)
-    return sinks.schema_table(features.assemble(series, fc.FEATURES, "features", invalid="skip"))
+    """printSchema of lineitem as rows, each with how many values the column holds."""
+    li = _t(spark, sf_dir, "lineitem")
+    values = li.agg(*[F.count(c).alias(c) for c in li.columns])
+    counted = values.unpivot([], li.columns, "name", "n_values")
+    return sinks.schema_table(li).select(F.col("column").alias("name"), "type").join(counted, "name")
 
 
 def q_word_count_saved(spark, sf_dir):
@@ -168,7 +170,7 @@ def q_split_key(spark, sf_dir):
 
 def q_split_random(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
-    return splits.with_random_split(li, [0.7, 0.3], SEED, ["train", "test"]).select(
+    return splits.with_random_split(li, [0.7, 0.3], SEED, ["l_orderkey", "l_linenumber"], ["train", "test"]).select(
         "l_orderkey", "l_linenumber", "split"
     )
 
@@ -258,12 +260,12 @@ def _stump_query(kind):
     return q
 
 
-def _cv_linear(spark, sf_dir):
+def _cv_linear(spark, sf_dir, metric="rmse"):
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
     data = splits.with_folds(features.assemble(li, ["l_quantity"], "features"), 3, key="l_orderkey")
     est = models.linear("l_extendedprice", "features")
     maps = tuning.grid({est.fitIntercept: [True, False]})
-    ev = tuning.regression_evaluator("l_extendedprice", "rmse")
+    ev = tuning.regression_evaluator("l_extendedprice", metric)
     return tuning.cross_validate(est, maps, ev, data, num_folds=3, fold_col="fold", parallelism=2)
 
 
@@ -328,8 +330,12 @@ def q_hash_tf_totals(spark, sf_dir):
 # ------------------------------------------------------------ tier C (data)
 
 PAGERANK_ROUNDS = 5
-SUPPLIER_BASE = 1_000_000_000
-NATION_BASE = 2_000_000_000
+# A node is its key times 3 plus its kind, so keys of any size stay apart.
+CUSTOMER, SUPPLIER, NATION = 0, 1, 2
+
+
+def _node(key, kind):
+    return F.col(key).cast("long") * 3 + kind
 
 
 def _commerce_edges(spark, sf_dir):
@@ -337,13 +343,13 @@ def _commerce_edges(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     bought = li.join(orders, li.l_orderkey == orders.o_orderkey).select(
-        F.col("o_custkey").alias("src"), (F.col("l_suppkey") + SUPPLIER_BASE).alias("dst")
+        _node("o_custkey", CUSTOMER).alias("src"), _node("l_suppkey", SUPPLIER).alias("dst")
     )
     sup = _t(spark, sf_dir, "supplier").select(
-        (F.col("s_suppkey") + SUPPLIER_BASE).alias("src"), (F.col("s_nationkey") + NATION_BASE).cast("long").alias("dst")
+        _node("s_suppkey", SUPPLIER).alias("src"), _node("s_nationkey", NATION).alias("dst")
     )
     cust = _t(spark, sf_dir, "customer").select(
-        (F.col("c_nationkey") + NATION_BASE).cast("long").alias("src"), F.col("c_custkey").alias("dst")
+        _node("c_nationkey", NATION).alias("src"), _node("c_custkey", CUSTOMER).alias("dst")
     )
     return bought.unionByName(sup).unionByName(cust)
 
@@ -356,7 +362,10 @@ def q_pagerank_5(spark, sf_dir):
 FP_MIN_SUPPORT = 0.01
 
 
-def q_frequent_pairs(spark, sf_dir):
+FP_MIN_CONFIDENCE = 0.02
+
+
+def _mined(spark, sf_dir, result):
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_brand")
     baskets = li.join(part, li.l_partkey == part.p_partkey).groupBy("l_orderkey").agg(
@@ -364,33 +373,44 @@ def q_frequent_pairs(spark, sf_dir):
     )
     # the fit counts items, the itemsets are mined when first read: keep the
     # baskets for both passes, write the (small) result, then let them go
-    baskets = right_size(baskets).persist()
-    model = frequent_itemsets(baskets, "items", min_support=FP_MIN_SUPPORT, min_confidence=0.5)
-    sets = materialize(model.freqItemsets.where(F.size("items") <= 2).select(
-        F.array_join(F.array_sort("items"), ",").alias("itemset"), F.col("freq").cast("long").alias("freq")
-    ))
+    baskets = baskets.persist()
+    model = frequent_itemsets(baskets, "items", min_support=FP_MIN_SUPPORT, min_confidence=FP_MIN_CONFIDENCE)
+    out = materialize(result(model))
     baskets.unpersist()
-    return sets
+    return out
+
+
+def q_frequent_itemsets(spark, sf_dir):
+    return _mined(spark, sf_dir, lambda model: model.freqItemsets.select(
+        F.array_join(F.array_sort("items"), ",").alias("itemset"), F.col("freq").cast("long").alias("freq")))
+
+
+def q_association_rules(spark, sf_dir):
+    return _mined(spark, sf_dir, lambda model: model.associationRules.select(
+        F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"),
+        F.round("confidence", 8).alias("confidence"), F.round("lift", 8).alias("lift"), F.round("support", 8).alias("support")))
 
 
 # ------------------------------------------------- trained, rows-only checks
 
-def _forecast_metrics(kind, axes, max_iter=None):
+def _forecast_metrics(kind, name=None, **options):
     def q(spark, sf_dir):
-        run = fc.forecast(spark, sf_dir, kind, axes_override=axes, max_iter=max_iter)
-        return fc.forecast_report(run, kind)
+        return fc.forecast_report(fc.forecast(spark, sf_dir, kind, **options), name or kind)
 
     return q
 
 
+def q_forecast_predictions(spark, sf_dir):
+    """The reference's scored table of the test window: prediction beside load."""
+    return fc.scored_rows(fc.forecast(spark, sf_dir, "forest"))
+
+
 def q_best_params(spark, sf_dir):
-    run = fc.forecast(spark, sf_dir, "forest", axes_override={"numTrees": [10, 20]})
-    return tuning.best_params(run.cv_model)
+    return tuning.best_params(fc.forecast(spark, sf_dir, "forest").cv_model)
 
 
 def q_tree_dump(spark, sf_dir):
-    run = fc.forecast(spark, sf_dir, "gbt", axes_override={"maxDepth": [2, 3]}, max_iter=10)
-    return tuning.describe(tuning.best(run.cv_model))
+    return tuning.describe(tuning.best(fc.forecast(spark, sf_dir, "forest").cv_model))
 
 
 def q_kmeans_centers(spark, sf_dir):
@@ -448,11 +468,7 @@ def derived_lexicon(spark, sf_dir) -> DataFrame:
 
 def q_sentiment_by_source(spark, sf_dir):
     docs = _docs(spark, sf_dir, "doc_id", "source", "text")
-    scored = text.lexicon_scores(docs, derived_lexicon(spark, sf_dir), "text", keys=("doc_id", "source"))
-    return scored.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("score").cast("long").alias("total_score"),
-        F.sum("n_hits").cast("long").alias("n_hits"),
-    )
+    return text.lexicon_totals(docs, derived_lexicon(spark, sf_dir), "source")
 
 
 RIDGE_REG = 0.5
@@ -487,10 +503,11 @@ def q_als_top_items(spark, sf_dir):
 def q_topics(spark, sf_dir):
     from kilowatt.operators import learners
 
-    docs = features.tokenize(_docs(spark, sf_dir, "text").where(F.col("text").isNotNull()), "text", "words")
-    cv = learners.count_vectors(docs, "words", "counts", vocab_size=1 << 12)
-    model = learners.lda(cv.transform(docs), "counts", k=5, max_iter=10)
-    return learners.topics(model, cv.vocabulary, 5)
+    docs = features.tokenize(_docs(spark, sf_dir, "doc_id", "text").where(F.col("text").isNotNull()), "text", "words")
+    counts = by_key(learners.hashed_counts(docs, "words").select("doc_id", "counts"), ["doc_id"]).persist()
+    model = learners.lda(counts, "counts", k=5, max_iter=10)
+    counts.unpersist()
+    return learners.topics(model, docs, "words", 5)
 
 
 def q_pic_clusters(spark, sf_dir):
@@ -499,7 +516,7 @@ def q_pic_clusters(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     edges = li.join(orders, li.l_orderkey == orders.o_orderkey).groupBy(
-        F.col("o_custkey").alias("src"), (F.col("l_suppkey") + SUPPLIER_BASE).alias("dst")
+        _node("o_custkey", CUSTOMER).alias("src"), _node("l_suppkey", SUPPLIER).alias("dst")
     ).agg(F.sum("l_quantity").alias("w"))
     return learners.pic(edges, "src", "dst", "w", k=3, max_iter=10)
 
@@ -536,22 +553,15 @@ def q_stream_kmeans(spark, sf_dir):
 
     emb = _t(spark, sf_dir, "embeddings")
     src = scratch_path(spark, "stream-src")
-    emb.select("vec_id", "embedding").repartition(4, "vec_id").write.parquet(src)
+    emb.select("vec_id", "embedding").write.parquet(src)
     init = [list(r["center"]) for r in
             clustering.label_centers(emb, "embedding", "label").orderBy("cluster").collect()]
     return stream_kmeans(spark, src, "vec_id long, embedding array<float>", "embedding", init, decay=1.0)
 
 
-def q_indexed_gbt_forecast_metrics(spark, sf_dir):
-    """Category indexer (max 4 values per slot) + boosted trees in one
-    pipeline under CV; the indexer is fitted on training rows only."""
-    run = fc.forecast(spark, sf_dir, "indexed_gbt", axes_override={"maxDepth": [3, 4]}, max_iter=10)
-    return fc.forecast_report(run, "indexed_gbt")
-
-
 def q_single_fit_metrics(spark, sf_dir):
     """One pipeline fit without CV, scored on the test window."""
-    return fc.single_fit_report(spark, sf_dir, num_trees=40)
+    return fc.single_fit_report(spark, sf_dir)
 
 
 def q_stream_sentiment_by_source(spark, sf_dir):
@@ -565,22 +575,136 @@ def q_stream_sentiment_by_source(spark, sf_dir):
                                  max_files_per_trigger=4)
 
 
-def q_user_daily_forecast_metrics(spark, sf_dir):
-    """Per-user daily panel: lags of the two previous days and the latest
-    'view' reading at or before each day (as-of join), forest with CV."""
-    run = fc.forecast(spark, sf_dir, "forest", keys=["user_id"], unit="day", observed="view",
-                      axes_override={"numTrees": [20, 40]})
-    return fc.forecast_report(run, "forest_user_daily")
+# ------------------------------------------------- trained, with a closed form
+
+def q_csv_inferred(spark, sf_dir):
+    """CSV scanned without a schema: types are inferred from the data."""
+    path = scratch_path(spark, "csv-inferred")
+    csv_src.write_csv(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), path)
+    return csv_src.scan_csv(spark, path)
+
+
+def q_filter_boolean(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("returned"))
+    return relational.filter_by(li, "returned")
+
+
+def q_assemble_two_columns(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    vec = features.assemble(li, ["l_quantity", "l_discount"], "features")
+    return features.explode_vector(vec, "features", ["l_orderkey", "l_linenumber"])
+
+
+def q_random_split_summary(spark, sf_dir):
+    """The 70/30 split as two parts: rows, rows in both, rows in none, and whether
+    the shares are within one in fifty of 70/30."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    train, test = splits.random_split(li, [0.7, 0.3], SEED, ["l_orderkey", "l_linenumber"])
+    sides = li.select("*", F.lit(0).alias("train"), F.lit(0).alias("test")).unionByName(
+        train.select("*", F.lit(1).alias("train"), F.lit(0).alias("test"))).unionByName(
+        test.select("*", F.lit(0).alias("train"), F.lit(1).alias("test")))
+    per = sides.groupBy("l_orderkey", "l_linenumber").agg(
+        (F.count(F.lit(1)) - F.sum("train") - F.sum("test")).alias("n"), F.sum("train").alias("a"), F.sum("test").alias("b"))
+    both = F.least("a", "b")
+    return per.agg(
+        F.sum("n").alias("n_rows"), F.sum(both).alias("n_both"), F.sum(F.col("n") - F.col("a") - F.col("b") + both).alias("n_none"),
+        (F.abs(F.sum("a") / F.sum("n") - 0.7) < 0.02).alias("shares_right"))
+
+
+def q_user_daily_series(spark, sf_dir):
+    """The per-user daily panel before training: lags and the as-of reading."""
+    series = fc.load_series(spark, sf_dir, keys=["user_id"], unit="day", observed="view")
+    return series.select("user_id", "hour_ts", "n_events", *[F.round(c, 6).alias(c) for c in ("load", "t_m24", "t_m48", "obs_value")])
+
+
+def q_kmeans_two_groups(spark, sf_dir):
+    """k-means on two groups far apart: the centers are the groups' means."""
+    far = F.when(F.col("l_linestatus") == "F", 0.0).otherwise(10_000.0).alias("far")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", far, "l_quantity")
+    vec = by_key(features.assemble(li, ["far", "l_quantity"]), ["l_orderkey", "l_linenumber"])
+    found = clustering.centers(models.kmeans(k=2, seed=1).fit(vec))
+    return found.groupBy("cluster").pivot("slot", [0, 1]).agg(F.first("value")).select(
+        F.round("0", 4).alias("far"), F.round("1", 6).alias("quantity"))
+
+
+def q_logistic_two_rates(spark, sf_dir):
+    """Logistic regression on one 0/1 feature: the logits of the two rates."""
+    li = _t(spark, sf_dir, "lineitem").select(
+        (F.col("l_returnflag") == "N").cast("double").alias("label"), (F.col("l_quantity") > 25).cast("double").alias("x"))
+    model = models.logistic("label", "features", max_iter=500, tol=1e-12, standardization=False).fit(features.assemble(li, ["x"]))
+    return spark.createDataFrame([(round(float(model.intercept), 4), round(float(model.coefficients[0]), 4))], "intercept double, slope double")
+
+
+def q_isotonic_by_quantity(spark, sf_dir):
+    from kilowatt.operators import learners
+
+    li = _t(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity")
+    model = learners.isotonic(li, "l_extendedprice", "l_quantity")
+    every = li.select(F.col("l_quantity").cast("double").alias("features")).distinct()
+    return model.transform(every).select(F.col("features").alias("quantity"), F.round("prediction", 4).alias("prediction"))
+
+
+def q_gbt_two_rounds(spark, sf_dir):
+    """Two boosting rounds of depth 1: the second tree is fitted to the first
+    one's residuals and added with the learning rate."""
+    li = _t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    vec = features.assemble(li, ["l_quantity"])
+    model = models.gbt("l_extendedprice", "features", max_iter=2, max_depth=1, step_size=GBT_RATE, max_bins=64).fit(vec)
+    every = features.assemble(li.select("l_quantity").distinct(), ["l_quantity"])
+    return model.transform(every).select("l_quantity", F.round("prediction", 4).alias("prediction"))
+
+
+GBT_RATE = 0.1
+
+
+def q_fitted_indexer_stump(spark, sf_dir):
+    """An indexer fitted beforehand as a stage of a pipeline: the tree splits its
+    two categories, so a row's prediction is its category's mean."""
+    li = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_linestatus", F.when(F.col("l_linestatus") == "F", 7.0).otherwise(3.0).alias("code"), "l_extendedprice")
+    vec = features.assemble(li, ["code"])
+    indexer = features.index_categories(vec, "features", "indexedFeatures", max_categories=4)
+    model = models.pipeline([indexer, models.stump("forest", "l_extendedprice", "indexedFeatures")]).fit(vec)
+    return model.transform(vec).select("l_orderkey", "l_linenumber", F.round("prediction", 4).alias("prediction"))
+
+
+def q_cv_depth_grid(spark, sf_dir):
+    """CV over a forest's depth: 0 is the training mean, 1 the best single split."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    data = splits.with_folds(features.assemble(li, ["l_quantity"], "features"), 3, key="l_orderkey")
+    est = models.stump("forest", "l_extendedprice", "features")
+    cv = tuning.cross_validate(est, tuning.grid({est.maxDepth: [0, 1]}), tuning.regression_evaluator("l_extendedprice", "rmse"), data, 3, "fold", 2)
+    return tuning.cv_results(cv).select(
+        F.get_json_object("params", "$.maxDepth").cast("int").alias("max_depth"), F.round("avg_metric", 3).alias("avg_rmse"))
 
 
-def q_panel_forecast_metrics(spark, sf_dir):
-    run = fc.forecast(spark, sf_dir, "forest", keys=["event_type"], axes_override={"numTrees": [20, 40]})
-    return fc.forecast_report(run, "forest_panel_event_type")
+def q_cv_selection_metrics(spark, sf_dir):
+    """The same search judged by each of the four metrics; the chosen setting
+    is the best by that metric."""
+    rows = []
+    for metric in ("rmse", "mse", "r2", "mae"):
+        cv = _cv_linear(spark, sf_dir, metric)
+        better = max if metric == "r2" else min
+        for setting, value in zip(cv.getEstimatorParamMaps(), cv.avgMetrics):
+            rows.append((metric, bool(list(setting.values())[0]), float(f"{value:.6g}"), bool(value == better(cv.avgMetrics))))
+    return spark.createDataFrame(rows, "metric string, fit_intercept boolean, avg_metric double, chosen boolean")
 
 
 def queries() -> dict[str, Query]:
     return {
         "csv_roundtrip": q_csv_roundtrip,
+        "csv_inferred": q_csv_inferred,
+        "filter_boolean": q_filter_boolean,
+        "assemble_two_columns": q_assemble_two_columns,
+        "random_split_summary": q_random_split_summary,
+        "user_daily_series": q_user_daily_series,
+        "kmeans_two_groups": q_kmeans_two_groups,
+        "logistic_two_rates": q_logistic_two_rates,
+        "isotonic_by_quantity": q_isotonic_by_quantity,
+        "gbt_two_rounds": q_gbt_two_rounds,
+        "fitted_indexer_stump": q_fitted_indexer_stump,
+        "cv_depth_grid": q_cv_depth_grid,
+        "cv_selection_metrics": q_cv_selection_metrics,
         "libsvm_roundtrip": q_libsvm_roundtrip,
         "word_count": q_word_count,
         "word_count_saved": q_word_count_saved,
@@ -611,10 +735,14 @@ def queries() -> dict[str, Query]:
         "tokenize_counts": q_tokenize_counts,
         "hash_tf_totals": q_hash_tf_totals,
         "pagerank_5": q_pagerank_5,
-        "frequent_pairs": q_frequent_pairs,
-        "forest_forecast_metrics": _forecast_metrics("forest", None),
-        "gbt_forecast_metrics": _forecast_metrics("gbt", {"maxDepth": [3, 5]}, max_iter=10),
-        "leaf_budget_forecast_metrics": _forecast_metrics("leaf_budget", None, max_iter=10),
+        "frequent_itemsets": q_frequent_itemsets,
+        "association_rules": q_association_rules,
+        "forest_forecast_metrics": _forecast_metrics("forest"),
+        "forest_random_split_metrics": _forecast_metrics("forest", "forest_random_split", split="random"),
+        "forecast_predictions": q_forecast_predictions,
+        "gbt_forecast_metrics": _forecast_metrics("gbt"),
+        "leaf_budget_forecast_metrics": _forecast_metrics("leaf_budget", split="random"),
+        "indexed_gbt_forecast_metrics": _forecast_metrics("indexed_gbt", split="random"),
         "best_params": q_best_params,
         "tree_dump": q_tree_dump,
         "kmeans_centers": q_kmeans_centers,
@@ -629,13 +757,14 @@ def queries() -> dict[str, Query]:
         "forest_classifier_metrics": q_forest_classifier_metrics,
         "kmeans_text_vectors": q_kmeans_text_vectors,
         "stream_kmeans": q_stream_kmeans,
-        "panel_forecast_metrics": q_panel_forecast_metrics,
-        "user_daily_forecast_metrics": q_user_daily_forecast_metrics,
+        "panel_forecast_metrics": _forecast_metrics("forest", "forest_panel_event_type", keys=["event_type"]),
+        # per user and day: lags of the two previous days and the latest 'view' reading
+        # at or before each day (as-of join)
+        "user_daily_forecast_metrics": _forecast_metrics("forest", "forest_user_daily", keys=["user_id"], unit="day", observed="view"),
         "text_scan_word_count": q_text_scan_word_count,
         "delimited_roundtrip": q_delimited_roundtrip,
         "preview_lineitem": q_preview_lineitem,
         "schema_table": q_schema_table,
-        "indexed_gbt_forecast_metrics": q_indexed_gbt_forecast_metrics,
         "single_fit_metrics": q_single_fit_metrics,
         "stream_sentiment_by_source": q_stream_sentiment_by_source,
     }

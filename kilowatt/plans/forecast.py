@@ -12,9 +12,11 @@ the hour's event count.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 from kilowatt.operators import features as fea
 from kilowatt.operators import models, tuning
 from kilowatt.operators.metrics import regression_metrics
-from kilowatt.operators.partitioning import materialize, right_size
+from kilowatt.operators.partitioning import TRAIN_PARTITIONS, by_key, materialize
 from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time
-from kilowatt.operators.splits import time_split
+from kilowatt.operators.relational import before, not_before
+from kilowatt.operators.splits import random_split, time_split, with_folds
 
 # The split of the reference (train before the first day of
 # the test month, test one month, later rows dropped), moved to the
@@ -38,6 +41,7 @@ METRIC_COLS = ("n", "rmse", "mse", "r2", "mae")
 # The reference's parameter grids and CV settings.
 FOREST_NUM_TREES = (60, 80)
 GBT_MAX_DEPTH = (5, 10)
+GBT_ROUNDS = 20
 INDEXED_GBT_MAX_DEPTH = (8, 9)
 INDEXED_GBT_ROUNDS = 300
 CATEGORY_LIMIT = 4
@@ -45,11 +49,17 @@ LEAF_MAX_DEPTH = (3, 4, 5, 6, 7, 8)
 LEAF_NUM_LEAVES = (16, 20, 31, 40, 60)
 LEAF_LEARNING_RATE = (0.05, 0.1)
 CV_FOLDS = 3
+LEAF_CV_FOLDS = 5
+LAGS = (24, 48)
+RANDOM_SPLIT = (0.7, 0.3)
+
+#: Partitions of the training set of one hourly series.
+SERIES_PARTITIONS = 1
 
 
 def load_series(
     spark: SparkSession, sf_dir: str, keys: Sequence[str] = (), unit: str = "hour",
-    observed: str | None = None,
+    observed: str | None = None, start: str | None = None,
 ) -> DataFrame:
     """Load per (keys, period) with 24 h / 48 h lags and calendar fields.
 
@@ -58,16 +68,24 @@ def load_series(
     type), ``obs_value`` is the value of the latest such event of the same
     keys at or before the period start, joined as of that time: an outside
     reading taken at its own times, like the reference's weather columns.
+
+    Events from ``T_END`` on never matter, and with ``start`` only periods from
+    then on are wanted: both bounds are conditions on the raw time column, so
+    they reach the scan. Rows before ``start`` that only serve as lags are
+    part of the result; the caller's split drops them.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = before(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", T_END)
+    readings = events
+    if start:
+        first = dt.datetime.fromisoformat(start) - dt.timedelta(hours=max(LAGS))
+        events = not_before(events, "ts", first)
     series = hourly(events.select("ts", "value", *keys), "ts", "value", keys=keys, unit=unit)
-    series = lag_by_time(series, "hour_ts", LABEL, hours=(24, 48), keys=keys)
+    series = lag_by_time(series, "hour_ts", LABEL, hours=LAGS, keys=keys)
     series = calendar(series, "hour_ts")
     if observed:
-        # the as-of join reads its left side three times (hot-bucket count,
-        # bucket summary, main pass): compute the aggregated series once
-        series = materialize(right_size(series))
-        readings = events.where(F.col("event_type") == observed).select(
+        # the as-of join reads its left side several times: compute it once
+        series = materialize(series)
+        readings = readings.where(F.col("event_type") == observed).select(
             *keys, F.col("ts").alias("obs_ts"), F.col("value").alias("obs_value"), F.col("event_id").alias("obs_id")
         )
         series = asof_join(series, readings, "hour_ts", "obs_ts", keys=keys, right_cols=["obs_value"],
@@ -81,7 +99,7 @@ def split_series(series: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def persistence_metrics(spark: SparkSession, sf_dir: str, keys: Sequence[str] = ()) -> DataFrame:
     """Score ``prediction = t_m24`` on the test window (no training)."""
-    _, test = split_series(load_series(spark, sf_dir, keys))
+    _, test = split_series(load_series(spark, sf_dir, keys, start=T_TEST))
     scored = test.where(F.col("t_m24").isNotNull()).withColumn("prediction", F.col("t_m24"))
     return regression_metrics(scored, LABEL)
 
@@ -93,98 +111,112 @@ class ForecastRun:
     metrics: DataFrame
 
 
-def _estimator(kind: str, seed: int, max_iter: int | None = None):
-    """(stages before the estimator, estimator, default grid axes).
-
-    Defaults are the reference's grids; boosting rounds default to Spark's
-    20 (300 for the indexed pipeline) unless ``max_iter`` is given.
-    """
+def _estimator(kind: str, seed: int):
+    """(stages before the estimator, estimator, grid axes, folds): the reference's."""
     if kind == "indexed_gbt":
         indexer = fea.category_indexer("features", "indexedFeatures", max_categories=CATEGORY_LIMIT, invalid="keep")
-        est = models.gbt(label=LABEL, features="indexedFeatures", max_iter=max_iter or INDEXED_GBT_ROUNDS, seed=seed)
-        return [indexer], est, {est.maxDepth: list(INDEXED_GBT_MAX_DEPTH)}
+        est = models.gbt(label=LABEL, features="indexedFeatures", max_iter=INDEXED_GBT_ROUNDS, seed=seed)
+        return [indexer], est, {est.maxDepth: list(INDEXED_GBT_MAX_DEPTH)}, CV_FOLDS
     if kind == "forest":
         est = models.forest(label=LABEL, features="features", seed=seed)
-        return [], est, {est.numTrees: list(FOREST_NUM_TREES)}
+        return [], est, {est.numTrees: list(FOREST_NUM_TREES)}, CV_FOLDS
     if kind == "gbt":
-        est = models.gbt(label=LABEL, features="features", max_iter=max_iter or 20, seed=seed)
-        return [], est, {est.maxDepth: list(GBT_MAX_DEPTH)}
+        est = models.gbt(label=LABEL, features="features", max_iter=GBT_ROUNDS, seed=seed)
+        return [], est, {est.maxDepth: list(GBT_MAX_DEPTH)}, CV_FOLDS
     if kind == "leaf_budget":
-        est = models.leaf_budget_gbt(max_iter=max_iter or 20, label=LABEL, features="features", seed=seed)
+        indexer = fea.category_indexer("features", "indexedFeatures", max_categories=CATEGORY_LIMIT, invalid="keep")
+        est = models.leaf_budget_gbt(max_iter=GBT_ROUNDS, label=LABEL, features="indexedFeatures", seed=seed)
         depths = sorted({models.leaf_budget_depth(d, n) for d in LEAF_MAX_DEPTH for n in LEAF_NUM_LEAVES})
-        return [], est, {est.maxDepth: depths, est.stepSize: list(LEAF_LEARNING_RATE)}
+        return [indexer], est, {est.maxDepth: depths, est.stepSize: list(LEAF_LEARNING_RATE)}, LEAF_CV_FOLDS
     raise ValueError(kind)
 
 
+def training_rows(
+    spark: SparkSession, sf_dir: str, keys: Sequence[str] = (), unit: str = "hour", observed: str | None = None,
+    split: str = "time", seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of assembled rows (keys, hour_ts, load, features).
+
+    The series is computed once into a checkpoint: training folds and scoring
+    read that, not the events. Rows whose lags are missing (start of a
+    series) are skipped. ``split``: "time" (the test month after the training
+    window) or "random" (70/30 of the window by the hash of the row's keys).
+    """
+    series = load_series(spark, sf_dir, keys, unit=unit, observed=observed)
+    cols = FEATURES + (("obs_value",) if observed else ())
+    rows = fea.assemble(series, cols, "features", invalid="skip").select(*keys, "hour_ts", LABEL, "features")
+    rows = materialize(rows)
+    if split == "random":
+        train, test = random_split(rows, list(RANDOM_SPLIT), seed, [*keys, "hour_ts"])
+        return train, test
+    return split_series(rows)
+
+
 def forecast(
     spark: SparkSession,
     sf_dir: str,
     kind: str = "forest",
     keys: Sequence[str] = (),
     axes_override: dict | None = None,
-    num_folds: int = CV_FOLDS,
-    parallelism: int | None = None,
-    max_iter: int | None = None,
+    num_folds: int | None = None,
+    parallelism: int = 8,
     seed: int = 42,
     select_by: str = "rmse",
     unit: str = "hour",
     observed: str | None = None,
+    split: str = "time",
+    partitions: int | None = None,
 ) -> ForecastRun:
-    """Fit with k-fold CV on the training window and score the test window.
-
-    The assembled training set is cached once before CV (each fold reuses
-    it); rows whose lags are missing (start of a series) are skipped.
+    """Fit with k-fold CV on the training rows and score the test rows.
+
+    Folds come from the hash of the row's keys, and the training set has a
+    fixed layout (:func:`by_key`): the model depends on the rows, the seed and
+    ``partitions`` alone. A series without keys has one row an hour, however
+    many events there are: ``SERIES_PARTITIONS``; a panel has
+    ``TRAIN_PARTITIONS`` unless the caller gives a number that suits its size.
+    ``parallelism`` is how many settings are fitted at once.
     """
-    series = load_series(spark, sf_dir, keys, unit=unit, observed=observed)
-    cols = FEATURES + (("obs_value",) if observed else ())
-    assembled = fea.assemble(series, cols, "features", invalid="skip")
-    train, test = split_series(assembled)
-    train = right_size(train.select(*keys, "hour_ts", LABEL, "features")).cache()
-    pre, est, axes = _estimator(kind, seed, max_iter)
+    partitions = partitions or (TRAIN_PARTITIONS if keys else SERIES_PARTITIONS)
+    train, test = training_rows(spark, sf_dir, keys, unit, observed, split, seed)
+    pre, est, axes, folds = _estimator(kind, seed)
+    folds = num_folds or folds
     if axes_override:
         axes = {getattr(est, name): values for name, values in axes_override.items()}
     depths = [v for p, values in axes.items() if p.name == "maxDepth" for v in values]
     if depths and max(depths) > 10 and est.hasParam("cacheNodeIds"):
         est.setCacheNodeIds(True).setCheckpointInterval(10)  # deep settings in the grid
     maps = tuning.dedupe_grid(tuning.grid(axes))
-    pipe = models.pipeline([*pre, est])
-    evaluator = tuning.regression_evaluator(LABEL, select_by)
-    # every (fold, setting) fit can run at once
-    threads = parallelism or min(len(maps) * num_folds, 16)
-    cv_model = tuning.cross_validate(pipe, maps, evaluator, train, num_folds=num_folds,
-                                     parallelism=threads, seed=seed)
-    train.unpersist()
+    ids = [*keys, "hour_ts"]
+    train = by_key(with_folds(train, folds, ids, seed=seed), ids, partitions)
+    cv_model = tuning.cross_validate(models.pipeline([*pre, est]), maps, tuning.regression_evaluator(LABEL, select_by),
+                                     train, num_folds=folds, fold_col="fold", parallelism=min(parallelism, len(maps)))
     scored = cv_model.transform(test)
-    metrics = regression_metrics(scored, LABEL)
-    return ForecastRun(cv_model, scored, metrics)
+    return ForecastRun(cv_model, scored, regression_metrics(scored, LABEL))
+
+
+def best_setting(run: ForecastRun) -> str:
+    """The chosen setting as ``name=value`` pairs in order of name."""
+    scores = run.cv_model.avgMetrics
+    better = max if run.cv_model.getEvaluator().isLargerBetter() else min
+    chosen = run.cv_model.getEstimatorParamMaps()[scores.index(better(scores))]
+    return ",".join(f"{p.name}={v}" for p, v in sorted(chosen.items(), key=lambda kv: kv[0].name))
 
 
 def forecast_report(run: ForecastRun, kind: str) -> DataFrame:
     """Metrics of the test window with the model kind and chosen setting."""
-    params = ",".join(
-        f"{p.name}={v}" for p, v in sorted(
-            run.cv_model.getEstimatorParamMaps()[
-                max(range(len(run.cv_model.avgMetrics)),
-                    key=lambda i: (-run.cv_model.avgMetrics[i]
-                                   if not run.cv_model.getEvaluator().isLargerBetter()
-                                   else run.cv_model.avgMetrics[i]))
-            ].items(), key=lambda kv: kv[0].name)
-    )
-    return run.metrics.select(F.lit(kind).alias("model"), F.lit(params).alias("best_setting"), *METRIC_COLS)
-
-
-def single_fit_report(spark: SparkSession, sf_dir: str, num_trees: int = 40, seed: int = 42) -> DataFrame:
-    """One forest pipeline fit on the training window (no CV), scored on
-    the test window; reports the fit's wall time as ``train_seconds``."""
-    import time
-
-    series = load_series(spark, sf_dir)
-    assembled = fea.assemble(series, FEATURES, "features", invalid="skip")
-    train, test = split_series(assembled)
+    return run.metrics.select(F.lit(kind).alias("model"), F.lit(best_setting(run)).alias("best_setting"), *METRIC_COLS)
+
+
+def scored_rows(run: ForecastRun) -> DataFrame:
+    """The reference's scored table: (hour_ts, prediction, load, features)."""
+    return run.test_scored.select("hour_ts", "prediction", LABEL, vector_to_array("features").alias("features"))
+
+
+def single_fit_report(spark: SparkSession, sf_dir: str, num_trees: int = 40, seed: int = 42,
+                      partitions: int = SERIES_PARTITIONS) -> DataFrame:
+    """One forest pipeline fit on the training window (no CV), scored on the test window."""
+    train, test = training_rows(spark, sf_dir)
     pipe = models.pipeline([models.forest(label=LABEL, features="features", num_trees=num_trees, seed=seed)])
-    start = time.perf_counter()
-    model = pipe.fit(train)
-    seconds = time.perf_counter() - start
+    model = pipe.fit(by_key(train, ["hour_ts"], partitions))
     metrics = regression_metrics(model.transform(test), LABEL)
-    return metrics.select(F.lit("forest_single_fit").alias("model"), *METRIC_COLS,
-                          F.lit(round(seconds, 3)).alias("train_seconds"))
+    return metrics.select(F.lit("forest_single_fit").alias("model"), *METRIC_COLS)

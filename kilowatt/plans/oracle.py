@@ -105,14 +105,14 @@ _CV_FITS = """
 
 
 def _pagerank_sql(rounds: int) -> str:
-    s, n = C.SUPPLIER_BASE, C.NATION_BASE
+    c, s, n = C.CUSTOMER, C.SUPPLIER, C.NATION
     parts = [f"""
     WITH e AS (
         SELECT DISTINCT src, dst FROM (
-            SELECT o.o_custkey AS src, l.l_suppkey + {s} AS dst
+            SELECT CAST(o.o_custkey AS BIGINT) * 3 + {c} AS src, CAST(l.l_suppkey AS BIGINT) * 3 + {s} AS dst
             FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-            UNION ALL SELECT s_suppkey + {s}, CAST(s_nationkey AS BIGINT) + {n} FROM supplier
-            UNION ALL SELECT CAST(c_nationkey AS BIGINT) + {n}, c_custkey FROM customer
+            UNION ALL SELECT CAST(s_suppkey AS BIGINT) * 3 + {s}, CAST(s_nationkey AS BIGINT) * 3 + {n} FROM supplier
+            UNION ALL SELECT CAST(c_nationkey AS BIGINT) * 3 + {n}, CAST(c_custkey AS BIGINT) * 3 + {c} FROM customer
         ) WHERE src IS NOT NULL AND dst IS NOT NULL
     ),
     deg AS (SELECT src, CAST(COUNT(*) AS DOUBLE) AS d FROM e GROUP BY src),
@@ -131,21 +131,37 @@ def _pagerank_sql(rounds: int) -> str:
     return "".join(parts)
 
 
-def _frequent_pairs_sql() -> str:
-    return f"""
-    WITH b AS (
+# Every subset of every basket, a set as its items in order: grown an item at a time.
+_ITEMSETS = f"""
+    WITH RECURSIVE b AS (
         SELECT DISTINCT l.l_orderkey AS o, p.p_brand AS item
         FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
     ),
-    n AS (SELECT CEIL({C.FP_MIN_SUPPORT} * COUNT(DISTINCT o)) AS mc FROM b),
-    s1 AS (SELECT item AS itemset, COUNT(*) AS freq FROM b GROUP BY item),
-    s2 AS (
-        SELECT x.item || ',' || y.item AS itemset, COUNT(*) AS freq
-        FROM b x JOIN b y ON x.o = y.o AND x.item < y.item GROUP BY x.item, y.item
+    grown AS (
+        SELECT o, item AS itemset, item AS last FROM b
+        UNION ALL
+        SELECT g.o, g.itemset || ',' || b.item, b.item FROM grown g JOIN b ON b.o = g.o AND b.item > g.last
+    ),
+    n AS (SELECT CAST(COUNT(DISTINCT o) AS DOUBLE) AS baskets FROM b),
+    sets AS (
+        SELECT itemset, CAST(COUNT(*) AS BIGINT) AS freq FROM grown GROUP BY itemset
+        HAVING COUNT(*) >= CEIL({C.FP_MIN_SUPPORT} * (SELECT baskets FROM n))
     )
-    SELECT itemset, CAST(freq AS BIGINT) AS freq FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2), n
-    WHERE freq >= n.mc
-    """
+"""
+
+# A rule takes one item of a frequent set as its consequent.
+_RULES = _ITEMSETS + f""",
+    rules AS (
+        SELECT array_to_string(list_filter(string_split(s.itemset, ','), lambda x: x <> c.item), ',') AS antecedent,
+               c.item AS consequent, s.freq AS freq
+        FROM sets s JOIN (SELECT DISTINCT item FROM b) c ON list_contains(string_split(s.itemset, ','), c.item)
+        WHERE s.itemset LIKE '%,%'
+    )
+    SELECT r.antecedent, r.consequent, ROUND(r.freq / a.freq, 8) AS confidence,
+           ROUND((r.freq / a.freq) / (k.freq / n.baskets), 8) AS lift, ROUND(r.freq / n.baskets, 8) AS support
+    FROM rules r JOIN sets a ON a.itemset = r.antecedent JOIN sets k ON k.itemset = r.consequent, n
+    WHERE r.freq / a.freq >= {C.FP_MIN_CONFIDENCE}
+"""
 
 
 def _sentiment_sql() -> str:
@@ -175,6 +191,97 @@ def _sentiment_sql() -> str:
     """
 
 
+# Best single split of l_extendedprice by l_quantity, per value: (x, c rows, f prediction).
+_FIRST_TREE = """
+    WITH v AS (SELECT l_quantity AS x, COUNT(*) AS c, SUM(l_extendedprice) AS s FROM lineitem GROUP BY 1),
+    cum AS (SELECT x, SUM(c) OVER w AS nl, SUM(s) OVER w AS sl, SUM(c) OVER () AS n, SUM(s) OVER () AS st FROM v WINDOW w AS (ORDER BY x)),
+    best AS (
+        SELECT x AS thr, sl / nl AS ml, (st - sl) / (n - nl) AS mr FROM cum WHERE nl < n
+        ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (n - nl) DESC LIMIT 1
+    ),
+    one AS (SELECT x, c, s, CASE WHEN x <= thr THEN ml ELSE mr END AS f FROM v, best)
+"""
+
+# The second tree fits twice the residual (the squared loss's gradient).
+_TWO_ROUNDS = _FIRST_TREE + f""",
+    r AS (SELECT x, c, f, 2 * (s - c * f) AS s FROM one),
+    cum2 AS (SELECT x, SUM(c) OVER w AS nl, SUM(s) OVER w AS sl, SUM(c) OVER () AS n, SUM(s) OVER () AS st FROM r WINDOW w AS (ORDER BY x)),
+    best2 AS (
+        SELECT x AS thr, sl / nl AS ml, (st - sl) / (n - nl) AS mr FROM cum2 WHERE nl < n
+        ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (n - nl) DESC LIMIT 1
+    )
+    SELECT x AS l_quantity, ROUND(f + {C.GBT_RATE} * CASE WHEN x <= thr THEN ml ELSE mr END, 4) AS prediction FROM r, best2
+"""
+
+# Isotonic fit at i: the largest over starts of the least over ends of the mean from start to end.
+_ISOTONIC = """
+    WITH v AS (SELECT CAST(l_quantity AS DOUBLE) AS x, COUNT(*) AS c, SUM(l_extendedprice) AS s FROM lineitem GROUP BY 1),
+    cum AS (SELECT x, SUM(c) OVER w AS cc, SUM(s) OVER w AS ss, c, s FROM v WINDOW w AS (ORDER BY x)),
+    spans AS (
+        SELECT a.x AS lo, b.x AS hi, (b.ss - a.ss + a.s) / (b.cc - a.cc + a.c) AS m FROM cum a JOIN cum b ON b.x >= a.x
+    ),
+    least_end AS (SELECT v.x, spans.lo, MIN(spans.m) AS m FROM v JOIN spans ON spans.lo <= v.x AND spans.hi >= v.x GROUP BY 1, 2)
+    SELECT x AS quantity, ROUND(MAX(m), 4) AS prediction FROM least_end GROUP BY x
+"""
+
+_DEPTH_GRID = """
+    WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, CAST(((l_orderkey % 3) + 3) % 3 AS INTEGER) AS fold FROM lineitem),
+    folds AS (SELECT * FROM (VALUES (0), (1), (2)) t(f)),
+    tr AS (SELECT f, x, COUNT(*) AS c, SUM(y) AS s FROM folds JOIN d ON d.fold <> f GROUP BY f, x),
+    cum AS (
+        SELECT f, x, SUM(c) OVER w AS nl, SUM(s) OVER w AS sl, SUM(c) OVER (PARTITION BY f) AS n, SUM(s) OVER (PARTITION BY f) AS st
+        FROM tr WINDOW w AS (PARTITION BY f ORDER BY x)
+    ),
+    best AS (
+        SELECT f, arg_max(struct_pack(thr := x, ml := sl / nl, mr := (st - sl) / (n - nl), m := st / n),
+                          sl * sl / nl + (st - sl) * (st - sl) / (n - nl)) AS b
+        FROM cum WHERE nl < n GROUP BY f
+    ),
+    ev AS (
+        SELECT f, SQRT(AVG(POWER(y - b.m, 2))) AS r0, SQRT(AVG(POWER(y - CASE WHEN x <= b.thr THEN b.ml ELSE b.mr END, 2))) AS r1
+        FROM best JOIN d ON d.fold = f GROUP BY f
+    )
+    SELECT 0 AS max_depth, ROUND(AVG(r0), 3) AS avg_rmse FROM ev UNION ALL SELECT 1, ROUND(AVG(r1), 3) FROM ev
+"""
+
+_SELECTION = _CV_FITS + """,
+    e AS (
+        SELECT fit.f, d.y, d.y - (fit.b0 + fit.b1 * d.x) AS et, d.y - fit.bz * d.x AS ef FROM fit JOIN d ON d.fold = fit.f
+    ),
+    lng AS (SELECT f, true AS fit_intercept, y, et AS e FROM e UNION ALL SELECT f, false, y, ef FROM e),
+    per AS (
+        SELECT f, fit_intercept, SQRT(AVG(e * e)) AS rmse, AVG(e * e) AS mse, 1 - SUM(e * e) / (COUNT(*) * var_pop(y)) AS r2, AVG(ABS(e)) AS mae
+        FROM lng GROUP BY ALL
+    ),
+    m AS (UNPIVOT (SELECT fit_intercept, AVG(rmse) AS rmse, AVG(mse) AS mse, AVG(r2) AS r2, AVG(mae) AS mae FROM per GROUP BY 1)
+          ON rmse, mse, r2, mae INTO NAME metric VALUE v),
+    c AS (SELECT *, CASE WHEN metric = 'r2' THEN v = MAX(v) OVER (PARTITION BY metric) ELSE v = MIN(v) OVER (PARTITION BY metric) END AS chosen FROM m)
+    SELECT metric, fit_intercept, CAST(printf('%.6g', v) AS DOUBLE) AS avg_metric, chosen FROM c
+"""
+
+_USER_DAYS = f"""
+    WITH ev AS (SELECT * FROM events WHERE ts < TIMESTAMP '{C.fc.T_END}'),
+    h AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS hour_ts, SUM(value) AS load, COUNT(*) AS n_events FROM ev GROUP BY ALL),
+    l AS (
+        SELECT a.*, b.load AS t_m24, c.load AS t_m48 FROM h a
+        LEFT JOIN h b ON b.user_id = a.user_id AND b.hour_ts = a.hour_ts - INTERVAL 24 HOUR
+        LEFT JOIN h c ON c.user_id = a.user_id AND c.hour_ts = a.hour_ts - INTERVAL 48 HOUR
+    ),
+    o AS (SELECT user_id, ts, arg_max(value, event_id) AS obs_value FROM ev WHERE event_type = 'view' GROUP BY ALL)
+    SELECT l.user_id, l.hour_ts, l.n_events, ROUND(l.load, 6) AS load, ROUND(l.t_m24, 6) AS t_m24, ROUND(l.t_m48, 6) AS t_m48,
+           ROUND(o.obs_value, 6) AS obs_value
+    FROM l ASOF LEFT JOIN o ON l.user_id = o.user_id AND l.hour_ts >= o.ts
+"""
+
+
+# lineitem's columns and their Spark types.
+_LINEITEM_TYPES = (
+    ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"),
+    ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string"),
+    ("l_shipdate", "timestamp_ntz"),
+)
+
+
 def oracle_sql() -> dict[str, str]:
     li_cols = (
         "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
@@ -182,6 +289,36 @@ def oracle_sql() -> dict[str, str]:
     )
     return {
         "csv_roundtrip": "SELECT * FROM orders",
+        "schema_table": " UNION ALL ".join(
+            f"SELECT '{c}' AS name, '{t}' AS type, COUNT({c}) AS n_values FROM lineitem" for c, t in _LINEITEM_TYPES),
+        "csv_inferred": """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_totalprice, o_orderpriority
+                           FROM orders""",
+        "filter_boolean": "SELECT l_orderkey, l_linenumber, true AS returned FROM lineitem WHERE l_returnflag = 'R'",
+        "assemble_two_columns": """
+            SELECT l_orderkey, l_linenumber, 0 AS slot, l_quantity AS value FROM lineitem
+            UNION ALL SELECT l_orderkey, l_linenumber, 1, l_discount FROM lineitem
+        """,
+        "random_split_summary": "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_both, CAST(0 AS BIGINT) AS n_none, true AS shares_right FROM lineitem",
+        "user_daily_series": _USER_DAYS,
+        "kmeans_two_groups": """
+            SELECT CASE WHEN l_linestatus = 'F' THEN 0.0 ELSE 10000.0 END::DOUBLE AS far, ROUND(AVG(l_quantity), 6) AS quantity
+            FROM lineitem GROUP BY 1
+        """,
+        "logistic_two_rates": """
+            WITH r AS (
+                SELECT AVG(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT l_quantity > 25) AS p0,
+                       AVG(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END) FILTER (WHERE l_quantity > 25) AS p1
+                FROM lineitem
+            )
+            SELECT ROUND(LN(p0 / (1 - p0)), 4) AS intercept, ROUND(LN(p1 / (1 - p1)) - LN(p0 / (1 - p0)), 4) AS slope FROM r
+        """,
+        "isotonic_by_quantity": _ISOTONIC,
+        "gbt_two_rounds": _TWO_ROUNDS,
+        "fitted_indexer_stump": """
+            SELECT l_orderkey, l_linenumber, ROUND(AVG(l_extendedprice) OVER (PARTITION BY l_linestatus), 4) AS prediction FROM lineitem
+        """,
+        "cv_depth_grid": _DEPTH_GRID,
+        "cv_selection_metrics": _SELECTION,
         "libsvm_roundtrip": """
             SELECT CAST(label AS DOUBLE) AS label, CAST(i - 1 AS INTEGER) AS slot, ROUND(v, 6) AS value
             FROM (
@@ -362,7 +499,8 @@ def oracle_sql() -> dict[str, str]:
         "tokenize_counts": _TOKENS + " SELECT token, COUNT(*) AS count FROM (SELECT unnest(toks) AS token FROM k) GROUP BY token",
         "hash_tf_totals": _TOKENS + " SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_terms FROM k",
         "pagerank_5": _pagerank_sql(C.PAGERANK_ROUNDS),
-        "frequent_pairs": _frequent_pairs_sql(),
+        "frequent_itemsets": _ITEMSETS + " SELECT itemset, freq FROM sets",
+        "association_rules": _RULES,
         "sentiment_by_source": _sentiment_sql(),
         "stream_sentiment_by_source": _sentiment_sql(),
         "text_scan_word_count": _TEXT_FILE_WORDS,

@@ -1,13 +1,12 @@
 """Session helpers: defaults that matter at scale, and the shared scratch area.
 
 Library functions never override settings a cluster already has. The
-builder here is for tests, the bench and local runs; on a cluster the
-caller's session is used as it is.
+builder here is for tests, the bench and runs on one machine; on a cluster
+the caller's session is used as it is.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -47,21 +46,18 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    use_own_folder(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a local
-    session without one gets a fresh folder of its own; a cluster session
-    without one is an error, because a machine-local folder would not
-    survive the loss of an executor.
+    ``spark.checkpoint.dir`` is read from the session; without it this is an
+    error, because a folder of one machine would not survive the loss of an
+    executor. Tests, the bench and the driver entry name one with
+    :func:`use_own_folder` where the session has none.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -69,15 +65,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not _is_local(spark):
-            raise RuntimeError(
-                "spark.checkpoint.dir is unset; name a shared folder (HDFS, S3, ...)"
-            )
-        configured = tempfile.mkdtemp(prefix="kilowatt-ckpt-")
+        raise RuntimeError("spark.checkpoint.dir is unset; name a folder that all executors share")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def use_own_folder(spark: SparkSession) -> None:
+    """Give a session that names no checkpoint folder a new one (one machine only)."""
+    sc = spark.sparkContext
+    one_machine = sc.master == "local" or sc.master.startswith("local[")
+    if one_machine and not sc.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kilowatt-ckpt-"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint area.
 
@@ -86,12 +86,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/kilowatt-scratch/{name}-{uuid.uuid4().hex}"
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for plain filesystem calls in tests."""
-    if path.startswith("file:"):
-        path = path[len("file:") :]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)

@@ -1,7 +1,7 @@
 """Streaming k-means (DAT10) with Structured Streaming.
 
-Points arrive as files; each micro-batch is assigned to the nearest
-current center and reduced to per-cluster (count, vector sum) by a
+Points arrive as files; the centers are driver state, as the caller gives
+them. Each micro-batch is assigned to the nearest current center and reduced to per-cluster (count, vector sum) by a
 distributed aggregation. Only those k rows reach the driver. Centers then
 move by the forgetful update
 
@@ -20,19 +20,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kilowatt.functions.vectors import nearest
-from kilowatt.operators.metrics import MAX_INLINE_VALUES
+from kilowatt.functions.vectors import nearest_of
+from kilowatt.operators.metrics import literal_rows
 from kilowatt.session import scratch_path
 
 
 def _load_state(spark: SparkSession, state_dir: str):
     try:
         st = spark.read.parquet(state_dir)
-    except Exception:  # noqa: BLE001 - no state written yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # any other fault must not look like a fresh start
+            raise
         return None
     last = st.agg(F.max("batch_id")).first()[0]
     if last is None:
@@ -54,8 +57,6 @@ def stream_kmeans(
     """Run the stream over every file now in ``source_dir`` (availableNow)
     and return the final centers as rows (cluster, slot, value, weight)."""
     k, dim = len(init_centers), len(init_centers[0])
-    if k * dim > MAX_INLINE_VALUES:
-        raise ValueError("too many centers x dimensions for streaming k-means")
     work = work_dir or scratch_path(spark, "stream-kmeans")
     state_dir, ckpt = f"{work}/state", f"{work}/checkpoint"
     restored = _load_state(spark, state_dir)
@@ -69,7 +70,8 @@ def stream_kmeans(
         if batch_id <= state["batch"]:
             return  # already applied (replay after a restart)
         x = F.col(features).cast("array<double>")
-        assigned = batch.select(nearest(x, list(enumerate(state["centers"]))).alias("cluster"), x.alias("x"))
+        known = literal_rows([Row(cluster=i, center=c) for i, c in enumerate(state["centers"])], "cluster:int,center:array<double>")
+        assigned = batch.select(nearest_of(x, known)["c"].alias("cluster"), x.alias("x"))
         # one pass: per (cluster, slot) the sum, and the point count (each
         # point gives one row per slot)
         per = assigned.select("cluster", F.posexplode("x").alias("slot", "v")).groupBy("cluster", "slot").agg(

@@ -1,11 +1,10 @@
 """Lexicon scoring over a stream of texts (DAT11, stream-static join).
 
 Texts arrive as files; term occurrences are joined with a static lexicon
-(broadcast after a counted size check, as in the batch operator) and
-totals per group are kept in the streaming state store (one row per
-group). The running totals are written by ``foreachBatch`` to a table
-under the shared checkpoint folder and read back when the stream has
-caught up.
+(stored once; Spark picks the join by its size) and totals per group are
+kept in the streaming state store (one row per group). Each batch's totals
+are written by ``foreachBatch`` to a folder of its own under the shared
+checkpoint folder; the newest is read when the stream has caught up.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from kilowatt.functions.text import java_tokens
 from kilowatt.operators.partitioning import materialize
-from kilowatt.operators.text import MAX_BROADCAST_TERMS, terms_with_bigrams
+from kilowatt.operators.text import terms_with_bigrams
 from kilowatt.session import scratch_path
 
 
@@ -34,11 +33,9 @@ def stream_lexicon_totals(
     work = work_dir or scratch_path(spark, "stream-lexicon")
     out_path, ckpt = f"{work}/totals", f"{work}/checkpoint"
     lex = materialize(lexicon.select(F.col("term").alias("__term"), F.col("score").cast("long").alias("__score")))
-    if lex.count() > MAX_BROADCAST_TERMS:
-        raise ValueError("lexicon too large to broadcast into a stream-static join")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
     occ = stream.select(group, F.explode(terms_with_bigrams(java_tokens(text))).alias("__term"))
-    hits = occ.join(F.broadcast(lex), "__term").select(
+    hits = occ.join(lex, "__term").select(
         group, F.lit(0).alias("__doc"), "__score", F.lit(1).alias("__hit")
     )
     docs = stream.select(group, F.lit(1).alias("__doc"), F.lit(0).cast("long").alias("__score"), F.lit(0).alias("__hit"))
@@ -48,12 +45,15 @@ def stream_lexicon_totals(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # complete mode: every batch holds all groups; the latest replaces the rest
-        batch.write.mode("overwrite").parquet(out_path)
+        # complete mode: every batch holds all groups, in a folder of its own; a
+        # replayed batch writes its folder again, and no other is touched
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     query = (
         totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out_path)
+    written = spark.read.parquet(out_path)
+    newest = written.agg(F.max("batch")).first()[0]
+    return written.where(F.col("batch") == newest).drop("batch")

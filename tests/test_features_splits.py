@@ -36,17 +36,19 @@ def test_index_categories_codes(spark):
 
 def test_random_split_disjoint_complete_repeatable(spark):
     df = spark.range(0, 5000).repartition(4, "id")
-    a = splits.with_random_split(df, [0.7, 0.3], 11, ["train", "test"])
+    a = splits.with_random_split(df, [0.7, 0.3], 11, "id", ["train", "test"])
     counts = {r["split"]: r["count"] for r in a.groupBy("split").count().collect()}
     assert sum(counts.values()) == 5000
     assert 0.65 < counts["train"] / 5000 < 0.75
-    b = splits.with_random_split(df, [0.7, 0.3], 11, ["train", "test"])
+    b = splits.with_random_split(df, [0.7, 0.3], 11, "id", ["train", "test"])
     assert a.exceptAll(b).count() == 0
-    parts = splits.random_split(df, [7, 3], seed=5)
+    elsewhere = splits.with_random_split(df.repartition(9), [0.7, 0.3], 11, "id", ["train", "test"])
+    assert a.exceptAll(elsewhere).count() == 0
+    parts = splits.random_split(df, [7, 3], seed=5, key="id")
     ids = [set(r["id"] for r in p.collect()) for p in parts]
     assert not (ids[0] & ids[1]) and len(ids[0] | ids[1]) == 5000
     with pytest.raises(ValueError):
-        splits.random_split(df, [0.5, 0.5], seed=None)
+        splits.random_split(df, [0.5, 0.5], seed=None, key="id")
 
 
 def test_time_split_bounds(spark):
@@ -78,6 +80,25 @@ def test_key_split_and_folds(spark):
     assert sorted(r["fold"] for r in folds) == [0, 1, 2]
 
 
+def test_null_keys_are_on_one_side_and_in_a_fold(spark):
+    df = spark.createDataFrame([(1,), (8,), (None,), (None,)], "k long")
+    train, test = splits.key_split(df, "k", 10, 7)
+    assert [r["k"] for r in train.collect()] == [1] and sorted([r["k"] for r in test.collect()], key=str) == [8, None, None]
+    named = splits.with_key_split(df, "k", 10, 7)
+    assert named.where("split = 'train'").count() == 1 and named.where("split = 'test'").count() == 3
+    for folds in (splits.with_folds(df, 3, "k"), splits.with_folds(df, 3, "k", seed=1)):
+        assert {r["fold"] for r in folds.collect()} <= {0, 1, 2}
+    parts = splits.random_split(df, [0.5, 0.5], 1, "k")
+    assert sum(p.count() for p in parts) == 4
+
+
+def test_folds_and_split_are_drawn_apart(spark):
+    df = spark.range(0, 4000)
+    train, _ = splits.random_split(df, [0.7, 0.3], 5, "id")
+    sizes = [r["count"] for r in splits.with_folds(train, 5, "id", seed=5).groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and min(sizes) > 400
+
+
 def test_filter_by_requires_boolean(spark):
     df = spark.createDataFrame([(True, "x"), (False, "y")], "b boolean, s string")
     assert relational.filter_by(df, "b").count() == 1

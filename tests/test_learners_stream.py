@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kilowatt.operators import features, learners, models
-from kilowatt.operators.partitioning import materialize, planned_bytes, spread_small
-from kilowatt.operators.text import lexicon_scores
+from kilowatt.operators.partitioning import by_key, materialize, spread_scan
+from kilowatt.operators.text import lexicon_totals
 from kilowatt.streaming.kmeans import stream_kmeans
 
 # Inline ratings fixture (user, item, rating), in the shape of the
@@ -65,34 +65,71 @@ def test_pic_two_components(spark):
     assert got[0] == got[1] == got[2] and got[3] == got[4] and got[0] != got[3]
 
 
-def test_lda_topics_shape(spark):
-    docs = spark.createDataFrame([("apple banana apple fruit",), ("car engine wheel car",),
-                                  ("banana fruit apple",), ("wheel engine car road",)] * 3, "text string")
+def test_lda_topics_name_the_frequent_terms(spark):
+    docs = spark.createDataFrame([("apple banana apple fruit apple banana",), ("car engine wheel car car engine",)] * 20, "text string")
     tok = features.tokenize(docs, "text", "words")
-    cv = learners.count_vectors(tok, "words", min_df=1.0)
-    model = learners.lda(cv.transform(tok), k=2, max_iter=5)
-    t = learners.topics(model, cv.vocabulary, 3).collect()
-    assert len(t) == 6 and {r["topic"] for r in t} == {0, 1}
+    model = learners.lda(learners.hashed_counts(tok, "words", slots=64), k=2, max_iter=30, seed=3)
+    top = learners.topics(model, tok, "words", 3).orderBy("topic", "rank").collect()
+    assert [(r["topic"], r["rank"]) for r in top] == [(t, k) for t in (0, 1) for k in (1, 2, 3)]
+    assert all(a["weight"] >= b["weight"] > 0 for a, b in zip(top, top[1:]) if a["topic"] == b["topic"])
+    assert {r["term"] for r in top} >= {"apple", "car"}
 
 
-def test_lexicon_scores_words_and_phrases(spark):
-    docs = spark.createDataFrame([(1, "Not good at all"), (2, "good good"), (3, ""), (4, None)],
-                                 "doc_id long, text string")
+def test_slot_terms_names_the_most_frequent_term_of_a_slot(spark):
+    """With two slots every term shares one; each slot has its most frequent term."""
+    words = ["a", "b", "c", "d", "e", "f"]
+    tok = spark.createDataFrame([([w] * (i + 1),) for i, w in enumerate(words)], "words array<string>")
+    hashed = learners.hashed_counts(spark.createDataFrame([([w],) for w in words], "words array<string>"), "words", slots=2)
+    slot = {r["words"][0]: int(r["counts"].indices[0]) for r in hashed.collect()}
+    got = {r["slot"]: r["term"] for r in learners.slot_terms(tok, "words", [0, 1], slots=2).collect()}
+    assert got == {k: max(w for w in words if slot[w] == k) for k in set(slot.values())}
+
+
+def test_isotonic_weights_repeated_values(spark):
+    """Rows of one value count as often as they occur; nulls are left out."""
+    rows = [(1.0, 1.0)] * 9 + [(11.0, 1.0), (1.0, 2.0), (None, 1.0), (5.0, None)]
+    curve = learners.isotonic_curve(learners.isotonic(spark.createDataFrame(rows, "y double, x double"), "y", "x")).collect()
+    assert {r["boundary"]: r["prediction"] for r in curve} == pytest.approx({1.0: 21 / 11, 2.0: 21 / 11})
+
+
+def test_lexicon_totals_words_and_phrases(spark):
+    docs = spark.createDataFrame([("a", "Not good at all"), ("a", "good good"), ("b", ""), ("b", None), (None, "all")], "source string, text string")
     lex = spark.createDataFrame([("good", 3), ("not good", -5), ("all", 1)], "term string, score long")
-    got = {r["doc_id"]: (r["score"], r["n_hits"]) for r in lexicon_scores(docs, lex, "text").collect()}
-    assert got == {1: (3 - 5 + 1, 3), 2: (6, 2), 3: (0, 0), 4: (0, 0)}
+    got = {r["source"]: (r["n_docs"], r["total_score"], r["n_hits"]) for r in lexicon_totals(docs, lex, "source").collect()}
+    assert got == {"a": (2, 3 - 5 + 1 + 6, 5), "b": (2, 0, 0), None: (1, 1, 1)}
 
 
-def test_spread_small_and_materialize(spark):
+def test_spread_scan_and_materialize(spark):
     df = spark.range(0, 1000).coalesce(1)
-    assert planned_bytes(df) > 0
-    spread = spread_small(df)
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread_small(df, max_bytes=1) is df
+    assert spread_scan(df, 32).rdd.getNumPartitions() == 32
+    wide = spark.range(0, 1000).repartition(8)
+    assert spread_scan(wide, 32) is wide
     m = materialize(df.withColumn("x", F.col("id") * 2))
     assert m.agg(F.sum("x")).first()[0] == 999 * 1000
 
 
+@pytest.mark.parametrize("kind", ["forest", "gbt"])
+def test_a_model_does_not_depend_on_the_inputs_partitions(spark, kind):
+    """Folds, bootstraps and split candidates come from the rows' keys and the
+    given layout: 1, 4 and 16 input partitions give one model."""
+    from kilowatt.operators import splits, tuning
+    from kilowatt.operators.metrics import regression_metrics
+
+    rnd = random.Random(4)
+    rows = [(i, float(rnd.random()), float(rnd.random())) for i in range(600)]
+    base = spark.createDataFrame(rows, "k long, a double, b double").withColumn("load", F.col("a") * 3 + F.col("b") * F.col("b"))
+    found = set()
+    for n in (1, 4, 16):
+        data = features.assemble(base.repartition(n, F.rand(n)), ["a", "b"]).select("k", "load", "features")
+        train, test = splits.random_split(data, [0.7, 0.3], 5, "k")
+        train = by_key(splits.with_folds(train, 3, "k", seed=5), ["k"], 4)
+        est = models.forest(num_trees=6, seed=5) if kind == "forest" else models.gbt(max_iter=3, seed=5)
+        cv = tuning.cross_validate(est, tuning.grid({est.maxDepth: [2, 3]}), tuning.regression_evaluator(), train, 3, "fold", 2)
+        m = regression_metrics(cv.transform(test), "load").first()
+        found.add((m["n"], round(m["rmse"], 9), round(m["r2"], 9), *(round(x, 9) for x in cv.avgMetrics)))
+    assert len(found) == 1
+
+
 def _batch_update(centers, weights, points, decay=1.0):
     sums = {i: [0.0] * len(centers[0]) for i in range(len(centers))}
     counts = {}
@@ -133,15 +170,67 @@ def test_stream_kmeans_matches_batch_updates_and_resumes(spark, tmp_dir):
     assert again == got
 
 
-def test_right_size_coalesces_small_shuffled_data(spark):
-    from kilowatt.operators.partitioning import right_size
+def _lose(file, folder):
+    """Take a stream's file and its checksum away, as if it had never been written."""
+    import os
+
+    name = os.path.basename(file)
+    for each in (file, os.path.join(os.path.dirname(file), f".{name}.crc")):
+        if os.path.exists(each):
+            os.rename(each, f"{folder}/lost-{os.path.basename(each)}")
+
+
+def test_stream_kmeans_killed_between_state_and_commit(spark, tmp_dir):
+    """A batch whose state is written but whose commit is lost is not applied twice."""
+    import glob
+    import os
+
+    src, work = f"{tmp_dir}/src", f"{tmp_dir}/work"
+    for i, pts in enumerate([[[0.0], [2.0]], [[10.0]]]):
+        spark.createDataFrame([(float(i), p) for p in pts], "id double, x array<double>").coalesce(1).write.parquet(f"{src}/b{i}")
+    run = lambda: {r["cluster"]: (r["value"], r["weight"]) for r in stream_kmeans(
+        spark, f"{src}/b*/*.parquet", "id double, x array<double>", "x", [[1.0], [9.0]], work_dir=work).collect()}
+    first = run()
+    newest = max(glob.glob(f"{work}/checkpoint/commits/*"), key=lambda p: int(os.path.basename(p)))
+    _lose(newest, tmp_dir)
+    assert run() == first == {0: (1.0, 2.0), 1: (10.0, 1.0)}
+
+
+def test_stream_state_that_cannot_be_read_is_an_error(spark, tmp_dir):
+    from kilowatt.streaming.kmeans import _load_state
+
+    assert _load_state(spark, f"{tmp_dir}/nothing") is None
+    import os
+
+    os.makedirs(f"{tmp_dir}/state")
+    with open(f"{tmp_dir}/state/part-0.parquet", "wb") as f:
+        f.write(b"no parquet")
+    with pytest.raises(Exception):
+        _load_state(spark, f"{tmp_dir}/state")
+
+
+def test_stream_lexicon_restarts_after_a_kill(spark, tmp_dir):
+    """Batches one by one, a lost commit, and a batch folder half written."""
+    import glob
+    import os
+
+    from kilowatt.streaming.sentiment import stream_lexicon_totals
+
+    src, work = f"{tmp_dir}/src", f"{tmp_dir}/work"
+    lex = spark.createDataFrame([("good", 2)], "term string, score long")
+    schema = "source string, text string"
+
+    def run():
+        return {r["source"]: (r["n_docs"], r["total_score"], r["n_hits"]) for r in stream_lexicon_totals(
+            spark, f"{src}/b*/*.parquet", schema, lex, "source", work_dir=work).collect()}
+
+    def add(i, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/b{i}")
 
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        spark.conf.set("spark.sql.shuffle.partitions", "64")
-        agg = spark.range(0, 1000).groupBy((F.col("id") % 100).alias("k")).count()
-        sized = right_size(agg)
-        assert sized.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
-        assert sized.count() == 100
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    add(0, [("a", "good"), ("b", "bad")])
+    assert run() == {"a": (1, 2, 1), "b": (1, 0, 0)}
+    add(1, [("a", "good good")])
+    assert run() == {"a": (2, 6, 3), "b": (1, 0, 0)}
+    newest = max(glob.glob(f"{work}/checkpoint/commits/*"), key=lambda p: int(os.path.basename(p)))
+    _lose(newest, tmp_dir)
+    assert run() == {"a": (2, 6, 3), "b": (1, 0, 0)}

@@ -64,7 +64,7 @@ def test_auc_matches_exact_evaluator(spark):
     rows = [(float(rnd.random() < 0.4), float(rnd.randint(0, 20))) for _ in range(2000)]  # heavy ties
     df = spark.createDataFrame(rows, "label double, score double")
     ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(df)
-    got = metrics.auc(df, "label", "score", ranges=7).first()["auc"]
+    got = metrics.auc(df, "label", "score", scores_per_range=3).first()["auc"]
     assert got == pytest.approx(ev, abs=1e-12)
     # brute force: P(s+ > s-) + 0.5 P(s+ == s-)
     pos = [s for y, s in rows if y == 1.0]
@@ -219,3 +219,27 @@ def test_deep_trees_cache_node_ids():
     deep = models.forest(max_depth=15)
     assert deep.getCacheNodeIds() and deep.getCheckpointInterval() == 10
     assert not models.gbt(max_depth=5).getCacheNodeIds()
+
+
+def test_clusters_beyond_one_block_are_scored_alike(spark, monkeypatch):
+    """Centers and statistics that are put into the plan in several blocks."""
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(3 * (i % 6), 1) for _ in range(4)], i % 6) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, c int")
+    from kilowatt.operators import clustering
+
+    def both():
+        cs = clustering.label_centers(df, "x", "c")
+        return (metrics.silhouette(df, "x", "c").first()[0],
+                {r["id"]: r["cluster"] for r in clustering.assign_to(df, "x", cs, keys=["id"]).collect()})
+
+    whole = both()
+    monkeypatch.setattr(metrics, "MAX_INLINE_VALUES", 8)
+    cut = both()
+    assert cut[0] == pytest.approx(whole[0], rel=1e-12) and cut[1] == whole[1]
+
+
+def test_auc_over_many_ranges(spark):
+    rnd = random.Random(6)
+    df = spark.createDataFrame([(float(rnd.random() < 0.4), round(rnd.random(), 2)) for _ in range(2000)], "label double, score double")
+    assert metrics.auc(df, "label", "score", scores_per_range=7).first()[0] == pytest.approx(metrics.auc(df, "label", "score").first()[0], rel=1e-12)

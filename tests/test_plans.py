@@ -50,6 +50,9 @@ def test_asof_join_has_no_window_over_raw_rows_by_key_alone(spark):
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert any("user_id" in k and "__b" in k for k in keys)
     assert "EqualTo(event_type,click)" in plan and "EqualTo(event_type,view)" in plan
+    # left and right are scanned once each beside the stored bucket summary (left
+    # rows without key or time are a scan of their own that reads no such row)
+    assert plan.count("FileScan parquet") <= 3
 
 
 def test_assignment_is_a_single_map(spark):
@@ -58,9 +61,42 @@ def test_assignment_is_a_single_map(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_lexicon_is_broadcast_not_the_exploded_text(spark):
+def test_lexicon_occurrences_are_counted_before_they_are_shuffled(spark):
     plan = _plan(C.q_sentiment_by_source(spark, SF_SMALL))
-    # the broadcast side is the checkpointed lexicon (a scan of an RDD), never the Generate
-    for m in re.finditer(r"BroadcastExchange[^\n]*\n((?:[ :+\-]*[^\n]*\n){1,3})", plan):
-        assert "Generate" not in m.group(1)
-    assert "SortMergeJoin" not in plan or "__term" not in plan.split("SortMergeJoin")[1][:200]
+    assert re.search(r"partial_count[^\n]*\n(?:[^\n]*\n){0,3}?[^\n]*Generate explode", plan)
+
+
+def test_time_window_reaches_the_scan(spark):
+    plan = _plan(C.q_persistence_metrics(spark, SF_SMALL))
+    pushed = re.search(r"PushedFilters: \[([^\]]*)", plan).group(1)
+    assert "GreaterThanOrEqual(ts,2024-01-20T00:00)" in pushed and "LessThan(ts,2024-01-31T00:00)" in pushed
+    assert plan.count("FileScan parquet") == 1
+    panel = _plan(C.fc.load_series(spark, SF_SMALL))
+    assert "LessThan(ts,2024-01-31T00:00)" in panel and panel.count("FileScan parquet") == 1
+
+
+def test_pagerank_rounds_do_not_shuffle_the_links(spark, monkeypatch):
+    """Broadcasts off, as at size: in the plan of a round the persisted links are
+    read without an exchange over them, and nothing is joined on src alone."""
+    from kilowatt.operators import graph
+
+    seen = []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: (seen.append(_plan(df)), real(df))[1])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(0, 400).selectExpr("id % 7 AS src", "id AS dst")
+        graph.pagerank(edges, rounds=1, heavy_degree=10).count()
+        links = _plan(graph.salted_links(edges.distinct(), 10))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    round_plan = seen[-1].split("InMemoryRelation")[0]
+    assert "InMemoryTableScan" in round_plan
+    branch = round_plan[:round_plan.index("InMemoryTableScan")].splitlines()
+    join = max(i for i, line in enumerate(branch) if "SortMergeJoin" in line or "ShuffledHashJoin" in line)
+    assert not any("Exchange" in line for line in branch[join:])
+    joins = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin) \[([^\]]*)\]", links)
+    assert any("part" in keys for keys in joins)  # the edges meet their degree on (src, part)
+    # the other join is over one row per (src, part), not over edges
+    assert len(joins) == 2

@@ -121,3 +121,23 @@ def test_lag_null_key_matches_nothing(spark):
     assert out[("a", base + dt.timedelta(hours=24))] == 3.0
     assert out[(None, base + dt.timedelta(hours=24))] is None
     assert len(out) == 4
+
+
+def test_asof_join_keeps_left_rows_without_key_or_time(spark):
+    """A third of the left rows cannot match; they come back with nulls, around the plan."""
+    left = [(i, None if i % 3 == 0 else "k", None if i % 5 == 0 else dt.datetime(2024, 1, 1, i % 24)) for i in range(300)]
+    ldf = spark.createDataFrame(left, "id int, k string, ts timestamp_ntz")
+    rdf = spark.createDataFrame([(1, "k", dt.datetime(2024, 1, 1, 5)), (2, None, dt.datetime(2024, 1, 1, 1)), (3, "k", None)], "rid int, k string, rts timestamp_ntz")
+    for cap in (4_000_000, 3):
+        got = {r["id"]: r["rid"] for r in asof_join(ldf, rdf, "ts", "rts", keys=["k"], tiebreak="rid", max_bucket_rows=cap).collect()}
+        assert got == {i: 1 if k and t and t.hour >= 5 else None for i, k, t in left}
+
+
+def test_asof_join_with_a_hot_list_too_long_to_send(spark, monkeypatch):
+    from kilowatt.operators import prep
+
+    monkeypatch.setattr(prep, "BROADCAST_BUCKETS", 0)
+    left = spark.createDataFrame([(i, "k", dt.datetime(2024, 1, 1, 0, i % 60)) for i in range(200)], "id int, k string, ts timestamp_ntz")
+    right = spark.createDataFrame([(i, "k", dt.datetime(2024, 1, 1, 0, i)) for i in range(0, 60, 7)], "rid int, k string, rts timestamp_ntz")
+    got = {r["id"]: r["rid"] for r in asof_join(left, right, "ts", "rts", keys=["k"], tiebreak="rid", max_bucket_rows=20).collect()}
+    assert got == {i: (i % 60) // 7 * 7 for i in range(200)}
