@@ -38,7 +38,7 @@ HEADLINE = [
     "assign_given_centers",
     "kmeans_centers",
     "pagerank_5",
-    "frequent_pairs",
+    "frequent_itemsets",
     "forest_forecast_metrics",
     "user_daily_forecast_metrics",
 ]
