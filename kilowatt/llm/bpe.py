@@ -32,7 +32,7 @@ _NONE = np.int64(1 << 40)
 #: Words whose ids a worker keeps; beyond it the table starts anew.
 CACHE_WORDS = 1 << 18
 
-_LETTER, _NUMBER, _SPACE = 1, 2, 3
+LETTER, NUMBER, SPACE = 1, 2, 3
 
 
 def default_path() -> str:
@@ -43,19 +43,19 @@ def default_path() -> str:
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
+def classes() -> np.ndarray:
     """Class of every code point: letter, number, white space or other."""
     table = np.zeros(0x110000, np.uint8)
     for cp in range(0x110000):
         kind = unicodedata.category(chr(cp))[0]
         if kind == "L":
-            table[cp] = _LETTER
+            table[cp] = LETTER
         elif kind == "N":
-            table[cp] = _NUMBER
+            table[cp] = NUMBER
     # Unicode's White_Space property
     for low, high in ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
                       (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
-        table[low:high + 1] = _SPACE
+        table[low:high + 1] = SPACE
     return table
 
 
@@ -78,13 +78,13 @@ def token_starts(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     n = len(points)
     if n == 0:
         return np.zeros(0, np.int64)
-    kind = _classes()[points]
+    kind = classes()[points]
     head = np.zeros(n + 1, bool)
     head[edges] = True
     run = np.ones(n, bool)
     run[1:] = kind[1:] != kind[:-1]
     run |= head[:n]
-    space = kind == _SPACE
+    space = kind == SPACE
     blank = points == 32
     after_blank = np.zeros(n, bool)
     after_blank[1:] = blank[:-1] & ~head[1:n]
@@ -97,7 +97,7 @@ def token_starts(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     quote = np.flatnonzero((points == 39) & start)
     if len(quote):
         quote = quote[(quote + 1 < n)]
-        quote = quote[~head[quote + 1] & (kind[quote + 1] == _LETTER)]
+        quote = quote[~head[quote + 1] & (kind[quote + 1] == LETTER)]
         first = points[quote + 1]
         one = quote[np.isin(first, [ord(c) for c in "stmd"])]
         room = quote[quote + 2 < n]
@@ -243,8 +243,14 @@ class ByteBpe:
         whole = raw.tobytes()
         if any(s.encode() in whole for s in self.special):
             return self._encode_special(whole, offsets)
+        if texts == 1 and len(raw) > 2 * flat.CHUNK_BYTES:
+            return self._encode_long(raw)
+        return self._encode_plain(raw, offsets)
+
+    def _encode_plain(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = len(offsets) - 1
         if len(raw) and int(raw.max()) >= 128:
-            points = np.frombuffer(whole.decode("utf-8").encode("utf-32-le"), np.uint32)
+            points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
             at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
             begins = token_starts(points, np.searchsorted(at, offsets))
             starts = at[begins]
@@ -259,6 +265,20 @@ class ByteBpe:
         np.cumsum(counts, out=total[1:])
         return ids, total[np.searchsorted(starts, offsets)] if texts else np.zeros(1, np.int64)
 
+    def _encode_long(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One long text, a part at a time. A part ends where a space follows a
+        byte that is none: a token always begins there, so the ids are those of
+        the whole; a text without such a place is one part."""
+        cuts = np.flatnonzero((raw[1:] == 32) & (raw[:-1] > 32) & (raw[:-1] < 127)) + 1
+        ends, at = [], 0
+        while at < len(raw):
+            k = np.searchsorted(cuts, at + flat.CHUNK_BYTES)
+            at = int(cuts[k]) if k < len(cuts) else len(raw)
+            ends.append(at)
+        parts = [self._encode_plain(raw[a:b], np.array([0, b - a]))[0] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        ids = np.concatenate(parts)
+        return ids, np.array([0, len(ids)])
+
     def _encode_special(self, whole: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts in which a special token's text stands: what lies between is
         encoded as a text of its own, the special token becomes its id."""

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kilowatt.llm import flat
-from kilowatt.llm.bpe import _LETTER, _classes
+from kilowatt.llm.bpe import LETTER, classes
 from kilowatt.llm.shared import checkpointed
 
 TOP = 300
@@ -45,7 +45,7 @@ def grams(texts: pa.Array, group: np.ndarray | None = None) -> tuple[np.ndarray,
     group = np.arange(n) if group is None else group
     points = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.append(0, group), np.append(1, [len(w) + 1 for w in words]))
-    letter = _classes()[points] == _LETTER
+    letter = classes()[points] == LETTER
     keep = letter.copy()
     keep[0] = True
     keep[1:] |= letter[:-1]

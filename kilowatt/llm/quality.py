@@ -266,20 +266,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "qua
     Null texts and texts without a word: 0. All rows and columns stay; columns
     of these two names are replaced.
     """
-    @F.pandas_udf("score double, weak double")
-    def probability(text):
-        import pandas as pd
-
+    @F.arrow_udf("score double, weak double")
+    def probability(text: pa.Array) -> pa.Array:
         dense = np.zeros(1 << BITS, np.float32)
         dense[model.at] = model.weight
         good, weak = [np.zeros(0)], [np.zeros(0)]
-        for _, texts in flat.chunks(pa.array(text, pa.large_string(), from_pandas=True)):
+        for _, texts in flat.chunks(text):
             n = len(texts)
             stats, words, spans = statistics(texts)
             doc, at, value = features(spans, n)
             good.append(np.where(words > 0, sigmoid(model.bias + np.bincount(doc, dense[at] * value, minlength=n)), 0.0))
             weak.append(np.where(words > 0, model.posterior(_patterns(votes(stats))), 0.0))
-        return pd.DataFrame({"score": np.concatenate(good), "weak": np.concatenate(weak)})
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(good)), pa.array(np.concatenate(weak))], ["score", "weak"])
 
     name = "__quality"
     while name in docs.columns:

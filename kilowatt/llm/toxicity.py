@@ -108,21 +108,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, t
     Null text is scored as empty text (the bias alone); without a model every
     score is 0. All rows and columns stay; a column called ``out`` is replaced.
     """
-    @F.pandas_udf("double")
-    def probability(text):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def probability(text: pa.Array) -> pa.Array:
         if model is None:
-            return pd.Series(np.zeros(len(text)))
+            return pa.array(np.zeros(len(text)))
         at, weight, bias = model
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = weight
         parts = [np.zeros(0)]
-        for _, texts in flat.chunks(pa.array(text, pa.large_string(), from_pandas=True)):
+        for _, texts in flat.chunks(text):
             doc, place = features(texts)
             hit = dense[place] != 0
             doc, place = _distinct(doc[hit], place[hit])
             parts.append(sigmoid(bias + np.bincount(doc, dense[place], minlength=len(texts))))
-        return pd.Series(np.concatenate(parts))
+        return pa.array(np.concatenate(parts))
 
     return docs.withColumn(out, probability(F.col(text_col)))

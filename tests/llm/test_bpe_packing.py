@@ -40,6 +40,16 @@ def test_ids_are_the_librarys(library):
             assert ids[ends[i]:ends[i + 1]].tolist() == want[row + i]
 
 
+def test_a_long_text_is_encoded_in_parts(monkeypatch, library):
+    monkeypatch.setattr(flat, "CHUNK_BYTES", 300)
+    rnd = random.Random(9)
+    own = bpe.load(bpe.default_path())
+    for alphabet in ("ab 'sé  \n.", "abc", "日本 語"):
+        text = "".join(rnd.choice(alphabet) for _ in range(5000))
+        ids, ends = own.encode_flat(*flat.utf8(pa.array([text], pa.large_string())))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and ends.tolist() == [0, len(ids)]
+
+
 def test_a_hash_that_two_words_share_is_found_out(monkeypatch, library):
     own = bpe.ByteBpe(bpe.default_path())
     monkeypatch.setattr(flat, "span_hashes", lambda raw, starts, ends: (ends - starts).astype(np.uint64))
