@@ -71,6 +71,15 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return spans(raw > 32, offsets)
 
 
+#: Letters, digits and bytes of other scripts; all else parts words.
+_INSIDE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+
+
+def alphanumeric_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words: runs of letters and digits, without ASCII signs."""
+    return spans(_INSIDE[raw], offsets)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (shift, multiply): spreads every input bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -1,10 +1,10 @@
 """Near-duplicate documents: ProbMinHash signatures, banding, verification.
 
-A document is its weighted set of word shingles (five lower-cased words; the
-weight is how often a shingle occurs; a shorter text is one shingle). The
-similarity of two documents is the probability Jaccard of these weights:
-the sum over common shingles d of 1 / sum over all shingles e of
-max(a(e) / a(d), b(e) / b(d)); with equal weights it is the Jaccard
+A document is its weighted set of word shingles (five words, lower-cased and
+without ASCII signs; the weight is how often a shingle occurs; a shorter text
+is one shingle). The similarity of two documents is the probability Jaccard
+of these weights: the sum over common shingles d of 1 / sum over all shingles
+e of max(a(e) / a(d), b(e) / b(d)); with equal weights it is the Jaccard
 similarity.
 
 1. Signatures: every shingle is a Poisson process of rate its weight, seeded
@@ -59,7 +59,7 @@ def shingles(texts: pa.Array, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, n
     text and hash; a text of fewer than ``width`` words is one shingle, a text
     without words has none."""
     raw, offsets = flat.utf8(pc.utf8_lower(texts))
-    starts, ends, doc = flat.word_spans(raw, offsets)
+    starts, ends, doc = flat.alphanumeric_spans(raw, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)
     words = flat.span_hashes(raw, starts, ends)

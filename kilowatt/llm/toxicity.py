@@ -28,15 +28,13 @@ EPOCHS = 4
 #: the features of a single document gather in all epochs.
 ALPHA, L1 = 3.0, 10.0
 
-# letters, digits and bytes of other scripts; all else parts words
-_INSIDE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _PAIR, _SKIP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text number, coordinate) of words, pairs and skip-pairs; with repeats."""
     raw, offsets = flat.utf8(pc.utf8_lower(texts))
-    starts, ends, doc = flat.spans(_INSIDE[raw], offsets)
+    starts, ends, doc = flat.alphanumeric_spans(raw, offsets)
     word = flat.span_hashes(raw, starts, ends)
     docs, hashes = [doc], [word]
     for gap, salt in ((1, _PAIR), (2, _SKIP)):
