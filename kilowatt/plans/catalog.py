@@ -697,6 +697,10 @@ def q_cv_selection_metrics(spark, sf_dir):
     return spark.createDataFrame(rows, "metric string, fit_intercept boolean, avg_metric double, chosen boolean")
 
 
+#: Queries with the reference's full grids of boosted trees: one Spark job for each level of each tree.
+SLOW = ("gbt_forecast_metrics", "leaf_budget_forecast_metrics", "indexed_gbt_forecast_metrics")
+
+
 def queries() -> dict[str, Query]:
     return {
         "csv_roundtrip": q_csv_roundtrip,

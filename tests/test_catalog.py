@@ -15,7 +15,7 @@ from tests.conftest import SF_SMALL
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 # Full grids of boosted trees take minutes; test_boosted_forecasts runs the same path on one setting.
-SLOW = {"leaf_budget_forecast_metrics", "indexed_gbt_forecast_metrics", "gbt_forecast_metrics"}
+SLOW = set(C.SLOW)
 
 
 def _norm(v):
