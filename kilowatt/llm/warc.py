@@ -16,11 +16,12 @@ is read by one task.
 
 Segments and chunks end at a character's end, so every record is text and the
 archives are written with Spark's text writer (a record ends with an empty
-line; the writer's line separator is its second half).
+line; the writer's line separator is its second half), compressed with gzip.
 """
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -141,11 +142,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 rows = zip(*(batch.column(k).slice(at, 256).to_pylist() for k in range(5)), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([r for row in rows for r in _records(*row)], pa.string())], names=["value"])
 
-    told.mapInArrow(build, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    told.mapInArrow(build, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of the records of an archive file."""
+    """(header fields in lower case, block) of the records of an archive file,
+    plain or compressed with gzip (as one member or a member for each record)."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)

@@ -77,6 +77,14 @@ def test_segments_in_any_order_and_file(spark):
     assert got == {"1": "é" * 30_000, "2": "x" * 90_000}
 
 
+def test_a_member_for_each_record():
+    import gzip
+
+    records = [r + "\r\n" for r in warc._records("1", "u", "x" * 40_000, "0" * 64, None)]
+    plain = list(warc.parse("".join(records).encode()))
+    assert len(plain) == 3 and plain == list(warc.parse(b"".join(gzip.compress(r.encode()) for r in records)))
+
+
 def test_chunked_framing():
     for size in (0, 1, warc.CHUNK_BYTES, warc.CHUNK_BYTES + 1, 3 * warc.CHUNK_BYTES - 1):
         data = ("é" * size).encode()
