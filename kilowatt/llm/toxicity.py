@@ -49,10 +49,12 @@ def _distinct(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def sample(labels: DataFrame, id_col: str, label_col: str, rows: int) -> DataFrame:
-    """(id, label) of at most ``rows`` labelled ids, by the hash of the id. Null
-    ids and labels are left out; of several labels of an id the largest holds."""
+def sample(labels: DataFrame, id_col: str, label_col: str, rows: int, where: Column | None = None) -> DataFrame:
+    """(id, label) of at most ``rows`` labelled ids for which ``where`` holds, by the
+    hash of the id. Null ids and labels are left out; of several labels of an id
+    the largest holds."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
+    own = own if where is None else own.where(where)
     own = own.groupBy("id").agg(F.max("label").alias("label"))
     return own.orderBy(F.xxhash64("id"), "id").limit(rows)
 
@@ -64,8 +66,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     where: a condition on ``id``, the rows to learn from. The result is bounded
     by 2**BITS weights. Null text is empty text.
     """
-    picked = sample(labels if where is None else labels.withColumnRenamed(id_col, "id").where(where).withColumnRenamed("id", id_col),
-                    id_col, label_col, fit_rows)
+    picked = sample(labels, id_col, label_col, fit_rows, where)
     # at most fit_rows rows of two numbers: small enough to send to every task
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
 

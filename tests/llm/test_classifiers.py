@@ -116,6 +116,8 @@ def test_toxicity_edges(spark):
     rows = [(i, f"you are awful {i}" if i % 2 else f"good day {i}") for i in range(60)] + [(None, "awful"), (99, None), (99, None), (100, ""), (101, "awful " * 40_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit(3)).withColumn("id", F.lit("a")).withColumn("toxicity", F.lit("b"))
     labels = spark.createDataFrame([*[(i, i % 2) for i in range(60)], (3, None), (None, 1), (5, 0)], "doc_id long, toxic int")
+    clash = labels.withColumn("id", F.lit("z")).withColumn("label", F.lit("z"))
+    assert toxicity.fit(docs, clash, where=F.col("id") < 0) is None and toxicity.fit(docs, clash, where=F.col("id") >= 0) is not None
     model = toxicity.fit(docs, labels)
     got = toxicity.score(docs, model).collect()
     assert len(got) == len(rows) and all(0 <= r["toxicity"] <= 1 for r in got)
