@@ -49,13 +49,6 @@ def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spread_scan(_t(spark, sf_dir, "documents").select(*cols))
 
 
-def _lineitem(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """Columns of lineitem, dealt out if one task would read them all (vectors
-    and tree statistics are the expensive part). Only for results that do not
-    depend on where a row is."""
-    return spread_scan(_t(spark, sf_dir, "lineitem").select(*cols))
-
-
 # --------------------------------------------------------------- sources
 
 def q_csv_roundtrip(spark, sf_dir):
@@ -224,13 +217,13 @@ ASSEMBLE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def q_assemble_slots(spark, sf_dir):
-    li = _lineitem(spark, sf_dir, "l_orderkey", "l_linenumber", *ASSEMBLE_COLS)
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *ASSEMBLE_COLS)
     vec = features.assemble(li, ASSEMBLE_COLS, "features")
     return features.explode_vector(vec, "features", ["l_orderkey", "l_linenumber"])
 
 
 def _coded_lineitem(spark, sf_dir):
-    li = _lineitem(spark, sf_dir, "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_discount", "l_tax")
+    li = _t(spark, sf_dir, "lineitem")
     return li.select(
         "l_orderkey", "l_linenumber",
         F.when(F.col("l_returnflag") == "A", -1.0).when(F.col("l_returnflag") == "N", 0.0)
@@ -259,7 +252,7 @@ def q_persistence_metrics(spark, sf_dir):
 
 def _stump_query(kind):
     def q(spark, sf_dir):
-        li = _lineitem(spark, sf_dir, "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+        li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
         vec = features.assemble(li, ["l_quantity"], "features")
         model = models.stump(kind, "l_extendedprice", "features", max_bins=64).fit(vec)
         return model.transform(vec).select("l_orderkey", "l_linenumber", F.round("prediction", 4).alias("prediction"))
