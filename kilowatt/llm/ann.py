@@ -1,13 +1,15 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
-The trees are fitted on a bounded sample (``SAMPLE`` vectors, by the hash of
-their id): a node is split at the median along the line through two of its
-vectors, down to ``LEAF`` sample vectors. Every vector is then put into one
-leaf of each tree. A query searches all trees through one priority queue,
-the branch nearest to it first (by its largest distance from a split on the
-way there), until the leaves it has opened hold ``SHARE`` of the sample, and
-at least ``LEAST`` sample vectors. Vectors and queries meet by leaf, and the
-distances of the candidates are exact.
+The trees are fitted on a bounded sample of the distinct vectors (``SAMPLE``
+of them, by their hash): a node is split at the median along the line through
+two of its vectors, down to ``LEAF`` sample vectors. Every vector is then put
+into one leaf of each tree. A query searches all trees through one priority
+queue, the branch nearest to it first (by its largest distance from a split on
+the way there), until the leaves it has opened hold ``SHARE`` of the sample,
+and at least ``LEAST`` sample vectors; copies are one vector there and use up
+nothing of that. Vectors and queries meet by leaf, and the distances of the
+candidates are exact. Of equal vectors only the rows with the k + 1 smallest
+ids are candidates; no other copy can be among the k nearest of any query.
 
 A leaf with many vectors is cut into parts of ``PART`` rows; its queries go to
 each. A task returns the best of each query, not its candidates.
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kilowatt.llm.shared import checkpointed
 from kilowatt.llm.vectors import matrix, usable
 
 TREES = 16
@@ -104,13 +107,24 @@ class Forest:
         return opened
 
 
+#: 96 bits of its numbers name a vector.
+_NAME = ("h1", "h2")
+
+
+def _named(vectors: DataFrame) -> DataFrame:
+    return vectors.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.hash("vector"))
+
+
 def fit(vectors: DataFrame, sample: int = SAMPLE) -> Forest | None:
-    """A forest over at most ``sample`` of the usable vectors (id, vector), all
-    of the most frequent length; None without any."""
+    """A forest over at most ``sample`` of the distinct usable vectors (id,
+    vector), all of the most frequent length; None without any."""
     length = vectors.groupBy(F.size("vector").alias("length")).count().orderBy(F.col("count").desc(), "length").first()
     if length is None:
         return None
-    picked = vectors.where(F.size("vector") == length["length"]).orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
+    named = _named(vectors.where(F.size("vector") == length["length"]))
+    # names alone are sorted, so only the vectors picked are moved; copies meet in partial sums
+    names = named.select(*_NAME).distinct().orderBy(*_NAME).limit(sample)
+    picked = named.join(F.broadcast(names), [*_NAME], "left_semi").groupBy(*_NAME).agg(F.any_value("vector").alias("vector")).orderBy(*_NAME).select("vector").toArrow()
     return Forest(matrix(picked.column("vector").combine_chunks()))
 
 
@@ -133,6 +147,8 @@ def search(df: DataFrame, is_query: "F.Column", k: int = 10, id_col: str = "vec_
     if forest is None:
         return df.sparkSession.createDataFrame([], result)
     own = own.where(F.size("vector") == forest.length)
+    copy = F.dense_rank().over(W.partitionBy(*_NAME).orderBy("id"))  # its limit is applied before the shuffle too
+    candidates = checkpointed(_named(own).withColumn("copy", copy).where(F.col("copy") <= k + 1).select("id", "vector"))
     spark = df.sparkSession
     model = spark.sparkContext.broadcast(forest)  # at most SAMPLE vectors and as many splits for each tree
 
@@ -143,7 +159,7 @@ def search(df: DataFrame, is_query: "F.Column", k: int = 10, id_col: str = "vec_
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["leaf", "n"])
 
-    counted = own.select("vector").mapInArrow(count, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()  # a row for each leaf of the forest
+    counted = candidates.select("vector").mapInArrow(count, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()  # a row for each leaf of the forest
     parts = np.ones(len(forest.members), np.int64)
     for row in counted:
         parts[row["leaf"]] = -(-row["n"] // PART)
@@ -197,7 +213,7 @@ def search(df: DataFrame, is_query: "F.Column", k: int = 10, id_col: str = "vec_
     id_type = pa.int64() if kind == "bigint" else pa.int32()
     vector_type = df.schema[vector_col].dataType.simpleString()
     schema = f"leaf int, part long, id {kind}, vector {vector_type}"
-    placed = own.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt")).mapInArrow(place, schema)
+    placed = candidates.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt")).mapInArrow(place, schema)
     asked = own.where(is_query).dropDuplicates(["id"]).select("id", "vector").mapInArrow(ask, schema)
     met = placed.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInArrow(nearest, f"query_id {kind}, vec_id {kind}, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

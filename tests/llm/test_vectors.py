@@ -1,6 +1,8 @@
 """Vector near-duplicates and nearest neighbours against all pairs."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,24 @@ def test_query_recall(spark):
     assert _check_nearest(got, ids, rows, [i for i in ids if i % 100 == 0], 10) >= 0.9
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_query_recall_on_a_table_larger_than_the_sample(spark, tmp_dir, hot):
+    """The registered query and its parameters, also with a third of the rows equal."""
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(25_200, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    ids = np.arange(len(rows))
+    copies = (ids % 3 == 1) & hot
+    rows[copies] = rows[1]
+    made = pa.table({"vec_id": pa.array(ids), "embedding": pa.array(list(rows)), "label": pa.array(np.zeros(len(ids), np.int32))})
+    pq.write_table(made, f"{tmp_dir}/embeddings.parquet", row_group_size=4096)
+    got = queries.op10_ann(spark, tmp_dir).toPandas()
+    asked = ids[ids % 100 == 0]
+    assert _check_nearest(got, ids, rows, asked[~copies[asked]], 10) >= 0.9
+    if hot:
+        assert _check_nearest(got, ids, rows, asked[copies[asked]], 10) == 1.0
+
+
 def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (1, [5.0, 5.0], 0), (2, None, 0), (3, [0.0, 0.0], 0), (4, [float("nan"), 1.0], 0), (None, [1.0, 0.1], 0),
             (100, [1.0, 0.0], 0), (5, [1.0, 2.0, 3.0], 0), (200, [0.0, 0.0], 0)]
