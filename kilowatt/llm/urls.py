@@ -6,11 +6,14 @@ All steps are DataFrame operations.
    hexadecimal names ``{id}``. Pages are counted by host and these segments,
    with how many of them a rule allows and how many it blocks. Only this table
    goes through the tree, so a host's copies meet in partial sums.
-2. The tree is walked a level at a time, from the host down. Below a node
-   with many different segments that are rarely repeated, the segment is a
-   variable one and becomes ``*``. Sibling branches with the same profile are
-   merged: a profile is the set of what follows with its share in quarters, so
-   two branches are similar if each share differs by less than a quarter.
+2. The tree is walked twice, a level at a time from the host down. Below a
+   node with many different segments that are rarely repeated, the segment is a
+   variable one and becomes ``*``. The first walk does only that, so that the
+   second one compares branches by what follows with variable segments
+   generalised. There, sibling branches with the same profile are merged: a
+   profile is the set of what follows with its share in quarters, so two
+   branches are similar if each share differs by less than a quarter. If all
+   that follows is too rare for that, the next segments alone are the profile.
 3. Of each template, the share of blocked pages among those that a rule
    decides is smoothed toward one half, so a template that no rule reaches is
    never rejected and one with few such pages rarely. A template is rejected
@@ -68,6 +71,33 @@ def segments(path: Column) -> Column:
     return F.transform(cut, lambda s: F.when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("{id}")).otherwise(F.regexp_replace(s, r"[0-9]+", "#")))
 
 
+def _variable(branch: DataFrame, node: list[str]) -> DataFrame:
+    """(*node, wild) of branch (*node, seg, pages): whether a node's segments are variable."""
+    return branch.groupBy(*node).agg((
+        (F.count(F.lit(1)) >= WILD_SEGMENTS) & (F.sum("pages") < WILD_PAGES * F.count(F.lit(1)))).alias("wild"))
+
+
+def _generalised(counts: DataFrame, depth: int) -> DataFrame:
+    """counts (host, shape, segs, n) with ``*`` for the variable segments of the tree before any merge."""
+    state = counts.select("host", "shape", "segs", "n")
+    for level in range(depth):
+        node = ["host", "prefix"]
+        here = state.withColumn("prefix", F.array_join(F.slice("segs", 1, level), "/")).withColumn("seg", F.try_element_at("segs", F.lit(level + 1)))
+        branch = here.where("seg IS NOT NULL").groupBy(*node, "seg").agg(F.sum("n").alias("pages"))
+        variable = _variable(branch, node).where("wild")
+        put = F.transform("segs", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))
+        state = checkpointed(here.join(variable, node, "left").select("host", "shape", F.when(F.col("wild"), put).otherwise(F.col("segs")).alias("segs"), "n"))
+    return state
+
+
+def _profile(follow: DataFrame, branch: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """(*keys, profile): what follows a branch with a share of an eighth or more, at most eight of
+    them; no row for a branch without any."""
+    share = F.round(4 * F.col("n") / F.col("pages")).cast("int")
+    return follow.groupBy(*keys, what).agg(F.sum("n").alias("n")).join(branch, keys).withColumn("share", share).where("share > 0").groupBy(*keys).agg(
+        F.to_json(F.array_sort(F.collect_list(F.struct(F.col(what), "share")))).alias("profile"))
+
+
 def templates(counts: DataFrame) -> DataFrame:
     """(host, shape, template) of counts (host, shape, segs, n): the walk down the tree.
 
@@ -75,26 +105,26 @@ def templates(counts: DataFrame) -> DataFrame:
     segment, and the least name of those merged for a merged one.
     """
     deepest = counts.agg(F.max(F.size("segs"))).first()[0] or 0
-    state = counts.select("host", "shape", "segs", "n", F.lit("").alias("template"))
-    for level in range(min(deepest, DEPTH)):
+    depth = min(deepest, DEPTH)
+    state = _generalised(counts, depth).withColumn("template", F.lit(""))
+    for level in range(depth):
         tail = F.array_join(F.slice("segs", level + 2, DEPTH), "/")
         here = state.withColumn("seg", F.try_element_at("segs", F.lit(level + 1))).withColumn("tail", tail)
+        here = here.withColumn("next", F.coalesce(F.try_element_at("segs", F.lit(level + 2)), F.lit("")))
         node = ["host", "template"]
         inner = here.where("seg IS NOT NULL")
-        follow = inner.groupBy(*node, "seg", "tail").agg(F.sum("n").alias("n"))
+        follow = inner.groupBy(*node, "seg", "next", "tail").agg(F.sum("n").alias("n"))
         branch = follow.groupBy(*node, "seg").agg(F.sum("n").alias("pages"))
-        parent = branch.groupBy(*node).agg((
-            (F.count(F.lit(1)) >= WILD_SEGMENTS) & (F.sum("pages") < WILD_PAGES * F.count(F.lit(1)))).alias("wild"))
-        # a branch's profile: what follows with a share of an eighth or more, at most eight of them
-        share = F.round(4 * F.col("n") / F.col("pages")).cast("int")
-        profile = follow.join(branch, [*node, "seg"]).withColumn("share", share).where("share > 0").groupBy(*node, "seg", "pages").agg(
-            F.array_sort(F.collect_list(F.struct("tail", "share"))).alias("profile"))
-        key = F.when(F.col("pages") >= MERGE_PAGES, F.to_json("profile")).otherwise(F.concat(F.lit("="), "seg"))
-        keyed = profile.select(*node, "seg", key.alias("profile"))
+        whole = _profile(follow, branch, [*node, "seg"], "tail")
+        coarse = _profile(follow, branch, [*node, "seg"], "next").withColumnRenamed("profile", "coarse")
+        alone = F.concat(F.lit("="), "seg")
+        key = F.when(F.col("pages") >= MERGE_PAGES, F.coalesce("profile", "coarse", alone)).otherwise(alone)
+        # every branch has a name, also one that nothing follows often enough for a profile
+        keyed = branch.join(whole, [*node, "seg"], "left").join(coarse, [*node, "seg"], "left").select(*node, "seg", key.alias("profile"))
         merged = keyed.groupBy(*node, "profile").agg(F.min("seg").alias("name"))
-        named = keyed.join(merged, [*node, "profile"]).join(parent, node).select(
+        named = keyed.join(merged, [*node, "profile"]).join(_variable(branch, node), node).select(
             *node, "seg", F.when(F.col("wild"), F.lit("*")).otherwise(F.col("name")).alias("name"))
-        step = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("name", "seg")))
+        step = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
         state = checkpointed(here.join(named, [*node, "seg"], "left").select("host", "shape", "segs", "n", step.alias("template")))
     end = F.when(F.size("segs") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
     return state.select("host", "shape", end.alias("template"))

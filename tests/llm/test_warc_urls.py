@@ -192,6 +192,31 @@ def test_a_host_of_blocked_templates_is_rejected_where_no_rule_reaches(spark):
     assert got[("one.net", "en")] == "block" and got[("three.org", "en")] == "allow"
 
 
+def _templates(spark, paths):
+    """The template of each (host, path), of pages given as {(host, path): number}."""
+    rows = [(h, p, p.strip("/").split("/"), n) for (h, p), n in paths.items()]
+    return {(r["host"], r["shape"]): r["template"] for r in urls.templates(spark.createDataFrame(rows, "host string, shape string, segs array<string>, n long")).collect()}
+
+
+WORDS = [f"{a}{b}" for a in "bcdfghjklmnprstvwz" for b in ("an", "el", "il", "on", "ur")]
+
+
+def test_branches_with_many_rare_followers_are_merged(spark):
+    """Word slugs, each language with its own 14: none of them has a share of an eighth."""
+    langs = ("en", "es", "fr", "de")
+    pages = [(14 * k + i, f"http://slugs.net/{lang}/{lang}{WORDS[i]}/page") for k, lang in enumerate(langs) for i in range(14)]
+    got = {r["path"]: (r["rule"], r["verdict"], r["template"]) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert {v for p, v in got.items() if p[:4] in ("/en/", "/de/")} == {(None, "block", "/de/*/page")}
+    # followers that differ only further down, in places where no segment is variable
+    paths = {("h", f"{top}/{a}/{b}/{c}"): 1 for top in ("x", "y") for a in "abc" for b in "def" for c in "ghi"}
+    assert set(_templates(spark, paths | {("h", "z/q"): 20}).values()) == {"/x/a/d/g", "/z/q"}
+
+
+def test_a_variable_segment_is_one_also_for_a_branch_with_many_rare_followers(spark):
+    paths = {("h", f"{w}/end"): 1 for w in WORDS[:30]} | {("h", f"big/{w}"): 1 for w in WORDS[:12]}
+    assert {t[:3] for t in _templates(spark, paths).values()} == {"/*/"}
+
+
 def test_url_query(spark):
     sf = "/root/testdata/sf0.1"
     pages = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()]
