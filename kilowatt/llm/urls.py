@@ -7,8 +7,8 @@ All steps are DataFrame operations.
    with how many of them a rule allows and how many it blocks. Only this table
    goes through the tree, so a host's copies meet in partial sums.
 2. The tree is walked twice, a level at a time from the host down. Below a
-   node with many different segments that are rarely repeated, the segment is a
-   variable one and becomes ``*``. The first walk does only that, so that the
+   node with many different segments that are rarely repeated, or of which most
+   have a small share, the segment is a variable one and becomes ``*``. The first walk does only that, so that the
    second one compares branches by what follows with variable segments
    generalised. There, sibling branches with the same profile are merged: a
    profile is the set of what follows with its share in quarters, so two
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from kilowatt.llm.shared import checkpointed
 
 DEPTH = 6
-#: A node's segments are variable if it has so many and this few pages for each.
-WILD_SEGMENTS, WILD_PAGES = 8, 2.0
+#: A node's segments are variable if it has so many and this few pages for each, or this share of them are rare.
+WILD_SEGMENTS, WILD_PAGES, WILD_RARE = 8, 2.0, 0.75
 #: Branches with fewer pages are not merged.
 MERGE_PAGES = 8
 #: How many decided pages the prior share of one half is worth, and the share from which a template is rejected.
@@ -72,9 +72,18 @@ def segments(path: Column) -> Column:
 
 
 def _variable(branch: DataFrame, node: list[str]) -> DataFrame:
-    """(*node, wild) of branch (*node, seg, pages): whether a node's segments are variable."""
-    return branch.groupBy(*node).agg((
-        (F.count(F.lit(1)) >= WILD_SEGMENTS) & (F.sum("pages") < WILD_PAGES * F.count(F.lit(1)))).alias("wild"))
+    """(*node, wild) of branch (*node, seg, pages): the nodes whose segments are variable.
+
+    A segment is rare if its pages are at most one in WILD_SEGMENTS - 1 of those
+    that all but the most frequent segment have. So neither one hot segment nor
+    more pages with the same shares change what is rare.
+    """
+    whole = branch.groupBy(*node).agg(F.count(F.lit(1)).alias("segments"), F.sum("pages").alias("total"), F.max("pages").alias("most"))
+    many = whole.where(F.col("segments") >= WILD_SEGMENTS)
+    rare = F.col("pages") * (WILD_SEGMENTS - 1) <= F.col("total") - F.col("most")
+    known = branch.join(many, node).groupBy(*node).agg((
+        (F.count_if(rare) >= WILD_RARE * F.count(F.lit(1))) | (F.sum("pages") < WILD_PAGES * F.count(F.lit(1)))).alias("wild"))
+    return known.where("wild")
 
 
 def _generalised(counts: DataFrame, depth: int) -> DataFrame:
@@ -84,7 +93,7 @@ def _generalised(counts: DataFrame, depth: int) -> DataFrame:
         node = ["host", "prefix"]
         here = state.withColumn("prefix", F.array_join(F.slice("segs", 1, level), "/")).withColumn("seg", F.try_element_at("segs", F.lit(level + 1)))
         branch = here.where("seg IS NOT NULL").groupBy(*node, "seg").agg(F.sum("n").alias("pages"))
-        variable = _variable(branch, node).where("wild")
+        variable = _variable(branch, node)
         put = F.transform("segs", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))
         state = checkpointed(here.join(variable, node, "left").select("host", "shape", F.when(F.col("wild"), put).otherwise(F.col("segs")).alias("segs"), "n"))
     return state
@@ -122,7 +131,7 @@ def templates(counts: DataFrame) -> DataFrame:
         # every branch has a name, also one that nothing follows often enough for a profile
         keyed = branch.join(whole, [*node, "seg"], "left").join(coarse, [*node, "seg"], "left").select(*node, "seg", key.alias("profile"))
         merged = keyed.groupBy(*node, "profile").agg(F.min("seg").alias("name"))
-        named = keyed.join(merged, [*node, "profile"]).join(_variable(branch, node), node).select(
+        named = keyed.join(merged, [*node, "profile"]).join(_variable(branch, node), node, "left").select(
             *node, "seg", F.when(F.col("wild"), F.lit("*")).otherwise(F.col("name")).alias("name"))
         step = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
         state = checkpointed(here.join(named, [*node, "seg"], "left").select("host", "shape", "segs", "n", step.alias("template")))

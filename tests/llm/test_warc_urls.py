@@ -217,6 +217,15 @@ def test_a_variable_segment_is_one_also_for_a_branch_with_many_rare_followers(sp
     assert {t[:3] for t in _templates(spark, paths).values()} == {"/*/"}
 
 
+@pytest.mark.parametrize("times", [1, 50])
+def test_neither_a_hot_segment_nor_more_pages_end_a_wildcard(spark, times):
+    hot = {("hot", w): 1 for w in WORDS} | {("hot", "front"): 2 * len(WORDS)}
+    several = {("several", f"{w}/end"): 2 + i % 6 for i, w in enumerate(WORDS)}
+    fixed = {("fixed", f"{a}/{w}/{a}"): 1 for a in "abc" for w in WORDS[:20]}
+    got = _templates(spark, {k: times * n for k, n in (hot | several | fixed).items()})
+    assert {(h, t) for (h, _), t in got.items()} == {("hot", "/*"), ("several", "/*/end")} | {("fixed", f"/{a}/*/{a}") for a in "abc"}
+
+
 def test_url_query(spark):
     sf = "/root/testdata/sf0.1"
     pages = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()]
