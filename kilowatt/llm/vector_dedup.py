@@ -6,7 +6,8 @@ from the start, with their number. Every tree splits a node of more than
 random directions: the one, and the quantile near the median, around which
 the fewest vectors lie. Vectors within ``SPILL`` of the split go to both
 sides. A split halves the node at most; nodes around whose every quantile
-too many vectors lie are leaves of any size.
+too many vectors lie are leaves of any size. The number of trees follows from
+the label's size, for a probability of ``MISS`` to lose a pair.
 
 Within a leaf all vectors are compared in blocks by matrix products; only
 counts and the edges of a spanning forest leave the task, never pairs. Large
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,12 @@ from kilowatt.llm.shared import checkpointed, connected_components, spanning_for
 from kilowatt.llm.vectors import matrix, unit, usable
 
 COSINE = 0.93
-TREES = 4
 DIRECTIONS = 12
 LEAF = 1024
+#: A pair at the threshold is lost with this probability at most; and so many trees at least.
+MISS, TREES = 1e-6, 4
+#: How a level shrinks a node.
+SHRINK = 1.55
 #: Half the spill zone, in standard deviations of the projected difference of two vectors at the threshold.
 SPILL = 0.75
 #: Of 19 quantiles, at most so many may lie in the spill zone of a split.
@@ -43,9 +48,22 @@ ZONE = 8
 BROADCAST_NODES = 50_000
 
 
-def _directions(length: int) -> np.ndarray:
-    """TREES x DIRECTIONS unit vectors, a function of the length alone."""
-    return unit(np.random.default_rng(length).normal(size=(TREES * DIRECTIONS, length)))
+def _directions(length: int, trees: int) -> np.ndarray:
+    """trees x DIRECTIONS unit vectors; those of a tree are a function of the length alone."""
+    return unit(np.random.default_rng(length).normal(size=(trees * DIRECTIONS, length)))
+
+
+def _trees(size: "F.Column") -> "F.Column":
+    """How many trees a label of more than LEAF vectors needs, by its depth, so that all lose a pair with MISS at most.
+
+    A level loses a pair that is further apart than the spill zone is wide and
+    has the zone between its two; projections are taken as normal and the split
+    as at their median, where most lie.
+    """
+    bell, wide = NormalDist(), 2 * SPILL
+    beyond = 2 * (bell.pdf(wide) - wide * bell.cdf(-wide))  # by how much a pair exceeds the zone on average
+    lost = 1 - F.pow(F.lit(1 - bell.pdf(0) * math.sqrt(2 - 2 * COSINE) * beyond), F.ceil(F.log(size / LEAF) / math.log(SHRINK)))
+    return F.greatest(F.lit(TREES), F.ceil(math.log(MISS) / F.log(lost))).cast("int")
 
 
 def _options(direction: int) -> "F.Column":
@@ -88,16 +106,18 @@ def _leaves(rows: DataFrame, margin: "F.Column") -> DataFrame:
 
 
 def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, vector) of any lengths -> (cid, tree, proj)."""
+    """(cid, vector, trees) of any lengths -> (cid, tree, proj)."""
     for batch in batches:
         lengths = np.diff(batch.column(1).offsets.to_numpy())
         for length in np.unique(lengths):
             mine = np.flatnonzero(lengths == length)
             part = batch.take(pa.array(mine))
-            made = unit(matrix(part.column(1))) @ _directions(int(length)).T
-            cid = np.repeat(part.column(0).to_numpy(), TREES)
-            tree = np.tile(np.arange(TREES, dtype=np.int32), len(mine))
-            proj = made.astype(np.float32).reshape(-1)
+            trees = part.column(2).to_numpy()
+            made = unit(matrix(part.column(1))) @ _directions(int(length), int(trees.max())).T
+            cid = np.repeat(part.column(0).to_numpy(), trees)
+            has = np.arange(trees.max(), dtype=np.int32) < trees[:, None]
+            tree = np.nonzero(has)[1].astype(np.int32)
+            proj = made.astype(np.float32).reshape(*has.shape, DIRECTIONS)[has].reshape(-1)
             ends = np.arange(len(cid) + 1, dtype=np.int32) * DIRECTIONS
             yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(tree), pa.ListArray.from_arrays(pa.array(ends), pa.array(proj))], names=["cid", "tree", "proj"])
 
@@ -159,7 +179,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     own = own.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.hash("vector")).withColumn("h3", F.size("vector"))
     classes = own.where("ok").groupBy(*key).agg(F.any_value("vector").alias("vector"), F.min("id").alias("first"), F.count(F.lit(1)).alias("count"))
     classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))  # written once, so the numbers stay
-    projected = classes.select("cid", "vector").mapInArrow(_project, "cid long, tree int, proj array<float>")
+    # labels that are split, with their trees
+    deep = classes.groupBy("label", "h3").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF).select("label", "h3", _trees(F.col("size")).alias("trees"))
+    deep = checkpointed(deep)
+    few = deep.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    sized = classes.join(F.broadcast(deep) if few else deep, ["label", "h3"], "left").select("cid", "vector", F.coalesce("trees", F.lit(TREES)).alias("trees"))
+    projected = sized.mapInArrow(_project, "cid long, tree int, proj array<float>")
     spread = math.sqrt(2 - 2 * COSINE) * SPILL
     rooted = projected.join(classes.select("cid", "label", "h3"), "cid").select(
         "cid", F.xxhash64("tree", "label", "h3").alias("root"), "proj", (F.lit(spread) / F.sqrt("h3")).alias("margin"))

@@ -48,6 +48,20 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, leaf):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
+def test_deeper_labels_have_more_trees(spark, monkeypatch):
+    """Pairs just above the threshold, with small leaves and a narrow zone: four trees would lose some of them."""
+    monkeypatch.setattr(vector_dedup, "SPILL", 0.5)
+    monkeypatch.setattr(vector_dedup, "LEAF", 64)
+    rng = np.random.default_rng(3)
+    first, other = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 3000, 64)))
+    other -= (first * other).sum(1, keepdims=True) * first
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    rows = np.concatenate([first, 0.932 * first + np.sqrt(1 - 0.932**2) * other])
+    df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(rows)], SCHEMA)
+    got = vector_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
+    assert (got.n_links == 1).all() and (got.component_id.values == np.arange(6000) % 3000).all()
+
+
 def test_vector_edges(spark):
     v = [1.0, 2.0, 0.0]
     rows = [(1, v, 1), (1, v, 1), (2, [2.0, 4.0, 0.0], 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0, 0.0, 0.0], 1), (7, [float("nan"), 1.0, 0.0], 1),
