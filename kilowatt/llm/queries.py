@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilowatt.llm import ann, bpe, langid, minhash, packing, quality, toxicity, urls, vector_dedup, warc
+from kilowatt.llm import ann, bpe, langid, minhash, mixing, oracle, packing, phrases, quality, toxicity, urls, vector_dedup, warc, whitening
 from kilowatt.llm.shared import shared_folder
 
 
@@ -78,10 +78,24 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_t(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_t(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_t(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_t(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
-        op1_language_id, op2_bpe, op3_minhash, op4_vector_dedup, op5_warc, op6_toxicity, op7_url_filter, op8_quality, op9_packing, op10_ann)}
+        op1_language_id, op2_bpe, op3_minhash, op4_vector_dedup, op5_warc, op6_toxicity, op7_url_filter, op8_quality, op9_packing, op10_ann,
+        op11_mixing, op12_phrases, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
