@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def grid(axes: Mapping[Param, Sequence[Any]]) -> list[dict]:
@@ -68,6 +71,94 @@ def cross_validate(
     ).fit(df)
 
 
+@dataclass
+class LinearFits:
+    """Least-squares fits of one search: (setting, fold or None for all rows) ->
+    (coefficients, intercept), and (setting, fold) -> metrics on that fold."""
+
+    fits: dict[tuple[tuple[bool, float], int | None], tuple[np.ndarray, float]]
+    scores: dict[tuple[tuple[bool, float], int], dict[str, float]]
+
+    def average(self, setting: tuple[bool, float], metric: str) -> float:
+        values = [v[metric] for (s, _), v in self.scores.items() if s == setting]
+        return sum(values) / len(values)
+
+    def best(self, metric: str = "rmse") -> tuple[bool, float]:
+        settings = list(dict.fromkeys(s for s, _ in self.scores))
+        return (max if metric == "r2" else min)(settings, key=lambda s: self.average(s, metric))
+
+
+def linear_cv(df: DataFrame, features: Sequence[str], label: str, settings: Sequence[tuple[bool, float]], folds: int, fold_col: str, mae: bool = True) -> LinearFits:
+    """Cross-validated least squares from one scan: sums by subtraction (TUN2).
+
+    A setting is (fit_intercept, ridge penalty on the sum of squared errors over
+    n). One aggregation gives each fold's sums of products of (1, features,
+    label); a training set's sums are the total less its fold's, and its normal
+    equations are solved from them. Squared errors of a fold follow from its own
+    sums; the mean absolute error needs a second scan (``mae``). Rows with a
+    null label, feature or fold are left out; no rows: no fits. The driver holds
+    folds x (features + 2) squared numbers.
+    """
+    names = [F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(label).cast("double")]
+    rows = df.dropna(subset=[*features, label, fold_col])
+    d = len(names)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    # sums are taken around a first mean, so that no digits are lost to large values
+    middle = rows.agg(*[F.avg(c).alias(str(k)) for k, c in enumerate(names)]).first()
+    at = [0.0] + [float(middle[str(k)] or 0.0) for k in range(1, d)]
+    shifted = [c - F.lit(m) for c, m in zip(names, at, strict=True)]
+    sums = rows.groupBy(F.col(fold_col).alias("fold")).agg(*[F.sum(shifted[i] * shifted[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect()
+    per = {}
+    for row in sums:
+        m = np.zeros((d, d))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = row[f"s{i}_{j}"]
+        back = np.eye(d)
+        back[1:, 0] = at[1:]
+        per[int(row["fold"])] = back @ m @ back.T, m
+    shift = np.array(at)
+
+    def solve(m: np.ndarray, raw: np.ndarray, intercept: bool, reg: float) -> tuple[np.ndarray, float]:
+        n = m[0, 0]
+        if intercept:  # around the training means
+            mean = m[0, 1:] / n
+            own = m[1:, 1:] - n * np.outer(mean, mean)
+            b = np.linalg.lstsq(own[:-1, :-1] + reg * n * np.eye(d - 2), own[:-1, -1], rcond=None)[0]
+            return b, float(mean[-1] + shift[-1] - b @ (mean[:-1] + shift[1:-1]))
+        return np.linalg.lstsq(raw[1:-1, 1:-1] + reg * n * np.eye(d - 2), raw[1:-1, -1], rcond=None)[0], 0.0
+
+    raw, around = (sum((v[k] for v in per.values()), np.zeros((d, d))) for k in (0, 1))
+    fits, scores = {}, {}
+    for setting in settings if per else []:
+        for fold in [None, *range(folds)]:
+            own = per.get(fold, (np.zeros((d, d)),) * 2)
+            fits[setting, fold] = solve(around - own[1], raw - own[0], *setting)
+    for setting in settings if per else []:
+        for fold in [k for k in range(folds) if k in per]:
+            b, a = fits[setting, fold]
+            m = per[fold][1]
+            # the error of a row is (label - middle) - b (x - middle) - c
+            weight = np.concatenate([[-(a + b @ shift[1:-1] - shift[-1])], -b, [1.0]])
+            n, se = m[0, 0], float(weight @ m @ weight)
+            spread = m[-1, -1] - m[0, -1] ** 2 / n
+            found = {"rmse": (max(se, 0.0) / n) ** 0.5, "mse": se / n, "r2": 1 - se / spread if spread else float("nan")}
+            scores[setting, fold] = {k: float(v) for k, v in found.items()}
+    if mae and scores:
+        errors = []
+        for k, setting in enumerate(settings):
+            guess = F.lit(None).cast("double")
+            for fold in range(folds):
+                b, a = fits[setting, fold]
+                value = sum((F.lit(float(w)) * c for w, c in zip(b, names[1:-1], strict=True)), F.lit(a))
+                guess = F.when(F.col(fold_col) == fold, value).otherwise(guess)
+            errors.append(F.avg(F.abs(names[-1] - guess)).alias(str(k)))
+        for row in rows.groupBy(F.col(fold_col).alias("fold")).agg(*errors).collect():
+            for k, setting in enumerate(settings):
+                if (setting, row["fold"]) in scores:
+                    scores[setting, row["fold"]]["mae"] = row[str(k)]
+    return LinearFits(fits, scores)
+
+
 def _plain(v: Any) -> Any:
     if isinstance(v, (bool, int, float, str)) or v is None:
         return v

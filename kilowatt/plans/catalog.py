@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kilowatt.functions.text import java_tokens
 from kilowatt.functions.vectors import to_array, to_vector
-from kilowatt.operators import clustering, features, metrics, models, relational, splits, text, tuning
+from kilowatt.operators import boosting, clustering, features, metrics, models, relational, splits, text, trees, tuning
 from kilowatt.operators.graph import pagerank
 from kilowatt.operators.mining import frequent_itemsets
 from kilowatt.operators.partitioning import by_key, materialize, spread_scan
@@ -260,30 +260,25 @@ def _stump_query(kind):
     return q
 
 
-def _cv_linear(spark, sf_dir, metric="rmse"):
+LINEAR_SETTINGS = ((True, 0.0), (False, 0.0))
+
+
+def _cv_linear(spark, sf_dir, mae=False):
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
-    data = splits.with_folds(features.assemble(li, ["l_quantity"], "features"), 3, key="l_orderkey")
-    est = models.linear("l_extendedprice", "features")
-    maps = tuning.grid({est.fitIntercept: [True, False]})
-    ev = tuning.regression_evaluator("l_extendedprice", metric)
-    return tuning.cross_validate(est, maps, ev, data, num_folds=3, fold_col="fold", parallelism=2)
+    data = splits.with_folds(li, 3, key="l_orderkey")
+    return tuning.linear_cv(data, ["l_quantity"], "l_extendedprice", LINEAR_SETTINGS, 3, "fold", mae)
 
 
 def q_cv_results(spark, sf_dir):
-    res = tuning.cv_results(_cv_linear(spark, sf_dir))
-    return res.select(
-        F.get_json_object("params", "$.fitIntercept").cast("boolean").alias("fit_intercept"),
-        F.round("avg_metric", 4).alias("avg_rmse"),
-    )
+    found = _cv_linear(spark, sf_dir)
+    return spark.createDataFrame([(s[0], round(found.average(s, "rmse"), 4)) for s in LINEAR_SETTINGS], "fit_intercept boolean, avg_rmse double")
 
 
 def q_cv_closed_form(spark, sf_dir):
-    cvm = _cv_linear(spark, sf_dir)
-    m = cvm.bestModel
-    return spark.createDataFrame(
-        [(bool(m.getFitIntercept()), round(float(m.coefficients[0]), 4), round(float(m.intercept), 4))],
-        "fit_intercept boolean, slope double, intercept double",
-    )
+    found = _cv_linear(spark, sf_dir)
+    best = found.best("rmse")
+    slope, intercept = found.fits[best, None]
+    return spark.createDataFrame([(best[0], round(float(slope[0]), 4), round(intercept, 4))], "fit_intercept boolean, slope double, intercept double")
 
 
 def q_assign_given_centers(spark, sf_dir):
@@ -679,17 +674,88 @@ def q_cv_depth_grid(spark, sf_dir):
 
 
 def q_cv_selection_metrics(spark, sf_dir):
-    """The same search judged by each of the four metrics; the chosen setting
-    is the best by that metric."""
-    rows = []
-    for metric in ("rmse", "mse", "r2", "mae"):
-        cv = _cv_linear(spark, sf_dir, metric)
-        better = max if metric == "r2" else min
-        for setting, value in zip(cv.getEstimatorParamMaps(), cv.avgMetrics):
-            rows.append((metric, bool(list(setting.values())[0]), float(f"{value:.6g}"), bool(value == better(cv.avgMetrics))))
+    """One search judged by each of the four metrics; the chosen setting is the
+    best by that metric."""
+    found = _cv_linear(spark, sf_dir, mae=True)
+    rows = [(metric, s[0], float(f"{found.average(s, metric):.6g}"), s == found.best(metric)) for metric in ("rmse", "mse", "r2", "mae") for s in LINEAR_SETTINGS]
     return spark.createDataFrame(rows, "metric string, fit_intercept boolean, avg_metric double, chosen boolean")
 
 
+# ----------------------------------------------------- boosted trees as tables
+
+SMALL_TREE = boosting.Setting(max_depth=3, num_leaves=4, learning_rate=1.0, rounds=1)
+
+
+def _small_tree(spark, sf_dir):
+    """A leaf-wise tree of four leaves over two features, and the rows it is fitted to."""
+    li = _t(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    fits = boosting.fit_many(li, ["l_quantity", "l_discount"], "l_extendedprice", [SMALL_TREE], max_bins=64)
+    start, nodes = fits.of(SMALL_TREE)
+    return li, start, trees.node_table(spark, nodes)
+
+
+def q_leaf_budget_small(spark, sf_dir):
+    """Scored from the node table: the mean label, then the tree's values."""
+    li, start, nodes = _small_tree(spark, sf_dir)
+    every = li.select("l_quantity", "l_discount").distinct()
+    scored = trees.score(every, nodes, ["l_quantity", "l_discount"], start)
+    return scored.select("l_quantity", "l_discount", F.round("prediction", 4).alias("prediction"))
+
+
+def q_tree_nodes(spark, sf_dir):
+    _, start, nodes = _small_tree(spark, sf_dir)
+    return nodes.select("node", "slot", F.round("threshold", 6).alias("threshold"), "n", F.round(F.col("value") + start, 4).alias("value"))
+
+
+def q_forest_rescored(spark, sf_dir):
+    """A fitted model's trees as a table, and every row scored from that."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    model = models.stump("forest", "l_extendedprice", "features", max_bins=64).fit(features.assemble(li, ["l_quantity"], "features"))
+    scored = trees.score(li, trees.model_nodes(model), ["l_quantity"], weights=trees.model_weights(model))
+    return scored.select("l_orderkey", "l_linenumber", F.round("prediction", 4).alias("prediction"))
+
+
+def q_gbt_rescored(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    vec = features.assemble(li, ["l_quantity"])
+    model = models.gbt("l_extendedprice", "features", max_iter=2, max_depth=1, step_size=GBT_RATE, max_bins=64).fit(vec)
+    scored = trees.score(li.select("l_quantity").distinct(), trees.model_nodes(model), ["l_quantity"], weights=trees.model_weights(model))
+    return scored.select("l_quantity", F.round("prediction", 4).alias("prediction"))
+
+
+BOOSTED_CV = (boosting.Setting(1, 2, 1.0, 1), boosting.Setting(1, 2, 0.5, 1))
+
+
+def q_boosted_cv_small(spark, sf_dir):
+    """Two settings and three folds of boosting in one pass."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    data = splits.with_folds(li, 3, key="l_orderkey")
+    fits = boosting.fit_many(data, ["l_quantity"], "l_extendedprice", BOOSTED_CV, 3, "fold", max_bins=64)
+    found = [(s.learning_rate, m["rmse"], m["mae"]) for s, _, m in fits.metrics()]
+    rows = spark.createDataFrame(found, "learning_rate double, rmse double, mae double")
+    return rows.groupBy("learning_rate").agg(F.round(F.avg("rmse"), 3).alias("avg_rmse"), F.round(F.avg("mae"), 3).alias("avg_mae"))
+
+
+def q_indexed_gbt_small(spark, sf_dir):
+    """A category indexer's slot in a boosted tree: the best division of three
+    categories, which no threshold of their codes gives."""
+    code = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 2.0).otherwise(3.0)
+    label = F.when(F.col("l_returnflag") == "N", F.col("l_quantity") + 100).otherwise(F.col("l_quantity"))
+    li = _t(spark, sf_dir, "lineitem").select("l_returnflag", code.alias("code"), label.alias("label"))
+    setting = boosting.Setting(1, None, 0.1, 2, 1, "tree")
+    fits = boosting.fit_many(li, ["code"], "label", [setting], max_categories=4)
+    start, nodes = fits.of(setting)
+    scored = trees.score(li.select("l_returnflag", "code").distinct(), trees.node_table(spark, nodes), ["code"], start)
+    return scored.select("l_returnflag", F.round("prediction", 4).alias("prediction"))
+
+
+def _boosted_metrics(kind):
+    def q(spark, sf_dir):
+        return fc.boosted_report(fc.boosted_forecast(spark, sf_dir, kind), kind)
+
+    return q
+
+
 #: Queries with the reference's full grids of boosted trees: one Spark job for each level of each tree.
 SLOW = ("gbt_forecast_metrics", "leaf_budget_forecast_metrics", "indexed_gbt_forecast_metrics")
 
@@ -745,8 +811,14 @@ def queries() -> dict[str, Query]:
         "forest_random_split_metrics": _forecast_metrics("forest", "forest_random_split", split="random"),
         "forecast_predictions": q_forecast_predictions,
         "gbt_forecast_metrics": _forecast_metrics("gbt"),
-        "leaf_budget_forecast_metrics": _forecast_metrics("leaf_budget", split="random"),
-        "indexed_gbt_forecast_metrics": _forecast_metrics("indexed_gbt", split="random"),
+        "leaf_budget_forecast_metrics": _boosted_metrics("leaf_budget"),
+        "indexed_gbt_forecast_metrics": _boosted_metrics("indexed_gbt"),
+        "leaf_budget_small": q_leaf_budget_small,
+        "tree_nodes": q_tree_nodes,
+        "forest_rescored": q_forest_rescored,
+        "gbt_rescored": q_gbt_rescored,
+        "boosted_cv_small": q_boosted_cv_small,
+        "indexed_gbt_small": q_indexed_gbt_small,
         "best_params": q_best_params,
         "tree_dump": q_tree_dump,
         "kmeans_centers": q_kmeans_centers,

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilowatt.operators import features as fea
-from kilowatt.operators import models, tuning
+from kilowatt.operators import boosting, models, trees, tuning
 from kilowatt.operators.metrics import regression_metrics
 from kilowatt.operators.partitioning import TRAIN_PARTITIONS, by_key, materialize
 from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time
@@ -48,6 +48,8 @@ CATEGORY_LIMIT = 4
 LEAF_MAX_DEPTH = (3, 4, 5, 6, 7, 8)
 LEAF_NUM_LEAVES = (16, 20, 31, 40, 60)
 LEAF_LEARNING_RATE = (0.05, 0.1)
+LEAF_ROUNDS = 100
+LEAF_MIN_ROWS = 20
 CV_FOLDS = 3
 LEAF_CV_FOLDS = 5
 LAGS = (24, 48)
@@ -113,21 +115,12 @@ class ForecastRun:
 
 def _estimator(kind: str, seed: int):
     """(stages before the estimator, estimator, grid axes, folds): the reference's."""
-    if kind == "indexed_gbt":
-        indexer = fea.category_indexer("features", "indexedFeatures", max_categories=CATEGORY_LIMIT, invalid="keep")
-        est = models.gbt(label=LABEL, features="indexedFeatures", max_iter=INDEXED_GBT_ROUNDS, seed=seed)
-        return [indexer], est, {est.maxDepth: list(INDEXED_GBT_MAX_DEPTH)}, CV_FOLDS
     if kind == "forest":
         est = models.forest(label=LABEL, features="features", seed=seed)
         return [], est, {est.numTrees: list(FOREST_NUM_TREES)}, CV_FOLDS
     if kind == "gbt":
         est = models.gbt(label=LABEL, features="features", max_iter=GBT_ROUNDS, seed=seed)
         return [], est, {est.maxDepth: list(GBT_MAX_DEPTH)}, CV_FOLDS
-    if kind == "leaf_budget":
-        indexer = fea.category_indexer("features", "indexedFeatures", max_categories=CATEGORY_LIMIT, invalid="keep")
-        est = models.leaf_budget_gbt(max_iter=GBT_ROUNDS, label=LABEL, features="indexedFeatures", seed=seed)
-        depths = sorted({models.leaf_budget_depth(d, n) for d in LEAF_MAX_DEPTH for n in LEAF_NUM_LEAVES})
-        return [indexer], est, {est.maxDepth: depths, est.stepSize: list(LEAF_LEARNING_RATE)}, LEAF_CV_FOLDS
     raise ValueError(kind)
 
 
@@ -194,6 +187,66 @@ def forecast(
     return ForecastRun(cv_model, scored, regression_metrics(scored, LABEL))
 
 
+def boosted_settings(kind: str) -> list[boosting.Setting]:
+    """The reference's grids of boosted trees over indexed features."""
+    if kind == "indexed_gbt":
+        return [boosting.Setting(depth, None, 0.1, INDEXED_GBT_ROUNDS, 1, "tree") for depth in INDEXED_GBT_MAX_DEPTH]
+    if kind == "leaf_budget":
+        return [boosting.Setting(depth, leaves, rate, LEAF_ROUNDS, LEAF_MIN_ROWS)
+                for depth in LEAF_MAX_DEPTH for leaves in LEAF_NUM_LEAVES for rate in LEAF_LEARNING_RATE]
+    raise ValueError(kind)
+
+
+@dataclass
+class BoostedRun:
+    setting: boosting.Setting
+    averages: dict[boosting.Setting, float]
+    nodes: DataFrame
+    test_scored: DataFrame
+    metrics: DataFrame
+
+
+def boosted_forecast(
+    spark: SparkSession, sf_dir: str, kind: str, settings: Sequence[boosting.Setting] | None = None, folds: int | None = None,
+    split: str = "random", seed: int = 42, select_by: str = "rmse",
+) -> BoostedRun:
+    """All settings and folds of a grid of boosted trees fitted in one pass, the
+    best setting by its mean over the folds, and the test rows scored with that
+    setting's fit on all training rows.
+
+    Which features are categories (at most ``CATEGORY_LIMIT`` values) is found once,
+    on all rows, before the split; bins come from the training rows.
+    """
+    train, test = training_rows(spark, sf_dir, split=split, seed=seed)
+    names = [f"x{k}" for k in range(len(FEATURES))]
+    plain = lambda df: df.select("hour_ts", LABEL, *[vector_to_array("features")[k].alias(c) for k, c in enumerate(names)])
+    train, test = plain(train), plain(test)
+    settings = list(settings or boosted_settings(kind))
+    folds = folds or (LEAF_CV_FOLDS if kind == "leaf_budget" else CV_FOLDS)
+    bins = boosting.MOST_BINS if kind == "leaf_budget" else 32
+    every = boosting.find_slots(train.unionByName(test), names, bins, CATEGORY_LIMIT)
+    slots = [a if a.categories else b for a, b in zip(every, boosting.find_slots(train, names, bins), strict=True)]
+    rows = by_key(with_folds(train, folds, ["hour_ts"], seed=seed), ["hour_ts"], SERIES_PARTITIONS)
+    fits = boosting.fit_many(rows, names, LABEL, settings, folds, "fold", slots=slots)
+    values: dict[boosting.Setting, list[float]] = {s: [] for s in settings}
+    for setting, _, found in fits.metrics():
+        values[setting].append(found[select_by])
+    averages = {s: sum(v) / len(v) for s, v in values.items() if v}
+    best = (max if select_by == "r2" else min)(averages, key=averages.get)
+    start, rows = fits.of(best)
+    nodes = trees.node_table(spark, rows)
+    scored = trees.score(test, nodes, names, start)
+    return BoostedRun(best, averages, nodes, scored, regression_metrics(scored, LABEL))
+
+
+def boosted_report(run: BoostedRun, kind: str) -> DataFrame:
+    """Metrics of the test rows with the model kind and chosen setting."""
+    s = run.setting
+    chosen = {"learningRate": s.learning_rate, "maxDepth": s.max_depth, "numLeaves": s.num_leaves}
+    text = ",".join(f"{k}={v}" for k, v in chosen.items() if v is not None)
+    return run.metrics.select(F.lit(kind).alias("model"), F.lit(text).alias("best_setting"), *METRIC_COLS)
+
+
 def best_setting(run: ForecastRun) -> str:
     """The chosen setting as ``name=value`` pairs in order of name."""
     scores = run.cv_model.avgMetrics

@@ -213,6 +213,97 @@ _TWO_ROUNDS = _FIRST_TREE + f""",
     SELECT x AS l_quantity, ROUND(f + {C.GBT_RATE} * CASE WHEN x <= thr THEN ml ELSE mr END, 4) AS prediction FROM r, best2
 """
 
+def _leaf_wise_sql() -> str:
+    """Three splits, each of the leaf with the largest gain, over cells of two features."""
+    sql = """
+    WITH cells0 AS (SELECT l_quantity AS x0, l_discount AS x1, COUNT(*) AS c, SUM(l_extendedprice) AS s, 1 AS leaf FROM lineitem GROUP BY 1, 2)"""
+    for k in range(3):
+        sql += f""",
+    per{k} AS (
+        SELECT leaf, 0 AS slot, x0 AS x, SUM(c) AS c, SUM(s) AS s FROM cells{k} WHERE leaf < 8 GROUP BY ALL
+        UNION ALL SELECT leaf, 1, x1, SUM(c), SUM(s) FROM cells{k} WHERE leaf < 8 GROUP BY ALL
+    ),
+    run{k} AS (
+        SELECT leaf, slot, x, SUM(c) OVER w AS nl, SUM(s) OVER w AS sl, SUM(c) OVER (PARTITION BY leaf, slot) AS n, SUM(s) OVER (PARTITION BY leaf, slot) AS st
+        FROM per{k} WINDOW w AS (PARTITION BY leaf, slot ORDER BY x)
+    ),
+    pick{k} AS (
+        SELECT leaf, slot, x FROM run{k} WHERE nl < n
+        ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (n - nl) - st * st / n DESC, slot, x LIMIT 1
+    ),
+    cells{k + 1} AS (
+        SELECT x0, x1, c, s, CASE WHEN z.leaf <> p.leaf THEN z.leaf
+                                  WHEN CASE WHEN p.slot = 0 THEN x0 ELSE x1 END <= p.x THEN 2 * z.leaf ELSE 2 * z.leaf + 1 END AS leaf
+        FROM cells{k} z, pick{k} p
+    )"""
+    return sql
+
+
+_LEAF_WISE = _leaf_wise_sql()
+_LEAF_WISE_SCORED = _LEAF_WISE + """
+    SELECT x0 AS l_quantity, x1 AS l_discount, ROUND(SUM(s) OVER w / SUM(c) OVER w, 4) AS prediction FROM cells3 WINDOW w AS (PARTITION BY leaf)
+"""
+# A threshold lies half-way to the next value there is.
+_LEAF_WISE_NODES = _LEAF_WISE + """,
+    grid AS (
+        SELECT 0 AS slot, x, LEAD(x) OVER (ORDER BY x) AS above FROM (SELECT DISTINCT x0 AS x FROM cells0)
+        UNION ALL SELECT 1, x, LEAD(x) OVER (ORDER BY x) FROM (SELECT DISTINCT x1 AS x FROM cells0)
+    ),
+    picks AS (SELECT * FROM pick0 UNION ALL SELECT * FROM pick1 UNION ALL SELECT * FROM pick2),
+    split AS (SELECT p.leaf, p.slot, (p.x + g.above) / 2 AS threshold FROM picks p JOIN grid g ON g.slot = p.slot AND g.x = p.x),
+    passed AS (
+        SELECT leaf, c, s FROM cells0 UNION ALL SELECT z.leaf, c, s FROM cells1 z, pick0 p WHERE z.leaf // 2 = p.leaf
+        UNION ALL SELECT z.leaf, c, s FROM cells2 z, pick1 p WHERE z.leaf // 2 = p.leaf
+        UNION ALL SELECT z.leaf, c, s FROM cells3 z, pick2 p WHERE z.leaf // 2 = p.leaf
+    ),
+    total AS (SELECT SUM(s) / SUM(c) AS mean FROM cells0),
+    node AS (SELECT leaf, SUM(c) AS n, SUM(s) AS s FROM passed GROUP BY leaf)
+    SELECT CAST(node.leaf AS INTEGER) AS node, CAST(split.slot AS INTEGER) AS slot, ROUND(split.threshold, 6) AS threshold,
+           CAST(node.n AS BIGINT) AS n, ROUND(node.s / node.n, 4) AS value
+    FROM node LEFT JOIN split ON split.leaf = node.leaf
+"""
+
+# One tree of two leaves for each fold, added whole and by half to the mean.
+_BOOSTED_CV = """
+    WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, CAST(((l_orderkey % 3) + 3) % 3 AS INTEGER) AS fold FROM lineitem),
+    folds AS (SELECT * FROM (VALUES (0), (1), (2)) t(f)),
+    tr AS (SELECT f, x, COUNT(*) AS c, SUM(y) AS s FROM folds JOIN d ON d.fold <> f GROUP BY f, x),
+    cum AS (
+        SELECT f, x, SUM(c) OVER w AS nl, SUM(s) OVER w AS sl, SUM(c) OVER (PARTITION BY f) AS n, SUM(s) OVER (PARTITION BY f) AS st
+        FROM tr WINDOW w AS (PARTITION BY f ORDER BY x)
+    ),
+    nxt AS (SELECT f, x, LEAD(x) OVER (PARTITION BY f ORDER BY x) AS above FROM (SELECT DISTINCT folds.f, d.x FROM folds, d)),
+    best AS (
+        SELECT cum.f, arg_max(struct_pack(thr := (cum.x + nxt.above) / 2, ml := sl / nl, mr := (st - sl) / (n - nl), m := st / n),
+                              sl * sl / nl + (st - sl) * (st - sl) / (n - nl)) AS b
+        FROM cum JOIN nxt ON nxt.f = cum.f AND nxt.x = cum.x WHERE nl < n GROUP BY cum.f
+    ),
+    rates AS (SELECT * FROM (VALUES (1.0::DOUBLE), (0.5::DOUBLE)) t(rate)),
+    e AS (
+        SELECT rate, f, y - (b.m + rate * (CASE WHEN x <= b.thr THEN b.ml ELSE b.mr END - b.m)) AS e FROM best JOIN d ON d.fold = f, rates
+    ),
+    per AS (SELECT rate, f, SQRT(AVG(e * e)) AS rmse, AVG(ABS(e)) AS mae FROM e GROUP BY ALL)
+    SELECT rate AS learning_rate, ROUND(AVG(rmse), 3) AS avg_rmse, ROUND(AVG(mae), 3) AS avg_mae FROM per GROUP BY rate
+"""
+
+# Categories in the order of their means; the second tree fits twice the residual.
+_INDEXED_GBT = """
+    WITH v AS (
+        SELECT l_returnflag AS k, COUNT(*) AS c, SUM(l_quantity + CASE WHEN l_returnflag = 'N' THEN 100 ELSE 0 END) AS s FROM lineitem GROUP BY 1
+    ),
+    one AS (
+        SELECT k, c, s, SUM(c) OVER w AS nl, SUM(s) OVER w AS sl, SUM(c) OVER () AS n, SUM(s) OVER () AS st, s / c AS m FROM v WINDOW w AS (ORDER BY s / c)
+    ),
+    cut AS (SELECT m AS upto, sl / nl AS ml, (st - sl) / (n - nl) AS mr FROM one WHERE nl < n
+            ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (n - nl) DESC LIMIT 1),
+    first AS (SELECT k, c, s, CASE WHEN m <= upto THEN ml ELSE mr END AS f FROM one, cut),
+    rest AS (SELECT k, c, f, 2 * (s - c * f) AS s FROM first),
+    two AS (SELECT k, f, SUM(c) OVER w AS nl, SUM(s) OVER w AS sl, SUM(c) OVER () AS n, SUM(s) OVER () AS st, s / c AS m FROM rest WINDOW w AS (ORDER BY s / c)),
+    cut2 AS (SELECT m AS upto, sl / nl AS ml, (st - sl) / (n - nl) AS mr FROM two WHERE nl < n
+             ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (n - nl) DESC LIMIT 1)
+    SELECT k AS l_returnflag, ROUND(f + 0.1 * CASE WHEN m <= upto THEN ml ELSE mr END, 4) AS prediction FROM two, cut2
+"""
+
 # Isotonic fit at i: the largest over starts of the least over ends of the mean from start to end.
 _ISOTONIC = """
     WITH v AS (SELECT CAST(l_quantity AS DOUBLE) AS x, COUNT(*) AS c, SUM(l_extendedprice) AS s FROM lineitem GROUP BY 1),
@@ -318,6 +409,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_orderkey, l_linenumber, ROUND(AVG(l_extendedprice) OVER (PARTITION BY l_linestatus), 4) AS prediction FROM lineitem
         """,
         "cv_depth_grid": _DEPTH_GRID,
+        "leaf_budget_small": _LEAF_WISE_SCORED,
+        "tree_nodes": _LEAF_WISE_NODES,
+        "forest_rescored": _stump_sql(),
+        "gbt_rescored": _TWO_ROUNDS,
+        "boosted_cv_small": _BOOSTED_CV,
+        "indexed_gbt_small": _INDEXED_GBT,
         "cv_selection_metrics": _SELECTION,
         "libsvm_roundtrip": """
             SELECT CAST(label AS DOUBLE) AS label, CAST(i - 1 AS INTEGER) AS slot, ROUND(v, 6) AS value
