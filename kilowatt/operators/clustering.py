@@ -8,7 +8,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilowatt.functions.vectors import nearest_of
+from kilowatt.functions.vectors import nearest_of, squared_distance
 from kilowatt.operators.metrics import _as_array, cluster_stats, in_blocks, literal_rows
 from kilowatt.operators.partitioning import materialize
 
@@ -42,3 +42,25 @@ def assign_to(
         here = nearest_of(x, known)
         best = here if best is None else F.least(best, here)
     return df.select(*(keys or df.columns), best["c"].cast(centers_df.schema["cluster"].dataType).alias(out))
+
+
+def lloyd(df: DataFrame, features: str, centers_df: DataFrame, rounds: int = 20, tol: float = 0.0) -> DataFrame:
+    """Centers (cluster, center) after Lloyd's rounds from given centers.
+
+    A round assigns every point to its nearest center (a map, see
+    :func:`assign_to`) and takes the mean of each cluster (a partial
+    aggregation); a cluster without points keeps its center. It ends after
+    ``rounds``, or when no center has moved further than ``tol``. Points with a
+    null vector are left out.
+    """
+    points = df.where(F.col(features).isNotNull())
+    now = materialize(centers_df.select("cluster", F.col("center").cast("array<double>").alias("center")))
+    for _ in range(rounds):
+        told = assign_to(points.select(features), features, now, [features], "__cluster")
+        means = label_centers(told, features, "__cluster").toDF("cluster", "mean")
+        both = materialize(now.join(means, "cluster", "left").select("cluster", "center", F.coalesce("mean", "center").alias("next")))
+        moved = both.agg(F.max(F.sqrt(squared_distance(F.col("center"), F.col("next"))))).first()[0]
+        now = both.select("cluster", F.col("next").alias("center"))
+        if moved is None or moved <= tol:
+            break
+    return now

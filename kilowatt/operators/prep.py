@@ -41,6 +41,37 @@ def hourly(
     )
 
 
+#: Periods of one piece of a key's grid.
+GRID_PIECE = 4_096
+
+
+def regular(series: DataFrame, ts: str, value: str, keys: Sequence[str] = (), unit: str = "hour", fill: float | None = 0.0,
+            counts: Sequence[str] = ()) -> DataFrame:
+    """series with a row for every period between the first and the last of each
+    key: (keys, ts, value, counts).
+
+    A period without a row has the value ``fill`` (None: null), and 0 in the
+    columns ``counts``. ``series`` has one row per (keys, ts), as :func:`hourly`
+    gives. A key's grid is made in pieces of GRID_PIECE periods that are dealt
+    out before they are filled in, so one key over many years is not one task.
+    Rows with a null time are left out; a null key is a key of its own.
+    """
+    step = F.expr(f"INTERVAL 1 {unit}")
+    piece = F.expr(f"INTERVAL {GRID_PIECE} {unit}")
+    own = series.where(F.col(ts).isNotNull()).select(*keys, ts, value, *counts)
+    ends = own.groupBy(*keys).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
+    # without keys an empty series has one row of nulls
+    begun = ends.where("first IS NOT NULL").select(*keys, "last", F.explode(F.sequence("first", "last", piece)).alias("begin")).repartition(*keys, "begin")
+    upto = F.least(F.col("last"), F.col("begin") + piece - step)
+    grid = begun.select(*keys, F.explode(F.sequence(F.col("begin"), upto, step)).alias(ts))
+    empty = grid.select(*keys, ts, F.lit(None).cast(own.schema[value].dataType).alias(value), *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in counts], F.lit(0).alias("there"))
+    # one shuffle on (keys, time): a grid row and at most one of the series meet
+    met = empty.unionByName(own.withColumn("there", F.lit(1))).groupBy(*keys, ts).agg(
+        F.max("there").alias("there"), F.max(value).alias(value), *[F.max(c).alias(c) for c in counts])
+    filled = F.when(F.col("there") == 1, F.col(value)).otherwise(F.lit(fill))
+    return met.select(*keys, ts, filled.alias(value), *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+
 def calendar(df: DataFrame, ts: str) -> DataFrame:
     """Add dow (1 = Sunday), doy, day, month, hour, minute of ``ts``."""
     return df.select("*", *calendar_columns(ts))

@@ -10,16 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilowatt.functions.text import java_tokens
 from kilowatt.functions.vectors import to_array, to_vector
-from kilowatt.operators import boosting, clustering, features, metrics, models, relational, splits, text, trees, tuning
+from kilowatt.operators import boosting, clustering, features, metrics, models, ranking, relational, splits, text, trees, tuning
 from kilowatt.operators.graph import pagerank
 from kilowatt.operators.mining import frequent_itemsets
 from kilowatt.operators.partitioning import by_key, materialize, spread_scan
-from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time
+from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time, regular
 from kilowatt.plans import forecast as fc
 from kilowatt.session import scratch_path
 from kilowatt.sources import csv as csv_src
@@ -749,6 +749,94 @@ def q_indexed_gbt_small(spark, sf_dir):
     return scored.select("l_returnflag", F.round("prediction", 4).alias("prediction"))
 
 
+# ------------------------------------- ranking, clusters, topics, regular series
+
+RANKING_K = 5
+
+
+def q_ranking_metrics(spark, sf_dir):
+    """Parts a customer bought, by quantity, against those sent back."""
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user"))
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item"), "l_quantity", "l_returnflag")
+    bought = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    scored = bought.groupBy("user", "item").agg(F.sum("l_quantity").alias("score"))
+    out = ranking.ranking_metrics(scored, bought.where("l_returnflag = 'R'"), "user", "item", "score", RANKING_K)
+    return out.select("n_users", *[F.round(c, 8).alias(c) for c in ("precision_at_k", "map_at_k", "ndcg_at_k")])
+
+
+LLOYD_ROUNDS = 3
+
+
+def q_lloyd_three_rounds(spark, sf_dir):
+    emb = _t(spark, sf_dir, "embeddings").select("embedding", "label")
+    found = clustering.lloyd(emb, "embedding", clustering.label_centers(emb, "embedding", "label"), LLOYD_ROUNDS, -1.0)
+    return found.select("cluster", F.posexplode("center").alias("slot", "value")).select("cluster", "slot", F.round("value", 6).alias("value"))
+
+
+def q_lloyd_text_vectors(spark, sf_dir):
+    """Vectors written as rows of numbers, scanned back, and one round from the labels' centers."""
+    from kilowatt.sources.delimited import scan_number_rows
+
+    path = scratch_path(spark, "vectors-text")
+    emb = _t(spark, sf_dir, "embeddings").select("embedding", "label")
+    emb.select(F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), " ").alias("v")).write.text(path)
+    found = clustering.lloyd(scan_number_rows(spark, path), "values", clustering.label_centers(emb, "embedding", "label"), 1)
+    return found.select("cluster", F.posexplode("center").alias("slot", "value")).select("cluster", "slot", F.round("value", 6).alias("value"))
+
+
+COHERENCE_TERMS = 5
+
+
+def q_topic_coherence(spark, sf_dir):
+    """Each language's most frequent tokens as its topic."""
+    from kilowatt.operators import learners
+
+    docs = features.tokenize(_docs(spark, sf_dir, "doc_id", "lang", "text").where("text IS NOT NULL AND lang IS NOT NULL"), "text", "words")
+    counts = docs.select("lang", F.explode("words").alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "term"))
+    terms = counts.withColumn("rank", rank).where(F.col("rank") <= COHERENCE_TERMS).select(F.col("lang").alias("topic"), "rank", "term")
+    return learners.coherence(docs, "doc_id", "words", terms).select("topic", "n_terms", F.round("coherence", 6).alias("coherence"))
+
+
+def q_regular_series(spark, sf_dir):
+    """Each user's load for every day between the first and the last event."""
+    ev = _t(spark, sf_dir, "events").select("user_id", "ts", "value")
+    days = hourly(ev, "ts", "value", keys=["user_id"], unit="day")
+    out = regular(days, "hour_ts", "load", ["user_id"], unit="day", counts=["n_events"])
+    return out.select("user_id", "hour_ts", F.round("load", 6).alias("load"), "n_events")
+
+
+def q_csv_text_lines(spark, sf_dir):
+    """Texts with line breaks, quotes and commas written as CSV and scanned back."""
+    path = scratch_path(spark, "csv-text")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    csv_src.write_csv(docs, path)
+    back = csv_src.scan_csv(spark, path, schema=docs.schema, multiline=True)
+    return back.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), "lang")
+
+
+def q_baskets_roundtrip(spark, sf_dir):
+    """Orders as lines of part numbers, scanned as baskets: how many baskets hold each part."""
+    from kilowatt.sources.delimited import scan_baskets
+
+    path = scratch_path(spark, "baskets")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    li.groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.col("l_partkey").cast("string")), " ").alias("v")).select("v").write.text(path)
+    items = scan_baskets(spark, path).select(F.explode(F.col("items").cast("array<bigint>")).alias("item"))
+    return items.groupBy("item").agg(F.count(F.lit(1)).alias("n_baskets"))
+
+
+def q_labeled_rows_roundtrip(spark, sf_dir):
+    """``label,f1 f2`` lines scanned back: rows and sums of each label."""
+    from kilowatt.sources.delimited import scan_labeled_rows
+
+    path = scratch_path(spark, "labeled")
+    li = _t(spark, sf_dir, "lineitem")
+    li.select(F.concat(F.col("l_linenumber").cast("string"), F.lit(","), F.col("l_quantity").cast("string"), F.lit(" "), F.col("l_discount").cast("string")).alias("v")).write.text(path)
+    rows = scan_labeled_rows(spark, path)
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("values")[0]), 4).alias("quantity"), F.round(F.sum(F.col("values")[1]), 4).alias("discount"))
+
+
 def _boosted_metrics(kind):
     def q(spark, sf_dir):
         return fc.boosted_report(fc.boosted_forecast(spark, sf_dir, kind), kind)
@@ -813,6 +901,14 @@ def queries() -> dict[str, Query]:
         "gbt_forecast_metrics": _forecast_metrics("gbt"),
         "leaf_budget_forecast_metrics": _boosted_metrics("leaf_budget"),
         "indexed_gbt_forecast_metrics": _boosted_metrics("indexed_gbt"),
+        "ranking_metrics": q_ranking_metrics,
+        "lloyd_three_rounds": q_lloyd_three_rounds,
+        "lloyd_text_vectors": q_lloyd_text_vectors,
+        "topic_coherence": q_topic_coherence,
+        "regular_series": q_regular_series,
+        "csv_text_lines": q_csv_text_lines,
+        "baskets_roundtrip": q_baskets_roundtrip,
+        "labeled_rows_roundtrip": q_labeled_rows_roundtrip,
         "leaf_budget_small": q_leaf_budget_small,
         "tree_nodes": q_tree_nodes,
         "forest_rescored": q_forest_rescored,

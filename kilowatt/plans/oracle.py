@@ -213,6 +213,51 @@ _TWO_ROUNDS = _FIRST_TREE + f""",
     SELECT x AS l_quantity, ROUND(f + {C.GBT_RATE} * CASE WHEN x <= thr THEN ml ELSE mr END, 4) AS prediction FROM r, best2
 """
 
+_RANKING = f"""
+    WITH b AS (SELECT o.o_custkey AS u, l.l_partkey AS i, l.l_quantity AS q, l.l_returnflag AS f FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
+    lists AS (
+        SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY SUM(q) DESC, i) AS place FROM b GROUP BY u, i QUALIFY place <= {C.RANKING_K}
+    ),
+    wanted AS (SELECT DISTINCT u, i FROM b WHERE f = 'R'),
+    hits AS (SELECT l.u, l.place, row_number() OVER (PARTITION BY l.u ORDER BY l.place) AS nth FROM lists l JOIN wanted w ON w.u = l.u AND w.i = l.i),
+    per AS (SELECT u, COUNT(*) AS h, SUM(nth / place) AS p, SUM(1 / log2(place + 1)) AS g FROM hits GROUP BY u),
+    users AS (SELECT u, LEAST(COUNT(*), {C.RANKING_K}) AS most FROM wanted GROUP BY u),
+    ideal AS (SELECT k AS most, SUM(1 / log2(i + 1)) OVER (ORDER BY k) AS best FROM (SELECT unnest(range(1, {C.RANKING_K + 1})) AS k), LATERAL (SELECT k AS i))
+    SELECT COUNT(*) AS n_users, ROUND(AVG(COALESCE(h, 0) / {C.RANKING_K}), 8) AS precision_at_k, ROUND(AVG(COALESCE(p, 0) / users.most), 8) AS map_at_k,
+           ROUND(AVG(COALESCE(g, 0) / best), 8) AS ndcg_at_k
+    FROM users LEFT JOIN per ON per.u = users.u JOIN ideal ON ideal.most = users.most
+"""
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds of assignment and means from the labels' centers, unrolled."""
+    sql = f"""
+    WITH {_EXPLODED_EMB}, c0 AS (SELECT label AS cluster, i, AVG(v) AS m FROM p GROUP BY 1, 2)"""
+    for k in range(rounds):
+        sql += f""",
+    d{k} AS (SELECT p.vec_id, c.cluster, SUM((p.v - c.m) * (p.v - c.m)) AS dist FROM p JOIN c{k} c ON p.i = c.i GROUP BY 1, 2),
+    a{k} AS (SELECT vec_id, cluster FROM d{k} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, cluster) = 1),
+    m{k} AS (SELECT a.cluster, p.i, AVG(p.v) AS m FROM p JOIN a{k} a ON a.vec_id = p.vec_id GROUP BY 1, 2),
+    c{k + 1} AS (SELECT c.cluster, c.i, COALESCE(m.m, c.m) AS m FROM c{k} c LEFT JOIN m{k} m ON m.cluster = c.cluster AND m.i = c.i)"""
+    return sql + f" SELECT cluster, CAST(i - 1 AS INTEGER) AS slot, ROUND(m, 6) AS value FROM c{rounds}"
+
+
+_COHERENCE = _TOKENS.replace("SELECT doc_id, lower(text) AS s FROM documents WHERE text IS NOT NULL", "SELECT doc_id, lang, lower(text) AS s FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL").replace(
+    "SELECT doc_id,\n               CASE", "SELECT doc_id, lang,\n               CASE") + f""",
+    occ AS (SELECT doc_id, lang, unnest(toks) AS term FROM k),
+    terms AS (
+        SELECT lang AS topic, term, row_number() OVER (PARTITION BY lang ORDER BY COUNT(*) DESC, term) AS rank FROM occ GROUP BY lang, term
+        QUALIFY rank <= {C.COHERENCE_TERMS}
+    ),
+    has AS (SELECT DISTINCT t.topic, t.rank, o.doc_id FROM occ o JOIN terms t ON t.term = o.term),
+    single AS (SELECT topic, rank, COUNT(*) AS docs FROM has GROUP BY 1, 2),
+    pair AS (SELECT a.topic, a.rank AS i, b.rank AS j, COUNT(*) AS n FROM has a JOIN has b ON a.topic = b.topic AND a.doc_id = b.doc_id AND a.rank < b.rank GROUP BY 1, 2, 3),
+    every AS (SELECT a.topic, a.rank AS i, b.rank AS j, a.docs FROM single a JOIN single b ON a.topic = b.topic AND a.rank < b.rank)
+    SELECT e.topic, (SELECT COUNT(*) FROM single s WHERE s.topic = e.topic) AS n_terms, ROUND(SUM(LN((COALESCE(p.n, 0) + 1) / e.docs)), 6) AS coherence
+    FROM every e LEFT JOIN pair p ON p.topic = e.topic AND p.i = e.i AND p.j = e.j GROUP BY e.topic
+"""
+
+
 def _leaf_wise_sql() -> str:
     """Three splits, each of the leaf with the largest gain, over cells of two features."""
     sql = """
@@ -410,6 +455,22 @@ def oracle_sql() -> dict[str, str]:
         """,
         "cv_depth_grid": _DEPTH_GRID,
         "leaf_budget_small": _LEAF_WISE_SCORED,
+        "ranking_metrics": _RANKING,
+        "lloyd_three_rounds": _lloyd_sql(C.LLOYD_ROUNDS),
+        "lloyd_text_vectors": _lloyd_sql(1),
+        "topic_coherence": _COHERENCE,
+        "regular_series": """
+            WITH d AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS t, SUM(value) AS load, COUNT(*) AS n FROM events GROUP BY ALL),
+            g AS (SELECT user_id, unnest(generate_series(MIN(t), MAX(t), INTERVAL 1 DAY)) AS t FROM d GROUP BY user_id)
+            SELECT g.user_id, g.t AS hour_ts, ROUND(COALESCE(d.load, 0), 6) AS load, COALESCE(d.n, 0) AS n_events
+            FROM g LEFT JOIN d ON d.user_id IS NOT DISTINCT FROM g.user_id AND d.t = g.t
+        """,
+        "csv_text_lines": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5, lang FROM documents",
+        "baskets_roundtrip": "SELECT l_partkey AS item, COUNT(DISTINCT l_orderkey) AS n_baskets FROM lineitem GROUP BY 1",
+        "labeled_rows_roundtrip": """
+            SELECT CAST(l_linenumber AS DOUBLE) AS label, COUNT(*) AS n, ROUND(SUM(l_quantity), 4) AS quantity, ROUND(SUM(l_discount), 4) AS discount
+            FROM lineitem GROUP BY 1
+        """,
         "tree_nodes": _LEAF_WISE_NODES,
         "forest_rescored": _stump_sql(),
         "gbt_rescored": _TWO_ROUNDS,
