@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once (arrays of 8 bytes a position are kept).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

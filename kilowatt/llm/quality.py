@@ -276,7 +276,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "qua
             stats, words, spans = statistics(texts)
             doc, at, value = features(spans, n)
             good.append(np.where(words > 0, sigmoid(model.bias + np.bincount(doc, dense[at] * value, minlength=n)), 0.0))
-            weak.append(np.where(words > 0, model.posterior(_patterns(votes(stats))), 0.0))
+            weak.append(np.where(words > 0, model.posterior(_patterns(votes(stats))), 0.0) if weak_out else np.zeros(n))
         return pa.StructArray.from_arrays([pa.array(np.concatenate(good)), pa.array(np.concatenate(weak))], ["score", "weak"])
 
     name = "__quality"

@@ -89,7 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model = Ftrl(1 << BITS, alpha=ALPHA, l1=L1, l2=0.0)
         ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         at = np.concatenate(parts)
-        model.fit(ends, at, np.ones(len(at), np.float32), np.array(label), EPOCHS)
+        parts.clear()
+        model.fit(ends, at, np.broadcast_to(np.float32(1), len(at)), np.array(label), EPOCHS)
         where_, weight, bias = model.compact()
         yield pa.RecordBatch.from_arrays([pa.array([where_.tobytes()]), pa.array([weight.tobytes()]), pa.array([bias])], names=["at", "weight", "bias"])
 
