@@ -24,16 +24,25 @@ def _kept(scored: DataFrame, columns: list[str], condition: "F.Column") -> DataF
     return scored.where(condition).select(columns)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents scored as toxic by weights fitted on ``labels``."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(toxicity.score(docs, model, out="__toxicity"), docs.columns, F.col("__toxicity") < TOXIC)
+    out = _free(docs, "__toxicity")
+    return _kept(toxicity.score(docs, model, out=out), docs.columns, F.col(out) < TOXIC)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the weakly trained scorer finds bad."""
     model = quality.fit(docs)
-    return _kept(quality.score(docs, model, out="__quality_score"), docs.columns, F.col("__quality_score") >= quality.KEEP)
+    out = _free(docs, "__quality_score")
+    return _kept(quality.score(docs, model, out=out), docs.columns, F.col(out) >= quality.KEEP)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        # row groups of 16 MB: a writer holds one of them in memory
+        stage(spark, docs, sf_dir).write.option("parquet.block.size", 16 << 20).parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
