@@ -806,6 +806,20 @@ def q_regular_series(spark, sf_dir):
     return out.select("user_id", "hour_ts", F.round("load", 6).alias("load"), "n_events")
 
 
+def q_stream_kmeans_scored(spark, sf_dir):
+    """A stream scored with the centers that another stream has learned in one batch."""
+    from kilowatt.streaming.kmeans import score_stream, stream_kmeans
+
+    emb = _t(spark, sf_dir, "embeddings")
+    src, work = scratch_path(spark, "stream-src"), scratch_path(spark, "stream-model")
+    emb.select("vec_id", "label", "embedding").write.parquet(src)
+    init = [list(r["center"]) for r in clustering.label_centers(emb, "embedding", "label").orderBy("cluster").collect()]
+    schema = "vec_id long, label int, embedding array<float>"
+    stream_kmeans(spark, src, schema, "embedding", init, decay=1.0, max_files_per_trigger=1_000_000, work_dir=work)
+    scored = score_stream(spark, src, schema, "embedding", work, max_files_per_trigger=4)
+    return scored.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_csv_text_lines(spark, sf_dir):
     """Texts with line breaks, quotes and commas written as CSV and scanned back."""
     path = scratch_path(spark, "csv-text")
@@ -906,6 +920,7 @@ def queries() -> dict[str, Query]:
         "lloyd_text_vectors": q_lloyd_text_vectors,
         "topic_coherence": q_topic_coherence,
         "regular_series": q_regular_series,
+        "stream_kmeans_scored": q_stream_kmeans_scored,
         "csv_text_lines": q_csv_text_lines,
         "baskets_roundtrip": q_baskets_roundtrip,
         "labeled_rows_roundtrip": q_labeled_rows_roundtrip,

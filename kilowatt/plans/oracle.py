@@ -239,7 +239,20 @@ def _lloyd_sql(rounds: int) -> str:
     a{k} AS (SELECT vec_id, cluster FROM d{k} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, cluster) = 1),
     m{k} AS (SELECT a.cluster, p.i, AVG(p.v) AS m FROM p JOIN a{k} a ON a.vec_id = p.vec_id GROUP BY 1, 2),
     c{k + 1} AS (SELECT c.cluster, c.i, COALESCE(m.m, c.m) AS m FROM c{k} c LEFT JOIN m{k} m ON m.cluster = c.cluster AND m.i = c.i)"""
-    return sql + f" SELECT cluster, CAST(i - 1 AS INTEGER) AS slot, ROUND(m, 6) AS value FROM c{rounds}"
+    return sql
+
+
+def _lloyd_centers(rounds: int) -> str:
+    return _lloyd_sql(rounds) + f" SELECT cluster, CAST(i - 1 AS INTEGER) AS slot, ROUND(m, 6) AS value FROM c{rounds}"
+
+
+# One batch of streaming k-means is one round; clusters are numbered in the order of the labels.
+_STREAM_SCORED = _lloyd_sql(1) + """,
+    number AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k FROM (SELECT DISTINCT cluster FROM c1)),
+    dist AS (SELECT p.vec_id, p.label, number.k, SUM((p.v - c.m) * (p.v - c.m)) AS d FROM p JOIN c1 c ON c.i = p.i JOIN number ON number.cluster = c.cluster GROUP BY 1, 2, 3),
+    near AS (SELECT vec_id, label, k FROM dist QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)
+    SELECT label, CAST(k AS INTEGER) AS cluster, COUNT(*) AS n FROM near GROUP BY 1, 2
+"""
 
 
 _COHERENCE = _TOKENS.replace("SELECT doc_id, lower(text) AS s FROM documents WHERE text IS NOT NULL", "SELECT doc_id, lang, lower(text) AS s FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL").replace(
@@ -456,8 +469,9 @@ def oracle_sql() -> dict[str, str]:
         "cv_depth_grid": _DEPTH_GRID,
         "leaf_budget_small": _LEAF_WISE_SCORED,
         "ranking_metrics": _RANKING,
-        "lloyd_three_rounds": _lloyd_sql(C.LLOYD_ROUNDS),
-        "lloyd_text_vectors": _lloyd_sql(1),
+        "lloyd_three_rounds": _lloyd_centers(C.LLOYD_ROUNDS),
+        "lloyd_text_vectors": _lloyd_centers(1),
+        "stream_kmeans_scored": _STREAM_SCORED,
         "topic_coherence": _COHERENCE,
         "regular_series": """
             WITH d AS (SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS t, SUM(value) AS load, COUNT(*) AS n FROM events GROUP BY ALL),

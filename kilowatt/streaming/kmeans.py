@@ -13,7 +13,7 @@ Fault tolerance: after each batch the centers are written, with the batch
 id, under the session's shared checkpoint folder next to the stream's own
 checkpoint. A restarted query resumes from the last written state and
 skips batches it has already applied, so a replayed batch is not counted
-twice.
+twice. :func:`score_stream` scores another stream with these versions.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def stream_kmeans(
             weights[c] = n + m
         rows = [(batch_id, i, centers[i], weights[i]) for i in range(k)]
         spark.createDataFrame(rows, "batch_id long, cluster int, center array<double>, weight double") \
-            .write.mode("append").parquet(state_dir)
+            .coalesce(1).write.mode("append").parquet(state_dir)  # one file: a reader sees a version whole or not at all
         state.update(batch=batch_id, centers=centers, weights=weights)
 
     stream = (
@@ -105,3 +105,42 @@ def stream_kmeans(
         for i, c in enumerate(state["centers"]) for j, v in enumerate(c)
     ]
     return spark.createDataFrame(rows, "cluster int, slot int, value double, weight double")
+
+
+def score_stream(
+    spark: SparkSession,
+    source_dir: str,
+    schema: StructType | str,
+    features: str,
+    model_dir: str,
+    max_files_per_trigger: int = 1,
+    work_dir: str | None = None,
+) -> DataFrame:
+    """Run a stream over every file now in ``source_dir`` and return its rows
+    with ``cluster``, the nearest center, and ``model_batch``, the version of the
+    centers that scored them.
+
+    ``model_dir`` is the ``work_dir`` of a :func:`stream_kmeans`, which may run at
+    the same time: each micro-batch reads the newest version of the centers that is written
+    there, so all rows of a batch have one version. A batch's rows go to a
+    folder of its own; a batch that is run again after a restart replaces its
+    folder, and no row is there twice. Rows with a null vector have a null cluster.
+    Without any written version it is an error.
+    """
+    work = work_dir or scratch_path(spark, "stream-score")
+    out_path = f"{work}/scored"
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        newest = _load_state(spark, f"{model_dir}/state")
+        if newest is None:
+            raise RuntimeError(f"no centers are written in {model_dir}")
+        known = literal_rows([Row(cluster=i, center=c) for i, c in enumerate(newest[1])], "cluster:int,center:array<double>")
+        x = F.col(features).cast("array<double>")
+        near = F.when(x.isNotNull(), nearest_of(x, known)["c"]).cast("int")
+        scored = batch.withColumns({"cluster": near, "model_batch": F.lit(newest[0]).cast("long")})
+        scored.write.mode("overwrite").parquet(f"{out_path}/stream_batch={batch_id}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
+    query = stream.writeStream.foreachBatch(score).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out_path).drop("stream_batch")

@@ -234,3 +234,29 @@ def test_stream_lexicon_restarts_after_a_kill(spark, tmp_dir):
     newest = max(glob.glob(f"{work}/checkpoint/commits/*"), key=lambda p: int(os.path.basename(p)))
     _lose(newest, tmp_dir)
     assert run() == {"a": (2, 6, 3), "b": (1, 0, 0)}
+
+
+def test_scoring_stream_uses_the_newest_centers_and_restarts(spark, tmp_dir):
+    """Rows are those of a batch computation; a batch whose commit is lost is scored again, not twice."""
+    import glob
+    import os
+
+    from kilowatt.streaming.kmeans import score_stream
+
+    src, test, model, work = (f"{tmp_dir}/{x}" for x in ("src", "test", "model", "work"))
+    schema = "id long, x array<double>"
+    spark.createDataFrame([(0, [0.0]), (1, [2.0]), (2, [10.0])], schema).coalesce(1).write.parquet(f"{src}/b0")
+    with pytest.raises(Exception, match="no centers"):
+        spark.createDataFrame([(9, [0.0])], schema).coalesce(1).write.parquet(f"{test}/b0")
+        score_stream(spark, f"{test}/b*/*.parquet", schema, "x", model, work_dir=f"{tmp_dir}/none")
+    stream_kmeans(spark, f"{src}/b*/*.parquet", schema, "x", [[1.0], [9.0]], work_dir=model)
+    run = lambda: sorted(tuple(r) for r in score_stream(spark, f"{test}/b*/*.parquet", schema, "x", model, work_dir=work).select("id", "cluster", "model_batch").collect())
+    assert run() == [(9, 0, 0)]
+    spark.createDataFrame([(3, [30.0])], schema).coalesce(1).write.parquet(f"{src}/b1")
+    stream_kmeans(spark, f"{src}/b*/*.parquet", schema, "x", [[1.0], [9.0]], work_dir=model)  # the second center goes to 20
+    spark.createDataFrame([(10, [9.0]), (11, [12.0]), (12, None)], schema).coalesce(1).write.parquet(f"{test}/b1")
+    want = [(9, 0, 0), (10, 0, 1), (11, 1, 1), (12, None, 1)]
+    assert run() == want
+    newest = max(glob.glob(f"{work}/checkpoint/commits/*"), key=lambda p: int(os.path.basename(p)))
+    _lose(newest, tmp_dir)
+    assert run() == want
