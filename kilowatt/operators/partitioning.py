@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Partitions of a training set; a parameter wherever it is used.
+#: Partitions of a training set, at least; and rows of one of them.
 TRAIN_PARTITIONS = 8
+TRAIN_ROWS = 1_000_000
 
 
 def spread_scan(df: DataFrame, partitions: int = 32) -> DataFrame:
@@ -24,6 +25,12 @@ def spread_scan(df: DataFrame, partitions: int = 32) -> DataFrame:
     return df.repartition(partitions) if df.rdd.getNumPartitions() * 4 < partitions else df
 
 
+def train_partitions(df: DataFrame, rows: int = TRAIN_ROWS) -> int:
+    """How many partitions a training set needs, by its number of rows alone:
+    the same rows give the same layout, and a larger set goes through more tasks."""
+    return max(TRAIN_PARTITIONS, -(-df.count() // rows))
+
+
 def by_key(df: DataFrame, keys: Sequence[str], partitions: int = TRAIN_PARTITIONS) -> DataFrame:
     """A training set's fixed layout: rows placed by the hash of their keys in
     ``partitions`` partitions, each sorted by the keys.

@@ -18,7 +18,7 @@ from kilowatt.functions.vectors import to_array, to_vector
 from kilowatt.operators import boosting, clustering, features, metrics, models, ranking, relational, splits, text, trees, tuning
 from kilowatt.operators.graph import pagerank
 from kilowatt.operators.mining import frequent_itemsets
-from kilowatt.operators.partitioning import by_key, materialize, spread_scan
+from kilowatt.operators.partitioning import by_key, materialize, spread_scan, train_partitions
 from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time, regular
 from kilowatt.plans import forecast as fc
 from kilowatt.session import scratch_path
@@ -495,11 +495,16 @@ def q_als_top_items(spark, sf_dir):
     return learners.top_items(model, 5)
 
 
+#: Documents in a partition of the topic model's training set.
+TOPIC_ROWS = 20_000
+
+
 def q_topics(spark, sf_dir):
     from kilowatt.operators import learners
 
     docs = features.tokenize(_docs(spark, sf_dir, "doc_id", "text").where(F.col("text").isNotNull()), "text", "words")
-    counts = by_key(learners.hashed_counts(docs, "words").select("doc_id", "counts"), ["doc_id"]).persist()
+    counts = learners.hashed_counts(docs, "words").select("doc_id", "counts")
+    counts = by_key(counts, ["doc_id"], train_partitions(_t(spark, sf_dir, "documents"), TOPIC_ROWS)).persist()
     model = learners.lda(counts, "counts", k=5, max_iter=10)
     counts.unpersist()
     return learners.topics(model, docs, "words", 5)
@@ -616,7 +621,7 @@ def q_kmeans_two_groups(spark, sf_dir):
     """k-means on two groups far apart: the centers are the groups' means."""
     far = F.when(F.col("l_linestatus") == "F", 0.0).otherwise(10_000.0).alias("far")
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", far, "l_quantity")
-    vec = by_key(features.assemble(li, ["far", "l_quantity"]), ["l_orderkey", "l_linenumber"])
+    vec = by_key(features.assemble(li, ["far", "l_quantity"]), ["l_orderkey", "l_linenumber"], train_partitions(li))
     found = clustering.centers(models.kmeans(k=2, seed=1).fit(vec))
     return found.groupBy("cluster").pivot("slot", [0, 1]).agg(F.first("value")).select(
         F.round("0", 4).alias("far"), F.round("1", 6).alias("quantity"))
@@ -858,8 +863,8 @@ def _boosted_metrics(kind):
     return q
 
 
-#: Queries with the reference's full grids of boosted trees: one Spark job for each level of each tree.
-SLOW = ("gbt_forecast_metrics", "leaf_budget_forecast_metrics", "indexed_gbt_forecast_metrics")
+#: Queries with the reference's full grids of trees.
+SLOW = ("forest_depth_grid_metrics", "leaf_budget_forecast_metrics", "indexed_gbt_forecast_metrics", "gbt_forecast_metrics")
 
 
 def queries() -> dict[str, Query]:
@@ -930,6 +935,7 @@ def queries() -> dict[str, Query]:
         "gbt_rescored": q_gbt_rescored,
         "boosted_cv_small": q_boosted_cv_small,
         "indexed_gbt_small": q_indexed_gbt_small,
+        "forest_depth_grid_metrics": _forecast_metrics("forest", "forest_depth_grid", axes_override={"maxDepth": [6, 8, 10, 15]}),
         "best_params": q_best_params,
         "tree_dump": q_tree_dump,
         "kmeans_centers": q_kmeans_centers,

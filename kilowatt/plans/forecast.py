@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from kilowatt.operators import features as fea
 from kilowatt.operators import boosting, models, trees, tuning
 from kilowatt.operators.metrics import regression_metrics
-from kilowatt.operators.partitioning import TRAIN_PARTITIONS, by_key, materialize
+from kilowatt.operators.partitioning import by_key, materialize, train_partitions
 from kilowatt.operators.prep import asof_join, calendar, hourly, lag_by_time
 from kilowatt.operators.relational import before, not_before
 from kilowatt.operators.splits import random_split, time_split, with_folds
@@ -166,11 +166,11 @@ def forecast(
     fixed layout (:func:`by_key`): the model depends on the rows, the seed and
     ``partitions`` alone. A series without keys has one row an hour, however
     many events there are: ``SERIES_PARTITIONS``; a panel has
-    ``TRAIN_PARTITIONS`` unless the caller gives a number that suits its size.
+    as many as its number of rows asks for, unless the caller gives a number.
     ``parallelism`` is how many settings are fitted at once.
     """
-    partitions = partitions or (TRAIN_PARTITIONS if keys else SERIES_PARTITIONS)
     train, test = training_rows(spark, sf_dir, keys, unit, observed, split, seed)
+    partitions = partitions or (train_partitions(train) if keys else SERIES_PARTITIONS)
     pre, est, axes, folds = _estimator(kind, seed)
     folds = num_folds or folds
     if axes_override:

@@ -1,6 +1,7 @@
 """Every registered query runs on sf0.001; those with SQL match DuckDB, the others
 have their values checked."""
 
+import dataclasses
 import math
 
 import duckdb
@@ -151,21 +152,26 @@ def test_query(spark, con, name):
     assert gr == wr
 
 
-@pytest.mark.parametrize("kind, split", [("gbt", "time"), ("indexed_gbt", "random"), ("leaf_budget", "random")])
-def test_boosted_forecasts(spark, con, monkeypatch, kind, split):
+def test_boosted_forecasts(spark, con, monkeypatch):
     """One setting and a few rounds of each boosted path: the queries leave both at the reference's."""
     monkeypatch.setattr(C.fc, "GBT_ROUNDS", 3)
-    monkeypatch.setattr(C.fc, "INDEXED_GBT_ROUNDS", 3)
-    run = C.fc.forecast(spark, SF_SMALL, kind, axes_override={"maxDepth": [2]}, num_folds=2, split=split)
-    _metrics(C.fc.forecast_report(run, kind).toPandas(), con)
+    run = C.fc.forecast(spark, SF_SMALL, "gbt", axes_override={"maxDepth": [2]}, num_folds=2)
+    _metrics(C.fc.forecast_report(run, "gbt").toPandas(), con)
+    for kind in ("indexed_gbt", "leaf_budget"):
+        settings = [dataclasses.replace(s, rounds=3) for s in C.fc.boosted_settings(kind)[:2]]
+        run = C.fc.boosted_forecast(spark, SF_SMALL, kind, settings, folds=2)
+        assert set(run.averages) == set(settings) and run.averages[run.setting] == min(run.averages.values())
+        _metrics(C.fc.boosted_report(run, kind).toPandas(), con)
 
 
 def test_grids_are_the_references():
-    names = {k: {p.name: v for p, v in C.fc._estimator(k, 1)[2].items()} for k in ("forest", "gbt", "indexed_gbt", "leaf_budget")}
-    assert names["forest"] == {"numTrees": [60, 80]} and names["gbt"] == {"maxDepth": [5, 10]} and names["indexed_gbt"] == {"maxDepth": [8, 9]}
-    assert names["leaf_budget"] == {"maxDepth": [3, 4, 5], "stepSize": [0.05, 0.1]}
-    assert [C.fc._estimator(k, 1)[1].getMaxIter() for k in ("gbt", "indexed_gbt", "leaf_budget")] == [20, 300, 20]
-    assert [C.fc._estimator(k, 1)[3] for k in ("forest", "gbt", "indexed_gbt", "leaf_budget")] == [3, 3, 3, 5]
+    names = {k: {p.name: v for p, v in C.fc._estimator(k, 1)[2].items()} for k in ("forest", "gbt")}
+    assert names["forest"] == {"numTrees": [60, 80]} and names["gbt"] == {"maxDepth": [5, 10]}
+    assert C.fc._estimator("gbt", 1)[1].getMaxIter() == 20 and [C.fc._estimator(k, 1)[3] for k in ("forest", "gbt")] == [3, 3]
+    assert {(s.max_depth, s.rounds) for s in C.fc.boosted_settings("indexed_gbt")} == {(8, 300), (9, 300)}
+    leaf = C.fc.boosted_settings("leaf_budget")
+    assert {s.max_depth for s in leaf} == {3, 4, 5, 6, 7, 8} and {s.num_leaves for s in leaf} == {16, 20, 31, 40, 60} and {s.learning_rate for s in leaf} == {0.05, 0.1}
+    assert len(leaf) == 60 and {s.rounds for s in leaf} == {100} and (C.fc.CV_FOLDS, C.fc.LEAF_CV_FOLDS) == (3, 5)
 
 
 def test_entry_smoke(spark):
