@@ -38,6 +38,8 @@ LEAF = 32
 SHARE = 0.5
 LEAST = 4_096
 PART = 4_096
+#: Queries that one task searches the forest for, in so many tasks at most.
+ASK, ASK_TASKS = 64, 10_000
 
 
 class Forest:
@@ -214,7 +216,9 @@ def search(df: DataFrame, is_query: "F.Column", k: int = 10, id_col: str = "vec_
     vector_type = df.schema[vector_col].dataType.simpleString()
     schema = f"leaf int, part long, id {kind}, vector {vector_type}"
     placed = candidates.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt")).mapInArrow(place, schema)
-    asked = own.where(is_query).dropDuplicates(["id"]).select("id", "vector").mapInArrow(ask, schema)
+    queries = checkpointed(own.where(is_query).dropDuplicates(["id"]).select("id", "vector"))
+    tasks = min(max(1, -(-queries.count() // ASK)), ASK_TASKS)  # a search costs far more than its row weighs
+    asked = queries.repartition(tasks, "id").mapInArrow(ask, schema)
     met = placed.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInArrow(nearest, f"query_id {kind}, vec_id {kind}, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kilowatt.llm import flat
 from kilowatt.llm.bpe import LETTER, classes
-from kilowatt.llm.shared import checkpointed
+from kilowatt.llm.shared import checkpointed, look_up
 
 TOP = 300
 #: About so many rows of each language are used to fit its profile.
@@ -132,10 +132,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     own = own if where is None else own.where(where)
-    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = checkpointed(own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
     named = own.select("id", "lang")
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(float(ROWS_PER_LANGUAGE << 30)) / F.col("n")
-    picked = checkpointed(named.join(sizes, "lang").where(share).select("id", "lang").distinct())
+    picked = checkpointed(look_up(named, sizes, "lang").where(share).select("id", "lang").distinct())
     picked = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
     rows = own.join(picked, ["id", "lang"]).select("lang", "text")
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilowatt.llm import flat
-from kilowatt.llm.shared import checkpointed, connected_components, spanning_forest
+from kilowatt.llm.shared import checkpointed, connected_components, look_up, spanning_forest
 
 THRESHOLD = 0.8
 #: What a sum of shares may lose by rounding; a similarity of exactly 0.8 links.
@@ -44,9 +44,9 @@ ROUNDING = 1e-9
 SHINGLE_WORDS = 5
 BANDS, ROWS = 16, 4
 #: Classes, and bytes of text, in a block of a bucket that is compared as a whole.
-BLOCK_CLASSES, BLOCK_BYTES = 512, 1 << 21
-#: Groups over which the pairs of one leader are spread when they are verified.
-LEADER_PARTS = 16
+BLOCK_CLASSES, BLOCK_BYTES = 256, 1 << 20
+#: Pairs of one leader that are verified together; each such group has a copy of the leader's text.
+LEADER_PAIRS = 256
 #: A list of up to so many classes is sent to every task to pick their texts; a longer one is joined by a shuffle.
 BROADCAST_CLASSES = 200_000
 
@@ -217,9 +217,10 @@ def _link_blocks(threshold: float):
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of classes whose texts are at least that similar. The
-    pairs of a class that leads many are spread over up to LEADER_PARTS groups,
+    pairs of a class that leads many are spread over groups of about LEADER_PAIRS,
     each with a copy of its text, so no task gets all of them."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(LEADER_PARTS)))
+    parts = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PAIRS).alias("parts")))
+    salted = look_up(pairs, parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
     left = salted.select("a", "salt").distinct().join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a")
     right = salted.join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b")
@@ -240,8 +241,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("content"), F.col(text_col).alias("text"))
     signed, classes, groups = duplicate_classes(rows, threshold, leaders)
-    out = classes.join(groups, "content", "left").select("content", "first", F.coalesce("group_first", "first").alias("group_first"))
-    told = signed.select("id", "content").join(out, "content").select(
+    out = checkpointed(classes.join(groups, "content", "left").select("content", "first", F.coalesce("group_first", "first").alias("group_first")))
+    told = look_up(signed.select("id", "content"), out, "content").select(
         F.col("id").alias(id_col), F.col("first").alias("class_id"), F.col("group_first").alias("group_id"),
         F.coalesce(F.col("id") == F.col("group_first"), F.lit(False)).alias("kept"))
     alone = rows.where("content IS NULL").select("id")
@@ -258,19 +259,21 @@ def duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD, leaders: bo
     signed = checkpointed(rows.where("content IS NOT NULL").mapInArrow(_sign, f"id {kind}, content binary, size long, bands array<long>"))
     classes = checkpointed(signed.groupBy("content").agg(F.min("id").alias("first"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
     banded = classes.select("content", "first", "size", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = checkpointed(banded.join(shared, "band"))
+    shared = checkpointed(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = checkpointed(look_up(banded, shared, "band"))
     wanted = checkpointed(members.groupBy("content").agg(F.first("first").alias("first")))
     few = wanted.count() <= BROADCAST_CLASSES
-    # one row has the text of a class: that with its smallest id (its copies are equal)
-    found = rows.where("content IS NOT NULL").join(F.broadcast(wanted) if few else wanted, "content").where(F.col("id").eqNullSafe(F.col("first")))
+    # one row has the text of a class: that with its smallest id (its copies are equal), so copies do not meet in a shuffle
+    first = wanted.select(F.col("content").alias("own"), "first")
+    same = (F.col("content") == F.col("own")) & F.col("id").eqNullSafe(F.col("first"))
+    found = rows.where("content IS NOT NULL").join(F.broadcast(first) if few else first, same)
     texts = checkpointed(found.groupBy("content").agg(F.any_value("text").alias("text")))
 
     links = components = None
     named = members.select("band", "content", "size", "n", F.col("content").alias("component"))
     if leaders:
-        lead = members.groupBy("band").agg(F.min_by("content", F.xxhash64("content", "band")).alias("lead"))
-        pairs = members.join(lead, "band").where("content <> lead").select(F.col("lead").alias("p"), F.col("content").alias("q"))
+        lead = checkpointed(members.groupBy("band").agg(F.min_by("content", F.xxhash64("content", "band")).alias("lead")))
+        pairs = look_up(members, lead, "band").where("content <> lead").select(F.col("lead").alias("p"), F.col("content").alias("q"))
         # a pair once, however it is met, with the end that leads first
         pairs = pairs.groupBy(F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")).agg(F.min("p").alias("a"))
         pairs = checkpointed(pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")))
@@ -279,11 +282,11 @@ def duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD, leaders: bo
         named = members.where("n > 2").join(components.withColumnRenamed("node", "content"), "content", "left").select(
             "band", "content", "size", "n", F.coalesce("component", "content").alias("component"))
     # buckets that the leaders left in several components, cut into blocks
-    still = named.groupBy("band").agg(
+    still = checkpointed(named.groupBy("band").agg(
         F.min("component").alias("least"), F.max("component").alias("most"),
-        F.greatest(F.ceil(F.sum("size") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).alias("blocks")).where("least <> most")
+        F.greatest(F.ceil(F.sum("size") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).alias("blocks")).where("least <> most").select("band", "blocks"))
     block = F.pmod(F.xxhash64("content"), F.col("blocks"))
-    placed = checkpointed(named.select("band", "content").join(still.select("band", "blocks"), "band").select(
+    placed = checkpointed(look_up(named.select("band", "content"), still, "band").select(
         "band", "content", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")))
     if not placed.isEmpty():
         placed = placed.select("band", "content", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -294,9 +297,9 @@ def duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD, leaders: bo
     if components is None:
         none = classes.select("content", F.col("content").alias("component"), F.col("first").alias("group_first")).limit(0)
         return signed, classes.select("content", "first"), none
-    grouped = components.join(classes.select(F.col("content").alias("node"), "first"), "node")
-    firsts = grouped.groupBy("component").agg(F.min("first").alias("group_first"))
-    groups = grouped.join(firsts, "component").select(F.col("node").alias("content"), "component", "group_first")
+    grouped = checkpointed(components.join(classes.select(F.col("content").alias("node"), "first"), "node"))
+    firsts = checkpointed(grouped.groupBy("component").agg(F.min("first").alias("group_first")))
+    groups = look_up(grouped, firsts, "component").select(F.col("node").alias("content"), "component", "group_first")
     return signed, classes.select("content", "first"), groups
 
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilowatt.llm.shared import checkpointed
+from kilowatt.llm.shared import checkpointed, look_up
 
 DEPTH = 6
 #: A node's segments are variable if it has so many and this few pages for each, or this share of them are rare.
@@ -95,7 +95,7 @@ def _generalised(counts: DataFrame, depth: int) -> DataFrame:
         branch = here.where("seg IS NOT NULL").groupBy(*node, "seg").agg(F.sum("n").alias("pages"))
         variable = _variable(branch, node)
         put = F.transform("segs", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))
-        state = checkpointed(here.join(variable, node, "left").select("host", "shape", F.when(F.col("wild"), put).otherwise(F.col("segs")).alias("segs"), "n"))
+        state = checkpointed(look_up(here, checkpointed(variable), node, "left").select("host", "shape", F.when(F.col("wild"), put).otherwise(F.col("segs")).alias("segs"), "n"))
     return state
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilowatt.llm.shared import checkpointed, connected_components, spanning_forest
+from kilowatt.llm.shared import checkpointed, connected_components, look_up, spanning_forest
 from kilowatt.llm.vectors import matrix, unit, usable
 
 COSINE = 0.93
@@ -199,13 +199,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     out = checkpointed(placed.groupBy("leaf", "low", "high").applyInArrow(_compare, "a long, b long, links long"))
     links = out.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     components = connected_components(out.where("b IS NOT NULL").select("a", "b"))
-    named = components.join(classes.select(F.col("cid").alias("node"), "first"), "node")
+    named = checkpointed(components.join(classes.select(F.col("cid").alias("node"), "first"), "node"))
     firsts = named.groupBy("component").agg(F.min("first").alias("component_first"))
-    reached = named.join(firsts, "component").select(F.col("node").alias("cid"), "component_first")
+    reached = look_up(named, checkpointed(firsts), "component").select(F.col("node").alias("cid"), "component_first")
     told = classes.select(*key, "cid", "first", "count").join(links, "cid", "left").join(reached, "cid", "left").select(
         *key, (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"), F.coalesce("component_first", "first").alias("component_id"))
     columns = [F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")]
-    linked = own.where("ok").select("id", *key).join(told, key).select(*columns)
+    linked = look_up(own.where("ok").select("id", *key), checkpointed(told), key).select(*columns)
     alone = own.where("NOT ok").withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("id")).select(
         *columns[:3], F.col("id").isNotNull().alias("kept"))
     return linked.unionByName(alone)

@@ -29,14 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilowatt.llm.shared import checkpointed
+from kilowatt.llm.shared import checkpointed, look_up
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 1 << 14
 CHUNK_BYTES = 1 << 12
 RECORDS_PER_FILE = 2_000
-#: Up to so many revisits are sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -131,8 +129,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     own = own.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     keys = own.where(F.octet_length("html") >= REVISIT_BYTES).select("id", "digest")
     same = keys.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
-    few = same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    told = own.join(F.broadcast(same) if few else same, "digest", "left")
+    told = look_up(own, checkpointed(same), "digest", "left")
     told = told.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("page"), "url", "html", "digest",
                        F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string")).alias("first"))
 
@@ -251,6 +248,6 @@ def captures(records: DataFrame) -> DataFrame:
         F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")))
     response = found.where("record_type = 'response'")
     original = response.groupBy(F.col("record_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
-    revisit = found.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(original, "refers_to", "left")
+    revisit = look_up(found.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest"), checkpointed(original), "refers_to", "left")
     columns = ["page", "payload_bytes", "payload_digest", "record_type"]
     return response.select(*columns, F.lit(None).cast("string").alias("refers_to")).unionByName(revisit.select(*columns, F.col("to").alias("refers_to")))

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_registered():
     assert [k for k in queries.queries()] == [k for k in E.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(queries.oracle_sql()) <= set(queries.queries())
 
 
