@@ -2,16 +2,18 @@
 
 Vectors are compared only within a label (and length). Equal vectors are one
 from the start, with their number. Every tree splits a node of more than
-``LEAF`` vectors at a quantile of their projections on one of ``DIRECTIONS``
+``LEAF`` vectors at a quantile of their projections on one of the level's
 random directions: the one, and the quantile near the median, around which
-the fewest vectors lie. Vectors within ``SPILL`` of the split go to both
+the fewest vectors lie. Vectors within the spill zone of the split go to both
 sides. A split halves the node at most; nodes around whose every quantile
-too many vectors lie are leaves of any size. The number of trees follows from
-the label's size, for a probability of ``MISS`` to lose a pair.
+too many vectors lie are leaves of any size. A narrow zone makes few copies a
+tree but needs more trees: the width (one of ``SPILLS``) and the number of trees
+follow from the label's size, as those with the fewest copies of a vector that
+lose a pair with a probability of ``MISS``.
 
 Within a leaf all vectors are compared in blocks by matrix products; only
 counts and the edges of a spanning forest leave the task, never pairs. Large
-leaves are cut into blocks of ``LEAF`` vectors, and each pair of blocks is a
+leaves are cut into blocks of ``BLOCK`` vectors, and each pair of blocks is a
 group of its own. A pair that shares several leaves is counted in the one
 with the least name.
 
@@ -21,6 +23,7 @@ to the tasks only while they are small.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -34,16 +37,21 @@ from kilowatt.llm.shared import checkpointed, connected_components, look_up, spa
 from kilowatt.llm.vectors import matrix, unit, usable
 
 COSINE = 0.93
-DIRECTIONS = 12
-LEAF = 1024
+#: Directions of a tree, and how many of them a level has to choose from; a direction
+#: that split a node before lies denser there, so the next levels take others.
+DIRECTIONS, CHOICE = 24, 4
+#: Vectors in a leaf; and in a block of a leaf that no split makes smaller.
+LEAF, BLOCK = 256, 1024
 #: A pair at the threshold is lost with this probability at most; and so many trees at least.
 MISS, TREES = 1e-6, 4
-#: How a level shrinks a node.
-SHRINK = 1.55
 #: Half the spill zone, in standard deviations of the projected difference of two vectors at the threshold.
-SPILL = 0.75
+SPILLS = (0.15, 0.25, 0.35, 0.5, 0.75)
+#: A level shrinks a node by so much less than a split at the median would.
+SLACK = 0.93
 #: Of 19 quantiles, at most so many may lie in the spill zone of a split.
 ZONE = 8
+#: Vectors whose projections a task holds at once.
+PROJECTED = 1024
 #: A table of up to so many nodes is sent to every task; a larger one is joined by a shuffle.
 BROADCAST_NODES = 50_000
 
@@ -53,17 +61,24 @@ def _directions(length: int, trees: int) -> np.ndarray:
     return unit(np.random.default_rng(length).normal(size=(trees * DIRECTIONS, length)))
 
 
-def _trees(size: "F.Column") -> "F.Column":
-    """How many trees a label of more than LEAF vectors needs, by its depth, so that all lose a pair with MISS at most.
+def _plan(size: "F.Column") -> "F.Column":
+    """(copies, trees, spill) of a label of more than LEAF vectors: the spill zone with the fewest copies of a
+    vector, and the trees that it needs, by the label's depth, so that all lose a pair with MISS at most.
 
     A level loses a pair that is further apart than the spill zone is wide and
     has the zone between its two; projections are taken as normal and the split
     as at their median, where most lie.
     """
-    bell, wide = NormalDist(), 2 * SPILL
-    beyond = 2 * (bell.pdf(wide) - wide * bell.cdf(-wide))  # by how much a pair exceeds the zone on average
-    lost = 1 - F.pow(F.lit(1 - bell.pdf(0) * math.sqrt(2 - 2 * COSINE) * beyond), F.ceil(F.log(size / LEAF) / math.log(SHRINK)))
-    return F.greatest(F.lit(TREES), F.ceil(math.log(MISS) / F.log(lost))).cast("int")
+    bell, apart = NormalDist(), math.sqrt(2 - 2 * COSINE)
+    options = []
+    for spill in SPILLS:
+        beyond = 2 * (bell.pdf(2 * spill) - 2 * spill * bell.cdf(-2 * spill))  # by how much a pair exceeds the zone on average
+        both = 2 * bell.cdf(spill * apart) - 1  # the share of vectors that go to both sides
+        levels = F.ceil(F.log(size / LEAF) / math.log(2 * SLACK / (1 + both)))
+        lost = 1 - F.pow(F.lit(1 - bell.pdf(0) * apart * beyond), levels)
+        trees = F.greatest(F.lit(TREES), F.ceil(math.log(MISS) / F.log(lost)))
+        options.append(F.struct((trees * F.pow(F.lit(1 + both), levels)).alias("copies"), trees.cast("int").alias("trees"), F.lit(spill).alias("spill")))
+    return F.array_min(F.array(*options))
 
 
 def _options(direction: int) -> "F.Column":
@@ -78,17 +93,18 @@ def _options(direction: int) -> "F.Column":
     return F.transform(F.slice(quantiles, 5, 11), option)
 
 
-def _leaves(rows: DataFrame, margin: "F.Column") -> DataFrame:
-    """(cid, root, node, size) of rows (cid, root, proj): the leaves of each vector.
+def _leaves(rows: DataFrame) -> DataFrame:
+    """(cid, root, node, size) of rows (cid, root, proj, margin): the leaves of each vector.
 
     root: the tree and what is compared together; margin: half the spill zone.
     """
-    state = rows.withColumn("node", F.lit(1).cast("long")).withColumn("margin", margin)
+    state = rows.withColumn("node", F.lit(1).cast("long"))
     done: DataFrame | None = None
-    while True:
-        quantiles = [F.percentile_approx(F.col("proj")[d], [k / 20 for k in range(1, 20)], 1000).alias(f"q{d}") for d in range(DIRECTIONS)]
+    for level in itertools.count():
+        these = [(level * CHOICE + k) % DIRECTIONS for k in range(CHOICE)]
+        quantiles = [F.percentile_approx(F.col("proj")[d], [k / 20 for k in range(1, 20)], 1000).alias(f"q{d}") for d in these]
         nodes = state.groupBy("root", "node").agg(F.count(F.lit(1)).alias("size"), F.first("margin").alias("margin"), *quantiles)
-        options = F.concat(*[_options(d) for d in range(DIRECTIONS)])
+        options = F.concat(*[_options(d) for d in these])
         cost = F.transform(options, lambda o: F.struct((o["zone"] + o["off"]).alias("cost"), o["zone"].alias("zone"), o["direction"].alias("direction"), o["at"].alias("at")))
         best = F.array_min(F.filter(cost, lambda o: o["zone"] <= ZONE))
         nodes = checkpointed(nodes.select("root", "node", "size", F.when(F.col("size") > LEAF, best).alias("split")))
@@ -106,20 +122,22 @@ def _leaves(rows: DataFrame, margin: "F.Column") -> DataFrame:
 
 
 def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, vector, trees) of any lengths -> (cid, tree, proj)."""
+    """(cid, vector, trees, group, margin) of any lengths -> (cid, group, tree, proj, margin), a row for each tree."""
     for batch in batches:
         lengths = np.diff(batch.column(1).offsets.to_numpy())
         for length in np.unique(lengths):
-            mine = np.flatnonzero(lengths == length)
-            part = batch.take(pa.array(mine))
-            trees = part.column(2).to_numpy()
-            made = unit(matrix(part.column(1))) @ _directions(int(length), int(trees.max())).T
-            cid = np.repeat(part.column(0).to_numpy(), trees)
-            has = np.arange(trees.max(), dtype=np.int32) < trees[:, None]
-            tree = np.nonzero(has)[1].astype(np.int32)
-            proj = made.astype(np.float32).reshape(*has.shape, DIRECTIONS)[has].reshape(-1)
-            ends = np.arange(len(cid) + 1, dtype=np.int32) * DIRECTIONS
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(tree), pa.ListArray.from_arrays(pa.array(ends), pa.array(proj))], names=["cid", "tree", "proj"])
+            every = np.flatnonzero(lengths == length)
+            for at in range(0, len(every), PROJECTED):
+                part = batch.take(pa.array(every[at:at + PROJECTED]))
+                trees = part.column(2).to_numpy()
+                made = unit(matrix(part.column(1))) @ _directions(int(length), int(trees.max())).T
+                has = np.arange(trees.max(), dtype=np.int64) < trees[:, None]
+                vector, tree = np.nonzero(has)
+                proj = made.astype(np.float32).reshape(*has.shape, DIRECTIONS)[has].reshape(-1)
+                ends = np.arange(len(vector) + 1, dtype=np.int32) * DIRECTIONS
+                cid, group, margin = (part.column(k).take(pa.array(vector)) for k in (0, 3, 4))
+                yield pa.RecordBatch.from_arrays([cid, group, pa.array(tree.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(proj)), margin],
+                                                 names=["cid", "group", "tree", "proj", "margin"])
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -180,19 +198,18 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = own.where("ok").groupBy(*key).agg(F.any_value("vector").alias("vector"), F.min("id").alias("first"), F.count(F.lit(1)).alias("count"))
     classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))  # written once, so the numbers stay
     # labels that are split, with their trees
-    deep = classes.groupBy("label", "h3").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF).select("label", "h3", _trees(F.col("size")).alias("trees"))
-    deep = checkpointed(deep)
+    deep = classes.groupBy("label", "h3").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF).withColumn("plan", _plan(F.col("size")))
+    deep = checkpointed(deep.select("label", "h3", "plan.trees", (math.sqrt(2 - 2 * COSINE) * F.col("plan.spill") / F.sqrt("h3")).alias("margin")))
     few = deep.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    sized = classes.join(F.broadcast(deep) if few else deep, ["label", "h3"], "left").select("cid", "vector", F.coalesce("trees", F.lit(TREES)).alias("trees"))
-    projected = sized.mapInArrow(_project, "cid long, tree int, proj array<float>")
-    spread = math.sqrt(2 - 2 * COSINE) * SPILL
-    rooted = projected.join(classes.select("cid", "label", "h3"), "cid").select(
-        "cid", F.xxhash64("tree", "label", "h3").alias("root"), "proj", (F.lit(spread) / F.sqrt("h3")).alias("margin"))
-    found = checkpointed(_leaves(checkpointed(rooted), F.col("margin"))
+    sized = classes.join(F.broadcast(deep) if few else deep, ["label", "h3"], "left").select(
+        "cid", "vector", F.coalesce("trees", F.lit(1)).alias("trees"), F.xxhash64("label", "h3").alias("group"), F.coalesce("margin", F.lit(0.0)).alias("margin"))
+    rooted = sized.mapInArrow(_project, "cid long, group long, tree int, proj array<float>, margin double").select(
+        "cid", F.xxhash64("group", "tree").alias("root"), "proj", "margin")
+    found = checkpointed(_leaves(checkpointed(rooted))
                          .select("cid", F.xxhash64("root", "node").alias("leaf"), "size").distinct())
     # a row carries its other leaves, so that a pair is counted in one leaf only
     lists = found.groupBy("cid").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
-    blocks = F.greatest(F.ceil(F.col("size") / LEAF), F.lit(1))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1))
     placed = found.join(lists, "cid").join(classes.select("cid", "vector", "count"), "cid")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     placed = placed.select("leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "count", "vector", "leaves")

@@ -38,6 +38,7 @@ def _clustered(seed, n=900, d=24):
 def test_links_are_those_of_all_pairs(spark, monkeypatch, leaf):
     """Also with leaves so small that the tight group cannot be split and is compared in blocks."""
     monkeypatch.setattr(vector_dedup, "LEAF", leaf)
+    monkeypatch.setattr(vector_dedup, "BLOCK", leaf)
     ids, rows, labels = _clustered(1)
     df = spark.createDataFrame([(int(i), [float(x) for x in r], int(k)) for i, r, k in zip(ids, rows, labels)], SCHEMA)
     got = vector_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
@@ -48,18 +49,28 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, leaf):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
-def test_deeper_labels_have_more_trees(spark, monkeypatch):
-    """Pairs just above the threshold, with small leaves and a narrow zone: four trees would lose some of them."""
-    monkeypatch.setattr(vector_dedup, "SPILL", 0.5)
-    monkeypatch.setattr(vector_dedup, "LEAF", 64)
+def _planted(spark, pairs):
+    """Vectors 0 to pairs - 1, and one at a cosine of 0.932 for each."""
     rng = np.random.default_rng(3)
-    first, other = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 3000, 64)))
+    first, other = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, pairs, 64)))
     other -= (first * other).sum(1, keepdims=True) * first
     other /= np.linalg.norm(other, axis=1, keepdims=True)
     rows = np.concatenate([first, 0.932 * first + np.sqrt(1 - 0.932**2) * other])
-    df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(rows)], SCHEMA)
-    got = vector_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
-    assert (got.n_links == 1).all() and (got.component_id.values == np.arange(6000) % 3000).all()
+    return spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(rows)], SCHEMA)
+
+
+def test_work_of_a_large_label(spark, monkeypatch):
+    """Pairs just above the threshold in a label cut into leaves as often as one of 160,000 vectors: every
+    link is found, by comparing a tenth of all pairs at most."""
+    pairs = 10_000
+    monkeypatch.setattr(vector_dedup, "LEAF", 32)
+    seen, leaves = [], vector_dedup._leaves
+    monkeypatch.setattr(vector_dedup, "_leaves", lambda rows: seen.append(leaves(rows)) or seen[0])
+    got = vector_dedup.near_duplicates(_planted(spark, pairs)).toPandas().sort_values("vec_id")
+    work = seen[0].agg(F.sum(F.col("size") - 1).alias("compared"), F.count(F.lit(1)).alias("copies")).first()
+    print(f"copies a vector {work['copies'] / 2 / pairs:.1f}, compared {work['compared'] / (2 * pairs) ** 2:.4f}, lost {(got.n_links != 1).sum() // 2}")
+    assert (got.n_links == 1).all() and (got.component_id.values == np.arange(2 * pairs) % pairs).all()
+    assert work["compared"] < 0.1 * (2 * pairs) ** 2
 
 
 def test_vector_edges(spark):
