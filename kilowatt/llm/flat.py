@@ -2,8 +2,8 @@
 
 The operators that read whole texts take an Arrow string column, lay its
 UTF-8 bytes out as one numpy buffer and work on positions of that buffer, a
-bounded chunk of texts at a time. A text is never cut: a text longer than
-the chunk bound is a chunk of its own.
+bounded chunk of texts at a time. A text longer than the chunk bound is a
+chunk of its own; what counts words or n-grams takes it in pieces and adds up.
 """
 
 from __future__ import annotations
@@ -49,6 +49,59 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - first
 
 
+def pieces(texts: pa.Array, words: int = 0) -> Iterator[pa.Array]:
+    """The single text of ``texts`` in parts of about CHUNK_BYTES that end at a blank or
+    a control, each followed by the ``words`` (alphanumeric) words after it. A text without
+    blanks is one part."""
+    raw, offsets = utf8(texts)
+    n, at = len(raw), 0
+
+    def reach(start: int, enough, step: int) -> int:
+        """Where what ``enough`` looks for ends, seen from start in growing windows; or n."""
+        while True:
+            found = enough(raw[start:start + step])
+            if found is not None:
+                return start + found
+            if start + step >= n:
+                return n
+            step *= 4
+
+    def blank(part: np.ndarray) -> int | None:
+        first = np.flatnonzero(part <= 32)[:1]
+        return int(first[0]) if len(first) else None
+
+    def after(part: np.ndarray) -> int | None:
+        ends = alphanumeric_spans(part, np.array([0, len(part)]))[1]
+        # a last word may go on behind the window
+        return int(ends[words - 1]) if len(ends) > words else None
+
+    while at < n:
+        end = reach(at + CHUNK_BYTES, blank, 1 << 12) if at + CHUNK_BYTES < n else n
+        last = reach(end, after, 1 << 12) if words else end
+        yield pa.array([raw[at:last].tobytes()], pa.large_binary()).cast(pa.large_string())
+        at = end
+
+
+def add_up(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, sum of its counts) of parts (key, count), sorted by key; parts gather until they are as many as what is summed."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def merge() -> None:
+        keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        every, place = np.unique(keys, return_inverse=True)
+        held[:] = [(every, np.bincount(place, counts, len(every)).astype(counts.dtype))]
+
+    for part in parts:
+        held.append(part)
+        waiting += len(part[0])
+        if waiting > max(len(held[0][0]), CHUNK_BYTES):
+            merge()
+            waiting = 0
+    merge()
+    return held[0]
+
+
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, text number) of the runs of ``inside``; a run ends with its text."""
     n = len(inside)

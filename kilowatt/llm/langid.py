@@ -39,7 +39,14 @@ UNKNOWN = "und"
 def grams(texts: pa.Array, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, n-gram, count), sorted by group and n-gram; a text's group is
     its number, or group[number]. An n-gram is three code points of 21 bits, the
-    unused ones 0, the padding a blank."""
+    unused ones 0, the padding a blank. A long text is counted in pieces."""
+    if len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > flat.CHUNK_BYTES:
+        gram, count = flat.add_up(_grams(part, None)[1:] for part in flat.pieces(texts))
+        return np.full(len(gram), 0 if group is None else group[0]), gram, count
+    return _grams(texts, group)
+
+
+def _grams(texts: pa.Array, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(texts)
     words = pc.utf8_lower(texts).to_pylist()
     group = np.arange(n) if group is None else group
@@ -57,7 +64,7 @@ def grams(texts: pa.Array, group: np.ndarray | None = None) -> tuple[np.ndarray,
     bits = int(len(symbols) + 2).bit_length()
     if 3 * bits + int(group.max() if n else 0).bit_length() > 62 and n > 1 and group[0] != group[-1]:
         half = n // 2
-        parts = [grams(texts.slice(0, half), group[:half]), grams(texts.slice(half), group[half:])]
+        parts = [_grams(texts.slice(0, half), group[:half]), _grams(texts.slice(half), group[half:])]
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     code = np.cumsum(there, dtype=np.int64) + 1
     s = np.where(letter, code[points], 1)

@@ -57,7 +57,29 @@ _STEP = np.uint64(0xD1342543DE82EF95)
 def shingles(texts: pa.Array, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, weight) of each distinct shingle, sorted by
     text and hash; a text of fewer than ``width`` words is one shingle, a text
-    without words has none."""
+    without words has none. A long text is taken in pieces, each with the words
+    that its last shingles reach."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0))]
+    for row, some in flat.chunks(texts):
+        found = _long(some, width) if len(some) == 1 and pc.binary_length(some)[0].as_py() > flat.CHUNK_BYTES else None
+        doc, element, weight = found or _shingles(some, width)
+        parts.append((doc + row, element, weight))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _long(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The shingles of one text by pieces; None if no piece has ``width`` words, so that the text is one shingle."""
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield np.zeros(0, np.uint64), np.zeros(0)
+        for part in flat.pieces(text, width - 1):
+            if len(flat.alphanumeric_spans(*flat.utf8(part))[0]) >= width:
+                yield _shingles(part, width)[1:]
+
+    element, weight = flat.add_up(parts())
+    return (np.zeros(len(element), np.int64), element, weight) if len(element) else None
+
+
+def _shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw, offsets = flat.utf8(pc.utf8_lower(texts))
     starts, ends, doc = flat.alphanumeric_spans(raw, offsets)
     if not len(starts):

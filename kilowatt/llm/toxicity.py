@@ -32,7 +32,15 @@ _PAIR, _SKIP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, coordinate) of words, pairs and skip-pairs; with repeats."""
+    """(text number, coordinate) of words, pairs and skip-pairs; with repeats. A long
+    text is taken in pieces, each with the two words that follow it."""
+    if len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > flat.CHUNK_BYTES:
+        parts = [_distinct(*_features(part)) for part in flat.pieces(texts, 2)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _features(texts)
+
+
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = flat.utf8(pc.utf8_lower(texts))
     starts, ends, doc = flat.alphanumeric_spans(raw, offsets)
     word = flat.span_hashes(raw, starts, ends)
