@@ -15,6 +15,8 @@ from kilowatt.operators.partitioning import materialize
 #: Items that are sent to the tasks at once, and of them compared at once.
 BLOCK_ITEMS = 1 << 16
 STEP = 256
+#: Parts into which a user's items are hashed before they are ranked.
+USER_PARTS = 64
 
 
 def _rows(column: pa.Array, rank: int) -> np.ndarray:
@@ -109,7 +111,7 @@ def _searched(rows: pa.RecordBatch, users: np.ndarray, vectors: np.ndarray, name
     return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), best, pa.array(compared), pa.array(done)], names=["user", "features", "best", "compared", "done"])
 
 
-def ranking_metrics(scored: DataFrame, relevant: DataFrame, user: str, item: str, score: str, k: int = 10) -> DataFrame:
+def ranking_metrics(scored: DataFrame, relevant: DataFrame, user: str, item: str, score: str, k: int = 10, partitions: int | None = None) -> DataFrame:
     """One row (n_users, precision_at_k, map_at_k, ndcg_at_k) of scored items
     against relevant ones, the mean over users with a relevant item.
 
@@ -118,12 +120,23 @@ def ranking_metrics(scored: DataFrame, relevant: DataFrame, user: str, item: str
     to there, over the lesser of k and the relevant items; gain of place i: 1 /
     log2(i + 1), over that of the best order. A user without a list counts 0;
     pairs that repeat count once, at their largest score. Nulls are left out.
+
+    Rows are dealt into ``partitions`` (default: the session's shuffle partitions)
+    by number, which adaptive execution does not merge: it goes by compressed
+    bytes, and sorted keys unpack to many times those. Give a number that follows
+    the rows. A user's items are limited to k in each of ``USER_PARTS`` hash
+    parts first, so a user with very many is not one task.
     """
-    lists = scored.select(user, item, score).dropna().groupBy(user, item).agg(F.max(score).alias("score"))
-    place = F.row_number().over(W.partitionBy(user).orderBy(F.col("score").desc(), item))
-    lists = lists.withColumn("place", place).where(F.col("place") <= k)  # the limit is applied before the shuffle, too
-    wanted = relevant.select(user, item).dropna().distinct()
-    hits = lists.join(wanted, [user, item]).select(user, "place")
+    n = partitions or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64(item), F.lit(USER_PARTS)).alias("__part")
+    lists = scored.select(user, part, item, F.col(score).alias("score")).dropna().repartition(n, user, "__part")
+    lists = lists.groupBy(user, "__part", item).agg(F.max("score").alias("score"))
+    for keys in ([user, "__part"], [user]):
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("score").desc(), item))
+        lists = lists.withColumn("place", place).where(F.col("place") <= k)
+        lists = lists.repartition(n, user) if len(keys) == 2 else lists
+    wanted = relevant.select(user, item).dropna().repartition(n, user, item).distinct()
+    hits = lists.select(user, item, "place").repartition(n, user, item).join(wanted, [user, item]).select(user, "place")
     # a user has k hits at most
     nth = F.row_number().over(W.partitionBy(user).orderBy("place"))
     per = hits.withColumn("nth", nth).groupBy(user).agg(
