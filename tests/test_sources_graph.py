@@ -134,3 +134,22 @@ def test_frequent_itemsets_small(spark):
                 assert sets[key] == c
             else:
                 assert key not in sets
+
+
+def test_baskets_are_collect_sets(spark):
+    """Repeated and null items, a basket without an item, null keys, and baskets
+    that reach over Arrow batches; equal baskets are fitted in one partition."""
+    from kilowatt.operators.mining import baskets
+
+    rows = [(k, f"i{(k * j) % 5}") for k in range(9) for j in range(k + 1)] + [(3, None), (20, None), (None, "x"), (None, "x"), (None, "y")]
+    df = spark.createDataFrame(rows, "k long, item string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = sorted(sorted(r["items"]) for r in baskets(df, "k", "item").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    expect = {}
+    for k, item in rows:
+        expect.setdefault(k, set()).update({item} - {None})
+    assert got == sorted(sorted(v) for v in expect.values())
