@@ -7,6 +7,11 @@ holding a third of all occurrences still sends one row per partition.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,56 @@ def terms_with_bigrams(tokens) -> "Column":
     return F.concat(tokens, pairs)
 
 
+def term_rows(df: DataFrame, group: str, text: str = "text") -> DataFrame:
+    """(group, __term): every occurrence of a word or two-word phrase, the rows
+    that :func:`terms_with_bigrams` explodes to. The tokens are a column of their
+    own, so a text is split once, and no lambda runs over them."""
+    tokens = df.select(group, java_tokens(text).alias("__tokens"))
+    after = F.slice("__tokens", 2, F.greatest(F.size("__tokens"), F.lit(1)))
+    pairs = tokens.select(group, F.explode(F.arrays_zip(F.col("__tokens").alias("word"), after.alias("next"))).alias("__pair"))
+    word, following = F.col("__pair.word"), F.col("__pair.next")
+    phrase = F.array(word, F.concat_ws(" ", word, following))
+    return pairs.select(group, F.explode(F.when(following.isNotNull(), phrase).otherwise(F.array(word))).alias("__term"))
+
+
+def counted_terms(df: DataFrame, group: str, text: str = "text") -> DataFrame:
+    """(group, __term, __n): occurrences of words and two-word phrases (the
+    rows of :func:`term_rows`), counted within each Arrow batch. A term may come
+    once per batch, so sum them; no state and no shuffle, so a stream may use it
+    before its one aggregation. A text is split once, and a phrase is a pair of
+    numbers until it is counted."""
+    tokens = df.select(group, java_tokens(text).alias("__tokens")).where(F.size("__tokens") > 0)
+    kind = df.schema[group].dataType.simpleString()
+    return tokens.mapInArrow(_counted, f"`{group}` {kind}, __term string, __n long")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = [batch.schema.field(0).name, "__term", "__n"]
+        groups = batch.column(0).dictionary_encode(null_encoding="encode")
+        lengths = np.diff(batch.column(1).offsets.to_numpy())
+        words = batch.column(1).flatten().dictionary_encode()
+        code, known = words.indices.to_numpy().astype(np.int64), words.dictionary
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        group = groups.indices.to_numpy()[doc].astype(np.int64)
+        adjacent = doc[1:] == doc[:-1]
+        pair = code[:-1][adjacent] * len(known) + code[1:][adjacent]
+        for owner, term, phrase in ((group, code, False), (group[1:][adjacent], pair, True)):
+            if not len(term):
+                continue
+            order = np.lexsort((term, owner))
+            owner, term = owner[order], term[order]
+            first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])))
+            n, owner, term = np.diff(np.append(first, len(term))), owner[first], term[first]
+            if phrase:
+                texts = pc.binary_join_element_wise(known.take(pa.array(term // len(known))), known.take(pa.array(term % len(known))), " ")
+            else:
+                texts = known.take(pa.array(term))
+            yield pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(owner)), texts, pa.array(n, pa.int64())], names=names)
+
+
 def lexicon_totals(
     df: DataFrame, lexicon: DataFrame, group: str, text: str = "text", term: str = "term", score: str = "score",
 ) -> DataFrame:
@@ -45,8 +100,7 @@ def lexicon_totals(
     meets the lexicon once per group. Rows with a null text are documents
     without a hit.
     """
-    occ = df.select(group, F.explode(terms_with_bigrams(java_tokens(text))).alias("__term"))
-    counted = occ.groupBy(group, "__term").agg(F.count(F.lit(1)).alias("__n"))
+    counted = term_rows(df, group, text).groupBy(group, "__term").agg(F.count(F.lit(1)).alias("__n"))
     lex = lexicon.select(F.col(term).alias("__term"), F.col(score).cast("long").alias("__score"))
     hits = counted.join(lex, "__term").select(
         group, F.lit(0).cast("long").alias("__doc"), (F.col("__score") * F.col("__n")).alias("__score"), F.col("__n").alias("__hit"))

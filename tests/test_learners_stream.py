@@ -99,6 +99,25 @@ def test_lexicon_totals_words_and_phrases(spark):
     assert got == {"a": (2, 3 - 5 + 1 + 6, 5), "b": (2, 0, 0), None: (1, 1, 1)}
 
 
+def test_counted_terms_are_the_exploded_terms(spark):
+    """Nulls, empty and blank texts, trailing blanks, groups over several batches; a text is split once."""
+    from kilowatt.functions.text import java_tokens
+    from kilowatt.operators.text import counted_terms, term_rows, terms_with_bigrams
+
+    texts = ["a b a b a", "", " ", None, "B  b ", "x\ty\nx y", "a", "  a"]
+    docs = spark.createDataFrame([(g, t) for g in ("s", None, "t") for t in texts], "source string, text string").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        frame = counted_terms(docs, "source")
+        got = {(r["source"], r["__term"]): r["n"] for r in frame.groupBy("source", "__term").agg(F.sum("__n").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    every = docs.select("source", F.explode(terms_with_bigrams(java_tokens("text"))).alias("term")).groupBy("source", "term").count()
+    assert got == {(r["source"], r["term"]): r["count"] for r in every.collect()}
+    assert got == {(r["source"], r["__term"]): r["count"] for r in term_rows(docs, "source").groupBy("source", "__term").count().collect()}
+
+
 def test_spread_scan_and_materialize(spark):
     df = spark.range(0, 1000).coalesce(1)
     assert spread_scan(df, 32).rdd.getNumPartitions() == 32
