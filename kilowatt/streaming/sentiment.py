@@ -1,7 +1,9 @@
 """Lexicon scoring over a stream of texts (DAT11, stream-static join).
 
-Texts arrive as files; term occurrences are joined with a static lexicon
-(stored once; Spark picks the join by its size) and totals per group are
+Texts arrive as files and are dealt out, since a trigger has a few files only;
+term occurrences are counted per Arrow batch, so a common word is not a row per
+occurrence, and joined with a static lexicon (stored once) by hash, so they are
+not sorted; totals per group are
 kept in the streaming state store (one row per group). Each batch's totals
 are written by ``foreachBatch`` to a folder of its own under the shared
 checkpoint folder; the newest is read when the stream has caught up.
@@ -13,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kilowatt.functions.text import java_tokens
 from kilowatt.operators.partitioning import materialize
-from kilowatt.operators.text import terms_with_bigrams
+from kilowatt.operators.text import counted_terms
 from kilowatt.session import scratch_path
 
+#: Tasks into which the texts of a trigger are dealt.
+TEXT_PARTS = 32
+
 
 def stream_lexicon_totals(
     spark: SparkSession,
@@ -34,11 +38,12 @@ def stream_lexicon_totals(
     out_path, ckpt = f"{work}/totals", f"{work}/checkpoint"
     lex = materialize(lexicon.select(F.col("term").alias("__term"), F.col("score").cast("long").alias("__score")))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
-    occ = stream.select(group, F.explode(terms_with_bigrams(java_tokens(text))).alias("__term"))
-    hits = occ.join(lex, "__term").select(
-        group, F.lit(0).alias("__doc"), "__score", F.lit(1).alias("__hit")
+    counted = counted_terms(stream.select(group, text).repartition(TEXT_PARTS), group, text)
+    hits = counted.join(lex.hint("shuffle_hash"), "__term").select(
+        group, F.lit(0).cast("long").alias("__doc"), (F.col("__score") * F.col("__n")).alias("__score"), F.col("__n").alias("__hit")
     )
-    docs = stream.select(group, F.lit(1).alias("__doc"), F.lit(0).cast("long").alias("__score"), F.lit(0).alias("__hit"))
+    zero = F.lit(0).cast("long")
+    docs = stream.select(group, F.lit(1).cast("long").alias("__doc"), zero.alias("__score"), zero.alias("__hit"))
     totals = hits.unionByName(docs).groupBy(group).agg(
         F.sum("__doc").cast("long").alias("n_docs"), F.sum("__score").cast("long").alias("total_score"),
         F.sum("__hit").cast("long").alias("n_hits"),
