@@ -1,8 +1,9 @@
 """PageRank over an edge list with DataFrames (DAT1).
 
-The edge table is partitioned once on (src, salt) and persisted; each round
-shuffles ranks to it, joins, and aggregates on the receiving node (map-side
-combined, so a heavily linked node costs one row per partition). Each
+The edge table is shuffled once, to (src, salt), sorted and persisted; a node's
+degree is kept with its rank, not with its edges. Each round shuffles ranks to
+the edges, joins, and aggregates on the receiving node (map-side combined, so a
+heavily linked node costs one row per partition). Each
 round's ranks are persisted, since the next round reads them twice, and
 every ``checkpoint_every`` rounds they are written to the session's shared
 checkpoint folder, which cuts the lineage.
@@ -40,6 +41,22 @@ def salted_links(edges: DataFrame, heavy_degree: int) -> DataFrame:
     ).withColumn("salt", F.pmod(F.hash("dst"), F.col("parts")))
 
 
+def with_salts(edges: DataFrame, heavy_degree: int) -> DataFrame:
+    """``edges`` (src, dst, ...) with ``parts`` and ``salt``: a source of more than
+    ``heavy_degree`` rows is spread over parts = ceil(rows / heavy_degree) salts
+    by the hash of dst, any other has one.
+
+    Rows are counted, not distinct edges: the counts are added up before they
+    are shuffled. There is at most one heavy source for each ``heavy_degree``
+    rows, so their list is sent to every task, and the edges are not shuffled.
+    """
+    rows = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > int(heavy_degree))
+    heavy = materialize(rows.select("src", F.ceil(F.col("n") / F.lit(int(heavy_degree))).cast("int").alias("heavy_parts")))
+    parts = F.coalesce("heavy_parts", F.lit(1)).alias("parts")
+    return edges.join(F.broadcast(heavy), "src", "left").select(*edges.columns, parts).withColumn(
+        "salt", F.pmod(F.hash("dst"), F.col("parts")))
+
+
 def pagerank(
     edges: DataFrame,
     src: str = "src",
@@ -54,32 +71,37 @@ def pagerank(
     Duplicate edges are merged; every node that appears in an edge takes
     part. Dangling nodes (no out-edges) pass nothing on. Edges with a null
     end are left out. ``heavy_degree`` only sets how edges are spread (see
-    :func:`salted_links`); ranks do not depend on it.
+    :func:`with_salts`); ranks do not depend on it.
     """
     spark = edges.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # read twice, to count and to place them: what made them runs once
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where(
         F.col("src").isNotNull() & F.col("dst").isNotNull()
-    ).distinct()
-    links = salted_links(e, heavy_degree).repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
-    # every node once, with the number of salts its rank is copied to
-    ends = links.select(F.explode(F.array(
-        F.struct(F.col("src").alias("node"), "parts"), F.struct(F.col("dst").alias("node"), F.lit(1).alias("parts")),
-    )).alias("end"))
-    ranks = materialize(ends.groupBy("end.node").agg(F.max("end.parts").alias("parts")).withColumn("rank", F.lit(1.0)))
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    # copies of an edge share their salt, so they are merged where they lie; in
+    # the order of the join, so that no round sorts them
+    links = with_salts(e, heavy_degree).repartition(n, "src", "salt").distinct().sortWithinPartitions(
+        "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    # every node once, with its out-edges and the number of salts its rank is copied to
+    ends = links.groupBy("src", "salt").agg(F.count(F.lit(1)).alias("deg"), F.max("parts").alias("parts")).select(
+        F.col("src").alias("node"), "deg", "parts"
+    ).unionByName(links.select(F.col("dst").alias("node"), F.lit(0).cast("long").alias("deg"), F.lit(1).alias("parts")))
+    ranks = materialize(ends.groupBy("node").agg(F.sum("deg").alias("deg"), F.max("parts").alias("parts")).withColumn("rank", F.lit(1.0)))
+    e.unpersist()
     held: list[DataFrame] = []
     for i in range(1, int(rounds) + 1):
         salts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
-        copies = ranks.select(F.col("node").alias("src"), salts, "rank")
+        copies = ranks.where("deg > 0").select(F.col("node").alias("src"), salts, (F.col("rank") / F.col("deg")).alias("c"))
         flows = links.join(copies, ["src", "salt"]).select(
-            F.col("dst").alias("node"), (F.col("rank") / F.col("deg")).alias("c"), F.lit(1).alias("parts")
+            F.col("dst").alias("node"), "c", F.lit(0).cast("long").alias("deg"), F.lit(1).alias("parts")
         )
         # every node also sends itself a zero, so one aggregation on the node
         # both sums the inflow and keeps nodes without in-edges (no join)
-        keep = ranks.select("node", F.lit(0.0).alias("c"), "parts")
+        keep = ranks.select("node", F.lit(0.0).alias("c"), "deg", "parts")
         ranks = flows.unionByName(keep).groupBy("node").agg(
-            F.sum("c").alias("c"), F.max("parts").alias("parts")
-        ).select("node", "parts", (F.lit(1.0 - damping) + F.lit(damping) * F.col("c")).alias("rank"))
+            F.sum("c").alias("c"), F.max("deg").alias("deg"), F.max("parts").alias("parts")
+        ).select("node", "deg", "parts", (F.lit(1.0 - damping) + F.lit(damping) * F.col("c")).alias("rank"))
         last = i == int(rounds)
         if last or (checkpoint_every and i % int(checkpoint_every) == 0):
             ranks = materialize(ranks)

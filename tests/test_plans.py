@@ -100,3 +100,26 @@ def test_pagerank_rounds_do_not_shuffle_the_links(spark, monkeypatch):
     assert any("part" in keys for keys in joins)  # the edges meet their degree on (src, part)
     # the other join is over one row per (src, part), not over edges
     assert len(joins) == 2
+
+
+def test_pagerank_edges_are_shuffled_once_and_never_sorted_again(spark, monkeypatch):
+    """Broadcasts off, as at size: of the exchanges behind the persisted links one is over
+    edges, and a round's join reads the links in the order they are kept in."""
+    from kilowatt.operators import graph
+
+    seen = []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: (seen.append(_plan(df)), real(df))[1])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(0, 400).selectExpr("id % 7 AS src", "id AS dst")
+        graph.pagerank(edges.union(edges), rounds=1, heavy_degree=10).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    round_plan, links = seen[-1].split("InMemoryRelation")[:2]
+    branch = round_plan[:round_plan.index("InMemoryTableScan")].splitlines()
+    join = max(i for i, line in enumerate(branch) if "SortMergeJoin" in line or "ShuffledHashJoin" in line)
+    assert not any(re.search(r"\bSort\b", line) for line in branch[join:])
+    exchanges = re.findall(r"\bExchange hashpartitioning\((\w+)#\d+L?, (\w*)", links)
+    assert exchanges == [("src", "salt")]
