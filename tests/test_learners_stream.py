@@ -85,6 +85,22 @@ def test_slot_terms_names_the_most_frequent_term_of_a_slot(spark):
     assert got == {k: max(w for w in words if slot[w] == k) for k in set(slot.values())}
 
 
+def test_slot_terms_counts_terms_in_batches(spark):
+    """A row a term and batch is counted on, not a row an occurrence; counts of several
+    batches add up, and null, empty and repeated arrays count as they did."""
+    rows = [(["a", "b", "b"],), (None,), ([],), (["a"] * 5,), (["c", "b"],), (["b"] * 3,)] * 3
+    tok = spark.createDataFrame(rows, "words array<string>").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        found = learners.slot_terms(tok, "words", [0], slots=1)
+        assert [tuple(r) for r in found.collect()] == [(0, "a")]  # 18 times, as b: the first by name
+    finally:
+        spark.conf.set(name, old)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_isotonic_weights_repeated_values(spark):
     """Rows of one value count as often as they occur; nulls are left out."""
     rows = [(1.0, 1.0)] * 9 + [(11.0, 1.0), (1.0, 2.0), (None, 1.0), (5.0, None)]
