@@ -1,7 +1,9 @@
 """Near-duplicate vectors: a forest of random-projection trees with spill.
 
 Vectors are compared only within a label (and length). Equal vectors are one
-from the start, with their number. Every tree splits a node of more than
+from the start, with their number. A label is compared whole as long as that is
+less work than the copies that trees would make of it; there no pair can be
+lost. In a larger label every tree splits a node of more than
 ``LEAF`` vectors at a quantile of their projections on one of the level's
 random directions: the one, and the quantile near the median, around which
 the fewest vectors lie. Vectors within the spill zone of the split go to both
@@ -11,11 +13,11 @@ tree but needs more trees: the width (one of ``SPILLS``) and the number of trees
 follow from the label's size, as those with the fewest copies of a vector that
 lose a pair with a probability of ``MISS``.
 
-Within a leaf all vectors are compared in blocks by matrix products; only
-counts and the edges of a spanning forest leave the task, never pairs. Large
-leaves are cut into blocks of ``BLOCK`` vectors, and each pair of blocks is a
-group of its own. A pair that shares several leaves is counted in the one
-with the least name.
+Within a leaf all vectors are compared in tiles by matrix products, in single
+precision first; only counts and the edges of a spanning forest leave the task,
+never pairs. Leaves and whole labels are cut into blocks of ``BLOCK`` vectors,
+and each pair of blocks is a group of its own. A pair that shares several leaves
+is counted in the one with the least name.
 
 All levels are aggregations and joins over narrow rows; node tables are sent
 to the tasks only while they are small.
@@ -40,8 +42,14 @@ COSINE = 0.93
 #: Directions of a tree, and how many of them a level has to choose from; a direction
 #: that split a node before lies denser there, so the next levels take others.
 DIRECTIONS, CHOICE = 24, 4
-#: Vectors in a leaf; and in a block of a leaf that no split makes smaller.
-LEAF, BLOCK = 256, 1024
+#: Vectors in a leaf: comparing one with so many costs about what carrying a copy of it through a tree does. And
+#: vectors, of up to SHORT numbers, in a block of a leaf; of longer ones a block has fewer.
+LEAF, BLOCK, SHORT = 4096, 8192, 64
+#: A label is split if it has more vectors than a vector's copies would be compared with and cost: each
+#: copy counts as a leaf for itself and one for its comparisons, where a label compared whole has half its size.
+WHOLE = 4
+#: Vectors of a block that are compared with as many of another at once; and how many near pairs are linked one by one.
+TILE, SPARSE = 1024, 4096
 #: A pair at the threshold is lost with this probability at most; and so many trees at least.
 MISS, TREES = 1e-6, 4
 #: Half the spill zone, in standard deviations of the projected difference of two vectors at the threshold.
@@ -140,42 +148,99 @@ def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                  names=["cid", "group", "tree", "proj", "margin"])
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """A leaf, or a pair of its blocks: (cid, links) of each vector and (cid, other) edges."""
-    leaf, first, second = (table.column(c)[0].as_py() for c in ("leaf", "low", "high"))
-    cid, block = table.column("cid").to_numpy(), table.column("block").to_numpy()
-    count = table.column("count").to_numpy()
-    rows = unit(matrix(table.column("vector").combine_chunks()))
-    near = rows @ rows.T >= COSINE
-    np.fill_diagonal(near, False)
-    if first != second:
-        near &= block[:, None] != block[None, :]
-    lists = table.column("leaves").combine_chunks()
+def _near(rows: np.ndarray, single: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ``a`` and ``b`` of the pairs of unit vectors at COSINE or more, each pair once if a is b.
+
+    Single precision finds what may be near, double precision decides.
+    """
+    slack = max(1e-5, rows.shape[1] * 2.0**-22)
+    maybe = single[a] @ single[b].T >= COSINE - slack
+    if a is b:
+        maybe &= np.triu(np.ones_like(maybe), 1)
+    x, y = np.nonzero(maybe)
+    if len(x) > maybe.size // 32:
+        return np.nonzero(maybe & (rows[a] @ rows[b].T >= COSINE))
+    sure = np.einsum("ij,ij->i", rows[a[x]], rows[b[y]]) >= COSINE
+    return x[sure], y[sure]
+
+
+def _earlier(lists: pa.ListArray, leaf: int) -> np.ndarray | None:
+    """The names below ``leaf`` among each vector's leaves, padded by a number that meets nowhere; None if there are none."""
     ends = lists.offsets.to_numpy()
     names = lists.flatten().to_numpy() if lists.offset == 0 else lists.values.to_numpy()
     width = int(np.diff(ends).max())
-    # earlier leaves of each vector, padded by numbers that meet nowhere
-    earlier = np.arange(len(cid), dtype=np.int64)[:, None] * 0 + np.iinfo(np.int64).max
-    earlier = np.repeat(earlier, width, axis=1)
+    earlier = np.full((len(lists), width), np.iinfo(np.int64).max)
     for k in range(width):
         has = ends[:-1] + k < ends[1:]
         value = names[ends[:-1][has] + k]
         earlier[np.flatnonzero(has)[value < leaf], k] = value[value < leaf]
-    links = np.zeros(len(cid), np.int64)
-    x, y = np.nonzero(np.triu(near))
+    return earlier if (earlier != np.iinfo(np.int64).max).any() else None
+
+
+def _new(earlier: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs share no earlier leaf."""
+    new = np.ones(len(x), bool)
     for at in range(0, len(x), 1 << 15):
         i, j = x[at:at + (1 << 15)], y[at:at + (1 << 15)]
         known = np.zeros(len(i), bool)
-        for k in range(width):
+        for k in range(earlier.shape[1]):
             mine = earlier[i, k]
             known |= (mine != np.iinfo(np.int64).max) & (earlier[j] == mine[:, None]).any(1)
-        i, j = i[~known], j[~known]
-        links += np.bincount(i, count[j], len(cid)).astype(np.int64) + np.bincount(j, count[i], len(cid)).astype(np.int64)
-    a, b = (cid[ends] for ends in spanning_forest(near))
-    hit = np.flatnonzero(links)
-    return pa.table({"a": pa.array(np.concatenate([cid[hit], a]), pa.int64()),
-                     "b": pa.array(np.concatenate([cid[hit], b]), pa.int64(), mask=np.arange(len(hit) + len(a)) < len(hit)),
-                     "links": pa.array(np.concatenate([links[hit], np.zeros(len(a), np.int64)]), pa.int64())})
+        new[at:at + (1 << 15)] = ~known
+    return new
+
+
+def _star(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few edges with the same components as the pairs (x, y) of a tile of a and b."""
+    at = np.unique(np.concatenate([a, b]))
+    near = np.zeros((len(at), len(at)), bool)
+    i, j = np.searchsorted(at, x), np.searchsorted(at, y)
+    near[i, j] = near[j, i] = True
+    i, j = spanning_forest(near)
+    return at[i], at[j]
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """A leaf, or a pair of its blocks: (cid, links) of each vector and (cid, other) edges."""
+    leaf, first, second = (table.column(c)[0].as_py() for c in ("leaf", "low", "high"))
+    cid, block = table.column("cid").to_numpy(), table.column("block").to_numpy()
+    count = table.column("count").to_numpy()
+    rows = unit(matrix(table.column("vector").combine_chunks()))
+    single = rows.astype(np.float32)
+    earlier = _earlier(table.column("leaves").combine_chunks(), leaf)
+    links, top = np.zeros(len(cid), np.int64), np.arange(len(cid))
+    low, high = ([at[k:k + TILE] for k in range(0, len(at), TILE)] for at in (np.flatnonzero(block == b) for b in (first, second)))
+    if first == second:
+        high = low
+    for k, a in enumerate(low):
+        for b in high[k if first == second else 0:]:
+            x, y = _near(rows, single, a, b)
+            x, y = a[x], b[y]
+            i, j = (x, y) if earlier is None else (c[new] for new in [_new(earlier, x, y)] for c in (x, y))
+            for u, v in ((i, j), (j, i)):
+                links += np.bincount(u, count[v], len(cid)).astype(np.int64)
+            apart = top[x] != top[y]
+            x, y = x[apart], y[apart]
+            for i, j in zip(*((x, y) if len(x) <= SPARSE else _star(x, y, a, b)), strict=True):
+                if top[i] != top[j]:
+                    top[top == top[j]] = top[i]
+    hit, inner = np.flatnonzero(links), np.flatnonzero(top != np.arange(len(cid)))
+    return pa.table({"a": pa.array(np.concatenate([cid[hit], cid[top[inner]]]), pa.int64()),
+                     "b": pa.array(np.concatenate([cid[hit], cid[inner]]), pa.int64(), mask=np.arange(len(hit) + len(inner)) < len(hit)),
+                     "links": pa.array(np.concatenate([links[hit], np.zeros(len(inner), np.int64)]), pa.int64())})
+
+
+def _split(deep: DataFrame) -> DataFrame:
+    """(cid, vector, count, leaf, size, leaves) of rows (cid, vector, count, label, h3, trees, margin, ...) of the
+    labels that are split: a row for each leaf that a vector is in, which carries the names of them all, so that a
+    pair is counted in one leaf only."""
+    rooted = deep.select("cid", "vector", "trees", F.xxhash64("label", "h3").alias("group"), "margin").mapInArrow(
+        _project, "cid long, group long, tree int, proj array<float>, margin double").select(
+        "cid", F.xxhash64("group", "tree").alias("root"), "proj", "margin")
+    found = checkpointed(_leaves(checkpointed(rooted))
+                         .select("cid", F.xxhash64("root", "node").alias("leaf"), "size").distinct())
+    lists = found.groupBy("cid").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
+    return found.join(lists, "cid").join(deep.select("cid", "vector", "count"), "cid")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -197,20 +262,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     own = own.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.hash("vector")).withColumn("h3", F.size("vector"))
     classes = own.where("ok").groupBy(*key).agg(F.any_value("vector").alias("vector"), F.min("id").alias("first"), F.count(F.lit(1)).alias("count"))
     classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))  # written once, so the numbers stay
-    # labels that are split, with their trees
-    deep = classes.groupBy("label", "h3").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF).withColumn("plan", _plan(F.col("size")))
-    deep = checkpointed(deep.select("label", "h3", "plan.trees", (math.sqrt(2 - 2 * COSINE) * F.col("plan.spill") / F.sqrt("h3")).alias("margin")))
-    few = deep.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    sized = classes.join(F.broadcast(deep) if few else deep, ["label", "h3"], "left").select(
-        "cid", "vector", F.coalesce("trees", F.lit(1)).alias("trees"), F.xxhash64("label", "h3").alias("group"), F.coalesce("margin", F.lit(0.0)).alias("margin"))
-    rooted = sized.mapInArrow(_project, "cid long, group long, tree int, proj array<float>, margin double").select(
-        "cid", F.xxhash64("group", "tree").alias("root"), "proj", "margin")
-    found = checkpointed(_leaves(checkpointed(rooted))
-                         .select("cid", F.xxhash64("root", "node").alias("leaf"), "size").distinct())
-    # a row carries its other leaves, so that a pair is counted in one leaf only
-    lists = found.groupBy("cid").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1))
-    placed = found.join(lists, "cid").join(classes.select("cid", "vector", "count"), "cid")
+    # labels, those that are split with their trees
+    sizes = classes.groupBy("label", "h3").agg(F.count(F.lit(1)).alias("size")).withColumn("plan", _plan(F.col("size")))
+    cheap = (F.col("size") > LEAF) & (F.col("plan.copies") * WHOLE * LEAF < F.col("size"))
+    margin = math.sqrt(2 - 2 * COSINE) * F.col("plan.spill") / F.sqrt("h3")
+    labels = checkpointed(sizes.select("label", "h3", "size", F.when(cheap, F.col("plan.trees")).alias("trees"), F.when(cheap, margin).alias("margin")))
+    sized = look_up(classes.select("cid", "vector", "count", "label", "h3"), labels, ["label", "h3"])
+    placed = sized.where("trees IS NULL AND size > 1").withColumn("leaf", F.xxhash64("label", "h3")).select(
+        "cid", "vector", "count", "leaf", "size", F.array("leaf").alias("leaves"))
+    if not labels.where("trees IS NOT NULL").isEmpty():
+        placed = placed.unionByName(_split(sized.where("trees IS NOT NULL")))
+    blocks = F.greatest(F.ceil(F.col("size") * F.greatest(F.size("vector"), F.lit(SHORT)) / (BLOCK * SHORT)), F.lit(1))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     placed = placed.select("leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "count", "vector", "leaves")
     out = checkpointed(placed.groupBy("leaf", "low", "high").applyInArrow(_compare, "a long, b long, links long"))

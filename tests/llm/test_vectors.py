@@ -73,6 +73,58 @@ def test_work_of_a_large_label(spark, monkeypatch):
     assert work["compared"] < 0.1 * (2 * pairs) ** 2
 
 
+def test_trees_are_grown_only_where_they_are_less_work(spark, monkeypatch):
+    """A label of some thousand vectors is compared whole: no tree, no copies, and no link is lost."""
+    seen, leaves = [], vector_dedup._leaves
+    monkeypatch.setattr(vector_dedup, "_leaves", lambda rows: seen.append(rows) or leaves(rows))
+    monkeypatch.setattr(vector_dedup, "BLOCK", 500)
+    got = vector_dedup.near_duplicates(_planted(spark, 1500)).toPandas().sort_values("vec_id")
+    assert not seen and (got.n_links == 1).all() and (got.component_id.values == np.arange(3000) % 1500).all()
+
+
+def test_links_of_split_labels_are_those_of_all_pairs(spark, monkeypatch):
+    """Every label of more than a leaf is split here, and the tight group is a leaf of many blocks."""
+    for name, value in (("LEAF", 128), ("BLOCK", 128), ("WHOLE", 0)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    ids, rows, labels = _clustered(2)
+    df = spark.createDataFrame([(int(i), [float(x) for x in r], int(k)) for i, r, k in zip(ids, rows, labels)], SCHEMA)
+    got = vector_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
+    links, component = _dup_brute(ids, rows, labels)
+    assert (got.n_links.values <= links).all() and got.n_links.sum() >= 0.999 * links.sum()
+    assert (got.component_id.values == component).mean() > 0.999
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+@pytest.mark.parametrize("sparse", [0, 10**6])
+def test_tiles_of_a_leaf_are_its_pairs(monkeypatch, blocks, sparse):
+    """Sparse and dense tiles, one block or several, copies of a vector, pairs that an earlier leaf has."""
+    monkeypatch.setattr(vector_dedup, "TILE", 50)
+    monkeypatch.setattr(vector_dedup, "SPARSE", sparse)
+    ids, rows, _ = _clustered(4)
+    ids, rows = ids[:650], rows[:650]
+    block, count = ids // 3 % blocks, 1 + ids % 4
+    leaves = [[5, 7] if i % 2 else [7, 9] for i in range(650)]
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= vector_dedup.COSINE
+    np.fill_diagonal(near, False)
+    odd = np.arange(650) % 2 == 1
+    links, edges = np.zeros(650, int), []
+    for low in range(blocks):
+        for high in range(low, blocks):
+            own = np.flatnonzero((block == low) | (block == high))
+            table = pa.table({"leaf": [7] * len(own), "low": [low] * len(own), "high": [high] * len(own), "block": block[own], "cid": ids[own],
+                              "count": count[own], "vector": [rows[i].tolist() for i in own], "leaves": [leaves[i] for i in own]})
+            out = vector_dedup._compare(table).to_pandas()
+            links[out.a[out.b.isna()].values // 3] += out.links[out.b.isna()].values
+            edges += out[out.b.notna()][["a", "b"]].astype(int).values.tolist()
+    assert (links == (near & ~(odd[:, None] & odd[None, :])) @ count).all()  # two odd ones meet in leaf 5
+    component = np.arange(650)
+    for _ in range(650):
+        for a, b in edges:
+            component[[a // 3, b // 3]] = component[[a // 3, b // 3]].min()
+    assert (ids[component] == _dup_brute(ids, rows, np.zeros(650))[1]).all()
+
+
 def test_vector_edges(spark):
     v = [1.0, 2.0, 0.0]
     rows = [(1, v, 1), (1, v, 1), (2, [2.0, 4.0, 0.0], 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0, 0.0, 0.0], 1), (7, [float("nan"), 1.0, 0.0], 1),
