@@ -1,4 +1,5 @@
-"""PageRank over an edge list with DataFrames (DAT1).
+"""PageRank over an edge list with DataFrames (DAT1), and the power iteration of
+similarity graphs (DAT5), which runs the same way.
 
 The edge table is shuffled once, to (src, salt), sorted and persisted; a node's
 degree is kept with its rank, not with its edges. Each round shuffles ranks to
@@ -11,6 +12,9 @@ checkpoint folder, which cuts the lineage.
 
 from __future__ import annotations
 
+import math
+import sys
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -113,3 +117,41 @@ def pagerank(
             held.append(ranks)
     links.unpersist()
     return ranks.select("node", "rank")
+
+
+def power_iteration(similarities: DataFrame, rounds: int, heavy_degree: int = 100_000) -> DataFrame:
+    """(node, value) after ``rounds`` rounds of v' = W v / |W v| at most, from the
+    degrees, as ``PowerIterationClustering`` has them: its stopping rule, too.
+
+    similarities: (src, dst, weight), each pair once in either direction; stored,
+    as it is read twice. W is the similarity over the degree of the receiving
+    node. Pairs of a node with itself are left out. A null, or a negative weight, is
+    an error. No task holds the graph: edges are sorted runs, spilled
+    and stored as rows, and a node's inflow is partial sums.
+    """
+    n = int(similarities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
+    valid = F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("weight") >= 0)
+    weight = F.when(valid, F.col("weight")).otherwise(F.raise_error(F.lit("a pair must have two ids and a similarity that is not negative")))
+    both = similarities.where("src IS NULL OR dst IS NULL OR src <> dst").select(ends, weight.alias("weight")).select("e.src", "e.dst", "weight")
+    links = with_salts(both, heavy_degree).repartition(n, "src", "salt").sortWithinPartitions("src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = links.groupBy("src", "salt").agg(F.sum("weight").alias("deg"), F.max("parts").alias("parts")).groupBy(
+        F.col("src").alias("node")).agg(F.sum("deg").alias("deg"), F.max("parts").alias("parts"))
+    state = materialize(nodes)
+    total, many = state.agg(F.sum("deg"), F.count(F.lit(1))).first()
+    state = state.withColumn("value", F.col("deg") / F.lit(total))
+    least, before, change = max(1e-5 / max(many, 1), 1e-8), math.inf, math.inf
+    for _ in range(int(rounds)):
+        if change <= least:
+            break
+        salts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
+        copies = state.select(F.col("node").alias("src"), salts, "value")
+        inflow = links.join(copies, ["src", "salt"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("weight") * F.col("value")).alias("heard"))
+        told = materialize(state.join(inflow, "node").withColumn("heard", F.col("heard") / F.greatest("deg", F.lit(sys.float_info.epsilon))))
+        norm = told.agg(F.sum(F.abs("heard"))).first()[0]
+        value = F.col("heard") / F.lit(norm)
+        delta = told.agg(F.sum(F.abs(value - F.col("value")))).first()[0]
+        change, before = abs(delta - before), delta
+        state = told.select("node", "deg", "parts", value.alias("value"))
+    links.unpersist()
+    return state.select("node", "value")

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kilowatt.operators import features, learners, models
+from kilowatt.operators.graph import power_iteration
 from kilowatt.operators.partitioning import by_key, materialize, spread_scan
 from kilowatt.operators.text import lexicon_totals
 from kilowatt.streaming.kmeans import stream_kmeans
@@ -65,6 +67,51 @@ def test_pic_two_components(spark):
     assert got[0] == got[1] == got[2] and got[3] == got[4] and got[0] != got[3]
 
 
+def test_pic_of_many_pairs_runs_as_joins(spark, monkeypatch):
+    """A graph beyond the estimator's limit is not handed to it; the clusters are as good."""
+    monkeypatch.setattr(learners, "PIC_PAIRS", 0)
+    monkeypatch.setattr(learners, "PowerIterationClustering", None)
+    edges = [(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0), (3, 4, 1.0), (4, 0, 0.1), (2, 2, 9.0), (7, 7, 1.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, w double")
+    found = learners.pic(df, "src", "dst", "w", k=2, max_iter=10)
+    assert found.dtypes == [("id", "bigint"), ("cluster", "int")]
+    got = {r["id"]: r["cluster"] for r in found.collect()}
+    assert set(got) == {0, 1, 2, 3, 4}
+    assert got[0] == got[1] == got[2] and got[3] == got[4] and got[0] != got[3]
+
+
+@pytest.mark.parametrize("rounds, heavy", [(0, 100_000), (10, 5)])
+def test_power_iteration_is_that_of_the_whole_matrix(spark, rounds, heavy):
+    """Against the matrix: a hot node, pairs given twice and in both directions, nodes with themselves; the stopping rule."""
+    rng = np.random.default_rng(3)
+    pairs = [(0, int(b), float(w)) for b, w in zip(range(1, 60), rng.random(59))] + [
+        (int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 60, 200), rng.integers(0, 60, 200), rng.random(200))]
+    a = np.zeros((60, 60))
+    for x, y, w in pairs:
+        if x != y:
+            a[x, y] += w
+            a[y, x] += w
+    degree = a.sum(1)
+    v, before, change, least = degree / degree.sum(), np.inf, np.inf, 1e-5 / 60
+    for _ in range(rounds):
+        if change <= least:
+            break
+        new = a @ v / degree
+        new /= np.abs(new).sum()
+        delta = np.abs(new - v).sum()
+        v, change, before = new, abs(delta - before), delta
+    df = spark.createDataFrame(pairs, "src long, dst long, weight double").persist()
+    got = {r["node"]: r["value"] for r in power_iteration(df, rounds, heavy).collect()}
+    assert [got[i] for i in range(60)] == pytest.approx(v.tolist(), rel=1e-12)
+
+
+@pytest.mark.parametrize("bad", [(1, 2, -1.0), (1, 2, None), (None, 2, 1.0)])
+def test_power_iteration_refuses_what_is_no_similarity(spark, bad):
+    df = spark.createDataFrame([(0, 1, 1.0), bad], "src long, dst long, weight double")
+    with pytest.raises(Exception, match="a pair must have two ids"):
+        power_iteration(df, 2)
+
+
 def test_lda_topics_name_the_frequent_terms(spark):
     docs = spark.createDataFrame([("apple banana apple fruit apple banana",), ("car engine wheel car car engine",)] * 20, "text string")
     tok = features.tokenize(docs, "text", "words")
