@@ -44,7 +44,7 @@ COSINE = 0.93
 DIRECTIONS, CHOICE = 24, 4
 #: Vectors in a leaf: comparing one with so many costs about what carrying a copy of it through a tree does. And
 #: vectors, of up to SHORT numbers, in a block of a leaf; of longer ones a block has fewer.
-LEAF, BLOCK, SHORT = 4096, 8192, 64
+LEAF, BLOCK, SHORT = 16_384, 8192, 64
 #: A label is split if it has more vectors than a vector's copies would be compared with and cost: each
 #: copy counts as a leaf for itself and one for its comparisons, where a label compared whole has half its size.
 WHOLE = 4
